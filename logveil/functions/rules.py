@@ -221,6 +221,11 @@ class Catalogue:
     def line_rules(self) -> list[Rule]:
         return [r for r in self.rules if not r.multiline]
 
+    @property
+    def added_rules(self) -> list[Rule]:
+        """Rules that are not built in."""
+        return [r for r in self.rules if r.rule_id >= len(BUILTIN_RULES)]
+
     def stages(self) -> list[list[Rule]]:
         """Line rules in groups inside which pseudonym numbers may stay symbolic.
 

@@ -1,32 +1,43 @@
-"""Column expressions over text: gates, matches, masks, lines and symbolic pseudonyms.
+"""SQL expressions over text: gates, matches, masks, lines and symbolic pseudonyms.
 
-Everything here is a pure ``Column`` builder of built-in functions, usable in
-batch and streaming queries alike.
+Every function takes SQL expressions as strings (a column name is one) and
+returns a SQL expression to be used with ``F.expr`` or ``selectExpr``, in batch
+and streaming queries alike.  Composing strings keeps the deeply nested
+expressions of the cascade cheap to build: they are parsed once, on the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from logveil.functions.rules import UNIQUE, Catalogue, Rule, pseudonym_format
 
 # Unicode noncharacters, which valid text never exchanges.  OPEN and CLOSE frame
-# a symbolic pseudonym, CUT marks a replaced match, ESCAPE protects raw ones.
+# a symbolic pseudonym, CUT marks a place, ESCAPE protects raw occurrences.
 OPEN, CLOSE, ESCAPE, CUT = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
-_RAW = {ESCAPE: "\ufdd4", OPEN: "\ufdd5", CLOSE: "\ufdd6", CUT: "\ufdd7"}
+_SAFE = {ESCAPE: "\ufdd4", OPEN: "\ufdd5", CLOSE: "\ufdd6", CUT: "\ufdd7"}
+
+WORKING_CHARACTERS = tuple(_SAFE)
 
 # The number of a symbolic pseudonym.  The two zeros keep word boundaries as they
 # are beside a real number.
 SYMBOL = f"0{OPEN}([^{CLOSE}]*){CLOSE}0"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, inside a lambda too."""
-    return F.transform(F.array(value), body).getItem(0)
+def literal(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r") + "'"
+
+
+def string_array(values) -> str:
+    return "array(" + ", ".join(map(literal, values)) + ")"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, computed once, inside a lambda too."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def when(condition: str, value: str, otherwise: str = "NULL") -> str:
+    return f"CASE WHEN {condition} THEN {value} ELSE {otherwise} END"
 
 
 def quote_replacement(text: str) -> str:
@@ -34,93 +45,102 @@ def quote_replacement(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
+def substitute(text: str, regex: str, replacement: str) -> str:
+    return f"regexp_replace({text}, {literal(regex)}, {literal(replacement)})"
+
+
+def pieces(text: str, separator: str = "\n") -> str:
+    return f"split({text}, {literal(separator)}, -1)"
+
+
 # --- gates ------------------------------------------------------------------
 
-def any_contains(lowered: Column, needles) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(n)) for n in needles))
+def any_contains(lowered: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({lowered}, {literal(n)})" for n in needles) + ")"
 
 
-def gate(lowered: Column, rule: Rule) -> Column:
+def gate(lowered: str, rule: Rule) -> str:
     """May ``rule`` run on a text whose lower-case form is ``lowered``?"""
     return any_contains(lowered, rule.keywords)
 
 
-def may_have_matches(text: Column, catalogue: Catalogue) -> Column:
+def may_have_matches(text: str, catalogue: Catalogue) -> str:
     """Does any keyword of any rule occur in the text?"""
-    return any_contains(F.lower(text), catalogue.keywords)
+    return let("low", f"lower({text})", any_contains("low", catalogue.keywords))
 
 
-def present_keywords(text: Column, catalogue: Catalogue) -> Column:
+def present_keywords(text: str, catalogue: Catalogue) -> str:
     """The keywords that occur in the text, sorted."""
-    needles = F.array(*[F.lit(k) for k in catalogue.keywords])
-    return let(F.lower(text), lambda low: F.filter(needles, lambda k: F.contains(low, k)))
+    return let("low", f"lower({text})",
+               f"filter({string_array(catalogue.keywords)}, k -> contains(low, k))")
 
 
-def applicable_rules(line: Column, catalogue: Catalogue) -> Column:
+def applicable_rules(line: str, catalogue: Catalogue) -> str:
     """Ids of the line rules whose gate a line passes, in order."""
-    def ids(low: Column) -> Column:
-        passing = [F.when(gate(low, r), F.lit(r.rule_id)) for r in catalogue if not r.multiline]
-        return F.array_compact(F.array(*passing))
-    return let(F.lower(line), ids)
+    passing = ", ".join(when(gate("low", r), str(r.rule_id)) for r in catalogue.line_rules)
+    return let("low", f"lower({line})", f"array_compact(array({passing}))")
 
 
-def gate_mask(lowered: Column, rules: list[Rule]) -> Column:
+def gate_mask(lowered: str, rules: list[Rule]) -> str:
     """The gates of ``rules`` as bits, bit ``i`` for the i-th rule."""
-    bits = [F.when(gate(lowered, r), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return " | ".join(f"IF({gate(lowered, r)}, {1 << i}L, 0L)" for i, r in enumerate(rules)) or "0L"
 
 
 # --- matches of one rule ----------------------------------------------------
 
-def _group(text: Column, regex: str, index: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(regex), index)
+def _group(text: str, regex: str, index: int) -> str:
+    return f"regexp_extract_all({text}, {literal(regex)}, {index})"
 
 
-def _joined_groups(text: Column, regex: str, groups: tuple[int, ...]) -> Column:
+def _joined_groups(text: str, regex: str, groups: tuple[int, ...]) -> str:
     """Per match, the group of ``groups`` that took part (the others are empty)."""
-    parts = [_group(text, regex, g) for g in groups]
-    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), parts)
+    joined = _group(text, regex, groups[0])
+    for g in groups[1:]:
+        joined = f"zip_with({joined}, {_group(text, regex, g)}, (ga, gb) -> concat(ga, gb))"
+    return joined
 
 
-def match_values(text: Column, rule: Rule, regex: str) -> Column:
+def match_values(text: str, rule: Rule, regex: str) -> str:
     """Per match, the sensitive value: the match without the prefix that is kept."""
     if not rule.keeps_prefix:
         return _group(text, regex, 0)
     if rule.value_groups:
         return _joined_groups(text, regex, rule.value_groups)
-    return F.zip_with(_group(text, regex, 0), _joined_groups(text, regex, rule.prefix_groups),
-                      lambda whole, prefix: whole.substr(F.length(prefix) + 1, F.length(whole)))
+    return (f"zip_with({_group(text, regex, 0)}, {_joined_groups(text, regex, rule.prefix_groups)}, "
+            f"(whole, prefix) -> substr(whole, length(prefix) + 1))")
+
+
+def match_count(text: str, regex: str) -> str:
+    return f"regexp_count({text}, {literal(regex)})"
 
 
-def match_count(text: Column, regex: str) -> Column:
-    return F.regexp_count(text, F.lit(regex))
+def matches(text: str, regex: str) -> str:
+    return f"({text} RLIKE {literal(regex)})"
 
 
 def _prefix_reference(rule: Rule) -> str:
     return "".join(f"${g}" for g in rule.prefix_groups) if rule.keeps_prefix else ""
 
 
-def masked(text: Column, rule: Rule, regex: str) -> Column:
+def masked(text: str, rule: Rule, regex: str) -> str:
     """The text with every match replaced by the rule's fixed marker."""
-    return F.regexp_replace(text, regex, _prefix_reference(rule) + quote_replacement(rule.literal))
+    return substitute(text, regex, _prefix_reference(rule) + quote_replacement(rule.literal))
 
 
-def replace_each(text: Column, regex: str, kept: str, substitutes: Column) -> Column:
+def replace_each(text: str, regex: str, kept: str, substitutes: str) -> str:
     """Replace the n-th match by the n-th of ``substitutes``, keeping ``kept`` group references."""
-    pieces = F.split(F.regexp_replace(text, regex, kept + CUT), CUT, -1)
-    return F.array_join(
-        F.zip_with(pieces, substitutes, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    return (f"array_join(zip_with({pieces(substitute(text, regex, kept + CUT), CUT)}, {substitutes}, "
+            f"(piece, put) -> concat(piece, coalesce(put, ''))), '')")
 
 
 # --- symbolic pseudonyms ----------------------------------------------------
 
-def symbol_body(category: str | Column, value: Column) -> Column:
+def symbol_body(category: str, value: str) -> str:
     """What a symbolic number carries: its category and its value, as characters no rule reacts to."""
-    category = F.lit(category) if isinstance(category, str) else category
-    return F.concat(category, F.lit("="), F.hex(F.encode(value, "UTF-8")))
+    return f"concat({category}, '=', hex({value}))"
 
 
-def symbolic(text: Column, rule: Rule, regex: str) -> Column:
+def symbolic(text: str, rule: Rule, regex: str) -> str:
     """The text with every match replaced by a pseudonym whose number is still a symbol.
 
     All but the number is final, so the rules that follow see what they would
@@ -128,69 +148,98 @@ def symbolic(text: Column, rule: Rule, regex: str) -> Column:
     """
     before, _, after = pseudonym_format(rule.category)
     head, tail = rule.literal.split(UNIQUE)
-    stand_in = lambda v: F.concat(
-        F.lit(head + before + "0" + OPEN), symbol_body(rule.category, v), F.lit(CLOSE + "0" + after + tail))
+    body = symbol_body(literal(rule.category), "v")
+    stand_in = f"concat({literal(head + before + '0' + OPEN)}, {body}, {literal(CLOSE + '0' + after + tail)})"
     return replace_each(text, regex, _prefix_reference(rule),
-                        F.transform(match_values(text, rule, regex), stand_in))
+                        f"transform({match_values(text, rule, regex)}, v -> {stand_in})")
 
 
-def symbols(text: Column) -> Column:
+def symbols(text: str) -> str:
     """The symbols in the text, in order, repeated as they occur."""
-    return F.regexp_extract_all(text, F.lit(SYMBOL), 1)
+    return _group(text, SYMBOL, 1)
 
 
-def has_symbols(text: Column) -> Column:
-    return F.contains(text, F.lit(OPEN))
+def has_symbols(text: str) -> str:
+    return f"contains({text}, {literal(OPEN)})"
 
 
-def numbered(text: Column, numbers: Column) -> Column:
+def numbered(text: str, numbers: str) -> str:
     """The text with its n-th symbol replaced by the n-th of ``numbers`` (strings)."""
     return replace_each(text, SYMBOL, "", numbers)
 
 
-def pad_number(category: Column, number: Column) -> Column:
+def _padded(number: str, width: int) -> str:
+    text = f"cast({number} AS string)"
+    return text if width < 2 else f"lpad({text}, greatest({width}, length({text})), '0')"
+
+
+def number_text(category: str, number: str, categories) -> str:
     """A pseudonym's number as text, padded the way its category asks."""
-    text = number.cast("string")
-    return F.when((category == F.lit("internal_ip")) | (number >= 100), text) \
-        .otherwise(F.lpad(text, 3, "0"))
+    branches = " ".join(f"WHEN {literal(c)} THEN {_padded(number, pseudonym_format(c)[1])}" for c in categories)
+    return f"CASE {category} {branches} END"
 
 
-def pseudonym(category: Column, number: Column, categories) -> Column:
+def pseudonym(category: str, number: str, categories) -> str:
     """The pseudonym itself: ``user001``, ``host001``, ``10.1.0.1``, ``entity001`` or ``NAME_001``."""
-    shape = F.lit(None).cast("string")
-    for name in categories:
-        before, width, after = pseudonym_format(name)
-        digits = pad_number(F.lit("internal_ip" if width == 1 else ""), number)
-        shape = F.when(category == F.lit(name), F.concat(F.lit(before), digits, F.lit(after))).otherwise(shape)
-    return shape
+    branches = []
+    for c in categories:
+        before, width, after = pseudonym_format(c)
+        branches.append(f"WHEN {literal(c)} THEN concat({literal(before)}, {_padded(number, width)}, {literal(after)})")
+    return f"CASE {category} {' '.join(branches)} END"
 
 
 # --- raw noncharacters ------------------------------------------------------
 
-def protect(text: Column) -> Column:
+def protect(text: str) -> str:
     """Rewrite raw occurrences of the four working characters, so that they cannot be mistaken."""
     safe = text
-    for raw, stand_in in _RAW.items():
-        safe = F.replace(safe, F.lit(raw), F.lit(ESCAPE + stand_in))
-    return F.when(text.rlike(f"[{''.join(_RAW)}]"), safe).otherwise(text)
+    for raw, stand_in in _SAFE.items():
+        safe = f"replace({safe}, {literal(raw)}, {literal(ESCAPE + stand_in)})"
+    return when(any_contains(text, _SAFE), safe, text)
 
 
-def unprotect(text: Column) -> Column:
+def unprotect(text: str) -> str:
     plain = text
-    for raw, stand_in in reversed(_RAW.items()):
-        plain = F.replace(plain, F.lit(ESCAPE + stand_in), F.lit(raw))
-    return F.when(F.contains(text, F.lit(ESCAPE)), plain).otherwise(text)
+    for raw, stand_in in reversed(_SAFE.items()):
+        plain = f"replace({plain}, {literal(ESCAPE + stand_in)}, {literal(raw)})"
+    return when(f"contains({text}, {literal(ESCAPE)})", plain, text)
+
+
+# --- candidate lines --------------------------------------------------------
+
+# Endings of the words that the context rules want before "=" or ":".
+_WORD_ENDINGS = "ion|dbc|ord|swd|pwd|ret|key|ken|rer|ver|rce| id|uid|ser|ame|gin|ite|ook|ect"
+_LAST_LETTERS = "nNcCdDtTyYrReEkKwWbB"
+
+
+def candidate_regex(catalogue: Catalogue) -> str:
+    """A pattern found in every line on which some line rule has a match.
+
+    It tests one character class and looks further only at the few characters
+    of that class, so that a single scan of a whole text tells the lines that
+    need the cascade from those that do not.  Each alternative is implied by one
+    or more rules.  Rules added to the catalogue take part with their keywords.
+    """
+    pair = "[0-9A-Fa-f]{2}"
+    word = (rf"(?<=[\s\"{_LAST_LETTERS}\u017f\u212a][=:])(?:(?<=\s[=:])"
+            rf"|(?<=(?iu:{_WORD_ENDINGS})\"?[=:])|(?<=(?iu:vw|wb)\"?[=:]))")
+    scan = (
+        rf"[@\\=:./-](?:{word}|(?<=[:-]){pair}(?:[:-]{pair}){{4}}|(?<=-)\d\d-\d{{4}}"
+        rf"|(?<=\.)(?:\d{{1,3}}\.\d{{1,3}}\.\d|(?iu:local|internal|corp|lan|intranet|private)\b)"
+        rf"|(?<=/)(?:t|vizql/w|views|authoring)/|(?<=\\)\\|(?<=@))")
+    added = sorted({k for r in catalogue.added_rules for k in r.keywords})
+    scan += "".join(r"|(?iu:\Q" + k + r"\E)" for k in added)
+    return ("(?U)" if catalogue.unicode else "") + scan
 
 
 # --- lines ------------------------------------------------------------------
 
-def normalise_line_ends(text: Column) -> Column:
-    return F.replace(text, F.lit("\r\n"), F.lit("\n"))
+def normalise_line_ends(text: str) -> str:
+    return f"replace({text}, '\\r\\n', '\\n')"
 
 
-def split_lines(text: Column) -> Column:
+def split_lines(text: str) -> str:
     """Lines without their ends; a final line feed opens no further line."""
-    def trimmed(pieces: Column) -> Column:
-        kept = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
-        return F.transform(kept, lambda line: F.regexp_replace(line, "\r$", ""))
-    return let(F.split(text, "\n", -1), trimmed)
+    return let("parts", pieces(text),
+               "transform(IF(element_at(parts, -1) = '', slice(parts, 1, size(parts) - 1), parts), "
+               "part -> regexp_replace(part, '\\r$', ''))")

@@ -1,112 +1,111 @@
-"""The ordered cascade of rules over rows of text, as narrow column expressions.
+"""The ordered cascade of rules over rows of text, as narrow expressions.
 
 A row is a *unit*: a document with all its lines, or a single line of a huge
 log.  Rule *n* reads what rule *n-1* left.  Nothing here shuffles.  Numbers of
 pseudonyms stay symbolic within a stage (see ``Catalogue.stages``); the callers
 decide where the numbers come from.
 
-Working columns: ``_text`` the current text, ``_mask`` the gates of each line as
-bits, ``_hits`` the matches found so far, in the order line, rule, position.
+Working columns: ``_text`` the lines that some rule may change, ``_mask`` their
+gates as bits, ``_rest`` the text around them, ``_line_nos`` their places, and
+``_hits`` the matches found so far, in the order line, rule, position.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logveil.functions import text as T
 from logveil.functions.rules import Catalogue, Rule
 
-HITS = "array<struct<line_no:bigint,rule:int,category:string,pos:int,original:string>>"
+HITS = "array<struct<place:int,rule:int,category:string,pos:int,original:string>>"
+WORKING = ("_text", "_mask", "_rest", "_line_nos", "_hits")
+_NO_HITS = f"cast(array() AS {HITS})"
+
 
+def _hits(values: str, rule: Rule, place: str) -> str:
+    return (f"transform({values}, (v, i) -> named_struct('place', {place}, 'rule', {rule.rule_id}, "
+            f"'category', {T.literal(rule.category)}, 'pos', i + 1, 'original', v))")
 
-def _no_hits() -> Column:
-    return F.array().cast(HITS)
 
+def start(df: DataFrame, text: str, catalogue: Catalogue) -> DataFrame:
+    """Run the whole-text rules and set the lines apart that line rules may change."""
+    df = df.withColumns({"_text": F.expr(T.protect(text)), "_low": F.expr(f"lower({text})"), "_hits": F.expr(_NO_HITS)})
+    for rule in catalogue.text_rules:
+        regex, passed = catalogue.regex(rule), T.gate("_low", rule)
+        found = _hits(T.match_values("_text", rule, regex), rule, "cast(NULL AS int)")
+        df = df.withColumns({
+            "_text": F.expr(T.when(passed, T.masked("_text", rule, regex), "_text")),
+            "_hits": F.expr(T.when(passed, f"concat(_hits, {found})", "_hits"))})
+    crlf = f"contains(_text, '\\r\\n') AND {T.any_contains('_low', catalogue.keywords)}"
+    df = df.withColumn("_text", F.expr(T.when(crlf, T.normalise_line_ends("_text"), "_text")))
 
-def _hits(values: Column, rule: Rule, line_no: Column) -> Column:
-    return F.transform(values, lambda v, i: F.struct(
-        line_no.cast("bigint").alias("line_no"), F.lit(rule.rule_id).alias("rule"),
-        F.lit(rule.category).alias("category"), (i + 1).alias("pos"), v.alias("original")))
+    cut = T.literal(T.CUT)
+    df = df.withColumn("_marked", F.expr(T.substitute("_text", T.candidate_regex(catalogue), T.CUT + "$0")))
+    df = df.withColumn("_pieces", F.expr(T.when(f"contains(_marked, {cut})", T.pieces("_marked"))))
+    lines = f"transform(filter(_pieces, piece -> contains(piece, {cut})), piece -> replace(piece, {cut}, ''))"
+    rest = f"array_join(transform(_pieces, piece -> IF(contains(piece, {cut}), {cut}, piece)), '\\n')"
+    places = f"filter(transform(_pieces, (piece, i) -> IF(contains(piece, {cut}), i + 1, NULL)), n -> n IS NOT NULL)"
+    return df.withColumns({
+        "_rest": F.expr(T.when("_pieces IS NOT NULL", T.pieces(rest, T.CUT), "array(_text)")),
+        "_line_nos": F.expr(places),
+        "_text": F.expr(T.when("_pieces IS NOT NULL", f"array_join({lines}, '\\n')", "IF(_text IS NULL, NULL, '')")),
+    }).withColumn("_mask", F.expr(_masks(catalogue))).drop("_low", "_marked", "_pieces")
 
 
-def start(df: DataFrame, text: Column, catalogue: Catalogue, first_line: Column | None = None,
-          whole_texts: bool = True) -> DataFrame:
-    """Add the working columns and run the whole-text rules.
+def start_lines(df: DataFrame, line: str, line_no: str, catalogue: Catalogue) -> DataFrame:
+    """The same for rows that are single lines, all of them candidates."""
+    return df.withColumns({
+        "_text": F.expr(T.protect(line)), "_hits": F.expr(_NO_HITS), "_rest": F.expr("array('')"),
+        "_line_nos": F.expr(f"array({line_no})"),
+    }).withColumn("_mask", F.expr(_masks(catalogue)))
 
-    ``whole_texts=False`` is for units that are single lines, whose blocks have
-    been collapsed before.
-    """
-    first_line = F.lit(1) if first_line is None else first_line
-    df = df.withColumn("_text", T.protect(text)).withColumn("_hits", _no_hits()) \
-        .withColumn("_first_line", first_line.cast("bigint"))
-    if whole_texts:
-        df = df.withColumn("_low", F.lower("_text"))
-        for rule in catalogue.text_rules:
-            regex, current, passed = catalogue.regex(rule), F.col("_text"), T.gate(F.col("_low"), rule)
-            df = df.withColumns({
-                "_text": F.when(passed, T.masked(current, rule, regex)).otherwise(current),
-                "_hits": F.when(passed, F.concat(
-                    "_hits", _hits(T.match_values(current, rule, regex), rule, F.lit(None))))
-                .otherwise(F.col("_hits"))})
-        crlf = F.contains("_text", F.lit("\r\n")) & T.any_contains(F.col("_low"), catalogue.keywords)
-        df = df.withColumn("_text", F.when(crlf, T.normalise_line_ends(F.col("_text"))).otherwise(F.col("_text"))) \
-            .drop("_low")
-    masks = F.transform(F.split(F.lower("_text"), "\n", -1), lambda low: T.gate_mask(low, catalogue.line_rules))
-    return df.withColumn("_mask", masks)
+
+def _masks(catalogue: Catalogue) -> str:
+    return f"transform({T.pieces('lower(_text)')}, low -> {T.gate_mask('low', catalogue.line_rules)})"
 
 
 def _bits(rules: list[Rule], catalogue: Catalogue) -> int:
     return sum(1 << catalogue.line_rules.index(r) for r in rules)
 
 
-def _apply(state: Column, rule: Rule, catalogue: Catalogue) -> Column:
-    """One rule on one line; ``state`` holds the line, its gates, its number and its hits."""
+def _apply(state: str, rule: Rule, catalogue: Catalogue) -> str:
+    """One rule on one line; the state holds the line, its gates, its place and its hits."""
     regex = catalogue.regex(rule)
-
-    def step(s: Column) -> Column:
-        rewrite = T.symbolic if rule.is_unique else T.masked
-        changed = F.struct(
-            rewrite(s["t"], rule, regex).alias("t"), s["m"].alias("m"), s["n"].alias("n"),
-            F.concat(s["h"], _hits(T.match_values(s["t"], rule, regex), rule, s["n"])).alias("h"))
-        passed = s["m"].bitwiseAND(F.lit(_bits([rule], catalogue))) != 0
-        return F.when(passed & s["t"].rlike(regex), changed).otherwise(s)
-    return T.let(state, step)
+    rewrite = T.symbolic if rule.is_unique else T.masked
+    found = _hits(T.match_values("s.t", rule, regex), rule, "s.n")
+    changed = f"named_struct('t', {rewrite('s.t', rule, regex)}, 'm', s.m, 'n', s.n, 'h', concat(s.h, {found}))"
+    passed = f"(s.m & {_bits([rule], catalogue)}L) != 0 AND {T.matches('s.t', regex)}"
+    return T.let("s", state, T.when(passed, changed, "s"))
 
 
 def run_stage(df: DataFrame, rules: list[Rule], catalogue: Catalogue) -> DataFrame:
     """Apply ``rules`` in order to every line; numbers of new pseudonyms stay symbolic."""
-    wanted = F.lit(_bits(rules, catalogue))
-    lines = F.zip_with(F.split("_text", "\n", -1), "_mask",
-                       lambda t, m: F.struct(t.alias("t"), m.alias("m")))
-
-    def line(s: Column, i: Column) -> Column:
-        state = F.struct(s["t"].alias("t"), s["m"].alias("m"),
-                         (F.col("_first_line") + i).alias("n"), _no_hits().alias("h"))
-        done = reduce(lambda acc, r: _apply(acc, r, catalogue), rules, state)
-        return F.when(s["m"].bitwiseAND(wanted) == 0, state).otherwise(done)
-
-    return df.withColumn("_lines", F.transform(lines, line)).withColumns({
-        "_text": F.array_join(F.transform("_lines", lambda s: s["t"]), "\n"),
-        "_hits": F.concat("_hits", F.flatten(F.transform(
-            F.filter("_lines", lambda s: F.size(s["h"]) > 0), lambda s: s["h"]))),
+    state = "line"
+    for rule in rules:
+        state = _apply(state, rule, catalogue)
+    lines = (f"transform(zip_with({T.pieces('_text')}, _mask, (t, m) -> named_struct('t', t, 'm', m)), (l, i) -> "
+             f"named_struct('t', l.t, 'm', l.m, 'n', i, 'h', {_NO_HITS}))")
+    done = f"transform({lines}, line -> {T.when(f'(line.m & {_bits(rules, catalogue)}L) = 0', 'line', state)})"
+    return df.withColumn("_lines", F.expr(done)).withColumns({
+        "_text": F.expr("array_join(transform(_lines, l -> l.t), '\\n')"),
+        "_hits": F.expr("concat(_hits, flatten(transform(filter(_lines, l -> size(l.h) > 0), l -> l.h)))"),
     }).drop("_lines")
 
 
 def finish(df: DataFrame, text_name: str) -> DataFrame:
     """Replace the working columns by the redacted text and its hits."""
-    plain = lambda h: F.struct(
-        h["line_no"].alias("line_no"), h["rule"].alias("rule"), h["category"].alias("category"),
-        h["pos"].alias("pos"), T.unprotect(h["original"]).alias("original"))
-    return df.withColumns({text_name: T.unprotect(F.col("_text")), "hits": F.transform("_hits", plain)}) \
-        .drop("_text", "_mask", "_hits", "_first_line")
+    plain = ("transform(_hits, h -> named_struct('line_no', cast(get(_line_nos, h.place) AS bigint), "
+             "'rule', h.rule, 'category', h.category, 'pos', h.pos, "
+             f"'original', {T.unprotect('h.original')}))")
+    whole = (f"array_join(zip_with(_rest, {T.pieces('_text')}, "
+             "(around, line) -> concat(around, coalesce(line, ''))), '')")
+    df = df.withColumns({"_text": F.expr(T.when("_text IS NULL", "NULL", whole)), "hits": F.expr(plain)})
+    return df.withColumn(text_name, F.expr(T.unprotect("_text"))).drop(*WORKING)
 
 
-def symbolic_keys(hits: Column, rules: list[Rule]) -> Column:
+def symbolic_keys(hits: str, rules: list[Rule]) -> str:
     """Bodies of the symbols that ``rules`` put into the text, in first-seen order, each once."""
-    ids = [r.rule_id for r in rules if r.is_unique]
-    return F.array_distinct(F.transform(
-        F.filter(hits, lambda h: h["rule"].isin(ids)),
-        lambda h: T.symbol_body(h["category"], h["original"])))
+    ids = ", ".join(str(r.rule_id) for r in rules if r.is_unique)
+    return (f"array_distinct(transform(filter({hits}, h -> h.rule IN ({ids})), "
+            f"h -> {T.symbol_body('h.category', 'h.original')}))")

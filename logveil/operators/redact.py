@@ -3,64 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logveil.functions import text as T
 from logveil.functions.rules import Catalogue
 from logveil.operators import cascade
-
-
-# --- numbers from within the row (scope: one document) -----------------------
-
-def _buckets(keys: Column) -> Column:
-    """Keys with their 1-based places, spread over about sqrt(n) hash buckets.
-
-    Built-in array lookups are linear; this keeps a row with many distinct
-    values from costing the square of their number.
-    """
-    def spread(entries: Column) -> Column:
-        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(entries))).cast("int"))
-        return F.transform(
-            F.sequence(F.lit(0), width - 1),
-            lambda b: F.filter(entries, lambda e: F.pmod(F.hash(e["key"]), width) == b))
-    return T.let(F.transform(keys, lambda k, i: F.struct(k.alias("key"), (i + 1).alias("place"))), spread)
-
-
-def _place(buckets: Column, key: Column) -> Column:
-    bucket = F.get(buckets, F.pmod(F.hash(key), F.size(buckets)))
-    return F.get(F.filter(bucket, lambda e: e["key"] == key), F.lit(0))["place"]
-
-
-def _number_within_row(df: DataFrame, rules: list, catalogue: Catalogue) -> DataFrame:
-    """Turn the symbols of a stage into numbers: first seen in the row, first numbered."""
-    categories = sorted({r.category for r in rules if r.is_unique})
-    if not categories:
-        return df
-    bodies = cascade.symbolic_keys(F.col("_hits"), rules)
-    found = T.has_symbols(F.col("_text"))
-    df = df.withColumn("_keys", F.when(found, bodies))
-    of_category = lambda c: F.filter("_keys", lambda k: F.startswith(k, F.lit(c + "=")))
-    df = df.withColumns({
-        f"_places_{c}": F.when(F.col("_keys").isNotNull(), _buckets(of_category(c))) for c in categories})
-
-    def number(body: Column) -> Column:
-        text = F.lit(None).cast("string")
-        for c in categories:
-            padded = T.pad_number(F.lit(c), _place(F.col(f"_places_{c}"), body))
-            text = F.when(F.startswith(body, F.lit(c + "=")), padded).otherwise(text)
-        return text
-
-    resolve = lambda text: F.when(
-        T.has_symbols(text), T.numbered(text, F.transform(T.symbols(text), number))).otherwise(text)
-    settle = lambda h: F.struct(
-        h["line_no"].alias("line_no"), h["rule"].alias("rule"), h["category"].alias("category"),
-        h["pos"].alias("pos"), resolve(h["original"]).alias("original"))
-    return df.withColumns({
-        "_text": F.when(found, resolve(F.col("_text"))).otherwise(F.col("_text")),
-        "_hits": F.when(found, F.transform("_hits", settle)).otherwise(F.col("_hits")),
-    }).drop("_keys", *[f"_places_{c}" for c in categories])
+from logveil.operators.blocks import collapse_blocks
+from logveil.operators.pseudonyms import CORPUS, DOC, number_across_rows, number_within_row, readable
+from logveil.sources.staging import staged
 
 
 def redact_documents(df: DataFrame, text_col: str, catalogue: Catalogue | None = None) -> DataFrame:
@@ -70,7 +23,87 @@ def redact_documents(df: DataFrame, text_col: str, catalogue: Catalogue | None =
     ``(line_no, rule, category, pos, original)``.  One narrow pass: no shuffle.
     """
     catalogue = catalogue or Catalogue.builtin()
-    df = cascade.start(df, F.col(text_col), catalogue)
+    df = cascade.start(df, text_col, catalogue)
     for rules in catalogue.stages():
-        df = _number_within_row(cascade.run_stage(df, rules, catalogue), rules, catalogue)
+        df = number_within_row(cascade.run_stage(df, rules, catalogue), rules)
     return cascade.finish(df, text_col)
+
+
+@dataclass
+class Redaction:
+    """What a redaction gives: the rewritten rows, and the dictionary behind them.
+
+    ``rows`` has the input's columns and ``hits``; ``dictionary`` is
+    ``(scope, category, original, id, replacement)``.
+    """
+
+    rows: DataFrame
+    dictionary: DataFrame
+    entries: DataFrame
+
+
+def _across(df: DataFrame, rules_by_stage, catalogue, unit, scope, line_no, known) -> tuple[DataFrame, DataFrame]:
+    """Run the stages over rows whose scope spans rows; one staged table per barrier."""
+    dictionaries = []
+    for rules in rules_by_stage:
+        df = cascade.run_stage(df, rules, catalogue)
+        if any(r.is_unique for r in rules):
+            df, found = number_across_rows(staged(df, "stage"), rules, unit, scope, line_no, known)
+            dictionaries.append(found)
+    if not dictionaries:
+        return df, None
+    return df, reduce(DataFrame.unionByName, dictionaries)
+
+
+def redact_corpus(df: DataFrame, id_col: str, text_col: str, catalogue: Catalogue | None = None,
+                  known: DataFrame | None = None) -> Redaction:
+    """Redact rows that hold whole documents, one value having one pseudonym in all of them.
+
+    Documents without any candidate line take no part in a barrier.  ``known``
+    is the ``entries`` of an earlier run whose numbers are to be kept.
+    """
+    catalogue = catalogue or Catalogue.builtin()
+    base = cascade.start(df, text_col, catalogue).withColumn("_scope", F.lit(CORPUS))
+    idle = base.filter("_text IS NULL OR _text = ''")
+    busy, entries = _across(base.filter("_text != ''"), catalogue.stages(), catalogue, [id_col], CORPUS, "0", known)
+    rows = cascade.finish(busy.unionByName(idle), text_col).drop("_scope")
+    return Redaction(rows, None if entries is None else readable(entries), entries)
+
+
+def redact_lines(df: DataFrame, doc_col: str, line_no_col: str, line_col: str, scope: str = DOC,
+                 catalogue: Catalogue | None = None, known: DataFrame | None = None,
+                 blocks: bool = True) -> Redaction:
+    """Redact a log kept as lines, of any length, pseudonyms numbered per document or corpus.
+
+    Only lines that a rule may change go through the cascade; the others are
+    passed on as they are.  ``blocks=False`` skips the rules that span lines.
+    """
+    catalogue = catalogue or Catalogue.builtin()
+    if blocks:
+        df = collapse_blocks(df, doc_col, line_no_col, line_col, catalogue)
+    else:
+        df = df.withColumn("hits", F.expr("cast(array() AS array<struct<line_no:bigint,rule:int,"
+                                          "category:string,pos:int,original:string>>)"))
+    df = df.withColumnRenamed("hits", "_block_hits")
+    candidate = f"coalesce({T.matches(line_col, T.candidate_regex(catalogue))} OR " \
+                f"{T.any_contains(line_col, T.WORKING_CHARACTERS)}, false)"
+    idle = df.filter(f"NOT {candidate}").withColumnRenamed("_block_hits", "hits")
+    base = cascade.start_lines(df.filter(candidate), line_col, line_no_col, catalogue) \
+        .withColumn("_scope", F.col(doc_col).cast("string") if scope == DOC else F.lit(CORPUS))
+    busy, entries = _across(base, catalogue.stages(), catalogue, [doc_col, line_no_col], scope, line_no_col, known)
+    done = cascade.finish(busy, line_col).drop("_scope") \
+        .withColumn("hits", F.concat("_block_hits", "hits")).drop("_block_hits")
+    return Redaction(done.unionByName(idle), None if entries is None else readable(entries), entries)
+
+
+def findings(rows: DataFrame, *id_cols: str) -> DataFrame:
+    """One row per match: ``(*id_cols, line_no, rule, category, pos, original)``."""
+    return rows.select(*id_cols, F.explode("hits").alias("hit")).select(*id_cols, "hit.*")
+
+
+def counts_map(hits: str = "hits") -> str:
+    """Matches per category of one row, as a map without zeros."""
+    return T.let(
+        "names", f"transform({hits}, h -> h.category)",
+        "map_from_entries(transform(array_sort(array_distinct(names)), "
+        "c -> named_struct('category', c, 'n', cast(size(filter(names, x -> x = c)) AS bigint))))")
