@@ -102,7 +102,8 @@ def collapse_sql(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -
     kept = lines.filter("NOT _inside OR _opens").withColumns({
         "hits": F.expr(T.when("_inside", f"concat(hits, array({_hit(rule, line_no, '1', line)}))", "hits")),
         line: F.expr(T.when("_inside", T.literal(rule.replacement), line))})
-    return kept.select(*apart.columns).unionByName(apart)
+    # Staged, since the caller reads the result more than once; the lines apart are cheap to read again.
+    return staged(kept.select(*apart.columns), "statements").unionByName(apart)
 
 
 def pem_blocks(df: DataFrame, doc: str, line_no: str, line: str, begin: str, end: str) -> DataFrame:
@@ -126,28 +127,26 @@ def collapse_pem(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -
     """Replace each PEM block by its marker.  ``df`` carries ``hits``."""
     begin, end = PEM_MARKERS[rule.category]
     blocks = staged(pem_blocks(df, doc, line_no, line, begin, end), "blocks")
+    lines = _with_bucket(df, line_no)
     spread = blocks.withColumn("_bucket", F.explode(F.expr(
         f"sequence(floor(begin_line / {LINES_PER_BUCKET}), floor(end_line / {LINES_PER_BUCKET}))")))
-    few = blocks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and \
-        spread.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # Blocks of one document do not overlap but at their ends, so a line lies in at
-    # most one as an inner or last line and in at most one as a first line.
-    inner = spread.select(F.col(doc).alias("_doc"), "_bucket", F.col("begin_line").alias("_b"),
-                          F.col("end_line").alias("_e"))
-    opening = blocks.select(F.col(doc).alias("_doc"), F.col("begin_line").alias("_opens_at"))
-    if few:
-        inner, opening = F.broadcast(inner), F.broadcast(opening)
-    lines = _with_bucket(df, line_no)
-    i = inner.alias("i")
-    lines = lines.alias("l").join(
-        i, (F.col(f"l.{doc}") == F.col("i._doc")) & (F.col("l._bucket") == F.col("i._bucket"))
-        & (F.col(f"l.{line_no}") > F.col("i._b")) & (F.col(f"l.{line_no}") <= F.col("i._e")), "left") \
-        .select("l.*", "i._e")
-    lines = lines.join(opening, (F.col(doc) == F.col("_doc")) & (F.col(line_no) == F.col("_opens_at")), "left") \
-        .drop("_doc")
-    regex = rule.regex()
+    size = spread.limit(BROADCAST_ROWS + 1).count()
+    if size == 0:
+        lines = lines.withColumns({"_e": F.lit(None).cast("bigint"), "_opens_at": F.lit(None).cast("bigint")})
+    else:
+        # Blocks of one document do not overlap but at their ends, so a line lies in at
+        # most one as an inner or last line and in at most one as a first line.
+        inner = spread.select(F.col(doc).alias("_doc"), F.col("_bucket").alias("_in"),
+                              F.col("begin_line").alias("_b"), F.col("end_line").alias("_e"))
+        opening = blocks.select(F.col(doc).alias("_doc"), F.col("begin_line").alias("_opens_at"))
+        if size <= BROADCAST_ROWS:
+            inner, opening = F.broadcast(inner), F.broadcast(opening)
+        lines = lines.join(inner, F.expr(
+            f"{doc} = _doc AND _bucket = _in AND {line_no} > _b AND {line_no} <= _e"), "left").drop("_doc")
+        lines = lines.join(opening, F.expr(f"{doc} = _doc AND {line_no} = _opens_at"), "left").drop("_doc")
     left = T.when("_e IS NOT NULL", T.substitute(line, f"^.*?{end}", ""), line)
     lines = lines.filter(f"_e IS NULL OR _e = {line_no}").withColumn("_left", F.expr(left))
+    regex = rule.regex()
     tail = rf"{begin}.*$"
     inline = (f"transform({T.match_values('_left', rule, regex)}, (v, i) -> {_hit(rule, line_no, 'i + 1', 'v')})")
     masked = T.masked("_left", rule, regex)
