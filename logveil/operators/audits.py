@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logveil.functions import text as T
 from logveil.functions.rules import Catalogue, pseudonym_format
+from logveil.operators.detect import detect_all
 
 
 def expected_counts(expected: DataFrame, actual: DataFrame, tolerance: float = 0.1) -> DataFrame:
@@ -59,16 +60,19 @@ def bijection(dictionary: DataFrame) -> DataFrame:
     return violations("original", "id", "original").unionByName(violations("id", "original", "id"))
 
 
+def allowed_shapes(catalogue: Catalogue) -> str:
+    """What a rule may still match in redacted text: markers, pseudonyms and strings of them."""
+    dotted = lambda t: t.replace(".", "[.]")
+    formats = sorted({pseudonym_format(r.category) for r in catalogue if r.is_unique})
+    numbers = [dotted(before) + "[0-9]+" + dotted(after) for before, _, after in formats]
+    parts = "|".join(["[A-Z_]*REDACTED[A-Z_]*", *numbers, "@redacted[.]com", "[.]redacted"])
+    return f"^(?:{parts})+$"
+
+
 def residual(rows: DataFrame, id_cols: list[str], text_col: str, catalogue: Catalogue) -> DataFrame:
     """Values that the rules still find in redacted text, other than pseudonyms and markers."""
-    allowed = "|".join([r"[A-Z_]*REDACTED[A-Z_\\]*"] + [
-        before.replace(".", r"\.") + r"\d+" + after.replace(".", r"\.")
-        for before, _, after in {pseudonym_format(r.category) for r in catalogue if r.is_unique}])
-    # The marker of one rule and the pseudonym of another may stand inside a value.
-    shapes = rf"^(?:{allowed}|@redacted\.com|\.redacted)+$"
-    from logveil.operators.detect import detect_all
     found = detect_all(rows, id_cols, text_col, catalogue)
-    return found.filter(~F.expr(T.matches("original", shapes)))
+    return found.filter(~F.expr(T.matches("original", allowed_shapes(catalogue))))
 
 
 def length_ratio(rows: DataFrame, id_col: str, before: str, after: str, low: float = 0.5, high: float = 3.0) -> DataFrame:

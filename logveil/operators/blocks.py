@@ -7,8 +7,8 @@ found with running maxima over buckets of lines, so that no task ever holds a
 whole log.
 
 Two things differ from the regular expressions on purpose: white space inside an
-SQL keyword pair does not cross a line end, and what follows a PEM end marker
-stays on a line of its own.  A hit on a block carries the first line of it.
+SQL keyword pair does not cross a line end, and a line that closes one PEM block
+and opens another stays a line of its own.  A hit on a block carries its first line.
 """
 
 from __future__ import annotations
@@ -107,10 +107,15 @@ def collapse_sql(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -
 
 
 def pem_blocks(df: DataFrame, doc: str, line_no: str, line: str, begin: str, end: str) -> DataFrame:
-    """``(doc, begin_line, end_line)`` of the blocks that cross a line end."""
+    """``(doc, begin_line, end_line, tail)`` of the blocks that cross a line end.
+
+    ``tail`` is what follows the end marker on its line and belongs on the line of
+    the begin marker; it is missing where it begins a further block.
+    """
     marker = f"{begin}|{end}"
     events = df.filter(F.expr(T.matches(line, marker))).select(
-        doc, line_no, F.posexplode(F.expr(f"regexp_extract_all({line}, {T.literal(marker)}, 0)")).alias("_pos", "_mark"))
+        doc, line_no, F.expr(T.substitute(line, f"^.*?{end}", "")).alias("_tail"),
+        F.posexplode(F.expr(f"regexp_extract_all({line}, {T.literal(marker)}, 0)")).alias("_pos", "_mark"))
     events = _with_bucket(events, line_no).withColumn("_is_begin", F.col("_mark").startswith("-----BEGIN"))
     event = F.struct(line_no, "_pos", "_is_begin")
     order = [line_no, "_pos"]
@@ -119,44 +124,46 @@ def pem_blocks(df: DataFrame, doc: str, line_no: str, line: str, begin: str, end
         .filter(F.expr("IF(_is_begin, _before IS NULL OR NOT _before._is_begin, _before._is_begin)"))
     pairs = running_max(turns, [doc], "_bucket", order, exclusive={"_opened": F.struct(line_no, "_pos", "_is_begin")})
     return pairs.filter("NOT _is_begin").select(
-        doc, F.col(f"_opened.{line_no}").alias("begin_line"), F.col(line_no).alias("end_line")) \
+        doc, F.col(f"_opened.{line_no}").alias("begin_line"), F.col(line_no).alias("end_line"),
+        F.expr("IF(contains(_tail, '-----BEGIN '), NULL, _tail)").alias("tail")) \
         .filter("begin_line < end_line")
 
 
 def collapse_pem(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -> DataFrame:
     """Replace each PEM block by its marker.  ``df`` carries ``hits``."""
     begin, end = PEM_MARKERS[rule.category]
+    regex = rule.regex()
     blocks = staged(pem_blocks(df, doc, line_no, line, begin, end), "blocks")
-    lines = _with_bucket(df, line_no)
     spread = blocks.withColumn("_bucket", F.explode(F.expr(
         f"sequence(floor(begin_line / {LINES_PER_BUCKET}), floor(end_line / {LINES_PER_BUCKET}))")))
     size = spread.limit(BROADCAST_ROWS + 1).count()
     if size == 0:
-        lines = lines.withColumns({"_e": F.lit(None).cast("bigint"), "_opens_at": F.lit(None).cast("bigint")})
+        lines = df.withColumns({"_end": F.lit(None).cast("bigint"), "_opens_at": F.lit(None).cast("bigint"),
+                                "_tail": F.lit(None).cast("string"), "_end_tail": F.lit(None).cast("string")})
     else:
         # Blocks of one document do not overlap but at their ends, so a line lies in at
         # most one as an inner or last line and in at most one as a first line.
-        inner = spread.select(F.col(doc).alias("_doc"), F.col("_bucket").alias("_in"),
-                              F.col("begin_line").alias("_b"), F.col("end_line").alias("_e"))
-        opening = blocks.select(F.col(doc).alias("_doc"), F.col("begin_line").alias("_opens_at"))
+        inner = spread.select(F.col(doc).alias("_doc"), F.col("_bucket").alias("_in"), F.col("begin_line").alias("_begin"),
+                              F.col("end_line").alias("_end"), F.col("tail").alias("_end_tail"))
+        opening = blocks.select(F.col(doc).alias("_doc"), F.col("begin_line").alias("_opens_at"),
+                                F.col("tail").alias("_tail"))
         if size <= BROADCAST_ROWS:
             inner, opening = F.broadcast(inner), F.broadcast(opening)
-        lines = lines.join(inner, F.expr(
-            f"{doc} = _doc AND _bucket = _in AND {line_no} > _b AND {line_no} <= _e"), "left").drop("_doc")
+        lines = _with_bucket(df, line_no).join(inner, F.expr(
+            f"{doc} = _doc AND _bucket = _in AND {line_no} > _begin AND {line_no} <= _end"), "left").drop("_doc")
         lines = lines.join(opening, F.expr(f"{doc} = _doc AND {line_no} = _opens_at"), "left").drop("_doc")
-    left = T.when("_e IS NOT NULL", T.substitute(line, f"^.*?{end}", ""), line)
-    lines = lines.filter(f"_e IS NULL OR _e = {line_no}").withColumn("_left", F.expr(left))
-    regex = rule.regex()
-    tail = rf"{begin}.*$"
-    inline = (f"transform({T.match_values('_left', rule, regex)}, (v, i) -> {_hit(rule, line_no, 'i + 1', 'v')})")
-    masked = T.masked("_left", rule, regex)
+    # A last line stays only where its tail could not move to the first one.
+    lines = lines.filter(f"_end IS NULL OR (_end = {line_no} AND _end_tail IS NULL)").withColumn(
+        "_left", F.expr(T.when("_end IS NOT NULL", T.substitute(line, f"^.*?{end}", ""), line)))
+    inline = f"transform({T.match_values('_left', rule, regex)}, (v, i) -> {_hit(rule, line_no, 'i + 1', 'v')})"
     opened = T.when("_opens_at IS NOT NULL",
                     f"array({_hit(rule, line_no, T.match_count('_left', regex) + ' + 1', line)})",
                     f"cast(array() AS {HITS})")
-    marked = T.when("_opens_at IS NOT NULL",
-                    T.substitute(masked, tail, T.quote_replacement(rule.replacement)), masked)
-    touched = f"(_e IS NOT NULL OR _opens_at IS NOT NULL OR contains(_left, '-----BEGIN '))"
-    return lines.filter("_e IS NULL OR _opens_at IS NOT NULL OR _left != ''").withColumns({
+    masked = T.masked("_left", rule, regex)
+    closed = T.substitute(masked, rf"{begin}.*$", T.quote_replacement(rule.replacement))
+    marked = T.when("_opens_at IS NOT NULL", f"concat({closed}, coalesce(_tail, ''))", masked)
+    touched = "(_end IS NOT NULL OR _opens_at IS NOT NULL OR contains(_left, '-----BEGIN '))"
+    return lines.withColumns({
         "hits": F.expr(T.when(touched, f"concat(hits, {inline}, {opened})", "hits")),
         line: F.expr(T.when(touched, marked, line))}).select(*df.columns)
 

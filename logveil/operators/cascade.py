@@ -28,6 +28,20 @@ def _hits(values: str, rule: Rule, place: str) -> str:
             f"'category', {T.literal(rule.category)}, 'pos', i + 1, 'original', v))")
 
 
+def barrier(df: DataFrame, **columns: str) -> DataFrame:
+    """Add or replace columns that later filters must read rather than repeat.
+
+    The optimizer moves a filter below the projections that compute what it reads
+    by copying their expressions into it, which for the cascade multiplies work
+    beyond measure.  It does not look through a generator, so the columns are
+    made by one that gives exactly one row.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = ", ".join(f"{T.literal(n)}, {e}" for n, e in columns.items())
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.expr(f"inline(array(named_struct({made})))")) \
+        .select(*[f"`{c}`" for c in dict.fromkeys([*df.columns, *columns])])
+
+
 def start(df: DataFrame, text: str, catalogue: Catalogue) -> DataFrame:
     """Run the whole-text rules and set the lines apart that line rules may change."""
     df = df.withColumns({"_text": F.expr(T.protect(text)), "_low": F.expr(f"lower({text})"), "_hits": F.expr(_NO_HITS)})
@@ -46,11 +60,10 @@ def start(df: DataFrame, text: str, catalogue: Catalogue) -> DataFrame:
     lines = f"transform(filter(_pieces, piece -> contains(piece, {cut})), piece -> replace(piece, {cut}, ''))"
     rest = f"array_join(transform(_pieces, piece -> IF(contains(piece, {cut}), {cut}, piece)), '\\n')"
     places = f"filter(transform(_pieces, (piece, i) -> IF(contains(piece, {cut}), i + 1, NULL)), n -> n IS NOT NULL)"
-    return df.withColumns({
-        "_rest": F.expr(T.when("_pieces IS NOT NULL", T.pieces(rest, T.CUT), "array(_text)")),
-        "_line_nos": F.expr(places),
-        "_text": F.expr(T.when("_pieces IS NOT NULL", f"array_join({lines}, '\\n')", "IF(_text IS NULL, NULL, '')")),
-    }).withColumn("_mask", F.expr(_masks(catalogue))).drop("_low", "_marked", "_pieces")
+    df = barrier(
+        df, _rest=T.when("_pieces IS NOT NULL", T.pieces(rest, T.CUT), "array(_text)"), _line_nos=places,
+        _text=T.when("_pieces IS NOT NULL", f"array_join({lines}, '\\n')", "IF(_text IS NULL, NULL, '')"))
+    return df.withColumn("_mask", F.expr(_masks(catalogue))).drop("_low", "_marked", "_pieces")
 
 
 def start_lines(df: DataFrame, line: str, line_no: str, catalogue: Catalogue) -> DataFrame:
@@ -100,7 +113,7 @@ def finish(df: DataFrame, text_name: str) -> DataFrame:
              f"'original', {T.unprotect('h.original')}))")
     whole = (f"array_join(zip_with(_rest, {T.pieces('_text')}, "
              "(around, line) -> concat(around, coalesce(line, ''))), '')")
-    df = df.withColumns({"_text": F.expr(T.when("_text IS NULL", "NULL", whole)), "hits": F.expr(plain)})
+    df = barrier(df, _text=T.when("_text IS NULL", "cast(NULL AS string)", whole), hits=plain)
     return df.withColumn(text_name, F.expr(T.unprotect("_text"))).drop(*WORKING)
 
 

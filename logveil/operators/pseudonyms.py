@@ -65,7 +65,7 @@ def number_within_row(df: DataFrame, rules: list[Rule]) -> DataFrame:
         f"transform(filter(keys, k -> startswith(k, {T.literal(c + '=')})), (k, i) -> "
         f"named_struct('key', k, 'number', {T.number_text(T.literal(c), '(i + 1)', [c])}))" for c in categories)
     numbers = T.let("keys", cascade.symbolic_keys("_hits", rules), _hashed(f"concat({entries})"))
-    return _settle(df.withColumn("_numbers", F.expr(T.when(T.has_symbols("_text"), numbers))))
+    return _settle(cascade.barrier(df, _numbers=T.when(T.has_symbols("_text"), numbers)))
 
 
 # --- dense numbers across rows -----------------------------------------------
@@ -85,7 +85,7 @@ def dense_numbers(values: DataFrame, groups: list[str], bucket: str, order: list
 
 
 def build_dictionary(keys: DataFrame, scope: str, categories: list[str], known: DataFrame | None = None) -> DataFrame:
-    """Number the distinct values of ``keys(_scope, body, line_no, first)``.
+    """Number the distinct values of ``keys(_scope, body, _line, _first)``.
 
     In document scope numbers follow first appearance.  In corpus scope, where
     documents have no order, they follow the digest of the value, which neither
@@ -93,13 +93,13 @@ def build_dictionary(keys: DataFrame, scope: str, categories: list[str], known:
     new ones are numbered after them.
     """
     values = keys.groupBy("_scope", "body").agg(
-        F.min(F.struct("line_no", "first")).alias("_seen"), F.count("*").alias("n"))
+        F.min(F.struct("_line", "_first")).alias("_seen"), F.count("*").alias("n"))
     values = values.withColumn("category", F.expr("substring_index(body, '=', 1)")) \
         .withColumn("original", F.expr("decode(unhex(substring_index(body, '=', -1)), 'UTF-8')"))
     if known is not None:
         values = values.join(known.select("_scope", "body"), ["_scope", "body"], "left_anti")
     if scope == DOC:
-        values = values.withColumn("_bucket", F.floor(F.col("_seen.line_no") / LINES_PER_BUCKET))
+        values = values.withColumn("_bucket", F.floor(F.col("_seen._line") / LINES_PER_BUCKET))
         order = ["_seen"]
     else:
         values = values.withColumn("_digest", F.md5("original")) \
@@ -148,8 +148,8 @@ def number_across_rows(df: DataFrame, rules: list[Rule], unit: list[str], scope:
     categories = unique_categories(rules)
     hot = df.filter(F.expr(T.has_symbols("_text")))
     keys = hot.select(
-        "_scope", *unit, F.expr(f"cast({line_no} AS bigint)").alias("line_no"),
-        F.posexplode(F.expr(cascade.symbolic_keys("_hits", rules))).alias("first", "body"))
+        "_scope", *unit, F.expr(f"cast({line_no} AS bigint)").alias("_line"),
+        F.posexplode(F.expr(cascade.symbolic_keys("_hits", rules))).alias("_first", "body"))
     fresh = build_dictionary(keys, scope, categories, known)
     dictionary = staged(fresh, "dictionary")
     entries = dictionary
@@ -158,7 +158,7 @@ def number_across_rows(df: DataFrame, rules: list[Rule], unit: list[str], scope:
         used = known.drop("n").join(recent, ["_scope", "body"])
         entries = staged(dictionary.unionByName(used.select(dictionary.columns)), "entries")
     # The dictionary of a key inside a key: the row that holds both also holds both keys.
-    numbers = _look_up(keys.drop("line_no", "first"), entries, unit) \
+    numbers = _look_up(keys.drop("_line", "_first"), entries, unit) \
         .withColumn("_numbers", F.expr(_hashed("_entries"))).drop("_entries")
     settled = _settle(hot.join(numbers, unit))
     cold = df.filter(~F.expr(T.has_symbols("_text")))

@@ -98,7 +98,7 @@ def redact_lines(df: DataFrame, doc_col: str, line_no_col: str, line_col: str, s
 
 def findings(rows: DataFrame, *id_cols: str) -> DataFrame:
     """One row per match: ``(*id_cols, line_no, rule, category, pos, original)``."""
-    return rows.select(*id_cols, F.explode("hits").alias("hit")).select(*id_cols, "hit.*")
+    return rows.select(*id_cols, F.inline("hits"))
 
 
 def counts_map(hits: str = "hits") -> str:
