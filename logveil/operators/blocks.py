@@ -3,7 +3,7 @@
 A document held in one row gets these rules as regular expressions over its
 text.  A log too large for that is read as lines, and a block (a PEM body, an SQL
 statement with its continuation lines) becomes an island of rows.  Islands are
-found with running maxima over buckets of lines, so that no task ever holds a
+found by looking back over buckets of lines, so that no task ever holds a
 whole log.
 
 Two things differ from the regular expressions on purpose: white space inside an
@@ -36,33 +36,25 @@ PEM_MARKERS = {
 # --- End of fixed values -------------------------------------------------------
 
 
-def running_max(df: DataFrame, groups: list[str], bucket: str, order: list[str],
-                inclusive: dict[str, Column] | None = None,
-                exclusive: dict[str, Column] | None = None) -> DataFrame:
-    """Add running maxima per group, up to the current row or up to the one before.
+def latest(df: DataFrame, groups: list[str], bucket: str, order: list[str],
+           upto: dict[str, Column] | None = None, before: dict[str, Column] | None = None) -> DataFrame:
+    """Add, per group, the latest value seen up to the current row, or before it.
 
-    Each bucket is scanned by itself and lifted by the maximum of the buckets
-    before it, which are few.
+    Values must rise with the order, so the latest is the greatest.  Each bucket
+    is scanned by itself; rows that find nothing in their own bucket take the
+    latest of the buckets before it, which are few.
     """
-    inclusive, exclusive = inclusive or {}, exclusive or {}
-    values = {**inclusive, **exclusive}
+    upto, before = upto or {}, before or {}
+    values = {**upto, **before}
     earlier = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    lifts = df.groupBy(*groups, bucket).agg(*[F.max(v).alias(f"_max_{n}") for n, v in values.items()]) \
-        .select(*groups, bucket, *[F.max(f"_max_{n}").over(earlier).alias(f"_lift_{n}") for n in values])
+    carried = df.groupBy(*groups, bucket).agg(*[F.max(v).alias(f"_max_{n}") for n, v in values.items()]) \
+        .select(*groups, bucket, *[F.max(f"_max_{n}").over(earlier).alias(f"_carried_{n}") for n in values])
     within = Window.partitionBy(*groups, bucket).orderBy(*order)
-    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = within.rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumns({
-        **{n: F.max(v).over(upto) for n, v in inclusive.items()},
-        **{n: F.max(v).over(before) for n, v in exclusive.items()}})
-    return local.join(lifts, [*groups, bucket]).withColumns(
-        {n: F.coalesce(F.greatest(n, f"_lift_{n}") if _is_atomic(df, v) else F.col(n), F.col(f"_lift_{n}"))
-         for n, v in values.items()}).drop(*[f"_lift_{n}" for n in values])
-
-
-def _is_atomic(df: DataFrame, value: Column) -> bool:
-    """Structs are only used with a rising order, where the local maximum always wins."""
-    return df.select(value.alias("v")).schema["v"].dataType.typeName() != "struct"
+        **{n: F.max(v).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for n, v in upto.items()},
+        **{n: F.max(v).over(within.rowsBetween(Window.unboundedPreceding, -1)) for n, v in before.items()}})
+    return local.join(carried, [*groups, bucket]).withColumns(
+        {n: F.coalesce(n, f"_carried_{n}") for n in values}).drop(*[f"_carried_{n}" for n in values])
 
 
 def _with_bucket(df: DataFrame, line_no: str) -> DataFrame:
@@ -86,12 +78,12 @@ def collapse_sql(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -
     lines = _with_bucket(df.filter("_start OR _cont"), line_no)
     gated = df.filter(F.expr(T.gate(f"lower({line})", rule))).select(F.col(doc).alias("_gated")).distinct()
 
-    lines = running_max(lines, [doc], "_bucket", [line_no], exclusive={"_previous": F.col(line_no)})
+    lines = latest(lines, [doc], "_bucket", [line_no], before={"_previous": F.col(line_no)})
     broken = F.expr(f"NOT _cont OR _previous IS NULL OR _previous != {line_no} - 1")
     first = F.when(broken, F.col(line_no))
     begun = F.when(F.col("_start"), F.col(line_no))
-    lines = running_max(lines, [doc], "_bucket", [line_no],
-                        inclusive={"_segment": first, "_begun": begun}, exclusive={"_begun_before": begun})
+    lines = latest(lines, [doc], "_bucket", [line_no],
+                        upto={"_segment": first, "_begun": begun}, before={"_begun_before": begun})
     # The gate is a fact of the document; it is looked up once per bucket, so that a
     # huge document does not meet its single gate row in one task.
     passed = lines.select(doc, "_bucket").distinct() \
@@ -106,23 +98,23 @@ def collapse_sql(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -
     return staged(kept.select(*apart.columns), "statements").unionByName(apart)
 
 
-def pem_blocks(df: DataFrame, doc: str, line_no: str, line: str, begin: str, end: str) -> DataFrame:
-    """``(doc, begin_line, end_line, tail)`` of the blocks that cross a line end.
+def pem_blocks(marked: DataFrame, doc: str, line_no: str, line: str, begin: str, end: str) -> DataFrame:
+    """``(doc, begin_line, end_line, tail)`` of the blocks that cross a line end, from the lines with markers.
 
     ``tail`` is what follows the end marker on its line and belongs on the line of
     the begin marker; it is missing where it begins a further block.
     """
     marker = f"{begin}|{end}"
-    events = df.filter(F.expr(T.matches(line, marker))).select(
+    events = marked.select(
         doc, line_no, F.expr(T.substitute(line, f"^.*?{end}", "")).alias("_tail"),
         F.posexplode(F.expr(f"regexp_extract_all({line}, {T.literal(marker)}, 0)")).alias("_pos", "_mark"))
     events = _with_bucket(events, line_no).withColumn("_is_begin", F.col("_mark").startswith("-----BEGIN"))
     event = F.struct(line_no, "_pos", "_is_begin")
     order = [line_no, "_pos"]
     # A begin marker opens a block unless one is open; an end marker closes an open one.
-    turns = running_max(events, [doc], "_bucket", order, exclusive={"_before": event}) \
+    turns = latest(events, [doc], "_bucket", order, before={"_before": event}) \
         .filter(F.expr("IF(_is_begin, _before IS NULL OR NOT _before._is_begin, _before._is_begin)"))
-    pairs = running_max(turns, [doc], "_bucket", order, exclusive={"_opened": F.struct(line_no, "_pos", "_is_begin")})
+    pairs = latest(turns, [doc], "_bucket", order, before={"_opened": F.struct(line_no, "_pos", "_is_begin")})
     return pairs.filter("NOT _is_begin").select(
         doc, F.col(f"_opened.{line_no}").alias("begin_line"), F.col(line_no).alias("end_line"),
         F.expr("IF(contains(_tail, '-----BEGIN '), NULL, _tail)").alias("tail")) \
@@ -133,7 +125,10 @@ def collapse_pem(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -
     """Replace each PEM block by its marker.  ``df`` carries ``hits``."""
     begin, end = PEM_MARKERS[rule.category]
     regex = rule.regex()
-    blocks = staged(pem_blocks(df, doc, line_no, line, begin, end), "blocks")
+    marked = df.filter(F.expr(T.matches(line, f"{begin}|{end}")))
+    if marked.isEmpty():
+        return df
+    blocks = staged(pem_blocks(marked, doc, line_no, line, begin, end), "blocks")
     spread = blocks.withColumn("_bucket", F.explode(F.expr(
         f"sequence(floor(begin_line / {LINES_PER_BUCKET}), floor(end_line / {LINES_PER_BUCKET}))")))
     size = spread.limit(BROADCAST_ROWS + 1).count()

@@ -256,7 +256,7 @@ def statements() -> dict[str, str]:
     # streams
     sql["stream_redact"] = _from_cascade(
         "SELECT category, count(*) AS originals, count(DISTINCT id) AS ids, max(id) AS last FROM entries GROUP BY category",
-        scope="corpus")
+        catalogue=LINE_RULES, scope="corpus")
     sql["stream_mask"] = _masked_lines()
     sql["stream_counts"] = _from_cascade("SELECT category, cast(sum(n) AS bigint) AS n FROM hits GROUP BY category", LINES_AS_DOCS)
     sql["stream_quarantine"] = (
