@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from logveil.functions.rules import UNIQUE, Catalogue, Rule, pseudonym_format
 
-# Unicode noncharacters, which valid text never exchanges.  OPEN and CLOSE frame
-# a symbolic pseudonym, CUT marks a place, ESCAPE protects raw occurrences.
-OPEN, CLOSE, ESCAPE, CUT = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
-_SAFE = {ESCAPE: "\ufdd4", OPEN: "\ufdd5", CLOSE: "\ufdd6", CUT: "\ufdd7"}
-
-WORKING_CHARACTERS = tuple(_SAFE)
+# Control characters that logs do not hold.  OPEN and CLOSE frame a symbolic
+# pseudonym, CUT marks a place, ESCAPE protects raw occurrences.  They are in
+# ASCII, so that text which was in one byte per character stays so.
+OPEN, CLOSE, ESCAPE, CUT = "\x01", "\x02", "\x03", "\x04"
+_WORKING = OPEN + CLOSE + ESCAPE + CUT
+# Unicode noncharacters that stand for raw working characters, one for one.
+_STAND_INS = "\ufdd0\ufdd1\ufdd2\ufdd3"
+# What follows ESCAPE for each of them, in texts that hold noncharacters as well.
+_SAFE = dict(zip(ESCAPE + OPEN + CLOSE + CUT + _STAND_INS, "\x05\x06\x07\x08\x0e\x0f\x10\x11"))
+WORKING_CHARACTERS = tuple(_WORKING + _STAND_INS)
 
 # The number of a symbolic pseudonym.  The two zeros keep word boundaries as they
 # are beside a real number.
@@ -188,21 +192,29 @@ def pseudonym(category: str, number: str, categories) -> str:
     return f"CASE {category} {' '.join(branches)} END"
 
 
-# --- raw noncharacters ------------------------------------------------------
+# --- raw working characters ---------------------------------------------------
 
 def protect(text: str) -> str:
-    """Rewrite raw occurrences of the four working characters, so that they cannot be mistaken."""
-    safe = text
+    """Rewrite raw occurrences of the working characters, so that they cannot be mistaken.
+
+    They become noncharacters, which keeps the length of what a rule measures.
+    Only where a text holds those too, which valid text never does, all are escaped.
+    """
+    escaped = text
     for raw, stand_in in _SAFE.items():
-        safe = f"replace({safe}, {literal(raw)}, {literal(ESCAPE + stand_in)})"
-    return when(any_contains(text, _SAFE), safe, text)
+        escaped = f"replace({escaped}, {literal(raw)}, {literal(ESCAPE + stand_in)})"
+    swapped = f"translate({text}, {literal(_WORKING)}, {literal(_STAND_INS)})"
+    return (f"CASE WHEN {any_contains(text, _STAND_INS)} THEN {escaped} "
+            f"WHEN {any_contains(text, _WORKING)} THEN {swapped} ELSE {text} END")
 
 
 def unprotect(text: str) -> str:
     plain = text
     for raw, stand_in in reversed(_SAFE.items()):
         plain = f"replace({plain}, {literal(ESCAPE + stand_in)}, {literal(raw)})"
-    return when(f"contains({text}, {literal(ESCAPE)})", plain, text)
+    swapped = f"translate({text}, {literal(_STAND_INS)}, {literal(_WORKING)})"
+    return (f"CASE WHEN contains({text}, {literal(ESCAPE)}) THEN {plain} "
+            f"WHEN {any_contains(text, _STAND_INS)} THEN {swapped} ELSE {text} END")
 
 
 # --- candidate lines --------------------------------------------------------

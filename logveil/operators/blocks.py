@@ -66,8 +66,8 @@ def _hit(rule: Rule, line_no: str, pos: str, original: str) -> str:
             f"'category', {T.literal(rule.category)}, 'pos', {pos}, 'original', {original})")
 
 
-def collapse_sql(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -> DataFrame:
-    """Replace each SQL statement by one marker line.  ``df`` carries ``hits``.
+def collapse_sql(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule, gated: DataFrame) -> DataFrame:
+    """Replace each SQL statement by one marker line, in the documents ``gated``.  ``df`` carries ``hits``.
 
     Only lines that can start or continue a statement are moved.
     """
@@ -76,7 +76,6 @@ def collapse_sql(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -
         .withColumn("_cont", F.expr(f"coalesce({continues}, false)"))
     apart = df.filter("NOT _start AND NOT _cont").drop("_start", "_cont")
     lines = _with_bucket(df.filter("_start OR _cont"), line_no)
-    gated = df.filter(F.expr(T.gate(f"lower({line})", rule))).select(F.col(doc).alias("_gated")).distinct()
 
     lines = latest(lines, [doc], "_bucket", [line_no], before={"_previous": F.col(line_no)})
     broken = F.expr(f"NOT _cont OR _previous IS NULL OR _previous != {line_no} - 1")
@@ -165,12 +164,15 @@ def collapse_pem(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -
 
 def collapse_blocks(df: DataFrame, doc: str, line_no: str, line: str, catalogue: Catalogue) -> DataFrame:
     """Apply the whole-text rules to a table of lines; adds the column ``hits``."""
+    raw = df
     df = df.withColumn("hits", F.expr(f"cast(array() AS {HITS})"))
     for rule in catalogue.text_rules:
         if rule.category in PEM_MARKERS:
             df = collapse_pem(df, doc, line_no, line, rule)
         elif rule.category == "sql_query":
-            df = collapse_sql(df, doc, line_no, line, rule)
+            # The gate reads the document as it came, blocks of other rules included.
+            gated = raw.filter(F.expr(T.gate(f"lower({line})", rule))).select(F.col(doc).alias("_gated")).distinct()
+            df = collapse_sql(df, doc, line_no, line, rule, gated)
         else:
             raise ValueError(f"rule {rule.rule_id} spans lines; apply it to whole documents")
     return df
