@@ -142,14 +142,15 @@ def number_across_rows(df: DataFrame, rules: list[Rule], unit: list[str], scope:
                        known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Settle the symbols of a stage over many rows; returns the rows and the dictionary.
 
-    ``unit`` names the columns that identify a row, ``_scope`` is its scope, and
-    ``df`` must be cheap to read again (a staged table).
+    ``unit`` names the columns that identify a row and ``_scope`` is its scope.  The
+    rows are staged, as they are read several times: for their keys alone, without
+    the text, and then once as a whole.
     """
     categories = unique_categories(rules)
-    hot = df.filter(F.expr(T.has_symbols("_text")))
-    keys = hot.select(
-        "_scope", *unit, F.expr(f"cast({line_no} AS bigint)").alias("_line"),
-        F.posexplode(F.expr(cascade.symbolic_keys("_hits", rules))).alias("_first", "body"))
+    df = staged(df.withColumn("_keys", F.expr(cascade.symbolic_keys("_hits", rules))), "stage")
+    hot, cold = df.filter("size(_keys) > 0").drop("_keys"), df.filter("size(_keys) = 0").drop("_keys")
+    keys = df.select("_scope", *unit, F.expr(f"cast({line_no} AS bigint)").alias("_line"),
+                     F.posexplode("_keys").alias("_first", "body"))
     fresh = build_dictionary(keys, scope, categories, known)
     dictionary = staged(fresh, "dictionary")
     entries = dictionary
@@ -161,7 +162,6 @@ def number_across_rows(df: DataFrame, rules: list[Rule], unit: list[str], scope:
     numbers = _look_up(keys.drop("_line", "_first"), entries, unit) \
         .withColumn("_numbers", F.expr(_hashed("_entries"))).drop("_entries")
     settled = _settle(hot.join(numbers, unit))
-    cold = df.filter(~F.expr(T.has_symbols("_text")))
     return settled.unionByName(cold), dictionary
 
 

@@ -13,7 +13,6 @@ from logveil.functions.rules import Catalogue
 from logveil.operators import cascade
 from logveil.operators.blocks import collapse_blocks
 from logveil.operators.pseudonyms import CORPUS, DOC, number_across_rows, number_within_row, readable
-from logveil.sources.staging import staged
 
 
 def redact_documents(df: DataFrame, text_col: str, catalogue: Catalogue | None = None) -> DataFrame:
@@ -48,7 +47,7 @@ def _across(df: DataFrame, rules_by_stage, catalogue, unit, scope, line_no, know
     for rules in rules_by_stage:
         df = cascade.run_stage(df, rules, catalogue)
         if any(r.is_unique for r in rules):
-            df, found = number_across_rows(staged(df, "stage"), rules, unit, scope, line_no, known)
+            df, found = number_across_rows(df, rules, unit, scope, line_no, known)
             dictionaries.append(found)
     if not dictionaries:
         return df, None

@@ -9,6 +9,7 @@ from logveil.plans import oracle as O
 from logveil.plans import views
 from logveil.plans.queries import CATALOGUE, CUSTOM
 from logveil.sources import synth
+from logveil.sources.files import LINES_PER_PART
 
 LINE_RULES = CATALOGUE.select(rule_ids=[r.rule_id for r in CATALOGUE.line_rules])
 LINES_AS_DOCS = f"SELECT doc_id * 1000 + line_no AS doc_id, line AS text FROM ({O.LOG_LINES}) AS log_lines"
@@ -172,7 +173,9 @@ def statements() -> dict[str, str]:
     sql["binary_sniff"] = _sniffed()
     sql["decode_text"] = _decoded()
     sql["line_split"] = _split()
-    sql["line_reassemble"] = f"SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM ({_split()}) AS s GROUP BY doc_id"
+    sql["line_reassemble"] = (
+        f"SELECT doc_id, cast(floor((line_no - 1) / {LINES_PER_PART}) AS bigint) AS part, "
+        f"string_agg(line, chr(10) ORDER BY line_no) AS text FROM ({_split()}) AS s GROUP BY 1, 2")
     sql["sanitize_path"] = (
         "SELECT doc_id, array_to_string(list_transform(string_split(path, '/'), lambda p: CASE WHEN "
         f"upper(regexp_replace(p, '(.)\\.[^.]+$', '\\1')) IN ({_names(P.RESERVED_NAMES)}) THEN '_' || p ELSE p END), '/') "

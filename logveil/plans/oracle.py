@@ -10,7 +10,7 @@ from __future__ import annotations
 from logveil.functions.rules import UNIQUE, Catalogue, Rule, pseudonym_format
 from logveil.sources import synth
 
-OPEN, CLOSE, CUT = "\ufdd0", "\ufdd1", "\ufdd3"
+OPEN, CLOSE, CUT = "\x01", "\x02", "\x04"
 SYMBOL = f"0{OPEN}([^{CLOSE}]*){CLOSE}0"
 
 LOG_LINES = (

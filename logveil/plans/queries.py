@@ -213,7 +213,7 @@ def pseudonym_format(spark, sf_dir):
 def sql_block_islands(spark, sf_dir):
     lines = views.log_lines(spark, sf_dir)
     done = collapse_blocks(lines, "doc_id", "line_no", "line", CATALOGUE)
-    return sources.join_lines(done, "doc_id", "line_no", "line")
+    return sources.join_lines(done, "doc_id", "line_no", "line").drop("part")
 
 
 # --- counts and reports ------------------------------------------------------------------

@@ -22,7 +22,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_lines(log_lines(spark, sf_dir), "doc_id", "line_no", "line")
+    return join_lines(log_lines(spark, sf_dir), "doc_id", "line_no", "line").drop("part")
 
 
 EXTENSIONS = (".log", ".TXT", ".json", ".bin", ".xml", ".yaml", ".png", ".properties", ".Html", "", ".conf", ".gz")

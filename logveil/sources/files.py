@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from logveil.functions import files as P
 from logveil.functions import text as T
+from logveil.sources.staging import staged
+
+LINES_PER_PART = 65536
+BROADCAST_SPLITS = 200_000
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -50,19 +54,24 @@ def untouched_files(files: DataFrame) -> DataFrame:
 def scan_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """``(path, line_no, line)`` of logs of any size, with exact line numbers.
 
-    A file is read in splits; each numbers its own lines and starts where the
-    splits before it end, so no file passes through one task.
+    A file is read in splits.  A first pass counts the lines of each, without
+    keeping them; the second adds what precedes a split to the place within it.
+    No file passes through one task, and no line is moved to be numbered.
     """
+    # Both passes must cut the files alike, however many executors there are by then.
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root).select(
         _relative(F.col("_metadata.file_path"), root).alias("path"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
     earlier = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = lines.groupBy("path", "_split").count().select(
-        "path", "_split", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("path", "_split").orderBy("_at")
+    starts = staged(lines.groupBy("path", "_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_from")).select(
+        "path", "_split", "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), "splits")
+    if starts.count() <= BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
     return lines.join(starts, ["path", "_split"]).select(
-        "path", (F.col("_before") + F.row_number().over(within)).alias("line_no"), "line")
+        "path", (F.col("_before") + F.col("_at") - F.col("_from") + 1).alias("line_no"), "line")
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,8 +81,13 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def join_lines(lines: DataFrame, id_col: str, line_no_col: str, line_col: str, text_name: str = "text") -> DataFrame:
-    """Documents back from their lines; meant for documents that fit a row."""
-    return lines.groupBy(id_col).agg(F.expr(
+    """``(id, part, text)``: documents back from their lines.
+
+    A document of up to LINES_PER_PART lines is one part; a larger one, which might
+    not fit a row, stays in several, in order.
+    """
+    part = F.floor((F.col(line_no_col) - 1) / LINES_PER_PART).alias("part")
+    return lines.groupBy(id_col, part).agg(F.expr(
         f"array_join(transform(array_sort(collect_list(struct({line_no_col}, {line_col}))), x -> x.{line_col}), '\\n')")
         .alias(text_name))
 
@@ -90,5 +104,5 @@ def write_lines(lines: DataFrame, target: str, path_col: str = "path", line_no_c
     Ranges of lines, not whole files, make up a task, so one huge file is spread.
     """
     lines.withColumn("file", F.expr(P.sanitized_path(path_col))) \
-        .repartitionByRange(path_col, line_no_col).sortWithinPartitions(path_col, line_no_col) \
+        .repartitionByRange("file", path_col, line_no_col).sortWithinPartitions("file", path_col, line_no_col) \
         .select("file", F.col(line_col).alias("value")).write.mode("overwrite").partitionBy("file").text(target)

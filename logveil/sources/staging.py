@@ -23,6 +23,9 @@ def staging_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+_written: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table and read it back.
 
@@ -31,4 +34,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{staging_dir(df.sparkSession)}/logveil-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables staged so far; call it when their results have been written."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
