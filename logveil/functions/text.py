@@ -85,9 +85,26 @@ def applicable_rules(line: str, catalogue: Catalogue) -> str:
     return let("low", f"lower({line})", f"array_compact(array({passing}))")
 
 
-def gate_mask(lowered: str, rules: list[Rule]) -> str:
-    """The gates of ``rules`` as bits, bit ``i`` for the i-th rule."""
-    return " | ".join(f"IF({gate(lowered, r)}, {1 << i}L, 0L)" for i, r in enumerate(rules)) or "0L"
+def gate_mask(lowered: str, rules: list[Rule], marked: str | None = None) -> str:
+    """The gates of ``rules`` as bits, bit ``i`` for the i-th rule.
+
+    With ``marked``, the line with its candidate places marked, gates of rules
+    that cannot match on it are not tried: a rule has an anchor character, and
+    what earlier rules put in never makes a match at an anchor that was not there.
+    """
+    bit = lambda i, r: f"IF({gate(lowered, r)}, {1 << i}L, 0L)"
+    if marked is None:
+        return " | ".join(bit(i, r) for i, r in enumerate(rules)) or "0L"
+    groups: dict[str, list[str]] = {}
+    for i, r in enumerate(rules):
+        groups.setdefault(_ANCHORS.get(r.rule_id, ""), []).append(bit(i, r))
+    tried = []
+    for anchors, bits in groups.items():
+        if anchors:
+            tried.append(f"IF({any_contains(marked, [CUT + a for a in anchors])}, {' | '.join(bits)}, 0L)")
+        else:
+            tried.extend(bits)
+    return " | ".join(tried) or "0L"
 
 
 # --- matches of one rule ----------------------------------------------------
@@ -144,9 +161,11 @@ def symbol_body(category: str, value: str) -> str:
     return f"concat({category}, '=', hex({value}))"
 
 
-def symbolic(text: str, rule: Rule, regex: str) -> str:
+def symbolic(text: str, rule: Rule, regex: str, values: str) -> str:
     """The text with every match replaced by a pseudonym whose number is still a symbol.
 
+    ``values`` are the match values of the text.
+
     All but the number is final, so the rules that follow see what they would
     see with real numbers, without any lookup having happened yet.
     """
@@ -155,7 +174,7 @@ def symbolic(text: str, rule: Rule, regex: str) -> str:
     body = symbol_body(literal(rule.category), "v")
     stand_in = f"concat({literal(head + before + '0' + OPEN)}, {body}, {literal(CLOSE + '0' + after + tail)})"
     return replace_each(text, regex, _prefix_reference(rule),
-                        f"transform({match_values(text, rule, regex)}, v -> {stand_in})")
+                        f"transform({values}, v -> {stand_in})")
 
 
 def symbols(text: str) -> str:
@@ -224,6 +243,11 @@ _WORD_ENDINGS = "ion|dbc|ord|swd|pwd|ret|key|ken|rer|ver|rce| id|uid|ser|ame|gin
 _LAST_LETTERS = "nNcCdDtTyYrReEkKwWbB"
 
 
+# The characters before which a line must be marked for a rule to match on it.
+_ANCHORS = {3: "=:", 4: "=:", 5: "\\", 6: "-:", 7: "-:", 8: "@", 9: ".", 10: ".", 11: "=:", 12: "=:", 13: "=:", 14: "=:",
+            15: "/", 16: "/", 17: "/", 18: "/", 19: "/", 20: "/", 21: "/", 22: "=:"}
+
+
 def candidate_regex(catalogue: Catalogue) -> str:
     """A pattern found in every line on which some line rule has a match.
 
@@ -232,11 +256,12 @@ def candidate_regex(catalogue: Catalogue) -> str:
     need the cascade from those that do not.  Each alternative is implied by one
     or more rules.  Rules added to the catalogue take part with their keywords.
     """
-    pair = "[0-9A-Fa-f]{2}"
+    pair = "[0-9A-Fa-f][0-9A-Fa-f]"
+    address = f"{pair}[:-]{pair}[:-]{pair}"
     word = (rf"(?<=[\s\"{_LAST_LETTERS}\u017f\u212a][=:])(?:(?<=\s[=:])"
             rf"|(?<=(?iu:{_WORD_ENDINGS})\"?[=:])|(?<=(?iu:vw|wb)\"?[=:]))")
     scan = (
-        rf"[@\\=:./-](?:{word}|(?<=[:-]){pair}(?:[:-]{pair}){{4}}|(?<=-)\d\d-\d{{4}}"
+        rf"[@\\=:./-](?:(?={address}[:-])(?<=[:-]){address}[:-]{pair}[:-]{pair}|{word}|(?<=-)\d\d-\d\d\d\d"
         rf"|(?<=\.)(?:\d{{1,3}}\.\d{{1,3}}\.\d|(?iu:local|internal|corp|lan|intranet|private)\b)"
         rf"|(?<=/)(?:t|vizql/w|views|authoring)/|(?<=\\)\\|(?<=@))")
     added = sorted({k for r in catalogue.added_rules for k in r.keywords})

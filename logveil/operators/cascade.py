@@ -57,25 +57,30 @@ def start(df: DataFrame, text: str, catalogue: Catalogue) -> DataFrame:
     cut = T.literal(T.CUT)
     df = df.withColumn("_marked", F.expr(T.substitute("_text", T.candidate_regex(catalogue), T.CUT + "$0")))
     df = df.withColumn("_pieces", F.expr(T.when(f"contains(_marked, {cut})", T.pieces("_marked"))))
-    lines = f"transform(filter(_pieces, piece -> contains(piece, {cut})), piece -> replace(piece, {cut}, ''))"
+    lines = f"filter(_pieces, piece -> contains(piece, {cut}))"
     rest = f"array_join(transform(_pieces, piece -> IF(contains(piece, {cut}), {cut}, piece)), '\\n')"
     places = f"filter(transform(_pieces, (piece, i) -> IF(contains(piece, {cut}), i + 1, NULL)), n -> n IS NOT NULL)"
-    df = barrier(
-        df, _rest=T.when("_pieces IS NOT NULL", T.pieces(rest, T.CUT), "array(_text)"), _line_nos=places,
-        _text=T.when("_pieces IS NOT NULL", f"array_join({lines}, '\\n')", "IF(_text IS NULL, NULL, '')"))
-    return df.withColumn("_mask", F.expr(_masks(catalogue))).drop("_low", "_marked", "_pieces")
+    df = barrier(df, _rest=T.when("_pieces IS NOT NULL", T.pieces(rest, T.CUT), "array(_text)"), _line_nos=places,
+                 _lines=T.when("_pieces IS NOT NULL", lines, "IF(_text IS NULL, NULL, cast(array() AS array<string>))"))
+    return _with_masks(df, catalogue).drop("_low", "_marked", "_pieces")
 
 
 def start_lines(df: DataFrame, line: str, line_no: str, catalogue: Catalogue) -> DataFrame:
     """The same for rows that are single lines, all of them candidates."""
-    return df.withColumns({
-        "_text": F.expr(T.protect(line)), "_hits": F.expr(_NO_HITS), "_rest": F.expr("array('')"),
-        "_line_nos": F.expr(f"array({line_no})"),
-    }).withColumn("_mask", F.expr(_masks(catalogue)))
+    marked = T.substitute(T.protect(line), T.candidate_regex(catalogue), T.CUT + "$0")
+    df = df.withColumns({
+        "_hits": F.expr(_NO_HITS), "_rest": F.expr("array('')"), "_line_nos": F.expr(f"array({line_no})"),
+        "_lines": F.expr(f"array({marked})")})
+    return _with_masks(df, catalogue)
 
 
-def _masks(catalogue: Catalogue) -> str:
-    return f"transform({T.pieces('lower(_text)')}, low -> {T.gate_mask('low', catalogue.line_rules)})"
+def _with_masks(df: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """``_text`` and ``_mask`` from the marked lines in ``_lines``."""
+    unmarked = f"replace(marked, {T.literal(T.CUT)}, '')"
+    mask = T.let("low", f"lower({unmarked})", T.gate_mask("low", catalogue.line_rules, "marked"))
+    return df.withColumns({
+        "_text": F.expr(f"replace(array_join(_lines, '\\n'), {T.literal(T.CUT)}, '')"),
+        "_mask": F.expr(f"transform(_lines, marked -> {mask})")}).drop("_lines")
 
 
 def _bits(rules: list[Rule], catalogue: Catalogue) -> int:
@@ -85,9 +90,9 @@ def _bits(rules: list[Rule], catalogue: Catalogue) -> int:
 def _apply(state: str, rule: Rule, catalogue: Catalogue) -> str:
     """One rule on one line; the state holds the line, its gates, its place and its hits."""
     regex = catalogue.regex(rule)
-    rewrite = T.symbolic if rule.is_unique else T.masked
-    found = _hits(T.match_values("s.t", rule, regex), rule, "s.n")
-    changed = f"named_struct('t', {rewrite('s.t', rule, regex)}, 'm', s.m, 'n', s.n, 'h', concat(s.h, {found}))"
+    rewritten = T.symbolic("s.t", rule, regex, "vals") if rule.is_unique else T.masked("s.t", rule, regex)
+    changed = T.let("vals", T.match_values("s.t", rule, regex),
+                    f"named_struct('t', {rewritten}, 'm', s.m, 'n', s.n, 'h', concat(s.h, {_hits('vals', rule, 's.n')}))")
     passed = f"(s.m & {_bits([rule], catalogue)}L) != 0 AND {T.matches('s.t', regex)}"
     return T.let("s", state, T.when(passed, changed, "s"))
 
