@@ -22,6 +22,7 @@ from logveil.sources.staging import staged
 
 LINES_PER_BUCKET = 65536
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 HITS = "array<struct<line_no:bigint,rule:int,category:string,pos:int,original:string>>"
 
 # --- Fixed values: what opens, continues and closes a block -------------------
@@ -130,22 +131,22 @@ def collapse_pem(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -
     blocks = staged(pem_blocks(marked, doc, line_no, line, begin, end), "blocks")
     spread = blocks.withColumn("_bucket", F.explode(F.expr(
         f"sequence(floor(begin_line / {LINES_PER_BUCKET}), floor(end_line / {LINES_PER_BUCKET}))")))
-    size = spread.limit(BROADCAST_ROWS + 1).count()
+    size, tails = spread.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("tail")), F.lit(0))).first()
     if size == 0:
         lines = df.withColumns({"_end": F.lit(None).cast("bigint"), "_opens_at": F.lit(None).cast("bigint"),
                                 "_tail": F.lit(None).cast("string"), "_end_tail": F.lit(None).cast("string")})
     else:
         # Blocks of one document do not overlap but at their ends, so a line lies in at
         # most one as an inner or last line and in at most one as a first line.
-        inner = spread.select(F.col(doc).alias("_doc"), F.col("_bucket").alias("_in"), F.col("begin_line").alias("_begin"),
+        inner = spread.select(F.col(doc).alias("_of"), F.col("_bucket").alias("_in"), F.col("begin_line").alias("_begin"),
                               F.col("end_line").alias("_end"), F.col("tail").alias("_end_tail"))
-        opening = blocks.select(F.col(doc).alias("_doc"), F.col("begin_line").alias("_opens_at"),
+        opening = blocks.select(F.col(doc).alias("_of"), F.col("begin_line").alias("_opens_at"),
                                 F.col("tail").alias("_tail"))
-        if size <= BROADCAST_ROWS:
+        if size <= BROADCAST_ROWS and tails <= BROADCAST_BYTES:
             inner, opening = F.broadcast(inner), F.broadcast(opening)
         lines = _with_bucket(df, line_no).join(inner, F.expr(
-            f"{doc} = _doc AND _bucket = _in AND {line_no} > _begin AND {line_no} <= _end"), "left").drop("_doc")
-        lines = lines.join(opening, F.expr(f"{doc} = _doc AND {line_no} = _opens_at"), "left").drop("_doc")
+            f"{doc} = _of AND _bucket = _in AND {line_no} > _begin AND {line_no} <= _end"), "left").drop("_of")
+        lines = lines.join(opening, F.expr(f"{doc} = _of AND {line_no} = _opens_at"), "left").drop("_of")
     # A last line stays only where its tail could not move to the first one.
     lines = lines.filter(f"_end IS NULL OR (_end = {line_no} AND _end_tail IS NULL)").withColumn(
         "_left", F.expr(T.when("_end IS NOT NULL", T.substitute(line, f"^.*?{end}", ""), line)))
@@ -164,8 +165,11 @@ def collapse_pem(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -
 
 def collapse_blocks(df: DataFrame, doc: str, line_no: str, line: str, catalogue: Catalogue) -> DataFrame:
     """Apply the whole-text rules to a table of lines; adds the column ``hits``."""
-    raw = df
-    df = df.withColumn("hits", F.expr(f"cast(array() AS {HITS})"))
+    # Keys that are never missing, so that no join loses a row.
+    df = df.withColumns({
+        "_doc": F.expr(f"coalesce(concat('=', cast({doc} AS string)), '')"),
+        "_no": F.expr(f"coalesce(cast({line_no} AS bigint), 0)"), "hits": F.expr(f"cast(array() AS {HITS})")})
+    raw, doc, line_no = df, "_doc", "_no"
     for rule in catalogue.text_rules:
         if rule.category in PEM_MARKERS:
             df = collapse_pem(df, doc, line_no, line, rule)
@@ -175,4 +179,4 @@ def collapse_blocks(df: DataFrame, doc: str, line_no: str, line: str, catalogue:
             df = collapse_sql(df, doc, line_no, line, rule, gated)
         else:
             raise ValueError(f"rule {rule.rule_id} spans lines; apply it to whole documents")
-    return df
+    return df.drop("_doc", "_no")

@@ -9,6 +9,8 @@ the skew.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from logveil.sources.staging import staged
 DOC, CORPUS = "doc", "corpus"
 LINES_PER_BUCKET = 65536
 HEAVY_SHARE = 1000
+HEAVY_COUNT = 10_000
+HEAVY_LENGTH = 65536
 
 
 def unique_categories(rules: list[Rule]) -> list[str]:
@@ -121,15 +125,16 @@ def _look_up(keys: DataFrame, dictionary: DataFrame, unit: list[str]) -> DataFra
     """Per unit, its keys with their numbers.
 
     A value that holds more than 1/HEAVY_SHARE of all keys would overload the
-    task its hash falls on.  There can be at most HEAVY_SHARE such values, so they
-    are broadcast; all others are joined by a shuffle.
+    task its hash falls on.  There can be at most HEAVY_SHARE such values, so those
+    of limited length are broadcast; all others are joined by a shuffle.
     """
     entry = dictionary.select("_scope", "body", "number", "n")
     total = dictionary.agg(F.sum("n")).first()[0] or 0
-    limit = max(total / HEAVY_SHARE, 10_000)
-    light = entry.filter(F.col("n") <= limit).drop("n")
+    limit = max(total / HEAVY_SHARE, HEAVY_COUNT)
+    is_heavy = (F.col("n") > limit) & (F.length("body") <= HEAVY_LENGTH)
+    light = entry.filter(~is_heavy).drop("n")
     if total > limit:
-        heavy = F.broadcast(entry.filter(F.col("n") > limit).drop("n"))
+        heavy = F.broadcast(entry.filter(is_heavy).drop("n"))
         found = keys.join(heavy, ["_scope", "body"]).unionByName(
             keys.join(heavy, ["_scope", "body"], "left_anti").join(light, ["_scope", "body"]))
     else:
@@ -149,7 +154,7 @@ def number_across_rows(df: DataFrame, rules: list[Rule], unit: list[str], scope:
     categories = unique_categories(rules)
     df = staged(df.withColumn("_keys", F.expr(cascade.symbolic_keys("_hits", rules))), "stage")
     hot, cold = df.filter("size(_keys) > 0").drop("_keys"), df.filter("size(_keys) = 0").drop("_keys")
-    keys = df.select("_scope", *unit, F.expr(f"cast({line_no} AS bigint)").alias("_line"),
+    keys = df.select("_scope", *unit, F.expr(f"coalesce(cast({line_no} AS bigint), 0)").alias("_line"),
                      F.posexplode("_keys").alias("_first", "body"))
     fresh = build_dictionary(keys, scope, categories, known)
     dictionary = staged(fresh, "dictionary")
@@ -160,8 +165,9 @@ def number_across_rows(df: DataFrame, rules: list[Rule], unit: list[str], scope:
         entries = staged(dictionary.unionByName(used.select(dictionary.columns)), "entries")
     # The dictionary of a key inside a key: the row that holds both also holds both keys.
     numbers = _look_up(keys.drop("_line", "_first"), entries, unit) \
-        .withColumn("_numbers", F.expr(_hashed("_entries"))).drop("_entries")
-    settled = _settle(hot.join(numbers, unit))
+        .select(*[F.col(u).alias(f"_unit_{u}") for u in unit], F.expr(_hashed("_entries")).alias("_numbers"))
+    same = reduce(lambda a, b: a & b, (F.col(u).eqNullSafe(F.col(f"_unit_{u}")) for u in unit))
+    settled = _settle(hot.join(numbers, same).drop(*[f"_unit_{u}" for u in unit]))
     return settled.unionByName(cold), dictionary
 
 

@@ -88,7 +88,7 @@ def redact_lines(df: DataFrame, doc_col: str, line_no_col: str, line_col: str, s
                 f"{T.any_contains(line_col, T.WORKING_CHARACTERS)}, false)"
     idle = df.filter(f"NOT {candidate}").withColumnRenamed("_block_hits", "hits")
     base = cascade.start_lines(df.filter(candidate), line_col, line_no_col, catalogue) \
-        .withColumn("_scope", F.col(doc_col).cast("string") if scope == DOC else F.lit(CORPUS))
+        .withColumn("_scope", F.coalesce(F.col(doc_col).cast("string"), F.lit("")) if scope == DOC else F.lit(CORPUS))
     busy, entries = _across(base, catalogue.stages(), catalogue, [doc_col, line_no_col], scope, line_no_col, known)
     done = cascade.finish(busy, line_col).drop("_scope") \
         .withColumn("hits", F.concat("_block_hits", "hits")).drop("_block_hits")

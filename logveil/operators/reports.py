@@ -64,7 +64,9 @@ def compression_ratio(metrics: DataFrame) -> DataFrame:
 
 
 def top_errors(results: DataFrame, path_col: str = "path", limit: int = 5) -> DataFrame:
-    """The first errors by path, each with how many more there are beyond those shown."""
+    """The first errors by path, and a last row saying how many more there are."""
     errors = results.filter("error IS NOT NULL").select(path_col, "error")
-    more = errors.agg(F.greatest(F.count("*") - limit, F.lit(0)).cast("bigint").alias("more"))
-    return errors.orderBy(path_col).limit(limit).crossJoin(F.broadcast(more))
+    more = errors.agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(
+        F.lit(None).cast("string").alias(path_col),
+        F.format_string("... and %d more", F.col("n") - limit).alias("error"))
+    return errors.orderBy(path_col).limit(limit).unionByName(more)

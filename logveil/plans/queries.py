@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import partial
 
@@ -20,7 +19,7 @@ from logveil.plans import views
 from logveil.plans.views import table
 from logveil.sources import files as sources
 from logveil.sources import synth
-from logveil.sources.staging import staging_dir
+from logveil.sources.staging import scratch
 from logveil.streaming.incremental import quarantine, read_dictionary, redact_stream
 from logveil.streaming.masks import mask_stream, running_counts
 
@@ -119,7 +118,7 @@ def output_path(spark, sf_dir):
 
 def file_roundtrip(spark, sf_dir):
     """Documents written as a file tree, scanned as files and as lines, and compared."""
-    root = tempfile.mkdtemp(prefix="tree-", dir=None if "://" in staging_dir(spark) else staging_dir(spark))
+    root = scratch(spark, "tree")
     docs = table(spark, sf_dir, "documents")
     sources.split_lines(docs, "doc_id", "text").select(
         F.concat(F.lit("d"), (F.col("doc_id") % 8).cast("string")).alias("part"),
@@ -341,7 +340,7 @@ def audit_complete(spark, sf_dir):
 
 def _stream(spark, sf_dir):
     """The log lines as a stream of files, a few files per batch."""
-    root = tempfile.mkdtemp(prefix="stream-", dir=None if "://" in staging_dir(spark) else staging_dir(spark))
+    root = scratch(spark, "stream")
     lines = views.log_lines(spark, sf_dir)
     lines.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id", "line_no").write.parquet(f"{root}/in")
     arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")

@@ -26,20 +26,26 @@ def staging_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{staging_dir(spark)}/logveil-{uuid.uuid4().hex}-{name}"
+    _written.append(path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table and read it back.
 
     A table, unlike a checkpoint of rows, is compressed and columnar: a pass
     that needs only the keys of a barrier does not read the text beside them.
     """
-    path = f"{staging_dir(df.sparkSession)}/logveil-{uuid.uuid4().hex}-{name}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables staged so far; call it when their results have been written."""
+    """Delete what was staged so far; call it when their results have been written."""
     jvm = spark.sparkContext._jvm
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())

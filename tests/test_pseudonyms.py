@@ -80,3 +80,15 @@ def test_stream_and_masks(spark, tmp_path):
     assert all(r.line.endswith("password=PASSWORD_REDACTED") and "user=u" in r.line for r in masked)
     counts = finished(windowed_counts(arriving, "line", "at", "4 minutes", "1 minute"), "complete", "windowed")
     assert sorted((r.category, r.n) for r in counts) == [("password", 4), ("password", 4), ("username", 4), ("username", 4)]
+
+
+def test_rows_without_an_id_are_kept(spark):
+    lines = spark.createDataFrame([(None, 1, "a@b.com"), (None, 2, "user=x"), ("d", 1, "a@b.com c@d.org"), ("d", None, "user=x")],
+                                  "doc string, n bigint, line string")
+    lines = lines.unionByName(spark.createDataFrame(
+        [(None, 3, "SELECT a"), (None, 4, "  FROM b"), (None, 5, "-----BEGIN CERTIFICATE-----"), (None, 6, "x"),
+         (None, 7, "-----END CERTIFICATE-----"), (None, None, "plain")], lines.schema))
+    done = redact_lines(lines, "doc", "n", "line")
+    assert sorted(r.line for r in done.rows.collect()) == [
+        "CERTIFICATE_REDACTED", "QUERY_REDACTED", "plain", "user001@redacted.com",
+        "user001@redacted.com user002@redacted.com", "user=user001", "user=user001"]
