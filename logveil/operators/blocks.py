@@ -76,7 +76,8 @@ def collapse_sql(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule, g
     df = df.withColumn("_start", F.expr(f"coalesce({starts}, false)")) \
         .withColumn("_cont", F.expr(f"coalesce({continues}, false)"))
     apart = df.filter("NOT _start AND NOT _cont").drop("_start", "_cont")
-    lines = _with_bucket(df.filter("_start OR _cont"), line_no)
+    # Staged, since looking back reads them several times and the way here may be long.
+    lines = staged(_with_bucket(df.filter("_start OR _cont"), line_no), "candidates")
 
     lines = latest(lines, [doc], "_bucket", [line_no], before={"_previous": F.col(line_no)})
     broken = F.expr(f"NOT _cont OR _previous IS NULL OR _previous != {line_no} - 1")
@@ -125,7 +126,7 @@ def collapse_pem(df: DataFrame, doc: str, line_no: str, line: str, rule: Rule) -
     """Replace each PEM block by its marker.  ``df`` carries ``hits``."""
     begin, end = PEM_MARKERS[rule.category]
     regex = rule.regex()
-    marked = df.filter(F.expr(T.matches(line, f"{begin}|{end}")))
+    marked = staged(df.filter(F.expr(T.matches(line, f"{begin}|{end}"))).select(doc, line_no, line), "markers")
     if marked.isEmpty():
         return df
     blocks = staged(pem_blocks(marked, doc, line_no, line, begin, end), "blocks")
