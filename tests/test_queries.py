@@ -21,7 +21,8 @@ def oracle():
 
 
 def test_every_query_has_a_counterpart(oracle):
-    assert set(oracle[1]) == set(oracle[2])
+    own = {name for name in oracle[2] if not name.startswith("op") and name != "pipeline"}
+    assert own <= set(oracle[1]) <= set(oracle[2])
 
 
 @pytest.mark.parametrize("name", QUICK)
