@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logveil.llm import decontaminate, lines
+from logveil.llm import decontaminate, lines, packing, quality
 from logveil.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +21,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup(table(spark, sf_dir, "documents")))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.digest(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False))
+
+
 def registry() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_quality": op2_quality,
         "op3_line_dedup": op3_line_dedup,
+        "op9_packing": op9_packing,
     }
 
 
