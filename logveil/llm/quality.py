@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logveil.llm.common import held_out, map_batches
+from logveil.llm.common import held_out, map_batches, unused
+from logveil.sources.staging import staged
 
 #: The part of a class covariance taken from the pooled one, then from its own diagonal.
 POOLED, DIAGONAL = 0.1, 0.1
@@ -112,31 +113,31 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(rows) / scale, -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
-    """From the labelled ``docs``, all of them; what reaches the driver is a few hundred sums.
+def measured(docs: DataFrame, text: str = "text", name: str = "features") -> DataFrame:
+    """``docs`` with the statistics of each text in place of the text."""
+    columns = [c for c in docs.columns if c != text]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
-    The text of unlabelled documents is not moved: labels are small beside texts,
-    so the ids are joined and only labelled rows go on.
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = pa.array([features(v.as_py()) for v in batch.column(len(columns))], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*columns, name])
+
+    return map_batches(docs.select(*columns, text), run, f"{schema}, `{name}` array<double>")
+
+
+def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, fold: int = 0) -> Discriminant:
+    """From all labelled ``rows`` ``(doc_id, features)`` but those of the fold that is held out.
+
+    What reaches the driver is a few hundred sums.
     """
     wide = len(FEATURES)
     cells = [(i, j) for i in range(wide) for j in range(i + 1)]
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(known, "id").select("label", "text")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        label_of = np.array(batch.column(0).to_pylist())
-        x = np.array([features(v.as_py()) for v in batch.column(1)])
-        out = []
-        for c in np.unique(label_of):
-            own = x[label_of == c]
-            out.append((int(c), len(own), own.sum(axis=0).tolist(), (own.T @ own)[tuple(zip(*cells))].tolist()))
-        types = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["label", "n", "s", "p"])
-
-    partial = map_batches(rows, run, "label int, n bigint, s array<double>, p array<double>")
-    total = partial.groupBy("label").agg(
-        F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(wide)]).alias("s"),
-        F.array(*[F.sum(F.col("p")[k]) for k in range(len(cells))]).alias("p"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)) \
+        .select("doc_id", F.col(label).cast("int").alias("label"))
+    x = F.col("features")
+    total = rows.select("doc_id", "features").join(known, "doc_id").groupBy("label").agg(
+        F.count("*").alias("n"), F.array(*[F.sum(x[i]) for i in range(wide)]).alias("s"),
+        F.array(*[F.sum(x[i] * x[j]) for i, j in cells]).alias("p"))
     sums = {}
     for r in total.collect():
         products = np.zeros((wide, wide))
@@ -146,31 +147,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Discrimin
     return Discriminant.fit(sums)
 
 
-def scored(docs: DataFrame, model: Discriminant, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with the score of each text."""
-    at = docs.columns.index(text)
+def scored(rows: DataFrame, model: Discriminant, name: str = "features", score: str = "score") -> DataFrame:
+    """``rows`` with the score of their statistics."""
+    at = rows.columns.index(name)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.array([features(v.as_py()) for v in batch.column(at)])
+        x = np.array(batch.column(at).to_pylist())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(x))], names=[*batch.schema.names, score])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, run, f"{schema}, `{score}` double")
-
-
-def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> Discriminant:
-    """Fitted on all labels but those of the fold that is held out."""
-    return fit(docs, labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return map_batches(rows, run, f"{schema}, `{score}` double")
 
 
-def digest(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """The columns of the registered query."""
-    rows = scored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model).drop("text")
-    return rows.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
-                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` per row; the texts are read once."""
+    rows = staged(measured(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")), "statistics")
+    return scored(rows, fit(rows, labels)).select(
+        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def kept(docs: DataFrame, model: Discriminant, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more."""
-    name = "_quality_score"
-    return scored(docs, model, text, name).where(F.col(name) >= threshold).drop(name)
+def keep(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, as they are."""
+    statistics, score = unused(docs, "_features"), unused(docs, "_score")
+    model = fit(measured(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))), labels)
+    copy = unused(docs, "_text")
+    rows = measured(docs.withColumn(copy, F.col(text)), copy, statistics)
+    return scored(rows, model, statistics, score).where(F.col(score) >= threshold).select(*docs.columns)
