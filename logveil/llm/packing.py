@@ -26,6 +26,8 @@ pieces.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -46,34 +48,59 @@ SCHEMES = ((0.2, 10), (0.2, 20), (0.25, 16), (0.25, 32), (0.33, 24), (0.33, 60),
 #: Rows that one window task ranks, on average at most.
 RANKED = 1_000_000
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+
+_LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_MARKS = {".", ","}
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
-class Encoder:
-    """Ids of whole texts, as little-endian 32-bit integers.
+class Encoder(dict):
+    """Ids of whole texts, as little-endian 32-bit integers; as a dictionary it remembers the parts met.
 
-    The tokenizer drops white space and never looks across it, so the ids of a
-    text are those of its parts between spaces and line feeds, which repeat.
+    This vocabulary's tokenizer lower-cases, drops white space and looks across
+    neither white space nor the border between a letter and a full stop or comma.
+    So the ids of a text are those of its parts, which repeat.  A part of Latin
+    letters goes to the model at once, any other through the whole tokenizer, and
+    so does a text that may hold a special string.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        if _LETTERS(part):
+            word = part if part.isascii() else part.lower().translate(self.spelling)
+            ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+        elif part[-1:] in _MARKS and _LETTERS(part[:-1]):
+            ids = self[part[:-1]] + self[part[-1]]
+        else:
+            ids = self._whole(part)
+        self[part] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        if new := list({p for p in parts if p not in self.known}):
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set(parts))
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found))
-        return b"".join(map(self.known.__getitem__, parts))
+        if "<|" in text:
+            return self._whole(text)
+        parts = text.replace("\n", " ").encode().translate(_LOWER).decode().split(" ")
+        return b"".join(map(self.__getitem__, parts))
 
 
 _encoders: dict[str, Encoder] = {}
