@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logveil.llm.common import map_batches
+from logveil.llm.common import map_batches, partitions
 from logveil.sources.staging import staged
 
 CAPACITY = 4096
@@ -242,7 +242,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     cut = cut.drop("sequence_id", "offset")
     total = cut.count()
-    salts = max(1, -(-total // RANKED))
+    salts = max(partitions(spark), -(-total // RANKED))
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")
     counts = cut.groupBy("length", salt.alias("salt")).count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logveil.llm import decontaminate, lines, packing, quality
+from logveil.llm import decontaminate, language, lines, neardup, packing, quality, rules, tokencount
 from logveil.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +22,23 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.digest(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.digest(rules.ledger(table(spark, sf_dir, "documents")))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.classify(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(neardup.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +50,10 @@ def registry() -> dict[str, Query]:
         "op1_decontaminate": op1_decontaminate,
         "op2_quality": op2_quality,
         "op3_line_dedup": op3_line_dedup,
+        "op4_rules": op4_rules,
+        "op5_language": op5_language,
+        "op7_token_counts": op7_token_counts,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_packing": op9_packing,
     }
 
@@ -43,4 +62,5 @@ def statements() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
         "op3_line_dedup": lines.ORACLE,
+        "op4_rules": rules.ORACLE,
     }
