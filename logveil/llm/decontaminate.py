@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,7 +252,7 @@ def clean(docs: DataFrame, automaton: Automaton, text: str = "text", max_coverag
             at = batch.schema.get_field_index(text)
             old = batch.column(at)
             new = pa.array([left(v.as_py()) for v in old], old.type)
-            keep = pa.compute.or_(pa.compute.is_valid(new), pa.compute.is_null(old))
+            keep = pc.or_(pc.is_valid(new), pc.is_null(old))
             yield pa.RecordBatch.from_arrays(
                 [new if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema).filter(keep)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logveil.llm import decontaminate, language, lines, neardup, packing, quality, rules, tokencount
+from logveil.llm import decontaminate, html, language, lines, neardup, packing, quality, rules, tokencount
 from logveil.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def registry() -> dict[str, Query]:
         "op3_line_dedup": op3_line_dedup,
         "op4_rules": op4_rules,
         "op5_language": op5_language,
+        "op6_main_text": op6_main_text,
         "op7_token_counts": op7_token_counts,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_packing": op9_packing,

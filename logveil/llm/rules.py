@@ -12,8 +12,6 @@ rows get equal results, and other columns are carried along.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +26,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 #: A rule's bit is its place here.  A document fails where the condition over the measurements holds.
 RULES = {
     "few_words": "n_words < 20",
-    "repeated_windows": f"100 * n_repeat_words > 30 * n_words",
+    "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "symbols": "5 * n_symbols > n_words",
     "shouting": "5 * n_shouts > n_words AND 5 * n_upper > word_chars",
     "bars": "5 * n_bars > n_words",
@@ -64,8 +62,7 @@ def _repeated() -> str:
     """
     hashes = _let("h", "transform(w, x -> xxhash64(x))",
                   f"transform(sequence(1, size(h) - {WINDOW - 1}), i -> xxhash64(slice(h, i, {WINDOW})))")
-    twice = ("filter(transform(s, (x, i) -> if(x.h <=> s[i - 1].h OR x.h <=> get(s, i + 1).h, x.i, null)), x -> x IS NOT NULL)"
-             .replace("s[i - 1].h", "get(s, i - 1).h"))
+    twice = "filter(transform(s, (x, i) -> if(x.h <=> get(s, i - 1).h OR x.h <=> get(s, i + 1).h, x.i, null)), x -> x IS NOT NULL)"
     covered = (f"aggregate(array_sort({twice}), named_struct('n', 0, 'to', -1), "
                f"(a, i) -> named_struct('n', a.n + {WINDOW} - greatest(0, a.to - i), 'to', i + {WINDOW}), a -> a.n)")
     places = _let("s", "sort_array(transform(g, (x, i) -> named_struct('h', x, 'i', i)))", covered)
@@ -74,7 +71,7 @@ def _repeated() -> str:
 
 def measurements(text: str) -> str:
     """A struct of ``MEASURES`` of a text."""
-    joined = "translate(t, ' \\t\\n\\u000B\\f\\r', '')"
+    joined = "translate(t, ' \\t\\n\\u000B\\u000C\\r', '')"
     lines = "filter(split(t, '\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     values = {
         "n_words": "size(w)",
