@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logveil.llm.common import map_batches
+from logveil.llm.common import map_batches, partitions
 from logveil.sources.staging import staged
 
 #: A subtree is template if it is on so many different pages of its host, and on this share of them.
@@ -248,11 +248,15 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     """``(page_id, url, text, n_chars)`` per row.
 
     A host has at most 1 / ``MIN_SHARE`` templates for each subtree of a page, so
-    its set is small and is joined to its pages as one array.
+    its set is small.  It is joined to its pages as one array, once for each salt,
+    so that the pages of a large host go to many tasks.
     """
-    sets = templates(pages, url, html).groupBy("host").agg(F.collect_set("hash").alias("template"))
+    salts = partitions(pages.sparkSession)
+    sets = templates(pages, url, html).groupBy("host").agg(F.collect_set("hash").alias("template")) \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")) \
-        .withColumn("host", host_of("url")).join(sets, "host", "left").select("page_id", "url", "html", "template")
+        .withColumn("host", host_of("url")).withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int")) \
+        .join(sets, ["host", "salt"], "left").select("page_id", "url", "html", "template")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [extract(h.as_py(), set(t.as_py() or ())) for h, t in zip(batch.column(2), batch.column(3))]

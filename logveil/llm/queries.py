@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logveil.llm import decontaminate, html, language, lines, neardup, packing, quality, rules, tokencount
+from logveil.llm import decontaminate, html, language, lines, neardup, packing, quality, rules, surrogates, tokencount
 from logveil.llm.common import table
 
+#: Key of the registered query; a job that is to keep a secret passes its own.
+KEY = "registered"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -49,6 +52,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False))
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.digest(surrogates.pseudonymise(table(spark, sf_dir, "documents"), KEY))
+
+
 def registry() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -60,6 +67,7 @@ def registry() -> dict[str, Query]:
         "op7_token_counts": op7_token_counts,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_packing": op9_packing,
+        "op10_surrogates": op10_surrogates,
     }
 
 
