@@ -29,7 +29,8 @@ from logveil.sources.staging import staged
 #: Attempts after which a dictionary is refused: the kind has too few values left.
 MAX_ATTEMPTS = 64
 
-_FORM = (r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|M(?=\.)|Señor|Señora|Sr|Sra|Don|Doña|Г-н|Г-жа|Господин|Госпожа|Κος|Κα)")
+FORMS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme M. Señor Señora Sr Sra Don Doña Г-н Г-жа Господин Госпожа Κος Κα".split()
+_FORM = "(?:" + "|".join("M(?=[.])" if form == "M." else form for form in FORMS) + ")"
 #: Kinds in order of precedence, as patterns of the regular expressions of Java.
 KINDS = {
     "secret": r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128}(?![0-9A-Za-z])",
@@ -74,6 +75,11 @@ def found_expr(text: str) -> str:
     return f"regexp_extract_all({text}, {_quoted(ANY)}, 0)"
 
 
+def gate_expr(text: str) -> str:
+    """Cheap and implied by every kind: a digit, an @ or a form of address."""
+    return f"{text} rlike '[0-9@]' OR " + " OR ".join(f"contains({text}, '{form} ') OR contains({text}, '{form}. ')" for form in FORMS)
+
+
 def kind_expr(value: str) -> str:
     """The kind of an entity; look-arounds hold at the ends of a string of its own."""
     return "CASE " + " ".join(f"WHEN {value} rlike {_quoted(f'^(?:{p})$')} THEN '{k}'" for k, p in KINDS.items()) + " ELSE 'name' END"
@@ -178,27 +184,29 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
     """``docs`` with surrogates in ``text``, and ``entities``: a map from kind to the number found."""
     if not key.isalnum():
         raise ValueError("a key of letters and digits is needed")
-    found, row, own, known = (unused(docs, n) for n in ("_found", "_row", "_id", "_known"))
-    rows = docs.drop("entities").withColumn(found, F.expr(f"coalesce({found_expr(f'`{text}`')}, array())")) \
-        .withColumn(own, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))).withColumn(row, F.xxhash64(text))
-    some = F.size(found) > 0
-    values = rows.where(some).select(own, row, F.explode(F.array_distinct(found)).alias("value"))
+    found, row, own, known, done = (unused(docs, n) for n in ("_found", "_row", "_id", "_known", "_done"))
+    columns = [c for c in docs.columns if c != "entities"]
+    rows = docs.select(*columns)
+    gate = F.coalesce(F.expr(gate_expr(f"`{text}`")), F.lit(False))
+    # a generator of one row keeps the optimizer from copying the search into every use of it
+    some = rows.where(gate).withColumn(own, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))).withColumn(row, F.xxhash64(text)) \
+        .select("*", F.explode(F.array(F.expr(found_expr(f"`{text}`")))).alias(found))
+    values = some.select(own, row, F.explode(F.array_distinct(found)).alias("value"))
     values = values.withColumn("kind", F.expr(kind_expr("value"))).withColumn("canonical", F.expr(canonical_expr("kind", "value")))
     values = staged(values, "entities")
     entries = dictionary(values.select("kind", "canonical").distinct(), key)
     written = values.join(entries, ["kind", "canonical"]).select(
         own, row, F.struct("value", "kind", F.expr(written_expr("kind", "value", "surrogate")).alias("text")).alias("e"))
     maps = written.groupBy(own, row).agg(F.collect_set("e").alias(known))
-    put = (f"transform(array(map_from_entries(transform({known}, e -> struct(e.value, e)))), k -> "
+    put = (f"if({known} IS NULL, struct(`{text}` AS text, cast(array() AS array<string>) AS kinds), "
+           f"transform(array(map_from_entries(transform({known}, e -> struct(e.value, e)))), k -> "
            f"transform(array(split(`{text}`, {_quoted(ANY)}, -1)), p -> struct("
            f"concat(p[0], array_join(transform({found}, (x, i) -> concat(k[x].text, p[i + 1])), '')) AS text, "
-           f"transform({found}, x -> k[x].kind) AS kinds))[0])[0]")
-    done = unused(docs, "_done")
-    columns = [c for c in docs.columns if c != "entities"]
-    changed = rows.where(some).join(maps, [own, row]).select(*columns, F.explode(F.array(F.expr(put))).alias(done))
-    number = (f"map_from_entries(transform(array_distinct({done}.kinds), k -> struct(k, cast(size(filter({done}.kinds, x -> x = k)) AS bigint))))")
+           f"transform({found}, x -> k[x].kind) AS kinds))[0])[0])")
+    changed = some.join(maps, [own, row], "left").select(*columns, F.explode(F.array(F.expr(put))).alias(done))
+    number = f"map_from_entries(transform(array_distinct({done}.kinds), k -> struct(k, cast(size(filter({done}.kinds, x -> x = k)) AS bigint))))"
     changed = changed.withColumn("entities", F.expr(number)).withColumn(text, F.col(f"{done}.text")).select(*columns, "entities")
-    clean = rows.where(~some).select(*columns, F.expr("cast(map() AS map<string, bigint>)").alias("entities"))
+    clean = rows.where(~gate).select(*columns, F.expr("cast(map() AS map<string, bigint>)").alias("entities"))
     return clean.unionByName(changed)
 
 
