@@ -31,7 +31,8 @@ WINDOW = 10
 #: A text of which more than this share of its words is hit is dropped by ``clean``.
 MAX_COVERAGE = 0.8
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words in a text as it is; ``_BYTES`` then lower-cases A-Z.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32
                for b in range(256))
 
