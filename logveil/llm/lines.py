@@ -131,7 +131,7 @@ class LineRuns:
 def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
     """``(id, t, pos)`` of the lines to drop, the documents taken in ``batches`` ranges of ids."""
     spark = docs.sparkSession
-    cuts = docs.select(_order(doc_id).alias("id")).where(F.col("id") != NO_ID).approxQuantile(
+    cuts = [] if batches < 2 else docs.select(_order(doc_id).alias("id")).where(F.col("id") != NO_ID).approxQuantile(
         "id", [i / batches for i in range(1, batches)], 0.01)
     edges = sorted({int(c) for c in cuts})
     number = sum((F.col("id") > e).cast("int") for e in edges) if edges else F.lit(0)

@@ -15,8 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logveil.llm.common import unused
-
 #: Words of a window that must not repeat.
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -91,8 +89,11 @@ def measurements(text: str) -> str:
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``measures`` and ``failed``, the bits of the rules that each fails."""
-    m, columns = unused(docs, "measures"), [c for c in docs.columns if c != text]
+    """``docs`` without the text, with ``measures`` and ``failed``, the bits of the rules that each fails.
+
+    Columns of ``docs`` with these names, or named ``kept``, are replaced.
+    """
+    m, columns = "measures", [c for c in docs.columns if c != text and c.lower() not in ("measures", "failed", "kept")]
     failed = " + ".join(f"if({_of(condition, m)}, {1 << bit}L, 0L)" for bit, condition in enumerate(RULES.values()))
     # a generator of one row keeps the optimizer from copying the measurements into every use of them
     measured = docs.select(*columns, F.explode(F.array(F.expr(measurements(f"`{text}`")))).alias(m))

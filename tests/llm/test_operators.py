@@ -1,0 +1,351 @@
+"""The training-data operators against brute force on small inputs, with odd rows in each."""
+
+import hashlib
+import random
+import re
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from logveil.llm import decontaminate, html, language, lines, neardup, packing, quality, rules, surrogates, tokencount
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, measures string, entities string, salt int"
+
+
+def docs_of(spark, rows):
+    """Documents with columns whose names clash with working columns."""
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "m", "e", 1) for i, t in rows], SCHEMA)
+
+
+def odd(spark):
+    rng = random.Random(7)
+    vocabulary = [a + b for a in ("an", "re", "shi", "to", "ble") for b in ("the", "on", "ing", "é", "k")]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, text(rng.randint(1, 60)) + "\n" + text(12)) for i in range(30)]
+    base = text(80)
+    rows += [(100, base), (101, base), (102, base + " more"), (103, base + " more"), (None, base), (100, base), (104, None), (None, None),
+             (105, ""), (106, " \n\t"), (107, "a"), (108, "shared line of text\nx"), (109, "Shared Line of TEXT  \ny"),
+             (110, "shared line of text\nshared line of text"), (111, text(9000)), (112, "word " * 300)]
+    return rows
+
+
+def empty(spark):
+    return docs_of(spark, [])
+
+
+def words(text):
+    return decontaminate.words_of(text)
+
+
+# --- decontamination -------------------------------------------------------------
+
+def test_decontamination(spark):
+    rng = random.Random(3)
+    vocabulary = "a b c d e f".split()
+    items = [(str(k), " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 3, 9, 10, 11, 25])))) for k in range(12)]
+    items = [i for i in items if len(i[1].split()) != 1] + [("n", None), ("twin", items[-1][1]), ("x", "Q.q-q")]
+    found = decontaminate.Automaton.of(items)
+    for _ in range(300):
+        row = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        source = rng.choice(items)[1]
+        row[rng.randint(0, len(row)):0] = (source or "").split()
+        text = " ".join(row)
+        hit, names = set(), set()
+        doc = words(text)
+        for name, item in items:
+            own = words(item)
+            n = min(10, len(own))
+            windows = {tuple(own[i:i + n]) for i in range(len(own) - n + 1)} if own else set()
+            for i in range(len(doc) - n + 1):
+                if tuple(doc[i:i + n]) in windows:
+                    hit.update(range(i, i + n))
+                    names.add(name)
+        got = found.matches(doc)
+        assert {k for a, b in decontaminate.spans(got) for k in range(a, b)} == hit
+        assert set().union(*(m[2] for m in got)) == names
+        assert not found.matches(words(decontaminate.cleaned(found, text)))
+
+
+def test_decontaminated_table(spark):
+    item = "the quick brown fox jumps over the lazy dog today again"
+    benchmark = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id int, text string")
+    automaton = decontaminate.build(benchmark)
+    other = "one two three four five six seven eight nine ten eleven twelve"
+    frame = docs_of(spark, odd(spark) + [(500, f"{other}, {item.upper()}! {other}"), (501, item)])
+    out = {(r.doc_id, r.text) for r in decontaminate.clean(frame, automaton).collect()}
+    assert (500, f"{other},\n! {other}") in out
+    assert not any(i == 501 for i, _ in out)
+    assert out >= set(odd(spark))
+    digest = {r.doc_id: r for r in decontaminate.digest(decontaminate.hits(frame, automaton)).collect()}
+    assert (digest[500].n_hit, digest[500].items_sha256) == (11, hashlib.sha256(b"1").hexdigest())
+    assert decontaminate.hits(empty(spark), automaton).count() == 0
+    assert not decontaminate.Automaton.of([]).matches([b"a"] * 20)
+
+
+# --- quality -----------------------------------------------------------------------
+
+def test_quality(spark):
+    rng = random.Random(1)
+    good = lambda: ". ".join(" ".join(rng.choice(["the", "house", "river", "walks", "slowly", "green"]) + str() for _ in range(8)) for _ in range(6))
+    rows = [(i, good() if i % 2 else good().upper().replace(" ", "!! ")) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(None, 1, 0), (3, None, 0)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(docs_of(spark, rows + odd(spark)), labels).collect()}
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {i for i in range(200) if got[i].held_out} == set(held)
+    assert all(got[i].predicted == i % 2 for i in held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    kept = {r.doc_id for r in quality.keep(docs_of(spark, rows), labels).collect()}
+    assert kept == {i for i, _ in rows if i % 2}
+    none = quality.classify(docs_of(spark, rows), labels.where("quality = 1")).collect()
+    assert {r.predicted for r in none} == {1}
+    assert quality.classify(empty(spark), labels).count() == 0
+
+
+# --- lines -------------------------------------------------------------------------
+
+def kept_lines(rows):
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
+    owner = {}
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= 10:
+                owner.setdefault(key(line), set()).add(2**63 - 1 if i is None else i)
+    return sorted(((i, "\n".join(x for x in (t or "").split("\n") if len(key(x)) < 10 or min(owner[key(x)]) == (2**63 - 1 if i is None else i)))
+                   for i, t in rows), key=repr)
+
+
+@pytest.mark.parametrize("batches", [1, 7])
+def test_lines(spark, batches, monkeypatch):
+    monkeypatch.setattr(lines, "FANOUT", 2)
+    rows = odd(spark) + [(200 + i, f"line number {i % 5} is long\nown {i} line of text") for i in range(40)]
+    out = lines.dedup(docs_of(spark, rows), batches=batches)
+    assert sorted(((r.doc_id, r.text or "") for r in out.collect()), key=repr) == kept_lines(rows)
+    assert lines.dedup(empty(spark), batches=batches).count() == 0
+
+
+# --- near-duplicates ---------------------------------------------------------------
+
+def test_near_duplicates(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = odd(spark)
+    for group in range(8):
+        own = [rng.choice(vocabulary) for _ in range(120)]
+        for k in range(12):
+            copy = list(own)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((1000 + group * 100 + k, " ".join(copy)))
+    sets = {text: neardup.shingles(words(text)) for _, text in rows if words(text)}
+    root = {text: text for text in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        if max(neardup.similarity(sets[a], sets[b])) >= neardup.THRESHOLD:
+            root[find(a)] = find(b)
+    classes = {}
+    for i, text in rows:
+        if words(text):
+            classes.setdefault(find(text), []).append(2**63 - 1 if i is None else i)
+    want = sorted((i, min(c), len(c)) for c in classes.values() for i in c)
+    got = neardup.near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted((r.id, r.class_id, r.class_size) for r in got if r.class_size > 1) == [w for w in want if w[2] > 1]
+    kept = neardup.representatives(docs_of(spark, rows))
+    assert {r.doc_id for r in kept.collect() if r.doc_id is not None and words(r.text)} == {min(c) for c in classes.values()}
+    assert neardup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_probability_jaccard():
+    x, y = {1: 1, 2: 3, 3: 1}, {2: 1, 3: 2, 4: 5}
+    weight = lambda d: {k: 1 + np.log(v) for k, v in d.items()}
+    a, b = weight(x), weight(y)
+    want = sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in a.keys() | b.keys()) for i in a.keys() & b.keys())
+    arrays = lambda d: (np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)]))
+    plain, got = neardup.similarity(arrays(x), arrays(y))
+    assert plain == 0.5 and abs(got - want) < 1e-12
+    keys = [arrays({k: 1 + k % 3 for k in range(s, s + 60)}) for s in (0, 20)]
+    exact = neardup.similarity(*keys)[1]
+    drawn = neardup.sketches(np.concatenate([k for k, _ in keys]), neardup.weights(np.concatenate([c for _, c in keys])),
+                             np.repeat([0, 1], 60), 2, 4000)
+    assert abs((drawn[0] == drawn[1]).mean() - exact) < 0.04
+
+
+# --- rules -------------------------------------------------------------------------
+
+def test_rules(spark):
+    rows = odd(spark) + [(300, "fff f\x0c\x0bff #|\n" * 3), (301, "a b c d e f g h i " * 4)]
+    got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+           for r in rules.digest(rules.ledger(docs_of(spark, rows))).collect()}
+    want = set()
+    for i, text in rows:
+        text = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        places = {}
+        for k in range(len(w) - 7):
+            places.setdefault(tuple(w[k:k + 8]), []).append(k)
+        repeat = len({p for ks in places.values() if len(ks) > 1 for k in ks for p in range(k, k + 8)})
+        own = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want.add((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(own) - len(set(own)), repeat,
+                  len(w) < 20 or 100 * repeat > 30 * len(w)))
+    assert got == want
+    entries = rules.ledger(docs_of(spark, rows))
+    table = {(r.version, r.rule): r for r in rules.ablations(entries).collect()}
+    failed = [r.failed for r in entries.collect()]
+    bit = 1 << list(rules.RULES).index("few_words")
+    assert table["base", "few_words"].n_failed == sum(f & bit != 0 for f in failed)
+    assert table["base", "few_words"].n_kept == sum(f & rules.mask(rules.POLICIES["base"]) & ~bit == 0 for f in failed)
+    assert rules.digest(rules.ledger(empty(spark))).count() == 0
+
+
+# --- language ----------------------------------------------------------------------
+
+def test_language(spark):
+    rng = random.Random(2)
+    stock = {"en": "the of and house thing".split(), "de": "der und das haus ding über".split(), "fr": "le et la maison chose été".split()}
+    rows = [(i, " ".join(rng.choice(stock[l]) for _ in range(15)), l) for i in range(120) for l in [rng.choice(list(stock))]]
+    rows += [(None, "the house", "en"), (900, None, "en"), (901, "12 !?", "en"), (902, "", None), (903, "HAUS über", None), (904, "housething ofthe", None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in language.classify(frame).collect()}
+    assert all(got[i].lang_pred == l for i, _, l in rows[:120])
+    assert [got[i].lang_pred for i in (900, 901, 902, 903, 904)] == ["und", "und", "und", "de", "en"]
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert language.classify(frame.limit(0)).count() == 0
+    assert {r.lang_pred for r in language.classify(frame.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# --- pages -------------------------------------------------------------------------
+
+PAGE = ("<html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body><nav>menu</nav><div class='ad'>ad</div>"
+        "<article><h1>T &amp; x</h1><p><b>one<br><p>two   words&nbsp;x</p><aside>side</aside><div class='comments'><p>no</p></div>"
+        "<ul><li>a<li>b</ul><form>f</form></article><footer>&copy; x</footer>")
+
+
+def test_page():
+    assert html.extract(PAGE, set()) == "T & x\none\ntwo words x\na\nb"
+    assert html.extract("<div id=c><p>A</p>tail<div class='cookie-banner'>c</div>", set()) == "A\ntail"
+    assert html.extract("a < b &lt; c <unfinished", set()) == "a < b < c"
+    assert [html.extract(x, set()) for x in (None, "", "<p>")] == ["", "", ""]
+
+
+def test_templates(spark):
+    rows = [(i, f"http://h.example/{i}", f"<div><div class=x>Our shop</div><p>text {i}</p></div>") for i in range(8)]
+    rows += [(50 + i, "http://h.example/copy", "<div><div class=x>Our shop</div><p>same text</p><section>copy</section></div>") for i in range(20)]
+    rows += [(90, None, "<p>x</p>"), (91, "nonsense", None), (92, "http://other.example", "<div>Our shop</div>")]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3] == "text 3" and got[55] == "same text\ncopy"
+    assert (got[90], got[91], got[92]) == ("x", "", "Our shop")
+
+
+# --- tokens ------------------------------------------------------------------------
+
+ALPHABET = "aabbththee  \n\t▁éß中🙂1!.,"
+
+
+def some_texts():
+    rng = random.Random(4)
+    made = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    return [*made, " ", "a" * 800, "the" * 300, " " * 60 + "the" + " " * 33, "<s></s><unk>", "\x00a", "<|endoftext|>x", None, ""]
+
+
+def test_token_counts(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    public = pytest.importorskip("public_tokenizers")
+    model = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    rows = list(enumerate(some_texts()))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokencount.count_tokens(docs_of(spark, rows)).collect()}
+    assert got == {i: (len((t or "").encode()), len(model.encode(t or ""))) for i, t in rows}
+
+
+def test_small_memory(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    whole = tokencount.Merger.load(public.path("piece_bpe_32k.model")).counts(some_texts())
+    monkeypatch.setattr(tokencount, "REMEMBERED", 40)
+    assert tokencount.Merger.load(public.path("piece_bpe_32k.model")).counts(some_texts()) == whole
+
+
+# --- packing -----------------------------------------------------------------------
+
+def test_plan():
+    rng = random.Random(6)
+    for _ in range(60):
+        histogram = {rng.randint(1, 100): rng.randint(1, 50) for _ in range(rng.randint(0, 30))}
+        held, ranks = {}, {}
+        for length, rank, n, first, offset in packing.plan(histogram, 100):
+            for k in range(n):
+                held.setdefault(first + k, []).append((offset, length))
+                ranks.setdefault(length, []).append(rank + k)
+        assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in histogram.items()}
+        for inside in held.values():
+            at = 0
+            for offset, length in sorted(inside):
+                assert offset == at
+                at += length
+            assert at <= 100
+
+
+def test_packing(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    rows = odd(spark) + list(enumerate(some_texts(), 1000))
+    packed = packing.pack_documents(docs_of(spark, rows)).collect()
+    want = []
+    for i, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(i, k, 4096 * k, len(ids[4096 * k:4096 * k + 4096]), zlib.crc32(ids[4096 * k:4096 * k + 4096].tobytes()))
+                 for k in range(-(-len(ids) // 4096))]
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed), key=repr) == sorted(want, key=repr)
+    total = sum(r.length for r in packed)
+    assert len({r.sequence_id for r in packed}) == -(-total // 4096)
+    assert packing.pack_documents(empty(spark)).count() == 0
+
+
+# --- personal data -----------------------------------------------------------------
+
+def test_surrogates(spark):
+    rows = [(6001, "mail x.43@mail4.example.com, X.43@MAIL4.example.com; +1 (980) 555-6268 10.2.3.4 8.8.8.8."),
+            (6002, "card 4539 1488 0343 6467 or 4539148803436467; Mrs. Anna Smith met Mr Smith, Г-жа Анна Иванова"),
+            (6003, 'token = "c7c44ab5d48cb8ca99c1afc0912391d7d2165884" 123-45-6789'), (None, "x.43@mail4.example.com"), (6001, "x.43@mail4.example.com"),
+            (6007, "v1.2.3 2024-01-02 plain 555 text | 12345678")]
+    rows += [(400 + i, f"at 10.0.{i % 16}.{i // 16}") for i in range(200)] + odd(spark)
+    out = surrogates.pseudonymise(docs_of(spark, rows), "k")
+    got = {(r.doc_id, i): r.text for i, r in enumerate(sorted(out.collect(), key=lambda r: (str(r.doc_id), str(r.text))))}
+    texts = {}
+    for (i, _), t in got.items():
+        texts.setdefault(i, []).append(t)
+    mail = next(t for t in texts[6001] if t and t.startswith("mail")).split()[1].rstrip(",")
+    assert mail != "x.43@mail4.example.com" and re.fullmatch(r"[a-z]\.\d\d@mail\d+\.example\.com", mail)
+    assert mail in texts[6001] and mail in texts[None] and any(t and t.count(mail) == 2 for t in texts[6001])
+    number = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) or (\d{16});", texts[6002][0])
+    assert number and number[1].replace(" ", "") == number[2]
+    assert re.search(r"Mrs\. (\w+) \w+ met Mr \w+, Г-жа [а-яА-Я]+ [а-яА-Я]+", texts[6002][0])
+    assert not re.search("Smith|Иванова|4539|c7c44|123-45|555-6268", " ".join(t or "" for ts in texts.values() for t in ts))
+    assert len({texts[400 + i][0] for i in range(200)}) == 200 and all(re.fullmatch(r"at 10\.\d+\.\d+\.\d+", texts[400 + i][0]) for i in range(200))
+    assert texts[6007] == [rows[5][1]] and out.count() == len(rows)
+    untouched = {(i, t) for i, t in odd(spark)}
+    assert untouched <= {(i, t) for (i, _), t in got.items()}
+    assert surrogates.pseudonymise(empty(spark), "k").count() == 0
+
+
+# --- pipeline ----------------------------------------------------------------------
+
+def test_pipeline(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "near dedup", "decontamination", "packing"]
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        before = docs.count()
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == columns and docs.count() <= before
+    benchmark = decontaminate.build(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    clean = corpus_pipeline.drop_benchmark(spark, docs, sf_dir)
+    assert clean.columns == columns
+    assert decontaminate.hits(clean, benchmark).where("n_hit > 0").count() == 0
