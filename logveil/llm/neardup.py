@@ -13,9 +13,15 @@ similarity is ``THRESHOLD`` or more.  Classes are the connected components.
 Documents with the same words are one node, so copies cost a row each and no
 pair.  Within a bucket not all pairs are made: nodes meet the smallest node of
 their buckets first, then the largest, and as classes grow, only nodes outside
-the class that holds most of a bucket meet the members of other classes.  After
-the last step every two nodes that share a bucket are in one class or have been
-compared, so no link is lost by this.
+the class that holds most of a bucket meet the members of other classes.
+
+Of these last pairs only those are compared whose similarity can reach
+``THRESHOLD``.  A shingle is rare if at most ``RARE`` of the nodes in question
+have it.  Pairs with rare shingles in common are found, and these shingles
+counted, through the shingles themselves; all that other two nodes of a bucket
+can share is what is not rare in either, which bounds both similarities.  After
+that every two nodes that share a bucket are in one class, have been compared or
+cannot be linked, so no link is lost, and ``RARE`` changes the work only.
 
 A text of fewer than ``SHINGLE`` words is one shingle.  Null texts and texts
 without words are linked to nothing.  Rows of one id are separate documents that
@@ -43,6 +49,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 #: Characters of text that are sketched together.
 CHUNK = 1_000_000
+#: Nodes that a rare shingle may have.
+RARE = 8
 #: Texts whose shingles a verifying worker remembers.
 REMEMBERED = 256
 
@@ -212,6 +220,53 @@ def _classed(rows: DataFrame, classes: DataFrame | None, node: str, name: str) -
     return rows.join(of, node, "left").withColumn(name, F.coalesce(name, node))
 
 
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``(node, n, w, keys)`` of ``(node, text)``: the distinct shingles, how many, and their whole weight."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(words_of(v.as_py())) for v in batch.column(1)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(k) for k, _ in found], pa.int64()), pa.array([float(weights(c).sum()) for _, c in found]),
+             pa.array([k.view(np.int64) for k, _ in found], pa.list_(pa.int64()))], names=["node", "n", "w", "keys"])
+
+    return map_batches(texts, run, "node binary, n bigint, w double, keys array<bigint>")
+
+
+def _reach(shared: str) -> str:
+    """The greatest similarity of nodes a and b that have at most ``shared`` shingles in common, of which each weighs 1 or more."""
+    share = [f"least(1D, 1 - (n{x} - ({shared})) / w{x})" for x in "ab"]
+    return (f"greatest(({shared}) / (na + nb - ({shared})), "
+            f"coalesce({share[0]} * {share[1]} / nullif(1 - (1 - {share[0]}) * (1 - {share[1]}), 0D), 0D))")
+
+
+def within_reach(mixed: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes of ``mixed`` ``(bucket, class, node, top)`` that may be similar enough.
+
+    Of two nodes in one bucket at most one may be of the class ``top``.
+    """
+    least = threshold - 1e-9
+    wanted = texts.join(mixed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = staged(shingle_sets(wanted.select("node", "text")), "sets")
+    keys = sets.select("node", F.explode("keys").alias("key"))
+    rare = staged(keys.join(keys.groupBy("key").agg(F.count("*").alias("df")).where(f"df <= {RARE}"), "key"), "rare")
+    nodes = sets.select("node", "n", "w").join(rare.groupBy("node").agg(F.count("*").alias("r")), "node", "left")
+    nodes = nodes.join(mixed.select("node", "class").distinct(), "node").select(
+        "node", "class", "n", "w", (F.col("n") - F.coalesce("r", F.lit(0))).alias("c"))
+    nodes = staged(nodes, "reach")
+    of = lambda rows, x: rows.select(*[F.col(c).alias({"node": x, "bucket": c}.get(c, c + x)) for c in rows.columns])
+
+    several = rare.where("df > 1").select("key", "node")
+    meeting = several.select("key", F.col("node").alias("a")).join(several.select("key", F.col("node").alias("b")), "key") \
+        .where("a < b").groupBy("a", "b").agg(F.count("*").alias("s"))
+    near = meeting.join(of(nodes, "a"), "a").join(of(nodes, "b"), "b").where("classa <> classb") \
+        .where(f"{_reach('least(ca, cb) + s')} >= {least}").select("a", "b")
+
+    able = nodes.where(f"greatest(c / n, 1 - (n - c) / w) >= {least}").drop("class")
+    placed = mixed.join(able, "node")
+    far = of(placed.where("class <> top").drop("top"), "a").join(of(placed.drop("top"), "b"), "bucket").where("classa <> classb") \
+        .where(f"{_reach('least(ca, cb)')} >= {least}").select("a", "b")
+    return near.unionAll(far)
+
+
 class _Rounds:
     """Pairs compared and links found so far."""
 
@@ -241,7 +296,11 @@ class _Rounds:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, t, class_id, class_size)`` per row: its id, its text's hash, the smallest id of its class, the number of its documents."""
+    """``(id, t, class_id, class_size, root)`` per row.
+
+    Its id, its text's hash, the smallest id of its class, the number of documents
+    of that, and what names the class where ids are missing: null without words.
+    """
     drawn = staged(sketch(docs, doc_id, text), "sketches")
     nodes = staged(drawn.where("node IS NOT NULL").groupBy("node").agg(
         F.min(F.struct("id", "t")).alias("first"), F.count("*").alias("n")), "nodes")
@@ -260,15 +319,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     most = classed.groupBy("bucket", "class").count().groupBy("bucket").agg(
         F.max(F.struct("count", "class")).alias("top"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("top.class").alias("top"))
     mixed = staged(classed.join(most, "bucket"), "mixed")
-    others = mixed.where("class <> top").select("bucket", F.col("node").alias("a"), F.col("class").alias("ca"))
-    rounds.compare(others.join(mixed.select("bucket", F.col("node").alias("b"), F.col("class").alias("cb")), "bucket")
-                   .where("ca <> cb").select("a", "b"))
+    rounds.compare(within_reach(mixed, rounds.texts))
 
     named = _classed(nodes, rounds.classes, "node", "root")
     totals = named.groupBy("root").agg(F.min("first.id").alias("class_id"), F.sum("n").alias("class_size"))
-    named = named.select("node", "root").join(totals, "root").drop("root")
+    named = named.select("node", "root").join(totals, "root")
     return drawn.select("id", "t", "node").join(named, "node", "left").select(
-        "id", "t", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+        "id", "t", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "root")
 
 
 def digest(classes: DataFrame) -> DataFrame:
@@ -278,13 +335,18 @@ def digest(classes: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: the one with the smallest id, or any of its equal rows.
+    """``docs`` with one row of each class: the one with the smallest id, of equal rows any.
 
     Rows without words are all kept.
     """
-    key, row = unused(docs, "_id"), unused(docs, "_row")
-    best = near_duplicates(docs, doc_id, text)
-    keep = best.where("id = class_id").groupBy("id", "class_size").agg(F.min("t").alias("t"), F.count("*").alias("n"))
+    key, row, times = (unused(docs, n) for n in ("_id", "_row", "_times"))
+    best = near_duplicates(docs, doc_id, text).groupBy("root", "id", "t").agg(F.count("*").alias("times"))
+    first = best.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("id", "t", "times")).alias("first")).select("first.*")
+    bare = best.where("root IS NULL").select("id", "t", F.lit(1).cast("bigint").alias("times"))
+    keep = staged(first.unionAll(bare), "kept")
     named = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))).withColumn(row, F.xxhash64(text))
-    kept = named.join(keep.select(F.col("id").alias(key), F.col("t").alias(row)).distinct(), [key, row], "left_semi")
-    return kept.drop(key, row)
+    kept = named.join(keep.select(F.col("id").alias(key), F.col("t").alias(row), F.col("times").alias(times)), [key, row])
+    if not keep.where("times > 1").isEmpty():
+        kept = staged(kept, "repeated")
+        kept = kept.where(F.col(times) == 1).unionByName(kept.where(F.col(times) > 1).dropDuplicates([key, row]))
+    return kept.select(*docs.columns)

@@ -162,6 +162,40 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_one_of_each_class(spark):
+    rows = [(None, "a b c"), (None, "d e f"), (None, "a b c"), (7, "g h i"), (7, "g h i"), (7, "j k l"), (8, "g h i"), (9, ""), (9, ""), (None, None)]
+    kept = neardup.representatives(docs_of(spark, rows))
+    assert kept.columns == docs_of(spark, rows).columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
+        [(0, "a b c"), (0, "d e f"), (7, "g h i"), (7, "j k l"), (9, ""), (9, ""), (0, "")])
+
+
+@pytest.mark.parametrize("rare", [1, 3, 50])
+def test_within_reach(spark, rare, monkeypatch):
+    monkeypatch.setattr(neardup, "RARE", rare)
+    rng = random.Random(rare)
+    vocabulary = [f"w{i}" for i in range(60)]
+    base = [rng.choice(vocabulary) for _ in range(60)] + ["x"] * 8
+    texts = []
+    for _ in range(50):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(copy))
+            copy[at:at + rng.randint(0, 2)] = [rng.choice(vocabulary)] * rng.randint(0, 2)
+        texts.append(" ".join(copy))
+    texts = list(dict.fromkeys(texts))
+    node = lambda i: i.to_bytes(2, "big")
+    mixed = spark.createDataFrame([(0, node(i // 3 * 3), node(i), node(0)) for i in range(len(texts))],
+                                  "bucket bigint, class binary, node binary, top binary")
+    table = spark.createDataFrame([(node(i), t) for i, t in enumerate(texts)] + [(node(1), texts[1])], "node binary, text string")
+    got = {frozenset((bytes(r.a), bytes(r.b))) for r in neardup.within_reach(mixed, table).collect()}
+    sets = [neardup.shingles(words(t)) for t in texts]
+    linked = {frozenset((node(i), node(j))) for i, j in combinations(range(len(texts)), 2)
+              if i // 3 != j // 3 and max(neardup.similarity(sets[i], sets[j])) >= neardup.THRESHOLD}
+    assert linked and linked <= got
+    assert len(got) < len(texts) ** 2 / 2
+
+
 def test_probability_jaccard():
     x, y = {1: 1, 2: 3, 3: 1}, {2: 1, 3: 2, 4: 5}
     weight = lambda d: {k: 1 + np.log(v) for k, v in d.items()}
