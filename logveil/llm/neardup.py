@@ -11,9 +11,10 @@ weighted shingles: it is linked if its probability Jaccard or its plain Jaccard
 similarity is ``THRESHOLD`` or more.  Classes are the connected components.
 
 Documents with the same words are one node, so copies cost a row each and no
-pair.  Within a bucket not all pairs are made: nodes meet the smallest node of
-their buckets first, then the largest, and as classes grow, only nodes outside
-the class that holds most of a bucket meet the members of other classes.
+pair.  Within a bucket not all pairs are made: nodes meet the most central node
+of their buckets first, that is the one with the most companions in all its
+buckets, then the smallest, and as classes grow, only nodes outside the class
+that holds most of a bucket meet the members of other classes.
 
 Of these last pairs only those are compared whose similarity can reach
 ``THRESHOLD``.  A shingle is rare if at most ``RARE`` of the nodes in question
@@ -306,15 +307,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.min(F.struct("id", "t")).alias("first"), F.count("*").alias("n")), "nodes")
     first = nodes.select("node", "first.id", "first.t")
     hashed = drawn.select("node", "id", "t", "bands").join(first, ["node", "id", "t"]).select("node", F.explode("bands").alias("bucket"))
-    shared = hashed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    shared = hashed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")) \
+        .where("lo < hi").drop("hi")
     members = staged(hashed.join(shared, "bucket"), "members")
+    ranked = members.join(members.groupBy("node").agg(F.sum("size").alias("rank")), "node")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("hub"))
+    members = staged(members.drop("size").join(hubs, "bucket"), "hubs")
     wanted = members.select("node").distinct().join(first, "node")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     rounds = _Rounds(staged(rows.join(wanted, ["id", "t"]).select("node", "text"), "texts"))
 
-    rounds.compare(members.groupBy("node").agg(F.min("lo").alias("a")).select("a", F.col("node").alias("b")).where("a < b"))
+    best = members.groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    rounds.compare(best.where("a <> b"))
+    rounds.compare(rounds.apart(members.select(F.col("hub.node").alias("hub"), "node"), "hub", "node"))
     rounds.compare(rounds.apart(members, "lo", "node"))
-    rounds.compare(rounds.apart(members, "node", "hi"))
     classed = _classed(members.select("bucket", "node"), rounds.classes, "node", "class").distinct()
     most = classed.groupBy("bucket", "class").count().groupBy("bucket").agg(
         F.max(F.struct("count", "class")).alias("top"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("top.class").alias("top"))
