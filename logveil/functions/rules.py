@@ -149,11 +149,16 @@ PSEUDONYM_FORMATS: dict[str, tuple[str, int, str]] = {
 
 # Forms for a backtracking engine, equal in what they match:
 #  2  a possessive tail, since a plain one recurses once per continuation line;
+#  5  the same for the parts of a path;
 #  8  an address can only start where its run of characters starts, or where the
-#     previous match ended, so the other starts need not be tried.
+#     previous match ended, so the other starts need not be tried;
+# 10  labels as one run of characters in which a letter follows every dot, since
+#     the plain form recurses once per label.
 _JAVA_FORMS = {
     2: lambda p: p[:-1] + "*+",
+    5: lambda p: p[:-1] + "*+",
     8: lambda p: r"(?:\G|(?<![a-zA-Z0-9._%+-]))" + p.replace("]+@", "]++@", 1),
+    10: lambda p: p.replace(r"(?:[a-zA-Z][a-zA-Z0-9-]*\.)+", r"(?=[a-zA-Z])(?:(?!\.(?![a-zA-Z]))[a-zA-Z0-9.-])+\."),
 }
 
 

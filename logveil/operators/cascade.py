@@ -66,11 +66,12 @@ def start(df: DataFrame, text: str, catalogue: Catalogue) -> DataFrame:
 
 
 def start_lines(df: DataFrame, line: str, line_no: str, catalogue: Catalogue) -> DataFrame:
-    """The same for rows that are single lines, all of them candidates."""
+    """The same for rows that are single lines, all of them candidates; line feeds within one keep their places."""
     marked = T.substitute(T.protect(line), T.candidate_regex(catalogue), T.CUT + "$0")
+    df = df.withColumn("_lines", F.expr(T.let("marked", marked, f"coalesce({T.pieces('marked')}, array(marked))")))
     df = df.withColumns({
-        "_hits": F.expr(_NO_HITS), "_rest": F.expr("array('')"), "_line_nos": F.expr(f"array({line_no})"),
-        "_lines": F.expr(f"array({marked})")})
+        "_hits": F.expr(_NO_HITS), "_rest": F.expr("transform(_lines, (l, i) -> IF(i = 0, '', '\\n'))"),
+        "_line_nos": F.expr(f"array_repeat({line_no}, size(_lines))")})
     return _with_masks(df, catalogue)
 
 

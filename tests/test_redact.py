@@ -2,10 +2,12 @@
 
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from logveil.functions import text as T
 from logveil.functions.rules import Catalogue
 from logveil.operators.redact import counts_map, findings, redact_corpus, redact_documents, redact_lines
 from logveil.sources.files import join_lines
@@ -186,3 +188,32 @@ def test_added_rule_and_subset(spark):
     assert redact_documents(documents(spark, {"a": "a@b.com password=x"}), "text", only).collect()[0].text == \
         "user001@redacted.com password=x"
     assert Catalogue.builtin().dataframe(spark).count() == 23
+
+
+def _all(spark, rows, pattern):
+    frame = spark.createDataFrame([(t,) for t in rows], "t string")
+    return [r[0] for r in frame.select(F.expr(f"regexp_extract_all(t, {T.literal(pattern)}, 0)")).collect()]
+
+
+def test_forms_match_alike(spark):
+    rng = random.Random(11)
+    parts = ["a", "1b", "local", "local-x", "corp", ".", ".", "-", " ", "\\", "\\\\", "K", "_", "$", "é"]
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    rows += ["a.1b.local", "a..local", "x.local.foo", "x.local.corp", "X.LOCAL", "-x.local", "1.x.local", "x.locals.local-a"]
+    for rule_id in (5, 10):
+        rule = Catalogue.builtin()[rule_id]
+        plain = replace(rule, java_pattern=None)
+        assert _all(spark, rows, rule.regex()) == _all(spark, rows, plain.regex())
+
+
+def test_long_runs(spark):
+    found = redact_documents(spark.createDataFrame(
+        [(1, "ab." * 30_000 + "local"), (2, "\\\\s" + "\\p" * 30_000)], "id bigint, text string"), "text").collect()
+    assert {r.id: r.text for r in found} == {1: "host001.redacted", 2: Catalogue.builtin()[5].replacement}
+
+
+def test_line_feeds_within_a_line(spark):
+    frame = spark.createDataFrame([(1, 1, "boom user=bob\n  at x\n password=hunter2 end\n"), (1, 2, "user=bob\nuser=amy"), (1, 3, None)],
+                                  "doc bigint, n bigint, line string")
+    got = {r.n: (r.line, [h.line_no for h in r.hits]) for r in redact_lines(frame, "doc", "n", "line").rows.collect()}
+    assert got == {1: ("boom user=user001\n  at x\n password=PASSWORD_REDACTED end\n", [1, 1]), 2: ("user=user001\nuser=user002", [2, 2]), 3: (None, [])}
