@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logveil.llm.common import held_out, map_batches
+from logveil.sources.staging import staged
 
 UNKNOWN = "und"
 WORD_SHARE, NGRAM_SHARE = 2e-5, 2e-6
@@ -105,39 +107,48 @@ class Model:
         return self.languages[best], float(odds[best] / odds.sum())
 
 
+def _counted(batches: Iterator[pa.RecordBatch], units: Callable[[list], Iterator[tuple[str, str, int]]]) -> Iterator[pa.RecordBatch]:
+    """Sums per language and unit of what ``units`` gives for the columns of each batch, passed on before they grow too many."""
+    held: Counter[tuple[str, str]] = Counter()
+
+    def out() -> pa.RecordBatch:
+        keys = list(held)
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
+             pa.array(list(held.values()), pa.int64())], names=["lang", "unit", "n"])
+        held.clear()
+        return batch
+
+    for batch in batches:
+        for language, unit, n in units([c.to_pylist() for c in batch.columns]):
+            held[language, unit] += n
+            if len(held) > REMEMBERED:
+                yield out()
+    if held:
+        yield out()
+
+
 def word_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """``(lang, word, n)`` over whole texts; tasks add up before they shuffle."""
-    def run(batches):
-        held: Counter[tuple[str, str]] = Counter()
-
-        def out() -> pa.RecordBatch:
-            keys = list(held)
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                 pa.array(list(held.values()), pa.int64())], names=["lang", "word", "n"])
-            held.clear()
-            return batch
-
-        for batch in batches:
-            for language, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for word, n in Counter(words_of(value.as_py())).items():
-                    held[language, word] += n
-                if len(held) > REMEMBERED:
-                    yield out()
-        if held:
-            yield out()
+    def units(columns: list) -> Iterator[tuple[str, str, int]]:
+        for language, value in zip(*columns):
+            for word, n in Counter(words_of(value)).items():
+                yield language, word, n
 
     rows = docs.where(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull()).select(F.col(lang).cast("string"), F.col(text))
-    return rows.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(lambda batches: _counted(batches, units), "lang string, unit string, n bigint")
+    return counted.groupBy("lang", F.col("unit").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
     """``(lang, gram, n)`` of counted words."""
-    marked = F.concat(F.lit("^"), "word", F.lit("$"))
-    grams = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(marked) - n + 1)), lambda i, n=n: F.substr(marked, i, F.lit(n)))
-        for n in range(1, NGRAM + 1)]))
-    return words.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    def units(columns: list) -> Iterator[tuple[str, str, int]]:
+        for language, word, n in zip(*columns):
+            for gram in _grams(word):
+                yield language, gram, n
+
+    counted = words.select("lang", "word", "n").mapInArrow(lambda batches: _counted(batches, units), "lang string, unit string, n bigint")
+    return counted.groupBy("lang", F.col("unit").alias("gram")).agg(F.sum("n").alias("n"))
 
 
 def _shares(counts: DataFrame, unit: str, least: float) -> dict[str, dict[str, float]]:
@@ -147,20 +158,18 @@ def _shares(counts: DataFrame, unit: str, least: float) -> dict[str, dict[str, f
     known = shares.where(F.col("share") >= least).select(unit).distinct()
     found: dict[str, dict[str, float]] = {}
     for r in shares.join(known, unit, "left_semi").groupBy(unit).agg(
-            F.collect_list(F.struct("lang", "share")).alias("in")).toLocalIterator():
+            F.collect_list(F.struct("lang", "share")).alias("in")).collect():
         found[r[0]] = {x["lang"]: x["share"] for x in r["in"]}
     return found
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """From all rows of ``docs`` that have a language and a text."""
-    from logveil.sources.staging import staged
-
     counts = staged(word_counts(docs, lang, text), "words")
     languages = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    words, grams = _shares(counts, "word", WORD_SHARE), _shares(gram_counts(counts), "gram", NGRAM_SHARE)
+    words, grams = _shares(counts, "word", WORD_SHARE), _shares(staged(gram_counts(counts), "grams"), "gram", NGRAM_SHARE)
     rows = [[of.get(x, 0.0) for x in languages] for of in (*words.values(), *grams.values())]
     logs = np.log(np.array([*rows, [0.0] * len(languages)]) + FLOOR)
     return Model(languages, {w: i for i, w in enumerate(words)}, {g: len(words) + i for i, g in enumerate(grams)}, logs)
