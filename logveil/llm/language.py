@@ -41,7 +41,7 @@ FLOOR = 1e-7
 TEMPERATURE = 8.0
 #: More languages than this are refused, as the broadcast tables have one column for each.
 MAX_LANGUAGES = 500
-#: Unseen words that a worker remembers, and distinct words it counts before it passes them on.
+#: Distinct words that a worker counts before it passes them on; it remembers four times as many scores of unseen words.
 REMEMBERED = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,41 +67,48 @@ class Model:
     logs: np.ndarray
 
     def __post_init__(self) -> None:
-        self.unseen: dict[str, np.ndarray] = {}
+        self.unseen: dict[str, int] = {}
+        self.scored = np.empty((0, len(self.languages)))
 
     def backoff(self, word: str) -> np.ndarray:
         """Log shares of an unseen word."""
-        if (found := self.unseen.get(word)) is not None:
-            return found
         marked, at, rows = f"^{word}$", 0, []
         while at < len(marked):
-            for n in range(NGRAM, 0, -1):
+            for n in range(min(NGRAM, len(marked) - at), 0, -1):
                 row = self.grams.get(marked[at:at + n])
-                if row is not None and at + n <= len(marked):
+                if row is not None:
                     rows.append(row)
                     at += n
                     break
             else:
                 rows.append(len(self.logs) - 1)
                 at += 1
-        found = self.logs[rows].mean(axis=0)
-        if len(self.unseen) >= REMEMBERED:
-            self.unseen.clear()
-        self.unseen[word] = found
-        return found
+        return self.logs.take(rows, axis=0).sum(axis=0) / len(rows)
+
+    def _remembered(self, word: str) -> int:
+        """The row of ``scored`` that holds an unseen word."""
+        row = self.unseen.get(word)
+        if row is None:
+            row = self.unseen[word] = len(self.unseen)
+            if row >= len(self.scored):
+                self.scored = np.concatenate([self.scored, np.empty((max(1024, len(self.scored)), len(self.languages)))])
+            self.scored[row] = self.backoff(word)
+        return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(words_of(text))
         if not counts or not self.languages:
             return UNKNOWN, 0.0
+        if len(self.unseen) * len(self.languages) >= 4 * REMEMBERED:
+            self.unseen.clear()
+            self.scored = self.scored[:0]
         known = [(self.words[w], n) for w, n in counts.items() if w in self.words]
+        unseen = [(self._remembered(w), n) for w, n in counts.items() if w not in self.words]
         total = np.zeros(len(self.languages))
-        if known:
-            rows, numbers = np.array(known).T
-            total += numbers @ self.logs[rows]
-        for w, n in counts.items():
-            if w not in self.words:
-                total += n * self.backoff(w)
+        for found, table in ((known, self.logs), (unseen, self.scored)):
+            if found:
+                rows, numbers = zip(*found)
+                total += np.array(numbers, float) @ table.take(rows, axis=0)
         odds = np.exp((total - total.max()) / TEMPERATURE)
         best = int(total.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
