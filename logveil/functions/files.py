@@ -44,6 +44,22 @@ def looks_binary(content: str) -> str:
                f"(sample RLIKE '\\\\x00' OR {controls} > {CONTROL_SHARE} * length(sample))")
 
 
+def holds_controls(content: str) -> str:
+    """A NUL anywhere, or too many control bytes in the whole content."""
+    controls = r"regexp_count(whole, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')"
+    return let("whole", f"decode({content}, 'ISO-8859-1')",
+               f"(contains(whole, '\\0') OR {controls} > {CONTROL_SHARE} * length(whole))")
+
+
+def route(path: str, content: str) -> str:
+    """What becomes of a file: ``copied`` if its name does not say text, else ``redacted`` or, if unreadable, ``quarantined``.
+
+    The encoding is told first, so that the zeros of UTF-16 are not taken for those of a binary file.
+    """
+    return (f"CASE WHEN {file_class(path)} = 'binary' THEN 'copied' WHEN {decoding_error(content)} IS NOT NULL THEN 'quarantined' "
+            f"WHEN {encoding(content)} != 'UTF-16' AND {holds_controls(content)} THEN 'quarantined' ELSE 'redacted' END")
+
+
 def encoding(content: str) -> str:
     """UTF-16 only with a byte order mark, else UTF-8 where it is valid, else Latin-1."""
     return (f"CASE WHEN hex(substring({content}, 1, 2)) IN ('FFFE', 'FEFF') THEN 'UTF-16' "

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 UNIQUE = "{UNIQUE}"
 
@@ -162,6 +163,11 @@ _JAVA_FORMS = {
 }
 
 
+def is_builtin(rule: Rule) -> bool:
+    """Whether a rule is one of the given ones, unchanged; only of those the package knows more than they say."""
+    return rule.rule_id < len(BUILTIN_RULES) and replace(rule, java_pattern=None) == BUILTIN_RULES[rule.rule_id]
+
+
 def pseudonym_format(category: str) -> tuple[str, int, str]:
     """Shape of a category's pseudonyms; categories of added rules get ``NAME_001``."""
     return PSEUDONYM_FORMATS.get(category, (category.upper() + "_", 3, ""))
@@ -228,8 +234,8 @@ class Catalogue:
 
     @property
     def added_rules(self) -> list[Rule]:
-        """Rules that are not built in."""
-        return [r for r in self.rules if r.rule_id >= len(BUILTIN_RULES)]
+        """Rules that are not built in, or are changed."""
+        return [r for r in self.rules if not is_builtin(r)]
 
     def stages(self) -> list[list[Rule]]:
         """Line rules in groups inside which pseudonym numbers may stay symbolic.
@@ -238,11 +244,14 @@ class Catalogue:
         has: after the network rules (a later rule wants 20 characters or more)
         and, since nothing is known of their patterns, at every added rule.
         """
-        groups: dict[int, list[Rule]] = {}
-        for r in self.line_rules:
-            key = 0 if r.rule_id <= 10 else 1 if r.rule_id < len(BUILTIN_RULES) else r.rule_id
-            groups.setdefault(key, []).append(r)
-        return [groups[k] for k in sorted(groups)]
+        key = lambda r: (0 if r.rule_id <= 10 else 1) if is_builtin(r) else f"own {r.rule_id}"
+        return [list(rules) for _, rules in groupby(self.line_rules, key)]
+
+    @property
+    def spread_categories(self) -> set[str]:
+        """Categories that give pseudonyms in more than one stage; their numbers go on from stage to stage."""
+        stages = [{r.category for r in rules if r.is_unique} for rules in self.stages()]
+        return {c for i, names in enumerate(stages) for c in names if any(c in other for other in stages[:i])}
 
     @property
     def unique_categories(self) -> list[str]:

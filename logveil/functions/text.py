@@ -8,7 +8,7 @@ expressions of the cascade cheap to build: they are parsed once, on the JVM.
 
 from __future__ import annotations
 
-from logveil.functions.rules import UNIQUE, Catalogue, Rule, pseudonym_format
+from logveil.functions.rules import UNIQUE, Catalogue, Rule, is_builtin, pseudonym_format
 
 # Control characters that logs do not hold.  OPEN and CLOSE frame a symbolic
 # pseudonym, CUT marks a place, ESCAPE protects raw occurrences.  They are in
@@ -97,7 +97,7 @@ def gate_mask(lowered: str, rules: list[Rule], marked: str | None = None) -> str
         return " | ".join(bit(i, r) for i, r in enumerate(rules)) or "0L"
     groups: dict[str, list[str]] = {}
     for i, r in enumerate(rules):
-        groups.setdefault(_ANCHORS.get(r.rule_id, ""), []).append(bit(i, r))
+        groups.setdefault(_ANCHORS.get(r.rule_id, "") if is_builtin(r) else "", []).append(bit(i, r))
     tried = []
     for anchors, bits in groups.items():
         if anchors:
@@ -279,4 +279,4 @@ def split_lines(text: str) -> str:
     """Lines without their ends; a final line feed opens no further line."""
     return let("parts", pieces(text),
                "transform(IF(element_at(parts, -1) = '', slice(parts, 1, size(parts) - 1), parts), "
-               "part -> regexp_replace(part, '\\r$', ''))")
+               "part -> regexp_replace(part, '\\r\\\\z', ''))")

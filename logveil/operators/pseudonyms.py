@@ -60,16 +60,43 @@ def _settle(df: DataFrame) -> DataFrame:
         "_hits": F.expr(T.when("_numbers IS NOT NULL", settled, "_hits"))}).drop("_numbers")
 
 
-def number_within_row(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Settle the symbols of a stage: first seen in the row, first numbered."""
+def _written(body: str) -> str:
+    """The body of a symbol with the symbols inside its value replaced by their numbers."""
+    value = f"decode(unhex(substring_index({body}, '=', -1)), 'UTF-8')"
+    return T.let("inner", value, T.when(T.has_symbols("inner"), T.symbol_body(f"substring_index({body}, '=', 1)", _resolve("inner")), body))
+
+
+def number_within_row(df: DataFrame, rules: list[Rule], spread: set[str] = frozenset()) -> DataFrame:
+    """Settle the symbols of a stage: first seen in the row, first numbered.
+
+    Values of the categories in ``spread`` are kept in ``_given`` for the stages
+    that follow, where they keep their numbers and new ones come after them.
+    """
     categories = unique_categories(rules)
     if not categories:
         return df
-    entries = ", ".join(
-        f"transform(filter(keys, k -> startswith(k, {T.literal(c + '=')})), (k, i) -> "
-        f"named_struct('key', k, 'number', {T.number_text(T.literal(c), '(i + 1)', [c])}))" for c in categories)
-    numbers = T.let("keys", cascade.symbolic_keys("_hits", rules), _hashed(f"concat({entries})"))
-    return _settle(cascade.barrier(df, _numbers=T.when(T.has_symbols("_text"), numbers)))
+    shared = [c for c in categories if c in spread]
+    if shared and "_given" not in df.columns:
+        df = df.withColumn("_given", F.expr("cast(array() AS array<struct<key:string,number:string>>)"))
+    found = []
+    for c in categories:
+        of = f"startswith(k, {T.literal(c + '=')})"
+        if c in spread:
+            given = f"filter(_given, g -> startswith(g.key, {T.literal(c + '=')}))"
+            found.append(f"transform(filter(keys, k -> {of} AND NOT exists(_given, g -> g.key = k)), (k, i) -> named_struct("
+                         f"'key', k, 'number', {T.number_text(T.literal(c), f'(size({given}) + i + 1)', [c])}))")
+        else:
+            found.append(f"transform(filter(keys, k -> {of}), (k, i) -> "
+                         f"named_struct('key', k, 'number', {T.number_text(T.literal(c), '(i + 1)', [c])}))")
+    entries = T.let("keys", cascade.symbolic_keys("_hits", rules), f"concat({', '.join([*found, *['_given'] * bool(shared)])})")
+    if not shared:
+        return _settle(cascade.barrier(df, _numbers=T.when(T.has_symbols("_text"), _hashed(entries))))
+    df = cascade.barrier(df, _fresh=T.when(T.has_symbols("_text"), entries))
+    df = cascade.barrier(df, _numbers=T.when("_fresh IS NOT NULL", _hashed("_fresh")))
+    kept = " OR ".join(f"startswith(e.key, {T.literal(c + '=')})" for c in sorted(spread))
+    df = cascade.barrier(df, _given=T.when("_fresh IS NOT NULL", (
+        f"transform(filter(_fresh, e -> {kept}), e -> named_struct('key', {_written('e.key')}, 'number', e.number))"), "_given"))
+    return _settle(df.drop("_fresh"))
 
 
 # --- dense numbers across rows -----------------------------------------------
@@ -171,17 +198,32 @@ def number_across_rows(df: DataFrame, rules: list[Rule], unit: list[str], scope:
     return settled.unionByName(cold), dictionary
 
 
-def readable(dictionary: DataFrame) -> DataFrame:
-    """``(scope, category, original, id, replacement)``, with values inside values written out."""
+def written_out(dictionary: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The entries without values inside values, and the others with these written out; ``known`` gives numbers, too."""
     plain = dictionary.filter(~F.expr(T.has_symbols("original")))
     nested = dictionary.filter(F.expr(T.has_symbols("original")))
     inner = nested.select("_scope", F.col("body").alias("_outer"), F.explode(F.array_distinct(
         F.expr(T.symbols("original")))).alias("body"))
-    numbers = inner.join(dictionary.select("_scope", "body", "number"), ["_scope", "body"]) \
-        .groupBy("_scope", F.col("_outer").alias("body")) \
-        .agg(F.collect_list(F.struct(F.col("body").alias("key"), "number")).alias("_entries")) \
+    numbers = dictionary.select("_scope", "body", "number")
+    if known is not None:
+        numbers = numbers.unionByName(known.select("_scope", "body", "number"))
+    number = F.coalesce("number", F.raise_error(F.concat(F.lit("no entry for "), "body")))
+    numbers = inner.join(numbers, ["_scope", "body"], "left").groupBy("_scope", F.col("_outer").alias("body")) \
+        .agg(F.collect_list(F.struct(F.col("body").alias("key"), number.alias("number"))).alias("_entries")) \
         .withColumn("_numbers", F.expr(_hashed("_entries")))
     written = nested.join(numbers, ["_scope", "body"]).withColumn("original", F.expr(_resolve("original")))
-    columns = [F.col("_scope").alias("scope"), "category", F.expr(T.unprotect("original")).alias("original"),
-               "id", "replacement"]
-    return plain.select(*columns).unionByName(written.select(*columns))
+    return plain, written.select(plain.columns)
+
+
+def given_before(known: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Entries of earlier stages as a stage with ``rules`` meets them: values inside values are numbers by now."""
+    _, nested = written_out(known)
+    nested = nested.withColumn("body", F.expr(T.symbol_body("category", "original"))).join(known, ["_scope", "body"], "left_anti")
+    return known.unionByName(nested.select(known.columns)).filter(F.col("category").isin(unique_categories(rules)))
+
+
+def readable(dictionary: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``(scope, category, original, id, replacement)``, with values inside values written out."""
+    plain, written = written_out(dictionary, known)
+    return plain.unionByName(written).select(
+        F.col("_scope").alias("scope"), "category", F.expr(T.unprotect("original")).alias("original"), "id", "replacement")

@@ -12,7 +12,7 @@ from logveil.functions import text as T
 from logveil.functions.rules import Catalogue
 from logveil.operators import cascade
 from logveil.operators.blocks import collapse_blocks
-from logveil.operators.pseudonyms import CORPUS, DOC, number_across_rows, number_within_row, readable
+from logveil.operators.pseudonyms import CORPUS, DOC, given_before, number_across_rows, number_within_row, readable
 
 
 def redact_documents(df: DataFrame, text_col: str, catalogue: Catalogue | None = None) -> DataFrame:
@@ -24,8 +24,8 @@ def redact_documents(df: DataFrame, text_col: str, catalogue: Catalogue | None =
     catalogue = catalogue or Catalogue.builtin()
     df = cascade.start(df, text_col, catalogue)
     for rules in catalogue.stages():
-        df = number_within_row(cascade.run_stage(df, rules, catalogue), rules)
-    return cascade.finish(df, text_col)
+        df = number_within_row(cascade.run_stage(df, rules, catalogue), rules, catalogue.spread_categories)
+    return cascade.finish(df.drop("_given"), text_col)
 
 
 @dataclass
@@ -47,7 +47,10 @@ def _across(df: DataFrame, rules_by_stage, catalogue, unit, scope, line_no, know
     for rules in rules_by_stage:
         df = cascade.run_stage(df, rules, catalogue)
         if any(r.is_unique for r in rules):
-            df, found = number_across_rows(df, rules, unit, scope, line_no, known)
+            before = known
+            if dictionaries and any(r.category in catalogue.spread_categories for r in rules if r.is_unique):
+                before = given_before(reduce(DataFrame.unionByName, [known, *dictionaries] if known is not None else dictionaries), rules)
+            df, found = number_across_rows(df, rules, unit, scope, line_no, before)
             dictionaries.append(found)
     if not dictionaries:
         return df, None
@@ -66,7 +69,7 @@ def redact_corpus(df: DataFrame, id_col: str, text_col: str, catalogue: Catalogu
     idle = base.filter("_text IS NULL OR _text = ''")
     busy, entries = _across(base.filter("_text != ''"), catalogue.stages(), catalogue, [id_col], CORPUS, "0", known)
     rows = cascade.finish(busy.unionByName(idle), text_col).drop("_scope")
-    return Redaction(rows, None if entries is None else readable(entries), entries)
+    return Redaction(rows, None if entries is None else readable(entries, known), entries)
 
 
 def redact_lines(df: DataFrame, doc_col: str, line_no_col: str, line_col: str, scope: str = DOC,
@@ -92,7 +95,7 @@ def redact_lines(df: DataFrame, doc_col: str, line_no_col: str, line_col: str, s
     busy, entries = _across(base, catalogue.stages(), catalogue, [doc_col, line_no_col], scope, line_no_col, known)
     done = cascade.finish(busy, line_col).drop("_scope") \
         .withColumn("hits", F.concat("_block_hits", "hits")).drop("_block_hits")
-    return Redaction(done.unionByName(idle), None if entries is None else readable(entries), entries)
+    return Redaction(done.unionByName(idle), None if entries is None else readable(entries, known), entries)
 
 
 def findings(rows: DataFrame, *id_cols: str) -> DataFrame:

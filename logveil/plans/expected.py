@@ -7,9 +7,8 @@ from logveil.functions.rules import Catalogue
 from logveil.operators.audits import allowed_shapes
 from logveil.plans import oracle as O
 from logveil.plans import views
-from logveil.plans.queries import CATALOGUE, CUSTOM
+from logveil.plans.queries import CATALOGUE, CUSTOM, SAME
 from logveil.sources import synth
-from logveil.sources.files import LINES_PER_PART
 
 LINE_RULES = CATALOGUE.select(rule_ids=[r.rule_id for r in CATALOGUE.line_rules])
 LINES_AS_DOCS = f"SELECT doc_id * 1000 + line_no AS doc_id, line AS text FROM ({O.LOG_LINES}) AS log_lines"
@@ -25,8 +24,8 @@ def _redacted(docs: str, catalogue: Catalogue = CATALOGUE, scope: str = "doc") -
     return O.cascade(docs, catalogue, scope) + "SELECT doc_id, text FROM redacted"
 
 
-def _dictionary(scope: str) -> str:
-    return O.cascade(O.LOG_DOCS, CATALOGUE, scope) + \
+def _dictionary(scope: str, catalogue: Catalogue = CATALOGUE) -> str:
+    return O.cascade(O.LOG_DOCS, catalogue, scope) + \
         "SELECT scope, category, original, cast(id AS bigint) AS id, replacement FROM dictionary"
 
 
@@ -81,6 +80,16 @@ def _sniffed() -> str:
             f"FROM ({CONTENTS}) AS contents) AS sampled")
 
 
+def _routed() -> str:
+    controls = [f"{i:02X}" for i in range(32) if i not in (9, 10, 13)]
+    changed = "CASE WHEN doc_id % 10 = 0 THEN 'FFFE00' WHEN doc_id % 15 = 5 THEN hexed || '00' ELSE hexed END"
+    return (f"SELECT doc_id, CASE WHEN {_suffix('path')} NOT IN ({_names(P.TEXT_EXTENSIONS)}) THEN 'copied' "
+            "WHEN starts_with(bytes, 'FFFE') THEN CASE WHEN length(bytes) % 4 = 0 THEN 'redacted' ELSE 'quarantined' END "
+            "WHEN list_contains(regexp_extract_all(bytes, '..'), '00') OR len(list_filter(regexp_extract_all(bytes, '..'), "
+            f"lambda p: p IN ({_names(controls)}))) > 0.1 * length(bytes) / 2 THEN 'quarantined' ELSE 'redacted' END AS outcome "
+            f"FROM ({FILES}) AS files JOIN (SELECT doc_id, {changed} AS bytes FROM ({CONTENTS}) AS contents) AS c USING (doc_id)")
+
+
 def _decoded() -> str:
     latin = "array_to_string(list_transform(regexp_extract_all(hexed, '..'), lambda h: chr(cast('0x' || h AS integer))), '')"
     return (
@@ -171,11 +180,11 @@ def statements() -> dict[str, str]:
     sql["classify_files"] = MANIFEST
     sql["size_class"] = f"SELECT size_class, count(*) AS files FROM ({MANIFEST}) AS manifest GROUP BY size_class"
     sql["binary_sniff"] = _sniffed()
+    sql["tree_routing"] = _routed()
     sql["decode_text"] = _decoded()
     sql["line_split"] = _split()
     sql["line_reassemble"] = (
-        f"SELECT doc_id, cast(floor((line_no - 1) / {LINES_PER_PART}) AS bigint) AS part, "
-        f"string_agg(line, chr(10) ORDER BY line_no) AS text FROM ({_split()}) AS s GROUP BY 1, 2")
+        f"SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM ({_split()}) AS s GROUP BY doc_id")
     sql["sanitize_path"] = (
         "SELECT doc_id, array_to_string(list_transform(string_split(path, '/'), lambda p: CASE WHEN "
         f"upper(regexp_replace(p, '(.)\\.[^.]+$', '\\1')) IN ({_names(P.RESERVED_NAMES)}) THEN '_' || p ELSE p END), '/') "
@@ -197,6 +206,8 @@ def statements() -> dict[str, str]:
     sql["redact_full_corpus"] = _redacted(O.LOG_DOCS, scope="corpus")
     sql["redact_subset"] = _redacted(O.LOG_DOCS, CATALOGUE.select(categories=["email", "internal_ip", "hostname", "username"]))
     sql["redact_custom"] = _redacted(O.LOG_DOCS, CUSTOM)
+    sql["redact_custom_same_category"] = _redacted(O.LOG_DOCS, SAME)
+    sql["pseudonym_dictionary_same_category"] = _dictionary("corpus", SAME)
     sql["redact_lines_doc"] = _from_cascade(
         "SELECT doc_id, cast(length(text) - length(replace(text, chr(10), '')) + 1 AS bigint) AS lines, "
         "md5(text) AS digest FROM redacted")

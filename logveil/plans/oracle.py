@@ -138,13 +138,26 @@ def cascade(docs: str, catalogue: Catalogue, scope: str = "doc") -> str:
             seen = ("SELECT scope, category, original, min(struct_pack(l := line_no, r := rule, p := pos)) AS seen "
                     f"FROM ({' UNION ALL '.join(unique)}) GROUP BY scope, category, original")
             order = "seen" if scope == "doc" else "md5(original), original"
-            ctes.append((f"numbered{number}", f"SELECT *, row_number() OVER (PARTITION BY scope, category ORDER BY {order}) "
-                                              f"AS id FROM ({seen})"))
-            ctes.append((f"d{number}", f"SELECT scope, category, original, id, category || '=' || hex(original) AS body, "
+            # A category that an earlier stage numbered goes on from there.
+            before, lookup = "", f"d{number}"
+            if dictionaries:
+                ctes.append((f"e{number}", " UNION ALL ".join(dictionaries)))
+                ctes.append((f"w{number}", resolved(f"e{number}", ["scope", "body"], "original", f"e{number}",
+                                                    ["category", "id", "number", "replacement"])))
+                seen = f"SELECT s.* FROM ({seen}) s ANTI JOIN w{number} w USING (scope, category, original)"
+                before = (f" + coalesce((SELECT max(w.id) FROM w{number} w WHERE w.scope = seen_values.scope "
+                          "AND w.category = seen_values.category), 0)")
+                lookup = f"l{number}"
+            ctes.append((f"numbered{number}", f"SELECT *, row_number() OVER (PARTITION BY scope, category ORDER BY {order})"
+                                              f"{before} AS id FROM ({seen}) AS seen_values"))
+            body = "category || '=' || hex(original) AS body"
+            ctes.append((f"d{number}", f"SELECT scope, category, original, id, {body}, "
                                        f"{number_text('category', 'id')} AS number, "
                                        f"{pseudonym('category', 'id', catalogue.unique_categories)} AS replacement FROM numbered{number}"))
+            if dictionaries:
+                ctes.append((lookup, f"SELECT scope, body, number FROM d{number} UNION ALL SELECT scope, {body}, number FROM w{number}"))
             dictionaries.append(f"SELECT * FROM d{number}")
-            ctes.append((f"s{number}", resolved(previous, ["doc_id", "line_no"], "line", f"d{number}", carried)))
+            ctes.append((f"s{number}", resolved(previous, ["doc_id", "line_no"], "line", lookup, carried)))
             previous = f"s{number}"
     ctes.append(("redacted", f"SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM {previous} GROUP BY doc_id"))
     if dictionaries:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,9 @@ from logveil.streaming.masks import mask_stream, running_counts
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE = Catalogue.builtin()
 CUSTOM = CATALOGUE.add("ticket", r"\b(?:INC|CHG)-?\d{4,}\b|iid=\d+", "{UNIQUE}", ["inc", "chg", "iid="])
+#: Two added rules of one category, and one of a built-in category.
+SAME = CATALOGUE.add("ticket", r"iid=\d+", "{UNIQUE}", ["iid="]).add("ticket", r"attempt \d+", "{UNIQUE}", ["attempt "]) \
+    .add("hostname", r"org\.sample\.[A-Za-z]+", "{UNIQUE}.redacted", ["org.sample"])
 BIGINT = "cast({} AS bigint)".format
 
 
@@ -94,6 +97,13 @@ def binary_sniff(spark, sf_dir):
     return views.contents(spark, sf_dir).select("doc_id", F.expr(P.looks_binary("content")).alias("is_binary"))
 
 
+def tree_routing(spark, sf_dir):
+    """What becomes of each file; none is left out."""
+    found = views.tree(spark, sf_dir)
+    outcomes = {"redacted": sources.text_files, "copied": sources.untouched_files, "quarantined": sources.rejected_files}
+    return reduce(DataFrame.unionByName, (of(found).select("doc_id", F.lit(name).alias("outcome")) for name, of in outcomes.items()))
+
+
 def decode_text(spark, sf_dir):
     return views.contents(spark, sf_dir).withColumn("encoding", F.expr(P.encoding("content"))) \
         .withColumn("decoded", F.expr(P.decoded("content"))) \
@@ -170,6 +180,15 @@ def redact_custom(spark, sf_dir):
     return redact_documents(views.log_docs(spark, sf_dir), "text", CUSTOM).select("doc_id", "text")
 
 
+def redact_custom_same_category(spark, sf_dir):
+    """Categories with several rules have one row of numbers."""
+    return redact_documents(views.log_docs(spark, sf_dir), "text", SAME).select("doc_id", "text")
+
+
+def pseudonym_dictionary_same_category(spark, sf_dir):
+    return redact_corpus(views.log_docs(spark, sf_dir), "doc_id", "text", SAME).dictionary
+
+
 def redact_lines_doc(spark, sf_dir):
     """The same as ``redact_full_doc`` by way of lines and barriers, counted per category."""
     lines = views.log_lines(spark, sf_dir)
@@ -212,7 +231,7 @@ def pseudonym_format(spark, sf_dir):
 def sql_block_islands(spark, sf_dir):
     lines = views.log_lines(spark, sf_dir)
     done = collapse_blocks(lines, "doc_id", "line_no", "line", CATALOGUE)
-    return sources.join_lines(done, "doc_id", "line_no", "line").drop("part")
+    return sources.join_lines(done, "doc_id", "line_no", "line")
 
 
 # --- counts and reports ------------------------------------------------------------------
@@ -400,11 +419,11 @@ def registry() -> dict[str, Query]:
         named[f"synth_mix_{permille:03d}"] = partial(synth_mix, permille)
     for query in (
             keyword_prefilter, present_keywords, applicable_rules, multiline_gate, candidate_lines, classify_files,
-            size_class, binary_sniff, decode_text, line_split, line_reassemble, sanitize_path, output_path,
+            size_class, binary_sniff, tree_routing, decode_text, line_split, line_reassemble, sanitize_path, output_path,
             file_roundtrip, synth_log_lines, synth_expected_counts, redact_static, redact_full_doc,
-            redact_full_corpus, redact_subset, redact_custom, redact_lines_doc, documents_redacted,
+            redact_full_corpus, redact_subset, redact_custom, redact_custom_same_category, redact_lines_doc, documents_redacted,
             conversations_redacted, pages_redacted, pseudonym_dictionary_doc, pseudonym_dictionary_corpus,
-            pseudonym_format, sql_block_islands, counts_by_doc, counts_total, replacements_by_doc,
+            pseudonym_dictionary_same_category, pseudonym_format, sql_block_islands, counts_by_doc, counts_total, replacements_by_doc,
             distinct_originals, manifest_rollup, throughput_report, time_left, compression_ratio, format_duration,
             top_errors, audit_expected, audit_line_count, audit_clean_lines, audit_indentation, audit_json,
             audit_bijection, audit_residual, audit_length_ratio, audit_utf8, audit_complete, stream_redact,

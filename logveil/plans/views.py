@@ -22,7 +22,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_lines(log_lines(spark, sf_dir), "doc_id", "line_no", "line").drop("part")
+    return join_lines(log_lines(spark, sf_dir), "doc_id", "line_no", "line")
 
 
 EXTENSIONS = (".log", ".TXT", ".json", ".bin", ".xml", ".yaml", ".png", ".properties", ".Html", "", ".conf", ".gz")
@@ -58,3 +58,10 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexed = spark.sql(contents_sql().replace("FROM documents", "FROM {documents}"),
                       documents=table(spark, sf_dir, "documents"))
     return hexed.select("doc_id", F.unhex("hexed").alias("content"))
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, path, content)``: the contents under their names, some of them cut UTF-16 or with a zero at the very end."""
+    named = files(spark, sf_dir).select("doc_id", "path").join(contents(spark, sf_dir), "doc_id")
+    return named.withColumn("content", F.expr(
+        "CASE WHEN doc_id % 10 = 0 THEN X'FFFE00' WHEN doc_id % 15 = 5 THEN concat(content, X'00') ELSE content END"))

@@ -9,7 +9,6 @@ from logveil.functions import files as P
 from logveil.functions import text as T
 from logveil.sources.staging import staged
 
-LINES_PER_PART = 65536
 BROADCAST_SPLITS = 200_000
 
 
@@ -40,15 +39,19 @@ def manifest(files: DataFrame) -> DataFrame:
 
 
 def text_files(files: DataFrame) -> DataFrame:
-    """The files to redact, decoded; names say text, content does not look binary."""
-    return files.filter(F.expr(P.file_class("path")) == "text").filter(~F.expr(P.looks_binary("content"))) \
-        .select("path", "size", F.expr(P.decoded("content")).alias("text"))
+    """The files to redact, decoded: names say text, and so does all of the content."""
+    return files.filter(f"{P.route('path', 'content')} = 'redacted'").withColumn("text", F.expr(P.decoded("content"))).drop("content")
 
 
 def untouched_files(files: DataFrame) -> DataFrame:
-    """The files to pass on as they are: all that ``text_files`` leaves."""
-    binary = f"{P.file_class('path')} = 'binary' OR {P.looks_binary('content')}"
-    return files.filter(F.expr(binary)).select("path", "size", "content")
+    """The files to pass on as they are: those whose names do not say text."""
+    return files.filter(f"{P.route('path', 'content')} = 'copied'")
+
+
+def rejected_files(files: DataFrame) -> DataFrame:
+    """The files named as text that cannot be read as such, with the reason as ``error``; never to be passed on."""
+    return files.filter(f"{P.route('path', 'content')} = 'quarantined'") \
+        .withColumn("error", F.expr(f"coalesce({P.decoding_error('content')}, 'looks binary')"))
 
 
 def scan_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -56,22 +59,25 @@ def scan_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
     A file is read in splits.  A first pass counts the lines of each, without
     keeping them; the second adds what precedes a split to the place within it.
-    No file passes through one task, and no line is moved to be numbered.
+    No file passes through one task, and no line is moved to be numbered.  Only a
+    line feed ends a line, and one carriage return before it is cut off.  The
+    job fails if the second pass meets a split that the first one did not.
     """
     # Both passes must cut the files alike, however many executors there are by then.
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root).select(
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(root).select(
         _relative(F.col("_metadata.file_path"), root).alias("path"),
         F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+        F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", r"\r\z", "").alias("line"))
     earlier = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     starts = staged(lines.groupBy("path", "_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_from")).select(
         "path", "_split", "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), "splits")
     if starts.count() <= BROADCAST_SPLITS:
         starts = F.broadcast(starts)
-    return lines.join(starts, ["path", "_split"]).select(
-        "path", (F.col("_before") + F.col("_at") - F.col("_from") + 1).alias("line_no"), "line")
+    changed = F.raise_error(F.concat(F.lit("changed between two passes: "), "path"))
+    return lines.join(starts, ["path", "_split"], "left").select("path", F.when(F.col("_from").isNull(), changed).otherwise(
+        F.col("_before") + F.col("_at") - F.col("_from") + 1).alias("line_no"), "line")
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -81,14 +87,12 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def join_lines(lines: DataFrame, id_col: str, line_no_col: str, line_col: str, text_name: str = "text") -> DataFrame:
-    """``(id, part, text)``: documents back from their lines.
+    """``(id, text)``: documents back from their lines, a missing line as an empty one.
 
-    A document of up to LINES_PER_PART lines is one part; a larger one, which might
-    not fit a row, stays in several, in order.
+    A document is a row, so it must fit one; longer logs stay as lines (``redact_lines``).
     """
-    part = F.floor((F.col(line_no_col) - 1) / LINES_PER_PART).alias("part")
-    return lines.groupBy(id_col, part).agg(F.expr(
-        f"array_join(transform(array_sort(collect_list(struct({line_no_col}, {line_col}))), x -> x.{line_col}), '\\n')")
+    return lines.groupBy(id_col).agg(F.expr(
+        f"array_join(transform(array_sort(collect_list(struct({line_no_col}, {line_col}))), x -> coalesce(x.{line_col}, '')), '\\n')")
         .alias(text_name))
 
 

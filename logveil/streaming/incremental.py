@@ -27,7 +27,10 @@ def known_entries(spark: SparkSession, dictionary_path: str, before: int | None
 
 def read_dictionary(spark: SparkSession, dictionary_path: str) -> DataFrame:
     """The dictionary so far: ``(scope, category, original, id, replacement)``."""
-    return readable(known_entries(spark, dictionary_path))
+    entries = known_entries(spark, dictionary_path)
+    if entries is None:
+        return spark.createDataFrame([], "scope string, category string, original string, id bigint, replacement string")
+    return readable(entries)
 
 
 def batch_redactor(doc_col: str, line_no_col: str, line_col: str, output_path: str, dictionary_path: str,

@@ -48,15 +48,18 @@ def test_scan_classify_and_decode(spark, tmp_path):
     (tmp_path / "logs" / "a.log").write_bytes(b"user=bob\n")
     (tmp_path / "logs" / "deep" / "b.txt").write_bytes("pwd=ü".encode("latin-1"))
     (tmp_path / "logs" / "c.log").write_bytes(b"\x00\x01\x02")
+    (tmp_path / "logs" / "late.log").write_bytes(b"user=bob\n" * 2000 + b"\x00")
+    (tmp_path / "logs" / "wide.log").write_bytes("user=zoë\n".encode("utf-16"))
     (tmp_path / "data.dat").write_bytes(bytes(range(256)) * 100)
     found = sources.scan_files(spark, str(tmp_path))
     assert {r.path: r.size for r in found.select("path", "size").collect()} == \
-        {"logs/a.log": 9, "logs/deep/b.txt": 5, "logs/c.log": 3, "data.dat": 25600}
+        {"logs/a.log": 9, "logs/deep/b.txt": 5, "logs/c.log": 3, "logs/late.log": 18001, "logs/wide.log": 20, "data.dat": 25600}
     assert {r.path: r.text for r in sources.text_files(found).collect()} == \
-        {"logs/a.log": "user=bob\n", "logs/deep/b.txt": "pwd=ü"}
-    assert {r.path for r in sources.untouched_files(found).select("path").collect()} == {"logs/c.log", "data.dat"}
+        {"logs/a.log": "user=bob\n", "logs/deep/b.txt": "pwd=ü", "logs/wide.log": "user=zoë\n"}
+    assert {r.path for r in sources.untouched_files(found).select("path").collect()} == {"data.dat"}
+    assert {r.path: r.error for r in sources.rejected_files(found).collect()} == {"logs/c.log": "looks binary", "logs/late.log": "looks binary"}
     rollup = {(r["class"], r.size_class): r.files for r in reports.manifest_rollup(sources.manifest(found)).collect()}
-    assert rollup[("all", "all")] == 4 and rollup[("text", "all")] == 3
+    assert rollup[("all", "all")] == 6 and rollup[("text", "all")] == 5
 
 
 @pytest.mark.parametrize("split", ["64m", "1000"])
@@ -92,11 +95,16 @@ def test_quarantine(spark):
     assert {r.path: r.error for r in bad.collect()} == {"odd": "invalid UTF-16", "lone": "invalid UTF-16", "none": "no content"}
 
 
-def test_long_documents_stay_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(sources, "LINES_PER_PART", 10)
-    lines = spark.range(25).select(F.lit(1).alias("doc"), (F.col("id") + 1).alias("n"), F.col("id").cast("string").alias("line"))
-    parts = {r.part: r.text.split("\n") for r in sources.join_lines(lines, "doc", "n", "line").collect()}
-    assert parts == {0: [str(i) for i in range(10)], 1: [str(i) for i in range(10, 20)], 2: [str(i) for i in range(20, 25)]}
+def test_long_documents_stay_whole(spark):
+    lines = spark.range(70_000).select(F.lit(1).alias("doc"), (F.col("id") + 1).alias("n"), F.col("id").cast("string").alias("line"))
+    assert [r.text for r in sources.join_lines(lines, "doc", "n", "line").collect()] == ["\n".join(map(str, range(70_000)))]
+    lines = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "c")], "doc int, n int, line string")
+    assert [r.text for r in sources.join_lines(lines, "doc", "n", "line").collect()] == ["a\n\nc"]
+
+
+def test_only_line_feeds_end_lines(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"one\rtwo\r\nthree\r\r\nfour")
+    assert {r.line_no: r.line for r in sources.scan_lines(spark, str(tmp_path)).collect()} == {1: "one\rtwo", 2: "three\r", 3: "four"}
 
 
 def test_staged_tables_are_released(spark):

@@ -3,8 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from logveil.functions.rules import Catalogue, Rule
 from logveil.operators import pseudonyms
-from logveil.operators.redact import redact_lines
+from logveil.operators.redact import redact_corpus, redact_documents, redact_lines
 from logveil.streaming.incremental import batch_redactor, read_dictionary, redact_stream
 from logveil.streaming.masks import mask_stream, windowed_counts
 
@@ -92,3 +93,33 @@ def test_rows_without_an_id_are_kept(spark):
     assert sorted(r.line for r in done.rows.collect()) == [
         "CERTIFICATE_REDACTED", "QUERY_REDACTED", "plain", "user001@redacted.com",
         "user001@redacted.com user002@redacted.com", "user=user001", "user=user001"]
+
+
+def test_rules_of_one_category_share_its_numbers(spark):
+    rules = Catalogue.builtin().add("hostname", r"\b[a-z]+\.mycompany\.com\b", "{UNIQUE}.redacted", ["mycompany"]) \
+        .add("ticket", r"INC-\d+", "{UNIQUE}", ["inc-"]).add("ticket", r"CHG-\d+|INC-\d+", "{UNIQUE}", ["chg-"])
+    docs = spark.createDataFrame([(1, "server1.local and x.mycompany.com\nINC-1 CHG-2 y.mycompany.com"), (2, "CHG-9"), (3, None)], "doc int, text string")
+    texts = {r.doc: r.text for r in redact_documents(docs, "text", rules).collect()}
+    assert texts == {1: "host001.redacted and host002.redacted\nTICKET_001 TICKET_002 host003.redacted", 2: "TICKET_001", 3: None}
+    done = redact_corpus(docs, "doc", "text", rules)
+    found = done.dictionary.collect()
+    assert len(found) == 6 and len({(r.category, r.id) for r in found}) == 6 and len({r.replacement for r in found}) == 6
+    more = redact_corpus(docs.select("doc", F.concat("text", F.lit(" z.mycompany.com")).alias("text")), "doc", "text", rules, done.entries)
+    assert [(r.original, r.id) for r in more.dictionary.collect()] == [("z.mycompany.com", 4)]
+
+
+def test_dictionary_of_a_later_run_is_whole(spark):
+    first = redact_corpus(spark.createDataFrame([(1, "site=/views/a0/b")], "doc int, text string"), "doc", "text")
+    later = redact_corpus(spark.createDataFrame([(2, "site=/views/a0/c and wb=/views/a0")], "doc int, text string"), "doc", "text", known=first.entries)
+    assert later.dictionary.count() == later.entries.count()
+    assert all(r.original[-1].isalnum() and not r.original.endswith("entity") for r in later.dictionary.collect())
+
+
+def test_own_catalogue_with_ids_from_zero(spark):
+    rules = Catalogue([Rule(0, "ticket", r"INC\d+", "{UNIQUE}", ("inc",))])
+    docs = spark.createDataFrame([(1, "see INC77\nINC5 INC77")], "doc int, text string")
+    assert redact_documents(docs, "text", rules).first().text == "see TICKET_001\nTICKET_002 TICKET_001"
+
+
+def test_dictionary_before_the_first_batch_is_empty(spark, tmp_path):
+    assert read_dictionary(spark, str(tmp_path / "none")).count() == 0
