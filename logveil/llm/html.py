@@ -76,11 +76,20 @@ def parse(html: str) -> Element:
     """The tree of a page; texts have their character references decoded."""
     root, at = Element("html"), 0
     open_: list[Element] = [root]
+    # places of the open elements by tag and of the walls among them, so that no tag searches a deep page
+    places: dict[str, list[int]] = {}
+    walls: list[int] = []
 
     def text(upto: int) -> None:
         if upto > at:
             open_[-1].children.append(unescape(html[at:upto]))
 
+    def cut(place: int) -> None:
+        while len(open_) > place:
+            places[open_.pop().tag].pop()
+        while walls and walls[-1] >= place:
+            walls.pop()
+
     while m := _TOKEN.search(html, at):
         text(m.start())
         at = m.end()
@@ -90,16 +99,12 @@ def parse(html: str) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
-            place = next((i for i in range(len(open_) - 1, 0, -1) if open_[i].tag == tag), 0)
-            if place and not (tag in INLINE | {"p"} and any(e.tag in WALLS for e in open_[place + 1:])):
-                del open_[place:]
+            if places.get(tag) and not ((tag in INLINE or tag == "p") and walls and walls[-1] > places[tag][-1]):
+                cut(places[tag][-1])
             continue
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in ENDS.get(tag, ()):
-                del open_[i:]
-                break
-            if open_[i].tag in WALLS:
-                break
+        ended = max((places[t][-1] for t in ENDS.get(tag, ()) if places.get(t)), default=0)
+        if ended and not (walls and walls[-1] > ended):
+            cut(ended)
         if tag in ("html", "body") and tag == open_[-1].tag:
             continue
         element = Element(tag, m[3].strip().removesuffix("/"))
@@ -108,6 +113,9 @@ def parse(html: str) -> Element:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(html, at)
             at = end.end() if end else len(html)
         elif tag not in VOID:
+            places.setdefault(tag, []).append(len(open_))
+            if tag in WALLS:
+                walls.append(len(open_))
             open_.append(element)
     text(len(html))
     return root
@@ -137,25 +145,38 @@ def is_dropped(element: Element, inside: bool) -> bool:
     return False
 
 
-def _hashed(element: Element, inside: bool, out: list[tuple[Element, bytes]]) -> tuple[bytes, bool]:
-    """The hash of a subtree, and whether it has prose; ``out`` gets what may be template."""
-    inside = inside or element.tag in ("article", "main")
-    made, prose = hashlib.blake2b(f"{element.tag} {element.attributes}".encode("utf-8", "replace"), digest_size=16), element.tag in PROSE
-    own = [(_hashed(c, inside, out) if isinstance(c, Element) else (_SPACE.sub(" ", c).strip().encode("utf-8", "replace"), False))
-           for c in element.children if not (isinstance(c, Element) and is_dropped(c, inside))]
-    for value, child_prose in own:
-        made.update(b"\x00" + value)
-        prose = prose or child_prose
-    digest = made.digest()
-    if element.tag not in SAFE and element.tag not in INLINE and not (inside and prose):
-        out.append((element, digest))
-    return digest, prose
+def _hashed(root: Element, out: list[tuple[Element, bytes]]) -> bytes:
+    """The hash of a tree; ``out`` gets what may be template.  A stack of its own takes pages of any depth."""
+    stack: list[list] = []
+
+    def enter(element: Element, inside: bool) -> None:
+        made = hashlib.blake2b(f"{element.tag} {element.attributes}".encode("utf-8", "replace"), digest_size=16)
+        stack.append([element, inside or element.tag in ("article", "main"), iter(element.children), made, element.tag in PROSE])
+
+    enter(root, False)
+    while True:
+        element, inside, children, made, prose = stack[-1]
+        for child in children:
+            if not isinstance(child, Element):
+                made.update(b"\x00" + _SPACE.sub(" ", child).strip().encode("utf-8", "replace"))
+            elif not is_dropped(child, inside):
+                enter(child, inside)
+                break
+        else:
+            stack.pop()
+            digest = made.digest()
+            if element.tag not in SAFE and element.tag not in INLINE and not (inside and prose):
+                out.append((element, digest))
+            if not stack:
+                return digest
+            stack[-1][3].update(b"\x00" + digest)
+            stack[-1][4] = stack[-1][4] or prose
 
 
 def subtrees(root: Element) -> tuple[bytes, list[tuple[Element, bytes]]]:
     """The hash of a page's body, and the subtrees that may be template."""
     out: list[tuple[Element, bytes]] = []
-    body, _ = _hashed(root, False, out)
+    body = _hashed(root, out)
     return body, [x for x in out if x[0].children]
 
 
@@ -169,22 +190,23 @@ def blocks(element: Element, gone: set[int], inside: bool = False) -> list[str]:
             out.append(line)
         held.clear()
 
-    def walk(e: Element, inside: bool) -> None:
-        inside = inside or e.tag in ("article", "main")
-        for child in e.children:
+    stack = [(element, inside or element.tag in ("article", "main"), iter(element.children))]
+    while stack:
+        e, inside, children = stack[-1]
+        for child in children:
             if isinstance(child, str):
                 held.append(child)
             elif child.tag in ("br", "hr"):
                 close()
             elif id(child) not in gone and not is_dropped(child, inside):
-                inline = child.tag in INLINE
-                if not inline:
+                if child.tag not in INLINE:
                     close()
-                walk(child, inside)
-                if not inline:
-                    close()
-
-    walk(element, inside)
+                stack.append((child, inside or child.tag in ("article", "main"), iter(child.children)))
+                break
+        else:
+            stack.pop()
+            if e.tag not in INLINE:
+                close()
     close()
     return out
 
@@ -193,15 +215,15 @@ def _main(element: Element, gone: set[int]) -> list[Element]:
     """The articles of a page, outermost only; else its main element; else the page."""
     found: dict[str, list[Element]] = {"article": [], "main": []}
 
-    def walk(e: Element, inside: bool) -> None:
-        for child in e.children:
-            if isinstance(child, Element) and id(child) not in gone and not is_dropped(child, inside):
-                if child.tag in found:
-                    found[child.tag].append(child)
-                if child.tag != "article":
-                    walk(child, inside or child.tag == "main")
-
-    walk(element, False)
+    stack: list[tuple[Element, bool]] = [(element, False)]
+    while stack:
+        e, inside = stack.pop()
+        if e.tag in found and e is not element:
+            found[e.tag].append(e)
+        if e.tag != "article" or e is element:
+            inside = inside or e.tag == "main"
+            stack.extend((c, inside) for c in reversed(e.children)
+                         if isinstance(c, Element) and id(c) not in gone and not is_dropped(c, inside))
     return found["article"] or found["main"][:1] or [element]
 
 

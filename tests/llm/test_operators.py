@@ -268,6 +268,13 @@ def test_page():
     assert [html.extract(x, set()) for x in (None, "", "<p>")] == ["", "", ""]
 
 
+@pytest.mark.parametrize("tags", ["<div>", "<span>", "<b>", "<b><h1>", "<font></i>"])
+def test_deep_page(tags):
+    deep = tags * 100_000 + "<p>deep</p>"
+    assert html.extract(deep, set()) == html.extract(deep, {b"x"}) == "deep"
+    assert html.extract("<article><p>top</p>" + deep, set()) == "top\ndeep"
+
+
 def test_templates(spark):
     rows = [(i, f"http://h.example/{i}", f"<div><div class=x>Our shop</div><p>text {i}</p></div>") for i in range(8)]
     rows += [(50 + i, "http://h.example/copy", "<div><div class=x>Our shop</div><p>same text</p><section>copy</section></div>") for i in range(20)]
