@@ -8,9 +8,11 @@ number of different bodies a subtree occurs in.  Paragraphs and other prose in
 the article itself are never taken for template, since articles that are near
 copies of each other share them.
 
-Elements that are no text of the article by their tag, role or class (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments)
-are deleted on every page, also on hosts with too few pages to tell a template.
+Elements that are no text of the article by their tag, role or style (menus,
+headers, footers, asides, forms, scripts, styles) are deleted on every page, also
+on hosts with too few pages to tell a template.  So are elements with a class
+that names boilerplate (``ad``, ``sidebar``, ``comments``) as a whole token, but
+never one that holds the article or most of the page's prose, and no heading.
 
 Broken markup is read as browsers do in the common cases: unclosed paragraphs,
 list items and cells end where the next begins, an end tag closes what is open
@@ -43,12 +45,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "small span strike strong sub sup time tt u var wbr".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table tr td th ul ol li dl dt dd figure figcaption br hr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs topbar toolbar pagination pager "
-    "header masthead footer copyright colophon sidebar aside widget widgets related recommended recommendations trending "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall "
-    "share sharing social comment comments commentlist disqus respond reply replies discussion form search skip".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Whole class tokens that name what is no article; those of OUTSIDE only where no article or main element is around.
+COMMENTS = frozenset("comments comment-list commentlist comments-area comments-section disqus disqus_thread".split())
+NAMED = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle ad-banner ad-container ad-slot ad-unit ad-wrapper "
+    "banner-ad sponsored sidebar cookie-banner cookie-bar cookie-consent cookie-notice cookie-popup gdpr newsletter-signup "
+    "share-buttons social-share sharedaddy related-posts".split())
+OUTSIDE = frozenset("nav navbar navigation main-navigation site-navigation menubar breadcrumb breadcrumbs pagination topbar masthead "
+                    "site-header site-footer footer skip-link widget-area popup modal".split())
 SAFE = frozenset({"html", "body", "main", "article"})
 #: A start tag on the left ends an open element on the right.
 ENDS = {tag: frozenset({"p"}) for tag in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -121,12 +126,8 @@ def parse(html: str) -> Element:
     return root
 
 
-def _words(value: str) -> set[str]:
-    return {w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value) if w}
-
-
 def is_dropped(element: Element, inside: bool) -> bool:
-    """Whether an element is no text of an article, by what it is; ``inside`` an article its own header stays."""
+    """Whether an element is no text by its tag, role or style; ``inside`` an article its own header stays."""
     tag = element.tag
     if tag in DROPPED:
         return not (inside and tag == "header")
@@ -138,15 +139,72 @@ def is_dropped(element: Element, inside: bool) -> bool:
             return True
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id"):
-            found = _words(value) & WORDS
-            if found and not (inside and tag in PROSE and found <= {"header", "form", "notice", "related", "discussion", "reply"}):
-                return True
     return False
 
 
-def _hashed(root: Element, out: list[tuple[Element, bytes]]) -> bytes:
-    """The hash of a tree; ``out`` gets what may be template.  A stack of its own takes pages of any depth."""
+def names(element: Element, inside: bool) -> set[str]:
+    """Class tokens of an element that name boilerplate.  An id counts as one on a plain ``div`` outside an article only,
+    since sections and headings are named by their subject."""
+    if element.tag in SAFE or element.tag in HEADINGS or not element.attributes:
+        return set()
+    tokens: dict[str, set[str]] = {"class": set(), "id": set()}
+    for m in _ATTRIBUTE.finditer(element.attributes):
+        if m[1].lower() in tokens:
+            tokens[m[1].lower()].update((m[2] or m[3] or m[4] or "").lower().split())
+    found = tokens["class"]
+    if element.tag == "div" and not inside and "section" not in found:
+        found = found | tokens["id"]
+    return found & (NAMED if inside else NAMED | OUTSIDE)
+
+
+def boilerplate(root: Element) -> set[int]:
+    """The ids of the elements that are no text of the article by what they are.
+
+    An element is not dropped for its name if it holds a main element, the page's
+    first article or most of its prose.  Comments may be longer than the article
+    they are on: where there is an article or main element, length keeps none.
+    """
+    gone: set[int] = set()
+    nodes: list[list] = []  # element, parent's place, characters of prose, of all text
+    named: list[tuple[int, set[str]]] = []
+    holders: list[int] = []
+    article = False
+    stack = [(root, -1, False, False)]
+    while stack:
+        e, parent, inside, prose = stack.pop()
+        if is_dropped(e, inside):
+            gone.add(id(e))
+            continue
+        at = len(nodes)
+        if found := names(e, inside):
+            named.append((at, found))
+        if e.tag == "main" or e.tag == "article" and not article:
+            holders.append(at)
+            article = article or e.tag == "article"
+        inside, prose = inside or e.tag in ("article", "main"), prose or e.tag in PROSE and e.tag not in ("ul", "ol", "li", "dl")
+        size = sum(len(c.strip()) for c in e.children if not isinstance(c, Element))
+        nodes.append([e, parent, size if prose else 0, size])
+        stack.extend((c, at, inside, prose) for c in reversed(e.children) if isinstance(c, Element))
+    if not named:
+        return gone
+    for _, parent, prose, size in reversed(nodes[1:]):
+        nodes[parent][2] += prose
+        nodes[parent][3] += size
+    keep: set[int] = set()
+    for at in holders:
+        while at >= 0 and at not in keep:
+            keep.add(at)
+            at = nodes[at][1]
+    measure = 2 if nodes[0][2] else 3
+    for at, found in named:
+        most = 2 * nodes[at][measure] > nodes[0][measure] and not (holders and found & COMMENTS)
+        if at not in keep and not most:
+            gone.add(id(nodes[at][0]))
+    return gone
+
+
+def _hashed(root: Element, gone: set[int], out: list[tuple[Element, bytes]]) -> bytes:
+    """The hash of a tree without what is gone; ``out`` gets what may be template.  A stack of its own takes pages of any depth."""
     stack: list[list] = []
 
     def enter(element: Element, inside: bool) -> None:
@@ -159,7 +217,7 @@ def _hashed(root: Element, out: list[tuple[Element, bytes]]) -> bytes:
         for child in children:
             if not isinstance(child, Element):
                 made.update(b"\x00" + _SPACE.sub(" ", child).strip().encode("utf-8", "replace"))
-            elif not is_dropped(child, inside):
+            elif id(child) not in gone:
                 enter(child, inside)
                 break
         else:
@@ -173,14 +231,14 @@ def _hashed(root: Element, out: list[tuple[Element, bytes]]) -> bytes:
             stack[-1][4] = stack[-1][4] or prose
 
 
-def subtrees(root: Element) -> tuple[bytes, list[tuple[Element, bytes]]]:
-    """The hash of a page's body, and the subtrees that may be template."""
+def subtrees(root: Element, gone: set[int]) -> tuple[bytes, list[tuple[Element, bytes]]]:
+    """The hash of a page's body without what is gone, and the subtrees that may be template."""
     out: list[tuple[Element, bytes]] = []
-    body = _hashed(root, out)
+    body = _hashed(root, gone, out)
     return body, [x for x in out if x[0].children]
 
 
-def blocks(element: Element, gone: set[int], inside: bool = False) -> list[str]:
+def blocks(element: Element, gone: set[int]) -> list[str]:
     """The texts of the blocks that are left, in page order."""
     out: list[str] = []
     held: list[str] = []
@@ -190,18 +248,18 @@ def blocks(element: Element, gone: set[int], inside: bool = False) -> list[str]:
             out.append(line)
         held.clear()
 
-    stack = [(element, inside or element.tag in ("article", "main"), iter(element.children))]
+    stack = [(element, iter(element.children))]
     while stack:
-        e, inside, children = stack[-1]
+        e, children = stack[-1]
         for child in children:
             if isinstance(child, str):
                 held.append(child)
             elif child.tag in ("br", "hr"):
                 close()
-            elif id(child) not in gone and not is_dropped(child, inside):
+            elif id(child) not in gone:
                 if child.tag not in INLINE:
                     close()
-                stack.append((child, inside or child.tag in ("article", "main"), iter(child.children)))
+                stack.append((child, iter(child.children)))
                 break
         else:
             stack.pop()
@@ -214,16 +272,13 @@ def blocks(element: Element, gone: set[int], inside: bool = False) -> list[str]:
 def _main(element: Element, gone: set[int]) -> list[Element]:
     """The articles of a page, outermost only; else its main element; else the page."""
     found: dict[str, list[Element]] = {"article": [], "main": []}
-
-    stack: list[tuple[Element, bool]] = [(element, False)]
+    stack = [element]
     while stack:
-        e, inside = stack.pop()
-        if e.tag in found and e is not element:
+        e = stack.pop()
+        if e.tag in found:
             found[e.tag].append(e)
-        if e.tag != "article" or e is element:
-            inside = inside or e.tag == "main"
-            stack.extend((c, inside) for c in reversed(e.children)
-                         if isinstance(c, Element) and id(c) not in gone and not is_dropped(c, inside))
+        if e.tag != "article":
+            stack.extend(c for c in reversed(e.children) if isinstance(c, Element) and id(c) not in gone)
     return found["article"] or found["main"][:1] or [element]
 
 
@@ -232,8 +287,10 @@ def extract(html: str | None, template: set[bytes]) -> str:
     if not html:
         return ""
     root = parse(html)
-    gone = {id(e) for e, h in subtrees(root)[1] if h in template} if template else set()
-    return "\n".join(line for e in _main(root, gone) for line in blocks(e, gone, e.tag in ("article", "main")))
+    gone = boilerplate(root)
+    if template:
+        gone |= {id(e) for e, h in subtrees(root, gone)[1] if h in template}
+    return "\n".join(line for e in _main(root, gone) for line in blocks(e, gone))
 
 
 def host_of(url: str):
@@ -251,7 +308,8 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hosts, hashes, bodies = [], [], []
         for host, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            body, found = subtrees(parse(value.as_py()))
+            root = parse(value.as_py())
+            body, found = subtrees(root, boilerplate(root))
             for digest in {h for _, h in found} | {b""}:
                 hosts.append(host)
                 hashes.append(digest)

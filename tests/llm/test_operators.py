@@ -268,6 +268,19 @@ def test_page():
     assert [html.extract(x, set()) for x in (None, "", "<p>")] == ["", "", ""]
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div class='content with-sidebar'><article>A</article></div>", "A"),
+    ("<div class=sidebar><p>links</p></div><div class='ads'><article>A</article></div>", "A"),
+    ("<main class=x><div class='sidebar'><p>most of the prose of this page</p></div><p>x</p></main>", "most of the prose of this page\nx"),
+    ("<article><div class='post-header'><h1>T</h1></div><section id=discussion><h2 id='social-impact'>S</h2><p>p</p></section>"
+     "<h2 id=search>F</h2><h2 id=comments>C</h2><section id=comments><p>q</p></section></article>", "T\nS\np\nF\nC\nq"),
+    ("<article><p>text</p><p class='ad'>x</p><div class='comments'><p>longer than the text</p></div></article>", "text"),
+    ("<div id=comments><p>no</p></div><div class=section id=search><p>yes, text</p></div>", "yes, text"),
+])
+def test_names_of_elements(page, want):
+    assert html.extract(page, set()) == want
+
+
 @pytest.mark.parametrize("tags", ["<div>", "<span>", "<b>", "<b><h1>", "<font></i>"])
 def test_deep_page(tags):
     deep = tags * 100_000 + "<p>deep</p>"
