@@ -4,9 +4,13 @@ Each page is read into a tree of elements.  The subtree of an element is hashed
 with its tags, classes and text; Spark counts on how many pages of a host each
 hash occurs, and subtrees that recur on many pages of a host are its template
 and are deleted.  Copies of a page count as one page: what is counted is the
-number of different bodies a subtree occurs in.  Paragraphs and other prose in
-the article itself are never taken for template, since articles that are near
-copies of each other share them.
+number of different bodies a subtree occurs in.  Within an article or main element
+near copies of an article share their paragraphs, so there the rest of the article
+must differ as well: ``SKETCH`` min-hashes of its word triples estimate how alike
+two pages with the subtree are elsewhere, and the mean over all pairs of them must
+be at most 1 / ``MIN_PAGES``, as for so many unlike articles.  So a notice stays
+where other recurring text makes up most of the article besides it.  Headings,
+cells and items are never taken alone: "Introduction" or "0" recurs in articles.
 
 Elements that are no text of the article by their tag, role or style (menus,
 headers, footers, asides, forms, scripts, styles) are deleted on every page, also
@@ -24,9 +28,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +42,8 @@ from logveil.sources.staging import staged
 
 #: A subtree is template if it is on so many different pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.05
+#: Min-hashes of the rest of an article, over so many words each.
+SKETCH, TRIPLE = 8, 3
 
 # Tags, roles and classes, by their meaning in HTML and by common use.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +53,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "small span strike strong sub sup time tt u var wbr".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table tr td th ul ol li dl dt dd figure figcaption br hr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Elements of which an article may hold equal ones, and those that hold such: in an article these are template as a whole or not at all.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption figcaption".split())
+WHOLES = frozenset("table ul ol dl figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Whole class tokens that name what is no article; those of OUTSIDE only where no article or main element is around.
 COMMENTS = frozenset("comments comment-list commentlist comments-area comments-section disqus disqus_thread".split())
@@ -203,39 +214,73 @@ def boilerplate(root: Element) -> set[int]:
     return gone
 
 
-def _hashed(root: Element, gone: set[int], out: list[tuple[Element, bytes]]) -> bytes:
-    """The hash of a tree without what is gone; ``out`` gets what may be template.  A stack of its own takes pages of any depth."""
+_ODD = (np.arange(1, SKETCH + 1, dtype=np.uint32) * np.uint32(0x9E3779B1)) | np.uint32(1)
+
+
+def _sketch(text: str) -> np.ndarray:
+    """The least of each of ``SKETCH`` hashes over the word triples of a text."""
+    words = text.lower().encode("utf-8", "replace").split(b" ")
+    width = min(TRIPLE, len(words))
+    found = np.array([zlib.crc32(b" ".join(words[i:i + width])) for i in range(len(words) - width + 1)], np.uint32)
+    found = (found ^ (found >> np.uint32(15)))[:, None] * _ODD
+    return ((found ^ (found >> np.uint32(13))) * np.uint32(0x85EBCA6B)).min(axis=0)
+
+
+def _hashed(root: Element, gone: set[int], out: list[tuple[Element, bytes, int, int]], texts: list[str]) -> bytes:
+    """The hash of a tree without what is gone; ``out`` gets what may be template, with the places of its ``texts`` in articles.
+
+    A stack of its own takes pages of any depth.
+    """
     stack: list[list] = []
 
-    def enter(element: Element, inside: bool) -> None:
+    def enter(element: Element, inside: bool, held: bool) -> None:
         made = hashlib.blake2b(f"{element.tag} {element.attributes}".encode("utf-8", "replace"), digest_size=16)
-        stack.append([element, inside or element.tag in ("article", "main"), iter(element.children), made, element.tag in PROSE])
+        stack.append([element, inside or element.tag in ("article", "main"), held, iter(element.children), made, element.tag in PROSE, len(texts)])
 
-    enter(root, False)
+    enter(root, False, False)
     while True:
-        element, inside, children, made, prose = stack[-1]
+        element, inside, held, children, made, prose, start = stack[-1]
         for child in children:
             if not isinstance(child, Element):
-                made.update(b"\x00" + _SPACE.sub(" ", child).strip().encode("utf-8", "replace"))
+                line = _SPACE.sub(" ", child).strip()
+                made.update(b"\x00" + line.encode("utf-8", "replace"))
+                if inside and line:
+                    texts.append(line)
             elif id(child) not in gone:
-                enter(child, inside)
+                enter(child, inside, held or element.tag in WHOLES)
                 break
         else:
             stack.pop()
             digest = made.digest()
-            if element.tag not in SAFE and element.tag not in INLINE and not (inside and prose):
-                out.append((element, digest))
+            if element.tag not in SAFE and element.tag not in INLINE and not (inside and prose and (held or element.tag in PARTS)):
+                # one more byte keeps the counts of subtrees in articles apart
+                out.append((element, digest + b"\x01" if inside else digest, start, len(texts)))
             if not stack:
                 return digest
-            stack[-1][3].update(b"\x00" + digest)
-            stack[-1][4] = stack[-1][4] or prose
+            stack[-1][4].update(b"\x00" + digest)
+            stack[-1][5] = stack[-1][5] or prose
 
 
 def subtrees(root: Element, gone: set[int]) -> tuple[bytes, list[tuple[Element, bytes]]]:
     """The hash of a page's body without what is gone, and the subtrees that may be template."""
-    out: list[tuple[Element, bytes]] = []
-    body = _hashed(root, gone, out)
-    return body, [x for x in out if x[0].children]
+    out: list[tuple[Element, bytes, int, int]] = []
+    body = _hashed(root, gone, out, [])
+    return body, [(e, h) for e, h, _, _ in out if e.children]
+
+
+def surroundings(root: Element, gone: set[int]) -> tuple[bytes, dict[bytes, list[int] | None]]:
+    """As ``subtrees``, each hash with the sketch of the rest of the article; null outside of articles."""
+    out: list[tuple[Element, bytes, int, int]] = []
+    texts: list[str] = []
+    body = _hashed(root, gone, out, texts)
+    nothing = np.full((1, SKETCH), 0xFFFFFFFF, np.uint32)
+    each = np.concatenate([nothing, *(_sketch(t)[None] for t in texts), nothing])
+    before, after = np.minimum.accumulate(each), np.minimum.accumulate(each[::-1])[::-1]
+    found: dict[bytes, list[int] | None] = {}
+    for e, h, start, end in out:
+        if e.children and h not in found:
+            found[h] = np.minimum(before[start], after[end + 1]).view(np.int32).tolist() if len(h) > 16 else None
+    return body, found
 
 
 def blocks(element: Element, gone: set[int]) -> list[str]:
@@ -304,24 +349,37 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
 
     Counting is over distinct (host, hash, body), which Spark combines before and
     after shuffling, so a host with a third of all pages is spread by its hashes.
+    Candidates within articles are joined to their pages once for each salt.
     """
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, hashes, bodies = [], [], []
+        hosts, hashes, bodies, rests = [], [], [], []
         for host, value in zip(batch.column(0).to_pylist(), batch.column(1)):
             root = parse(value.as_py())
-            body, found = subtrees(root, boilerplate(root))
-            for digest in {h for _, h in found} | {b""}:
+            body, found = surroundings(root, boilerplate(root))
+            for digest, rest in [*found.items(), (b"", None)]:
                 hosts.append(host)
                 hashes.append(digest)
                 bodies.append(body)
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.binary()), pa.array(bodies, pa.binary())],
-                                          names=["host", "hash", "body"])
+                rests.append(rest)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(hosts, pa.string()), pa.array(hashes, pa.binary()), pa.array(bodies, pa.binary()), pa.array(rests, pa.list_(pa.int32()))],
+            names=["host", "hash", "body", "rest"])
 
     rows = pages.select(host_of(url).alias("host"), F.col(html)).where("host IS NOT NULL").where(F.col(html).isNotNull())
-    counted = staged(map_batches(rows, run, "host string, hash binary, body binary").distinct().groupBy("host", "hash").count(), "subtrees")
+    rows = staged(map_batches(rows, run, "host string, hash binary, body binary, rest array<int>").distinct(), "subtrees")
+    counted = rows.groupBy("host", "hash").agg(F.count("*").alias("count")).where((F.octet_length("hash") == 0) | (F.col("count") >= min_pages))
+    counted = staged(counted, "counted")
     totals = counted.where(F.octet_length("hash") == 0).select("host", F.col("count").alias("pages"))
-    often = counted.where((F.octet_length("hash") > 0) & (F.col("count") >= min_pages))
-    return often.join(totals, "host").where(F.col("count") >= F.col("pages") * min_share).select("host", "hash")
+    often = counted.where(F.octet_length("hash") > 0).join(totals, "host").where(F.col("count") >= F.col("pages") * min_share)
+    often = staged(often.select("host", "hash", "count"), "often")
+    salts = partitions(pages.sparkSession)
+    within = often.where(F.octet_length("hash") > 16).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    alike = rows.where("rest IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("body"), F.lit(salts)).cast("int")) \
+        .join(within, ["host", "hash", "salt"]).select("host", "hash", "count", F.posexplode("rest").alias("k", "least")) \
+        .groupBy("host", "hash", "count", "k", "least").agg(F.count("*").alias("n")) \
+        .groupBy("host", "hash", "count").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    unlike = alike.where(F.col("pairs") * min_pages <= F.col("count") * F.col("count") * SKETCH)
+    return often.where(F.octet_length("hash") == 16).select("host", "hash").unionAll(unlike.select("host", "hash"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

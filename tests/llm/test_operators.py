@@ -297,6 +297,24 @@ def test_templates(spark):
     assert (got[90], got[91], got[92]) == ("x", "", "Our shop")
 
 
+def test_templates_in_articles(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 4) for _ in range(n))
+    box = "<div class='x1'><p>Sign up for our letter</p><ul><li>now</li></ul></div>"
+    own = [(text(40), text(30)) for _ in range(12)]
+    page = "<main><h2>Introduction</h2><p>{}</p><p>{}</p>{}<table><tr><td>0</td></tr></table></main>"
+    rows = [(i, f"http://box.example/{i}", page.format(*own[i], box).replace("<td>0", f"<td>0</td><td>{i}")) for i in range(12)]
+    shared = [text(30) for _ in range(6)]
+    for i in range(20):
+        edited = shared[1].split()
+        edited[rng.randrange(30)] = f"edit{i}"
+        copy = [shared[0], " ".join(edited), *shared[2:], text(25)]
+        rows.append((100 + i, f"http://copies.example/{i}", "<article>" + "".join(f"<p>{p}</p>" for p in copy) + "</article>"))
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(12)] == [f"Introduction\n{a}\n{b}\n0\n{i}" for i, (a, b) in enumerate(own)]
+    assert all(got[100 + i].count("\n") == 6 and all(p in got[100 + i] for p in (shared[0], *shared[2:])) for i in range(20))
+
+
 # --- tokens ------------------------------------------------------------------------
 
 ALPHABET = "aabbththee  \n\t▁éß中🙂1!.,"
