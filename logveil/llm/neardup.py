@@ -8,7 +8,10 @@ register that is filled last.  The share of equal registers estimates the
 probability Jaccard similarity of two documents.  ``BANDS`` bands of ``ROWS``
 registers make buckets, and a pair that shares a bucket is verified on its exact
 weighted shingles: it is linked if its probability Jaccard or its plain Jaccard
-similarity is ``THRESHOLD`` or more.  Classes are the connected components.
+similarity is ``THRESHOLD`` or more.  Registers are drawn twice, with these weights
+and with weight 1, as the two measures part where passages repeat in one copy
+only; without repeats both give the same buckets.  Classes are the connected
+components.
 
 Documents with the same words are one node, so copies cost a row each and no
 pair.  Within a bucket not all pairs are made: nodes meet the most central node
@@ -113,10 +116,18 @@ def bands(registers: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sketch_chunk(rows: list[list[bytes]]) -> np.ndarray:
+def _sketch_chunk(rows: list[list[bytes]]) -> list[np.ndarray]:
+    """The buckets of each text by its weighted shingles, and where shingles repeat also by its distinct ones."""
     found = [shingles(words) for words in rows]
-    of = np.repeat(np.arange(len(rows)), [len(k) for k, _ in found])
-    return bands(sketches(np.concatenate([k for k, _ in found]), weights(np.concatenate([c for _, c in found])), of, len(rows)))
+    number = lambda some: np.repeat(np.arange(len(some)), [len(k) for k, _ in some])
+    out = list(bands(sketches(np.concatenate([k for k, _ in found]), weights(np.concatenate([c for _, c in found])), number(found), len(found))))
+    again = [i for i, (_, c) in enumerate(found) if c.max() > 1]
+    if again:
+        some = [found[i] for i in again]
+        keys = np.concatenate([k for k, _ in some])
+        for i, plain in zip(again, bands(sketches(keys, np.ones(len(keys)), number(some), len(some)))):
+            out[i] = np.unique(np.concatenate([out[i], plain]))
+    return out
 
 
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

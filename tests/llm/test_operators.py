@@ -162,6 +162,17 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_repeats_on_one_side():
+    rng = random.Random(8)
+    for _ in range(60):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        passage = own[:30]
+        pair = [[w.encode() for w in own], [w.encode() for w in own + passage * 200]]
+        plain, weighted = neardup.similarity(*map(neardup.shingles, pair))
+        assert plain >= neardup.THRESHOLD > weighted
+        assert set.intersection(*(set(b.tolist()) for b in neardup._sketch_chunk(pair)))
+
+
 def test_one_of_each_class(spark):
     rows = [(None, "a b c"), (None, "d e f"), (None, "a b c"), (7, "g h i"), (7, "g h i"), (7, "j k l"), (8, "g h i"), (9, ""), (9, ""), (None, None)]
     kept = neardup.representatives(docs_of(spark, rows))
