@@ -143,14 +143,18 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch
     return doomed
 
 
+def gathered(doomed: DataFrame) -> DataFrame:
+    """``(id, t, gone)``: the distinct lines to drop of each text, however many equal rows it is in."""
+    return doomed.groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
     """``docs`` with the kept lines joined by line feeds in ``text``, and with ``n_lines`` and ``n_dropped``.
 
     Columns of ``docs`` with these two names are replaced.  A null text stays null if nothing is dropped.
     """
     key, row, gone = unused(docs, "_id"), unused(docs, "_row"), unused(docs, "_gone")
-    doomed = decisions(docs, doc_id, text, batches).groupBy(F.col("id").alias(key), F.col("t").alias(row)).agg(
-        F.collect_list("pos").alias(gone))
+    doomed = gathered(decisions(docs, doc_id, text, batches)).toDF(key, row, gone)
     joined = docs.withColumn(key, _order(doc_id)).withColumn(row, F.xxhash64(text)).join(doomed, [key, row], "left")
     lines = _LINES.format(text)
     kept = (f"if({gone} IS NULL, `{text}`, array_join(transform(array({lines}), l -> "

@@ -307,6 +307,14 @@ class _Rounds:
         return two.where("ca <> cb").select("a", "b")
 
 
+def _one_each(texts: DataFrame) -> DataFrame:
+    """One of the equal rows of each node of the staged ``(node, text)``; texts are moved only for nodes with several."""
+    several = staged(texts.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "several")
+    if several.isEmpty():
+        return texts
+    return staged(texts.join(several, "node", "left_anti").unionAll(texts.join(several, "node", "left_semi").dropDuplicates(["node"])), "texts-once")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, t, class_id, class_size, root)`` per row.
 
@@ -317,7 +325,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = staged(drawn.where("node IS NOT NULL").groupBy("node").agg(
         F.min(F.struct("id", "t")).alias("first"), F.count("*").alias("n")), "nodes")
     first = nodes.select("node", "first.id", "first.t")
-    hashed = drawn.select("node", "id", "t", "bands").join(first, ["node", "id", "t"]).select("node", F.explode("bands").alias("bucket"))
+    hashed = drawn.select("node", "id", "t", "bands").join(first, ["node", "id", "t"]) \
+        .select("node", F.explode("bands").alias("bucket")).distinct()
     shared = hashed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")) \
         .where("lo < hi").drop("hi")
     members = staged(hashed.join(shared, "bucket"), "members")
@@ -326,7 +335,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = staged(members.drop("size").join(hubs, "bucket"), "hubs")
     wanted = members.select("node").distinct().join(first, "node")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    rounds = _Rounds(staged(rows.join(wanted, ["id", "t"]).select("node", "text"), "texts"))
+    rounds = _Rounds(_one_each(staged(rows.join(wanted, ["id", "t"]).select("node", "text"), "texts")))
 
     best = members.groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
     rounds.compare(best.where("a <> b"))

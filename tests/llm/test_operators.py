@@ -126,6 +126,12 @@ def test_lines(spark, batches, monkeypatch):
     assert lines.dedup(empty(spark), batches=batches).count() == 0
 
 
+def test_repeated_rows_share_positions(spark):
+    rows = [(1, "a shared line of text\nown line of text")] + [(None, "a shared line of text\nx")] * 50
+    found = lines.gathered(lines.decisions(docs_of(spark, rows), batches=1)).collect()
+    assert [r.gone for r in found] == [[0]]
+
+
 # --- near-duplicates ---------------------------------------------------------------
 
 def test_near_duplicates(spark):
@@ -173,6 +179,17 @@ def test_repeats_on_one_side():
         assert set.intersection(*(set(b.tolist()) for b in neardup._sketch_chunk(pair)))
 
 
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    held = []
+    verify = neardup.verify
+    monkeypatch.setattr(neardup, "verify", lambda pairs, texts, *a: held.append(texts) or verify(pairs, texts, *a))
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, base)] * 30 + [(None, base + " more")] * 30 + [(7, "other words")]
+    got = neardup.near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted(r.class_size for r in got) == [1] + [60] * 60
+    assert held and held[0].count() == 2
+
+
 def test_one_of_each_class(spark):
     rows = [(None, "a b c"), (None, "d e f"), (None, "a b c"), (7, "g h i"), (7, "g h i"), (7, "j k l"), (8, "g h i"), (9, ""), (9, ""), (None, None)]
     kept = neardup.representatives(docs_of(spark, rows))
