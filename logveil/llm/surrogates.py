@@ -10,8 +10,11 @@ surrogate in all documents.
 Numbers keep their punctuation and length, cards that pass the check digit go on
 passing it, phone numbers keep their country code, addresses stay valid and
 private ones private, secrets keep their shape, mail addresses keep the shape of
-the part before the @ and get a reserved domain.  Names after a form of address
-keep that form, its gender and their script and number of words.
+the part before the @ and get a reserved domain, IBANs keep their country and
+pass their check digits.  Names after a form of address keep that form, its
+gender and their script and number of words; with and without a point the form is
+the same.  Their words alone, "Anna Smith" or "Smith", are replaced wherever else
+the document has them, and not counted.
 
 Only SQL functions are used.  Null texts stay null, texts without entities are
 not moved.  Repeated rows get equal texts; ids may be null or repeat, as rows are
@@ -20,9 +23,12 @@ recognised by id and a hash of their text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logveil.functions.rules import BUILTIN_RULES
 from logveil.llm.common import NO_ID, unused
 from logveil.sources.staging import staged
 
@@ -31,14 +37,44 @@ MAX_ATTEMPTS = 64
 
 FORMS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme M. Señor Señora Sr Sra Don Doña Г-н Г-жа Господин Госпожа Κος Κα".split()
 _FORM = "(?:" + "|".join("M(?=[.])" if form == "M." else form for form in FORMS) + ")"
-#: Kinds in order of precedence, as patterns of the regular expressions of Java.
+
+
+def _credentials() -> str:
+    """The values of the catalogue's rules for credentials, each behind its prefix, which a look-behind must bound."""
+    out = []
+    for rule in (r for r in BUILTIN_RULES if r.category in ("auth_header", "password", "api_key")):
+        for alternative in re.split(r"\|(?=\(\")", rule.pattern):
+            depth = end = 0
+            for end, c in enumerate(alternative):
+                depth += (c == "(") - (c == ")")
+                if not depth:
+                    break
+            prefix, value = alternative[1:end].replace(r"\s*", r"\s{0,8}").replace(r"\s+", r"\s{1,8}"), alternative[end + 1:]
+            if '"' not in prefix:
+                out.append(rf'(?<=(?i:{prefix})")[^"\n]{{1,512}}(?=")')
+                prefix += "'?"
+            out.append(f"(?<=(?i:{prefix})){value}")
+    return "|".join(out)
+
+
+_LONG = r"(?<![0-9A-Za-z+/=_-])(?=[A-Za-z+_-]*[0-9])(?=[0-9a-z+_-]*[A-Z])(?=[0-9A-Z+_-]*[a-z])[0-9A-Za-z+_-]{32,512}={0,2}(?![0-9A-Za-z/])"
+#: Kinds in order of precedence, as patterns of the regular expressions of Java; ``ip`` has IPv6 as well, ``card`` IBANs.
 KINDS = {
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128}(?![0-9A-Za-z])",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![A-Za-z0-9-])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])"
+              r"|(?<![0-9A-Za-z_-])eyJ[0-9A-Za-z_-]{5,}\.[0-9A-Za-z_-]{5,}(?:\.[0-9A-Za-z_-]+)?"
+              r"|(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
+              r"|(?<![0-9A-Za-z])(?:sk-[0-9A-Za-z_-]{16,}|gh[opsur]_[0-9A-Za-z]{20,})"
+              rf"|{_LONG}|(?<![0-9A-Za-z+/])[0-9A-Za-z+/]{{30,512}}={{1,2}}(?![0-9A-Za-z=])",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}+@[\p{L}\p{M}\p{N}-]{1,63}(?:\.[\p{L}\p{M}\p{N}-]{1,63}){1,8}(?![\p{L}\p{M}\p{N}-])",
+    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])"
+          r"|(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{2})(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?"
+          r"::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9-])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"
+            r"|(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?|[0-9A-Z]{11,30})(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9-])"
+             r"|(?<![0-9A-Za-z+])\+[1-9][0-9]{6,14}(?![0-9])|(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .-][0-9]{1,5}){2,6}(?![0-9-])"
+             r"|(?<![0-9A-Za-z+.-])0[1-9](?:[ .][0-9]{2}){4}(?![0-9-])",
     "name": rf"(?<!\p{{L}}){_FORM}\.?[ ]\p{{Lu}}\p{{L}}{{1,30}}+(?:[ -]\p{{Lu}}\p{{L}}{{1,30}}+){{0,2}}",
 }
 # Forms of address by gender, given names and syllables by script.
@@ -56,7 +92,9 @@ NAMES = {
               "s": "βα δε φι γο λου μα νε πι ρο σα τε βο κι κα λε μο".split()},
 }
 
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+ANY = "|".join(f"(?:{p})" for p in [_credentials(), *KINDS.values()])
+#: What a text has that holds a credential without a digit.
+_HINT = "(?i)authorization|passw|pwd|secret|token|bearer|api[_-]?key|eyJ|AKIA|ASIA|sk-|gh[opsur]_|[0-9A-Za-z+/_-]{30}|::|[0-9a-f]:[0-9a-f]{1,4}:"
 
 
 def _quoted(pattern: str) -> str:
@@ -76,18 +114,18 @@ def found_expr(text: str) -> str:
 
 
 def gate_expr(text: str) -> str:
-    """Cheap and implied by every kind: a digit, an @ or a form of address."""
-    return f"{text} rlike '[0-9@]' OR " + " OR ".join(f"contains({text}, '{form} ') OR contains({text}, '{form}. ')" for form in FORMS)
+    """Cheap and implied by every kind: a digit, an @, a form of address or what tells a credential."""
+    return f"{text} rlike '[0-9@]' OR {text} rlike {_quoted(_HINT)} OR " + " OR ".join(f"contains({text}, '{form} ') OR contains({text}, '{form}. ')" for form in FORMS)
 
 
 def kind_expr(value: str) -> str:
-    """The kind of an entity; look-arounds hold at the ends of a string of its own."""
-    return "CASE " + " ".join(f"WHEN {value} rlike {_quoted(f'^(?:{p})$')} THEN '{k}'" for k, p in KINDS.items()) + " ELSE 'name' END"
+    """The kind of an entity; look-arounds hold at the ends of a string of its own, save those of credentials."""
+    return "CASE " + " ".join(f"WHEN {value} rlike {_quoted(f'^(?:{p})$')} THEN '{k}'" for k, p in KINDS.items()) + " ELSE 'secret' END"
 
 
 def canonical_expr(kind: str, value: str) -> str:
-    return (f"CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN regexp_replace({value}, '[^0-9]', '') "
-            f"WHEN {kind} = 'email' THEN lower({value}) ELSE {value} END")
+    return (f"CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN regexp_replace({value}, '[^0-9A-Z]', '') "
+            f"WHEN {kind} = 'email' THEN lower({value}) WHEN {kind} = 'name' THEN regexp_replace({value}, '^([^ .]+)[.] ', '$1 ') ELSE {value} END")
 
 
 def _byte(i: str) -> str:
@@ -104,7 +142,7 @@ def _shaped(value: str, first: str = "0") -> str:
     digits, lower, upper = "'0123456789'", "'abcdefghijklmnopqrstuvwxyz'", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
     at = lambda chars, n: f"substr({chars}, 1 + pmod({_byte('i')}, {n}), 1)"
     return (f"array_join(transform(split({value}, ''), (c, i) -> CASE WHEN i < {first} THEN c WHEN c rlike '[0-9]' THEN {at(digits, 10)} "
-            f"WHEN c rlike '[a-z]' THEN {at(lower, 26)} WHEN c rlike '[A-Z]' THEN {at(upper, 26)} ELSE c END), '')")
+            f"WHEN c rlike '[A-Z]' THEN {at(upper, 26)} WHEN c rlike '[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}]' THEN {at(lower, 26)} ELSE c END), '')")
 
 
 def _luhn(number: str) -> str:
@@ -116,13 +154,28 @@ def _luhn(number: str) -> str:
 def _card() -> str:
     body = "substr(s, 1, char_length(s) - 1)"
     checked = f"concat({body}, cast(pmod(10 - pmod({_luhn(f'concat({body}, 0)')}, 10), 10) AS string))"
-    return f"if(pmod({_luhn('v')}, 10) = 0, {_let('s', _shaped('v'), checked)}, {_shaped('v')})"
+    rest = lambda x: (f"aggregate(split({x}, ''), 0, (a, c) -> pmod(if(c rlike '[0-9]', a * 10 + cast(c AS int), a * 100 + ascii(c) - 55), 97))")
+    country, account = "substr(v, 1, 2)", "substr(s, 5)"
+    iban = f"concat({country}, lpad(cast(98 - {rest(f'concat({account}, {country}, 0, 0)')} AS string), 2, '0'), {account})"
+    return (f"CASE WHEN v rlike '^[A-Z]' THEN {_let('s', _shaped('v'), iban)} "
+            f"WHEN pmod({_luhn('v')}, 10) = 0 THEN {_let('s', _shaped('v'), checked)} ELSE {_shaped('v')} END")
 
 
 def _ip() -> str:
     octet = f"cast(1 + pmod({_byte('i')}, 254) AS string)"
     kept = "CASE WHEN v rlike '^(?:10|127)[.]' THEN 1 WHEN v rlike '^192[.]168[.]' THEN 2 ELSE 0 END"
-    return f"array_join(transform(split(v, '[.]'), (c, i) -> if(i < {kept}, c, {octet})), '.')"
+    four = f"array_join(transform(split(v, '[.]'), (c, i) -> if(i < {kept}, c, {octet})), '.')"
+    # the first group of a local or private IPv6 address stays
+    six = (f"array_join(transform(sequence(0, 7), i -> if(i = 0, if(v rlike '(?i)^(?:fe[89ab]|f[cd])', split(v, ':')[0], '2001'), "
+           f"lower(hex({_byte('i')})))), ':')")
+    return f"if(contains(v, ':'), {six}, {four})"
+
+
+def _secret() -> str:
+    hexed = "substr(d, 1, char_length(v))"
+    known = "CASE WHEN v rlike '^(?:eyJ|sk-)' THEN 3 WHEN v rlike '^(?:AKIA|ASIA|gh[opsur]_)' THEN 4 ELSE 0 END"
+    return (f"CASE WHEN v rlike '^[0-9a-f]{{32,128}}$' THEN {hexed} WHEN v rlike '^[0-9A-F]{{32,128}}$' THEN upper({hexed}) "
+            f"WHEN char_length(v) < 8 THEN concat({_shaped('v')}, substr(d, 33, 8)) ELSE {_shaped('v', known)} END")
 
 
 def _name() -> str:
@@ -147,20 +200,40 @@ def surrogate_expr(key: str, kind: str, value: str, attempt: str) -> str:
     """The surrogate of a canonical form."""
     seed = f"concat_ws('|', '{key}', {kind}, v, cast({attempt} AS string))"
     stream = (f"array_join(transform(sequence(0, char_length(v) div 16 + 1), b -> sha2(concat('{key}', sha2(concat_ws('|', {seed}, cast(b AS string)), 256)), 256)), '')")
-    hexed = "substr(d, 1, char_length(v))"
     local = "substring_index(v, '@', 1)"
     email = f"concat({_shaped(local)}, '@mail', cast(pmod({_byte('char_length(v)')}, 1000) AS string), '.example.com')"
     phone = f"if(char_length(v) > 10, {_shaped('v', 'char_length(v) - 10')}, {_shaped('v')})"
-    by_kind = (f"CASE {kind} WHEN 'secret' THEN {hexed} WHEN 'email' THEN {email} WHEN 'ip' THEN {_ip()} WHEN 'card' THEN {_card()} "
+    by_kind = (f"CASE {kind} WHEN 'secret' THEN {_secret()} WHEN 'email' THEN {email} WHEN 'ip' THEN {_ip()} WHEN 'card' THEN {_card()} "
                f"WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {_shaped('v')} ELSE {_name()} END")
     return _let("v", value, _let("d", stream, by_kind))
 
 
 def written_expr(kind: str, value: str, surrogate: str) -> str:
-    """A surrogate in the format in which the entity is written: digits are put in one by one."""
-    digits = (f"aggregate(split({value}, ''), named_struct('t', '', 'n', 1), (a, c) -> if(c rlike '[0-9]', "
+    """A surrogate in the format in which the entity is written: digits are put in one by one, a form of address keeps its point."""
+    digits = (f"aggregate(split({value}, ''), named_struct('t', '', 'n', 1), (a, c) -> if(c rlike '[0-9A-Z]', "
               f"named_struct('t', concat(a.t, substr({surrogate}, a.n, 1)), 'n', a.n + 1), named_struct('t', concat(a.t, c), 'n', a.n)), a -> a.t)")
-    return f"if({kind} IN ('phone', 'card', 'ssn'), {digits}, {surrogate})"
+    return (f"CASE WHEN {kind} IN ('phone', 'card', 'ssn') THEN {digits} WHEN {kind} = 'name' AND {value} rlike '^[^ .]+[.] ' "
+            f"THEN regexp_replace({surrogate}, '^([^ ]+) ', '$1. ') ELSE {surrogate} END")
+
+
+def bare_expr(entries: str) -> str:
+    """From words of the names among the ``(value, kind, text)`` of a document, without form of address, to their surrogates.
+
+    Of names that share a word the first in order gives its surrogate.
+    """
+    words = lambda x: f"regexp_replace(regexp_replace({x}, '^[^ ]+ ', ''), '-', ' ')"
+    whole = f"transform(n, e -> struct(regexp_replace(e.value, '^[^ ]+ ', '') AS k, {words('e.text')} AS t))"
+    each = f"flatten(transform(n, e -> zip_with(split({words('e.value')}, ' '), split({words('e.text')}, ' '), (x, y) -> struct(x AS k, y AS t))))"
+    both = f"concat({whole}, {each})"
+    names = f"array_sort(filter({entries}, e -> e.kind = 'name'))"
+    return _let("n", names, _let("b", both, "map_from_entries(filter(transform(array_distinct(b.k), w -> "
+                                            "struct(w AS k, filter(b, x -> x.k = w)[0].t AS t)), x -> x.t IS NOT NULL))"))
+
+
+def rest_expr(text: str) -> str:
+    """A text between entities with the bare names of ``b`` replaced; ``r`` is their pattern, null without any."""
+    return (f"if(r IS NULL, {text}, transform(array(struct(split({text}, r, -1) AS p, regexp_extract_all({text}, r, 0) AS f)), "
+            "s -> concat(s.p[0], array_join(transform(s.f, (x, i) -> concat(b[x], s.p[i + 1])), '')))[0])")
 
 
 def dictionary(entities: DataFrame, key: str) -> DataFrame:
@@ -198,10 +271,13 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
     written = values.join(entries, ["kind", "canonical"]).select(
         own, row, F.struct("value", "kind", F.expr(written_expr("kind", "value", "surrogate")).alias("text")).alias("e"))
     maps = written.groupBy(own, row).agg(F.collect_set("e").alias(known))
+    pattern = ("if(size(b) = 0, cast(null AS string), concat('(?<!\\\\p{L})(?:', array_join(transform(array_sort(transform(map_keys(b), "
+               "w -> struct(-char_length(w) AS n, w AS w))), x -> x.w), '|'), ')(?!\\\\p{L})'))")
+    whole = f"concat({rest_expr('p[0]')}, array_join(transform({found}, (x, i) -> concat(k[x].text, {rest_expr('p[i + 1]')})), ''))"
     put = (f"if({known} IS NULL, struct(`{text}` AS text, cast(array() AS array<string>) AS kinds), "
            f"transform(array(map_from_entries(transform({known}, e -> struct(e.value, e)))), k -> "
            f"transform(array(split(`{text}`, {_quoted(ANY)}, -1)), p -> struct("
-           f"concat(p[0], array_join(transform({found}, (x, i) -> concat(k[x].text, p[i + 1])), '')) AS text, "
+           f"{_let('b', bare_expr(known), _let('r', pattern, whole))} AS text, "
            f"transform({found}, x -> k[x].kind) AS kinds))[0])[0])")
     changed = some.join(maps, [own, row], "left").select(*columns, F.explode(F.array(F.expr(put))).alias(done))
     number = f"map_from_entries(transform(array_distinct({done}.kinds), k -> struct(k, cast(size(filter({done}.kinds, x -> x = k)) AS bigint))))"
