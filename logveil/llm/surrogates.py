@@ -3,9 +3,11 @@
 Entities are found by one pattern of all ``KINDS``.  The distinct entities of the
 corpus become a dictionary: a surrogate follows from a key, the kind, the
 canonical form and an attempt, by SHA-256.  Surrogates that two entities share,
-or that are themselves entities of the corpus, go to the next attempt until all
-are distinct, so different entities stay different and one entity gets one
-surrogate in all documents.
+or that are themselves entities of the corpus, go to the next attempt, for names and
+mail addresses with more syllables or digits.  Where a format has too few values,
+as 192.168.*.* has, those left after ``MAX_ATTEMPTS`` get another entity of that
+format, the next in an order that the key gives.  So different entities stay
+different and one entity gets one surrogate in all documents.
 
 Numbers keep their punctuation and length, cards that pass the check digit go on
 passing it, phone numbers keep their country code, addresses stay valid and
@@ -25,15 +27,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logveil.functions.rules import BUILTIN_RULES
 from logveil.llm.common import NO_ID, unused
 from logveil.sources.staging import staged
 
-#: Attempts after which a dictionary is refused: the kind has too few values left.
+#: Draws after which the entities left get entities of their own format: the kind has too few other values.
 MAX_ATTEMPTS = 64
+#: Entities among which a successor is looked for in one task.
+RING = 10_000
 
 FORMS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme M. Señor Señora Sr Sra Don Doña Г-н Г-жа Господин Госпожа Κος Κα".split()
 _FORM = "(?:" + "|".join("M(?=[.])" if form == "M." else form for form in FORMS) + ")"
@@ -178,11 +182,12 @@ def _secret() -> str:
             f"WHEN char_length(v) < 8 THEN concat({_shaped('v')}, substr(d, 33, 8)) ELSE {_shaped('v', known)} END")
 
 
-def _name() -> str:
+def _name(attempt: str) -> str:
     """Form of address, a given name if there are two words or more, and a family name of syllables."""
     def family(script: str, i: str) -> str:
         syllables = _list(NAMES[script]["s"])
-        return f"initcap(concat({_pick(syllables, i)}, {_pick(syllables, f'{i} + 1')}, {_pick(syllables, f'{i} + 2')}, {_pick(syllables, f'{i} + 3')}))"
+        more = "".join(f", {_pick(syllables, str(16 + k))}" for k in range(int(attempt) // 2))
+        return f"initcap(concat({_pick(syllables, i)}, {_pick(syllables, f'{i} + 1')}, {_pick(syllables, f'{i} + 2')}, {_pick(syllables, f'{i} + 3')}{more}))"
 
     def words(script: str) -> str:
         female, male = _list(NAMES[script]["f"]), _list(NAMES[script]["m"])
@@ -199,12 +204,13 @@ def _name() -> str:
 def surrogate_expr(key: str, kind: str, value: str, attempt: str) -> str:
     """The surrogate of a canonical form."""
     seed = f"concat_ws('|', '{key}', {kind}, v, cast({attempt} AS string))"
-    stream = (f"array_join(transform(sequence(0, char_length(v) div 16 + 1), b -> sha2(concat('{key}', sha2(concat_ws('|', {seed}, cast(b AS string)), 256)), 256)), '')")
+    stream = (f"array_join(transform(sequence(0, char_length(v) div 16 + {1 + int(attempt) // 16}), b -> sha2(concat('{key}', sha2(concat_ws('|', {seed}, cast(b AS string)), 256)), 256)), '')")
     local = "substring_index(v, '@', 1)"
-    email = f"concat({_shaped(local)}, '@mail', cast(pmod({_byte('char_length(v)')}, 1000) AS string), '.example.com')"
+    more = "".join(f", lpad(cast(pmod({_byte(f'char_length(v) + {k + 1}')}, 1000) AS string), 3, '0')" for k in range(int(attempt) // 4))
+    email = f"concat({_shaped(local)}, '@mail', cast(pmod({_byte('char_length(v)')}, 1000) AS string){more}, '.example.com')"
     phone = f"if(char_length(v) > 10, {_shaped('v', 'char_length(v) - 10')}, {_shaped('v')})"
     by_kind = (f"CASE {kind} WHEN 'secret' THEN {_secret()} WHEN 'email' THEN {email} WHEN 'ip' THEN {_ip()} WHEN 'card' THEN {_card()} "
-               f"WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {_shaped('v')} ELSE {_name()} END")
+               f"WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {_shaped('v')} ELSE {_name(attempt)} END")
     return _let("v", value, _let("d", stream, by_kind))
 
 
@@ -250,7 +256,33 @@ def dictionary(entities: DataFrame, key: str) -> DataFrame:
         pending = staged(drawn.join(good, ["kind", "canonical"], "left_anti").select("kind", "canonical"), "collisions")
         if pending.isEmpty():
             return settled
-    raise ValueError(f"no distinct surrogates after {MAX_ATTEMPTS} attempts")
+    return settled.unionAll(successors(entities, pending, key))
+
+
+def format_expr(kind: str, value: str) -> str:
+    """The format that a surrogate shares with its entity, for kinds with few values."""
+    return (f"CASE WHEN {kind} = 'ip' THEN regexp_extract({value}, '^(?:10[.]|127[.]|192[.]168[.]|[^.]*:)?', 0) "
+            f"WHEN {kind} = 'phone' THEN concat(char_length({value}), ' ', substr({value}, 1, greatest(0, char_length({value}) - 10))) "
+            f"WHEN {kind} = 'card' AND {value} rlike '^[0-9]' THEN concat(char_length({value}), ' ', pmod({_luhn(value)}, 10) = 0) "
+            f"ELSE regexp_replace(regexp_replace({value}, '[0-9]', '0'), '[a-z]', 'a') END")
+
+
+def successors(entities: DataFrame, pending: DataFrame, key: str) -> DataFrame:
+    """``(kind, canonical, surrogate)`` of the ``pending`` among the ``entities``: the next entity of the format, around rings of
+    about ``RING`` in the order of a keyed hash.  No draw is an entity, so these are distinct from all drawn surrogates."""
+    left = staged(pending.select("kind", F.expr(format_expr("kind", "canonical")).alias("format"), "canonical"), "left")
+    every = entities.select("kind", F.expr(format_expr("kind", "canonical")).alias("format"), "canonical") \
+        .withColumn("at", F.expr(f"sha2(concat('{key}', sha2(concat_ws('|', '{key}', kind, canonical), 256)), 256)"))
+    sizes = every.groupBy("kind", "format").agg(F.count("*").alias("size")).join(left.select("kind", "format").distinct(), ["kind", "format"])
+    rings = every.join(F.broadcast(sizes), ["kind", "format"]) \
+        .withColumn("ring", F.expr(f"pmod(xxhash64(at), greatest(1L, size div {RING}))"))
+    ring = Window.partitionBy("kind", "format", "ring")
+    after = F.coalesce(F.lead("canonical").over(ring.orderBy("at", "canonical")), F.first("canonical").over(
+        ring.orderBy("at", "canonical").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    found = staged(rings.select("kind", "canonical", after.alias("surrogate")).join(left.select("kind", "canonical"), ["kind", "canonical"]), "successors")
+    if not found.where("canonical = surrogate").isEmpty():
+        raise ValueError("a format with a single value has no surrogate")
+    return found.select("kind", "canonical", "surrogate")
 
 
 def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -452,6 +452,19 @@ def test_more_kinds_of_personal_data(spark):
     assert iban == re.search("DE[0-9 ]+[0-9]", out[15].text)[0].replace(" ", "")
 
 
+def test_formats_with_few_values(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "MAX_ATTEMPTS", 3)
+    monkeypatch.setattr(surrogates, "RING", 5000)
+    values = [("ip", f"192.168.{i // 250}.{i % 250}") for i in range(40_000)] + [("email", f"a@h{i}.example") for i in range(100)]
+    frame = spark.createDataFrame(values, "kind string, canonical string")
+    got = surrogates.dictionary(frame, "k").collect()
+    assert len(got) == len({(r.kind, r.surrogate) for r in got}) == len(values) == len({(r.kind, r.canonical) for r in got})
+    assert all(r.canonical != r.surrogate for r in got)
+    assert all(r.surrogate.startswith("192.168.") for r in got if r.kind == "ip")
+    draw = lambda k: spark.range(1).select(F.expr(surrogates.surrogate_expr("k", "'name'", "'Mr Smith'", str(k)))).first()[0]
+    assert len(draw(40)) > len(draw(0)) + 20
+
+
 # --- pipeline ----------------------------------------------------------------------
 
 def test_pipeline(spark):
