@@ -58,7 +58,8 @@ def _credentials() -> str:
                 out.append(rf'(?<=(?i:{prefix})")[^"\n]{{1,512}}(?=")')
                 prefix += "'?"
             out.append(f"(?<=(?i:{prefix})){value}")
-    return "|".join(out)
+    # what ends every prefix comes first, so that few places try the long look-behinds
+    return rf"""(?<=[=:"'\s])(?<=[=:]\s{{0,8}}["']?|(?i:basic|bearer|digest)\s{{1,8}}["']?)(?:{"|".join(out)})"""
 
 
 _LONG = r"(?<![0-9A-Za-z+/=_-])(?=[A-Za-z+_-]*[0-9])(?=[0-9a-z+_-]*[A-Z])(?=[0-9A-Z+_-]*[a-z])[0-9A-Za-z+_-]{32,512}={0,2}(?![0-9A-Za-z/])"
