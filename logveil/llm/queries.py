@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logveil.llm import decontaminate, html, language, lines, neardup, packing, quality, rules, surrogates, tokencount
+from logveil.llm import alignment, copies, decontaminate, html, language, lines, neardup, packing, quality, rules, search, surrogates, tokencount
 from logveil.llm.common import table
 
 #: Key of the registered query; a job that is to keep a secret passes its own.
@@ -56,6 +56,18 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.digest(surrogates.pseudonymise(table(spark, sf_dir, "documents"), KEY))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(alignment.align(table(spark, sf_dir, "documents")))
+
+
+def op12_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.exact_copies(table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def registry() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -68,6 +80,9 @@ def registry() -> dict[str, Query]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_packing": op9_packing,
         "op10_surrogates": op10_surrogates,
+        "op11_alignment": op11_alignment,
+        "op12_exact_copies": op12_exact_copies,
+        "op13_search": op13_search,
     }
 
 
@@ -76,4 +91,6 @@ def statements() -> dict[str, str]:
         "op1_decontaminate": decontaminate.ORACLE,
         "op3_line_dedup": lines.ORACLE,
         "op4_rules": rules.ORACLE,
+        "op12_exact_copies": copies.ORACLE,
+        "op13_search": search.ORACLE,
     }
