@@ -61,6 +61,7 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
+        batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)
         if held is not None:
             batch = pa.concat_batches([held, batch])
         other = np.zeros(batch.num_rows - 1, bool)

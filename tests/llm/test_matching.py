@@ -32,7 +32,15 @@ def copies_by_hand(rows):
     return sorted(out, key=repr)
 
 
-def test_exact_copies(spark):
+@pytest.fixture
+def small_batches(spark):
+    """Tasks see their rows in many Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_exact_copies(spark, small_batches):
     rows = odd(spark) + [(200, "a  b\tc"), (201, "a b c"), (202, "a b c "), (203, "a\x0b\nb\x85c"), (204, "a b\x85c"), (205, "x y"),
                          (206, "x y"), (207, None), (208, "\n"), (209, " "), (300, "long " * 60_000), (301, "long  " * 60_000)]
     rows += [(1000 + i, "one text in many copies") for i in range(700)] + [(5, "one text in many copies")] * 3
@@ -47,7 +55,7 @@ def test_exact_copies(spark):
     assert copies.exact_copies(empty(spark)).count() == 0 and copies.drop_copies(empty(spark)).count() == 0
 
 
-def test_runs_keep_texts_apart_whose_digests_agree(spark):
+def test_runs_keep_texts_apart_whose_digests_agree(spark, small_batches):
     """Entries of one digest but another length or second hash stay two entries at every level."""
     rows = [(b"d" * 32, 1, 7, i, i, 1) for i in range(40)] + [(b"d" * 32, 2, 7, i, i, 1) for i in range(3)] \
         + [(b"d" * 32, 2, 8, None, i, 1) for i in range(5)] + [(b"e" * 32, 2, 7 + 1024 * i, i, i, 1) for i in range(9)]
@@ -92,7 +100,7 @@ ITEMS = [(1, "An-the on. anthe reon, ANTHE"), (2, "word shared"), (3, ""), (4, N
 
 
 @pytest.mark.parametrize("block", [4_000_000, 20])
-def test_search(spark, monkeypatch, block):
+def test_search(spark, monkeypatch, small_batches, block):
     monkeypatch.setattr(search, "BLOCK_BYTES", block)
     monkeypatch.setattr(search, "CELLS", 50)
     rows = odd(spark) + [(400, "reanon reon\x85reon REÖN reön"), (401, "reon_reon reon1 1reon")]
