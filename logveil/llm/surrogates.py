@@ -98,8 +98,13 @@ NAMES = {
 }
 
 ANY = "|".join(f"(?:{p})" for p in [_credentials(), *KINDS.values()])
-#: What a text has that holds a credential without a digit.
-_HINT = "(?i)authorization|passw|pwd|secret|token|bearer|api[_-]?key|eyJ|AKIA|ASIA|sk-|gh[opsur]_|[0-9A-Za-z+/_-]{30}|::|[0-9a-f]:[0-9a-f]{1,4}:"
+#: What a text without digit and @ has that holds a secret or an address: a prefix, a run of base64 with its padding, groups between colons.
+_PREFIXES = "eyJ AKIA ASIA sk- gho_ ghp_ ghs_ ghu_ ghr_ ::".split()
+_PADDED, _GROUPS = "[0-9A-Za-z+/]{30}", "[0-9a-fA-F]:[0-9a-fA-F]{1,4}:"
+#: What it has that names a credential, in lower case.
+_NAMED = "authorization passw pwd secret token bearer apikey api_key api-key".split()
+#: A name behind a form of address, found by the space between them.
+_ADDRESSED = rf" (?=\p{{Lu}})(?<={_FORM}\.? )"
 
 
 def _quoted(pattern: str) -> str:
@@ -119,8 +124,14 @@ def found_expr(text: str) -> str:
 
 
 def gate_expr(text: str) -> str:
-    """Cheap and implied by every kind: a digit, an @, a form of address or what tells a credential."""
-    return f"{text} rlike '[0-9@]' OR {text} rlike {_quoted(_HINT)} OR " + " OR ".join(f"contains({text}, '{form} ') OR contains({text}, '{form}. ')" for form in FORMS)
+    """Cheap and implied by every kind: a digit, an @, a form of address or what tells a credential.
+
+    A credential is named before a colon or an equals sign, so few texts are searched for its names.
+    """
+    holds = lambda what, values: "(" + " OR ".join(f"contains({what}, '{v}')" for v in values) + ")"
+    return (f"{text} rlike '[0-9@]' OR {text} rlike {_quoted(_ADDRESSED)} OR {holds(text, _PREFIXES)} "
+            f"OR (contains({text}, ':') OR contains({text}, '=')) AND ({holds(f'lower({text})', _NAMED)} "
+            f"OR {text} rlike {_quoted(_PADDED)} OR {text} rlike {_quoted(_GROUPS)})")
 
 
 def kind_expr(value: str) -> str:
@@ -295,8 +306,8 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
     rows = docs.select(*columns)
     gate = F.coalesce(F.expr(gate_expr(f"`{text}`")), F.lit(False))
     # a generator of one row keeps the optimizer from copying the search into every use of it
-    some = rows.where(gate).withColumn(own, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))).withColumn(row, F.xxhash64(text)) \
-        .select("*", F.explode(F.array(F.expr(found_expr(f"`{text}`")))).alias(found))
+    some = staged(rows.where(gate).withColumn(own, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))).withColumn(row, F.xxhash64(text))
+                  .select("*", F.explode(F.array(F.expr(found_expr(f"`{text}`")))).alias(found)), "searched")
     values = some.select(own, row, F.explode(F.array_distinct(found)).alias("value"))
     values = values.withColumn("kind", F.expr(kind_expr("value"))).withColumn("canonical", F.expr(canonical_expr("kind", "value")))
     values = staged(values, "entities")
