@@ -12,9 +12,10 @@ be at most 1 / ``MIN_PAGES``, as for so many unlike articles.  So a notice stays
 where other recurring text makes up most of the article besides it.  Headings,
 cells and items are never taken alone: "Introduction" or "0" recurs in articles.
 
-Elements that are no text of the article by their tag, role or style (menus,
-headers, footers, asides, forms, scripts, styles) are deleted on every page, also
-on hosts with too few pages to tell a template.  So are elements with a class
+Elements that are no text of the article by their tag or role (menus, headers,
+footers, asides, scripts, styles) are deleted on every page, also on hosts with
+too few pages to tell a template.  So are forms and hidden elements, but for one
+that wraps the article, or on a page without one most of its prose; and elements with a class
 that names boilerplate (``ad``, ``sidebar``, ``comments``) as a whole token, but
 never one that holds the article or most of the page's prose, and no heading.
 
@@ -30,7 +31,9 @@ import hashlib
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,8 @@ SKETCH, TRIPLE = 8, 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg xmp noembed noframes".split())
 DROPPED = RAW | frozenset("head nav header footer aside form button select option datalist dialog menu object canvas audio video math".split())
+#: Elements of other languages, in which a slash closes a start tag.
+FOREIGN = frozenset({"svg", "math"})
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table tr td th ul ol li dl dt dd figure figcaption br hr".split())
@@ -63,9 +68,15 @@ NAMED = COMMENTS | frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle ad-banner ad-container ad-slot ad-unit ad-wrapper "
     "banner-ad sponsored sidebar cookie-banner cookie-bar cookie-consent cookie-notice cookie-popup gdpr newsletter-signup "
     "share-buttons social-share sharedaddy related-posts".split())
+# Tokens made of "comments", but not those that only say whether there are any.
+_COMMENTS = re.compile(r"(?:(?!(?:has|no|with|without|show|hide|open|closed)[-_])[a-z]+[-_])?(?:comments(?:[-_](?:area|section|list|wrapper|block|thread|"
+                       r"container))?|comment[-_](?:area|section|list|wrapper|block|thread|container))")
 OUTSIDE = frozenset("nav navbar navigation main-navigation site-navigation menubar breadcrumb breadcrumbs pagination topbar masthead "
                     "site-header site-footer footer skip-link widget-area popup modal".split())
 SAFE = frozenset({"html", "body", "main", "article"})
+#: Elements that may wrap a whole page; and those that a list of comments is made of.
+WRAPPERS = frozenset({"form"})
+SECTIONS = frozenset("div section ul ol".split())
 #: A start tag on the left ends an open element on the right.
 ENDS = {tag: frozenset({"p"}) for tag in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
         "h5 h6 header hr main menu nav ol p pre section table ul".split()}
@@ -125,6 +136,8 @@ def parse(html: str) -> Element:
             continue
         element = Element(tag, m[3].strip().removesuffix("/"))
         open_[-1].children.append(element)
+        if tag in FOREIGN and m[3].endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(html, at)
             at = end.end() if end else len(html)
@@ -137,35 +150,49 @@ def parse(html: str) -> Element:
     return root
 
 
+@lru_cache(maxsize=4096)
+def _attributes(text: str) -> tuple[bool, bool, frozenset[str], frozenset[str]]:
+    """Of an element's attributes: whether its role says that it is no text, whether it is hidden, its class tokens and its ids."""
+    role = hidden = False
+    tokens: dict[str, set[str]] = {"class": set(), "id": set()}
+    for m in _ATTRIBUTE.finditer(text):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in tokens:
+            tokens[name].update(value.lower().split())
+        role = role or name == "role" and value.lower() in ROLES
+        hidden = hidden or name == "hidden" or name == "aria-hidden" and value.lower() == "true" \
+            or name == "style" and "display:none" in value.replace(" ", "").lower()
+    return role, hidden, frozenset(tokens["class"]), frozenset(tokens["id"])
+
+
 def is_dropped(element: Element, inside: bool) -> bool:
-    """Whether an element is no text by its tag, role or style; ``inside`` an article its own header stays."""
+    """Whether an element is no text by its tag or role; ``inside`` an article its own header stays."""
     tag = element.tag
     if tag in DROPPED:
-        return not (inside and tag == "header")
-    if tag in SAFE or not element.attributes:
-        return False
-    for m in _ATTRIBUTE.finditer(element.attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+        return tag not in WRAPPERS and not (inside and tag == "header")
+    return tag not in SAFE and bool(element.attributes) and _attributes(element.attributes)[0]
+
+
+def is_wrapper(element: Element) -> bool:
+    """Whether an element is no text unless it wraps the article: a form, or what is hidden."""
+    return element.tag in WRAPPERS or element.tag not in SAFE and bool(element.attributes) and _attributes(element.attributes)[1]
+
+
+def _of_comments(token: str) -> bool:
+    return token in COMMENTS or bool(_COMMENTS.fullmatch(token))
 
 
 def names(element: Element, inside: bool) -> set[str]:
     """Class tokens of an element that name boilerplate.  An id counts as one on a plain ``div`` outside an article only,
-    since sections and headings are named by their subject."""
+    since sections and headings are named by their subject, but an id of reader comments on any element that is no heading."""
     if element.tag in SAFE or element.tag in HEADINGS or not element.attributes:
         return set()
-    tokens: dict[str, set[str]] = {"class": set(), "id": set()}
-    for m in _ATTRIBUTE.finditer(element.attributes):
-        if m[1].lower() in tokens:
-            tokens[m[1].lower()].update((m[2] or m[3] or m[4] or "").lower().split())
-    found = tokens["class"]
+    _, _, found, ids = _attributes(element.attributes)
+    known = NAMED if inside else NAMED | OUTSIDE
+    out = {t for t in found if t in known or _of_comments(t)}
     if element.tag == "div" and not inside and "section" not in found:
-        found = found | tokens["id"]
-    return found & (NAMED if inside else NAMED | OUTSIDE)
+        return out | {t for t in ids if t in known or _of_comments(t)}
+    return out | {t for t in ids if _of_comments(t)} if element.tag in SECTIONS else out
 
 
 def boilerplate(root: Element) -> set[int]:
@@ -177,7 +204,7 @@ def boilerplate(root: Element) -> set[int]:
     """
     gone: set[int] = set()
     nodes: list[list] = []  # element, parent's place, characters of prose, of all text
-    named: list[tuple[int, set[str]]] = []
+    named: list[tuple[int, set[str] | None]] = []
     holders: list[int] = []
     article = False
     stack = [(root, -1, False, False)]
@@ -187,7 +214,9 @@ def boilerplate(root: Element) -> set[int]:
             gone.add(id(e))
             continue
         at = len(nodes)
-        if found := names(e, inside):
+        if is_wrapper(e):
+            named.append((at, None))
+        elif found := names(e, inside):
             named.append((at, found))
         if e.tag == "main" or e.tag == "article" and not article:
             holders.append(at)
@@ -208,7 +237,8 @@ def boilerplate(root: Element) -> set[int]:
             at = nodes[at][1]
     measure = 2 if nodes[0][2] else 3
     for at, found in named:
-        most = 2 * nodes[at][measure] > nodes[0][measure] and not (holders and found & COMMENTS)
+        # what is hidden or a form is kept by length only where nothing else tells the article
+        most = 2 * nodes[at][measure] > nodes[0][measure] and not (holders and (found is None or any(map(_of_comments, found))))
         if at not in keep and not most:
             gone.add(id(nodes[at][0]))
     return gone
@@ -217,13 +247,20 @@ def boilerplate(root: Element) -> set[int]:
 _ODD = (np.arange(1, SKETCH + 1, dtype=np.uint32) * np.uint32(0x9E3779B1)) | np.uint32(1)
 
 
-def _sketch(text: str) -> np.ndarray:
-    """The least of each of ``SKETCH`` hashes over the word triples of a text."""
-    words = text.lower().encode("utf-8", "replace").split(b" ")
-    width = min(TRIPLE, len(words))
-    found = np.array([zlib.crc32(b" ".join(words[i:i + width])) for i in range(len(words) - width + 1)], np.uint32)
-    found = (found ^ (found >> np.uint32(15)))[:, None] * _ODD
-    return ((found ^ (found >> np.uint32(13))) * np.uint32(0x85EBCA6B)).min(axis=0)
+def _sketches(texts: list[str]) -> np.ndarray:
+    """For each text the least of each of ``SKETCH`` hashes over its word triples; a text of fewer words is one triple."""
+    words = [t.lower().encode("utf-8", "replace").split(b" ") for t in texts]
+    words = [w if len(w) >= TRIPLE else w + [b""] * (TRIPLE - len(w)) for w in words]
+    each = np.fromiter(map(zlib.crc32, chain.from_iterable(words)), np.uint32)
+    n = np.array([len(w) - TRIPLE + 1 for w in words])
+    first = np.cumsum(n) - n
+    at = np.arange(n.sum()) + np.repeat((TRIPLE - 1) * np.arange(len(n)), n)
+    found = np.zeros(len(at), np.uint32)
+    for k in range(TRIPLE):
+        found = (found ^ each[at + k]) * np.uint32(0x9E3779B1)
+        found ^= found >> np.uint32(15)
+    found = found[:, None] * _ODD
+    return np.minimum.reduceat((found ^ (found >> np.uint32(13))) * np.uint32(0x85EBCA6B), first, axis=0)
 
 
 def _hashed(root: Element, gone: set[int], out: list[tuple[Element, bytes, int, int]], texts: list[str]) -> bytes:
@@ -274,7 +311,7 @@ def surroundings(root: Element, gone: set[int]) -> tuple[bytes, dict[bytes, list
     texts: list[str] = []
     body = _hashed(root, gone, out, texts)
     nothing = np.full((1, SKETCH), 0xFFFFFFFF, np.uint32)
-    each = np.concatenate([nothing, *(_sketch(t)[None] for t in texts), nothing])
+    each = np.concatenate([nothing, _sketches(texts), nothing] if texts else [nothing, nothing])
     before, after = np.minimum.accumulate(each), np.minimum.accumulate(each[::-1])[::-1]
     found: dict[bytes, list[int] | None] = {}
     for e, h, start, end in out:

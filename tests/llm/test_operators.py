@@ -481,3 +481,19 @@ def test_pipeline(spark):
     clean = corpus_pipeline.drop_benchmark(spark, docs, sf_dir)
     assert clean.columns == columns
     assert decontaminate.hits(clean, benchmark).where("n_hit > 0").count() == 0
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<form id=aspnetForm method=post><div><article><h1>Story</h1><p>Text of it.</p></article></div><input name=q></form>", "Story\nText of it."),
+    ("<form><div><p>All of a page is in a form.</p><p>And so on.</p></div></form><div>by line</div>", "All of a page is in a form.\nAnd so on.\nby line"),
+    ("<p>A text that is longer than the form.</p><form><p>Sign up</p><input></form>", "A text that is longer than the form."),
+    ("<div aria-hidden=true><article><p>Behind a dialog.</p></article></div><div aria-hidden=true>x</div>", "Behind a dialog."),
+    ("<article><p>a<svg class='icon'/>b</p><p>c <math/>d</p></article>", "ab\nc d"),
+    ("<article><p>a<svg><path d='M0'/><text>no</text></svg>b</p></article>", "ab"),
+    ("<article><p>Text</p></article><section id='comments'><p>I am the first to comment at length.</p></section>", "Text"),
+    ("<article><p>Text</p><div class='post-comments'><p>Reader says.</p></div><div class='comment-list'><p>x</p></div></article>", "Text"),
+    ("<article><p>Text</p><div class='has-comments'><p>More</p></div><h2 id='comments'>On comments</h2><p><span class='comment'># c</span></p></article>",
+     "Text\nMore\nOn comments\n# c"),
+])
+def test_wrapped_articles_and_comments(page, want):
+    assert html.extract(page, set()) == want
