@@ -31,6 +31,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -47,8 +48,8 @@ END = 1
 SCHEMES = ((0.2, 10), (0.2, 20), (0.25, 16), (0.25, 32), (0.33, 24), (0.33, 60), (0.5, 100))
 #: Rows that one window task ranks, on average at most.
 RANKED = 1_000_000
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Bytes of the parts of text whose ids a task remembers, and what an entry takes besides its part and ids.
+REMEMBERED_BYTES, ENTRY_BYTES = 48_000_000, 180
 
 _LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 _MARKS = {".", ","}
@@ -69,6 +70,7 @@ class Encoder(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.bytes = 0
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -84,8 +86,9 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > REMEMBERED:
+        if self.bytes > REMEMBERED_BYTES:
             self.clear()
+            self.bytes = 0
         if _LETTERS(part):
             word = part if part.isascii() else part.lower().translate(self.spelling)
             ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
@@ -94,6 +97,7 @@ class Encoder(dict):
         else:
             ids = self._whole(part)
         self[part] = ids
+        self.bytes += len(part) + len(ids) + ENTRY_BYTES
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -103,9 +107,6 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, parts))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, ids)``: documents cut at ``CAPACITY`` tokens.
 
@@ -113,22 +114,24 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     """
     end = np.array([END], "<u4").tobytes()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(public_tokenizers.path(tokenizer))
-        encoder, rows = _encoders[tokenizer], []
-        for key, value in zip(batch.column(0), batch.column(1)):
-            ids = encoder.ids(value.as_py() or "") + end
-            for piece, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
-                part = ids[at:at + 4 * CAPACITY]
-                rows.append((key.as_py(), piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                                          names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-
-    return map_batches(docs.select(F.col(doc_id).cast("bigint"), F.col(text)), run, _PIECES)
+        encoder = Encoder(public_tokenizers.path(tokenizer))
+        for batch in batches:
+            rows = []
+            for key, value in zip(batch.column(0), batch.column(1)):
+                ids = encoder.ids(value.as_py() or "") + end
+                for piece, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
+                    part = ids[at:at + 4 * CAPACITY]
+                    rows.append((key.as_py(), piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                                 names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+
+    return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, _PIECES)
 
 
 def _grouped(large: list[tuple[int, int]], groups: int) -> list[list[list[int]]]:
