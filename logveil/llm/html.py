@@ -184,7 +184,7 @@ def _of_comments(token: str) -> bool:
 
 def names(element: Element, inside: bool) -> set[str]:
     """Class tokens of an element that name boilerplate.  An id counts as one on a plain ``div`` outside an article only,
-    since sections and headings are named by their subject, but an id of reader comments on any element that is no heading."""
+    since sections and headings are named by their subject, and an id of reader comments on a section or list there."""
     if element.tag in SAFE or element.tag in HEADINGS or not element.attributes:
         return set()
     _, _, found, ids = _attributes(element.attributes)
@@ -192,7 +192,7 @@ def names(element: Element, inside: bool) -> set[str]:
     out = {t for t in found if t in known or _of_comments(t)}
     if element.tag == "div" and not inside and "section" not in found:
         return out | {t for t in ids if t in known or _of_comments(t)}
-    return out | {t for t in ids if _of_comments(t)} if element.tag in SECTIONS else out
+    return out | {t for t in ids if _of_comments(t)} if element.tag in SECTIONS and not inside else out
 
 
 def boilerplate(root: Element) -> set[int]:
