@@ -21,6 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from logveil.functions.rules import Catalogue  # noqa: E402
 from logveil.operators.redact import redact_corpus, redact_documents, redact_lines  # noqa: E402
+from logveil.operators.scan import redact_lines_scan  # noqa: E402
 from logveil.operators.reports import counts_by_document, totals  # noqa: E402
 from logveil.plans import views  # noqa: E402
 from logveil.sources import synth  # noqa: E402
@@ -69,6 +70,11 @@ def main() -> None:
     inputs["log_docs"] = stage(views.log_docs(spark, sf_dir), f"{root}/log_docs", parts)
     inputs["log_lines"] = stage(views.log_lines(spark, sf_dir), f"{root}/log_lines", parts)
 
+    mixed = synth.mixed_lines(views.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("number")), "number", 50)
+    inputs["mix_50_lines"] = stage(mixed.select(
+        F.floor(F.col("number") / (LINES_PER_DOC * 10)).alias("doc_id"), F.col("number").alias("line_no"), "line"), f"{root}/mix_50_lines", parts)
+
     def redacted(name):
         return lambda: redact_documents(inputs[name], "text").drop("hits")
 
@@ -83,6 +89,8 @@ def main() -> None:
         "count_logs": ("log_docs", lambda: totals(counts_by_document(redact_documents(inputs["log_docs"], "text"), "doc_id"))),
         "redact_logs_corpus": ("log_docs", lambda: redact_corpus(inputs["log_docs"], "doc_id", "text").rows.drop("hits")),
         "redact_lines_doc": ("log_lines", lambda: redact_lines(inputs["log_lines"], "doc_id", "line_no", "line").rows.drop("hits")),
+        "redact_lines_scan": ("log_lines", lambda: redact_lines_scan(inputs["log_lines"], "doc_id", "line_no", "line").rows),
+        "redact_lines_scan_mixed": ("mix_50_lines", lambda: redact_lines_scan(inputs["mix_50_lines"], "doc_id", "line_no", "line").rows),
         "mask_lines": ("log_lines", lambda: mask_stream(inputs["log_lines"], "line", Catalogue.builtin())),
     }
     size = {}

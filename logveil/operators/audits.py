@@ -23,33 +23,29 @@ def expected_counts(expected: DataFrame, actual: DataFrame, tolerance: float = 0
 
 
 def line_counts(rows: DataFrame, id_col: str, before: str, after: str) -> DataFrame:
-    """Documents that gained or lost lines although no multi-line rule matched."""
-    newlines = lambda c: F.expr(f"cast(regexp_count({c}, '\\n') AS bigint)")
-    return rows.filter("NOT exists(hits, h -> h.line_no IS NULL)") \
-        .select(id_col, newlines(before).alias("lines_before"), newlines(after).alias("lines_after")) \
-        .filter("lines_before != lines_after")
+    """Documents that gained or lost lines, those aside that the blocks found in them held."""
+    newlines = lambda c: f"cast(regexp_count({c}, '\\n') AS bigint)"
+    blocks = (f"aggregate(filter(hits, h -> h.line_no IS NULL), 0L, (n, h) -> n + {newlines('h.original')})")
+    return rows.select(id_col, F.expr(newlines(before)).alias("lines_before"), F.expr(newlines(after)).alias("lines_after"),
+                       F.expr(blocks).alias("_in_blocks")) \
+        .filter("lines_before != lines_after + _in_blocks").drop("_in_blocks")
 
 
-def clean_lines(before: DataFrame, after: DataFrame, findings: DataFrame, doc: str, line_no: str, line: str) -> DataFrame:
-    """Lines that changed without a finding on them."""
-    changed = before.join(after.select(doc, line_no, F.col(line).alias("after")), [doc, line_no]) \
-        .filter(f"{line} != after")
-    return changed.join(findings.select(doc, line_no), [doc, line_no], "left_anti")
+def clean_lines(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """Lines that changed without a hit on them; ``rows`` carry ``hits``."""
+    return rows.filter(F.expr(f"NOT (`{before}` <=> `{after}`) AND size(hits) = 0"))
 
 
-def indentation(before: DataFrame, after: DataFrame, doc: str, line_no: str, line: str) -> DataFrame:
+def indentation(rows: DataFrame, before: str, after: str) -> DataFrame:
     """Empty lines that are no longer empty, and lines whose leading white space changed."""
     lead = lambda c: f"regexp_extract({c}, '^\\\\s*', 0)"
-    return before.join(after.select(doc, line_no, F.col(line).alias("after")), [doc, line_no]) \
-        .filter(f"({line} = '') != (after = '') OR {lead(line)} != {lead('after')}") \
-        .select(doc, line_no, line, "after")
+    return rows.filter(F.expr(f"({before} = '') != ({after} = '') OR {lead(before)} != {lead(after)}"))
 
 
-def json_kept(before: DataFrame, after: DataFrame, keys: list[str], line: str) -> DataFrame:
+def json_kept(rows: DataFrame, before: str, after: str) -> DataFrame:
     """Lines that were JSON and no longer are."""
-    return before.join(after.select(*keys, F.col(line).alias("after")), keys) \
-        .filter(f"ltrim({line}) LIKE '{{%' AND try_parse_json({line}) IS NOT NULL AND try_parse_json(after) IS NULL") \
-        .select(*keys, line, "after")
+    return rows.filter(F.expr(
+        f"ltrim({before}) LIKE '{{%' AND try_parse_json({before}) IS NOT NULL AND try_parse_json({after}) IS NULL"))
 
 
 def bijection(dictionary: DataFrame) -> DataFrame:
@@ -75,6 +71,34 @@ def residual(rows: DataFrame, id_cols: list[str], text_col: str, catalogue: Cata
     return found.filter(~F.expr(T.matches("original", allowed_shapes(catalogue))))
 
 
+_WORDS = r"[\\p{L}\\p{N}_]+"
+
+
+def leaks(findings: DataFrame, lines: DataFrame, id_cols: list[str], line_col: str) -> DataFrame:
+    """``(*id_cols, category, original)``: values that were found in the input and stand, as whole words, in redacted lines.
+
+    ``findings`` has ``(category, original)``.  A line holds a value only if it has
+    every word of it.  So each value is anchored at that of its words which fewest
+    redacted lines have; values with a word that no line has need no look.  The
+    lines with an anchor are joined to it, and tested for the whole value.  Values
+    without a letter or digit are not looked for.
+    """
+    words = lines.select(*id_cols, line_col, F.explode(F.array_distinct(F.expr(f"regexp_extract_all({line_col}, '{_WORDS}', 0)"))).alias("word"))
+    known = words.groupBy("word").agg(F.count("*").alias("lines"))
+    values = findings.select("category", "original").distinct() \
+        .withColumn("words", F.array_distinct(F.expr(f"regexp_extract_all(original, '{_WORDS}', 0)"))).filter("size(words) > 0")
+    parts = values.select("category", "original", F.size("words").alias("n"), F.explode("words").alias("word")).join(known, "word")
+    anchored = parts.groupBy("category", "original", "n").agg(
+        F.count("*").alias("met"), F.min(F.struct("lines", "word")).alias("rarest")).filter("met = n") \
+        .select("category", "original", F.col("rarest.word").alias("word"))
+    met = words.join(anchored, "word").filter(F.expr(f"contains({line_col}, original)"))
+    inside = "[\\\\p{L}\\\\p{N}_]"
+    quoted = f"replace(original, {T.literal(chr(92) + 'E')}, {T.literal(chr(92) + 'E' + 2 * chr(92) + 'E' + chr(92) + 'Q')})"
+    whole = (f"{line_col} RLIKE concat(IF(original RLIKE '^{inside}', '(?<!{inside})', ''), '\\\\Q', {quoted}, '\\\\E', "
+             f"IF(original RLIKE '{inside}$', '(?!{inside})', ''))")
+    return met.filter(F.expr(whole)).select(*id_cols, "category", "original").distinct()
+
+
 def length_ratio(rows: DataFrame, id_col: str, before: str, after: str, low: float = 0.5, high: float = 3.0) -> DataFrame:
     """Documents that shrank or grew beyond reason."""
     return rows.select(id_col, F.length(before).cast("bigint").alias("chars_before"),

@@ -41,7 +41,7 @@ class Redaction:
     entries: DataFrame
 
 
-def _across(df: DataFrame, rules_by_stage, catalogue, unit, scope, line_no, known) -> tuple[DataFrame, DataFrame]:
+def across(df: DataFrame, rules_by_stage, catalogue, unit, scope, line_no, known) -> tuple[DataFrame, DataFrame]:
     """Run the stages over rows whose scope spans rows; one staged table per barrier."""
     dictionaries = []
     for rules in rules_by_stage:
@@ -67,7 +67,7 @@ def redact_corpus(df: DataFrame, id_col: str, text_col: str, catalogue: Catalogu
     catalogue = catalogue or Catalogue.builtin()
     base = cascade.start(df, text_col, catalogue).withColumn("_scope", F.lit(CORPUS))
     idle = base.filter("_text IS NULL OR _text = ''")
-    busy, entries = _across(base.filter("_text != ''"), catalogue.stages(), catalogue, [id_col], CORPUS, "0", known)
+    busy, entries = across(base.filter("_text != ''"), catalogue.stages(), catalogue, [id_col], CORPUS, "0", known)
     rows = cascade.finish(busy.unionByName(idle), text_col).drop("_scope")
     return Redaction(rows, None if entries is None else readable(entries, known), entries)
 
@@ -92,7 +92,7 @@ def redact_lines(df: DataFrame, doc_col: str, line_no_col: str, line_col: str, s
     idle = df.filter(f"NOT {candidate}").withColumnRenamed("_block_hits", "hits")
     base = cascade.start_lines(df.filter(candidate), line_col, line_no_col, catalogue) \
         .withColumn("_scope", F.coalesce(F.col(doc_col).cast("string"), F.lit("")) if scope == DOC else F.lit(CORPUS))
-    busy, entries = _across(base, catalogue.stages(), catalogue, [doc_col, line_no_col], scope, line_no_col, known)
+    busy, entries = across(base, catalogue.stages(), catalogue, [doc_col, line_no_col], scope, line_no_col, known)
     done = cascade.finish(busy, line_col).drop("_scope") \
         .withColumn("hits", F.concat("_block_hits", "hits")).drop("_block_hits")
     return Redaction(done.unionByName(idle), None if entries is None else readable(entries, known), entries)

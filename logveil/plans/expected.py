@@ -7,12 +7,13 @@ from logveil.functions.rules import Catalogue
 from logveil.operators.audits import allowed_shapes
 from logveil.plans import oracle as O
 from logveil.plans import views
-from logveil.plans.queries import CATALOGUE, CUSTOM, SAME
+from logveil.plans.queries import CATALOGUE, CUSTOM, SAME, STATIC
 from logveil.sources import synth
 
 LINE_RULES = CATALOGUE.select(rule_ids=[r.rule_id for r in CATALOGUE.line_rules])
 LINES_AS_DOCS = f"SELECT doc_id * 1000 + line_no AS doc_id, line AS text FROM ({O.LOG_LINES}) AS log_lines"
 FILES = views.files_sql("portable")
+LOG_FILES = views.log_files_sql("portable").replace("FROM documents", f"FROM ({O.LOG_DOCS}) AS log_docs")
 CONTENTS = views.contents_sql("portable")
 
 
@@ -141,6 +142,39 @@ def _line_audit(condition: str) -> str:
         f"FROM redacted r JOIN docs d ON r.doc_id = d.doc_id WHERE {condition}", LINES_AS_DOCS, LINE_RULES)
 
 
+SHORT_DOCS = ("SELECT doc_id * 100 + (line_no - 1) // 5 AS doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text "
+              f"FROM ({O.LOG_LINES}) AS log_lines GROUP BY ALL")
+
+
+def _line_count(after: str) -> str:
+    """Documents with another number of lines than they had, counted on the rules' own values."""
+    newlines = "cast(length({0}) - length(replace({0}, chr(10), '')) AS bigint)".format
+    steps, previous = [], "d.text"
+    for r in CATALOGUE.text_rules:
+        steps.append(f"(CASE WHEN {O.gate('lower(d.text)', r)} THEN list_sum(list_transform({O.values(previous, r)}, "
+                     f"lambda v: {newlines('v')})) ELSE 0 END)")
+        previous = f"(CASE WHEN {O.gate('lower(d.text)', r)} THEN {O.masked(previous, r)} ELSE {previous} END)"
+    lost = " + ".join(f"coalesce({x}, 0)" for x in steps)
+    return _from_cascade(
+        f"SELECT d.doc_id, {newlines('d.text')} AS lines_before, {newlines(after)} AS lines_after FROM docs d JOIN redacted r "
+        f"ON d.doc_id = r.doc_id WHERE {newlines('d.text')} != {newlines(after)} + {lost}", SHORT_DOCS)
+
+
+def _leaks(text: str) -> str:
+    """Every value of the unique categories tried on every line."""
+    word = lambda c: f"regexp_matches({c}, '^[\\p{{L}}\\p{{N}}_]')"
+    left, right = "CASE WHEN parts[i] = '' AND i > 1 THEN right(original, 1) ELSE right(parts[i], 1) END", "left(parts[i + 1], 1)"
+    apart = (f"NOT ({word('left(original, 1)')} AND {word(left)}) AND NOT ({word('right(original, 1)')} AND "
+             f"{word(f'CASE WHEN parts[i + 1] = {chr(39) * 2} AND i + 1 < len(parts) THEN left(original, 1) ELSE {right} END')})")
+    return _from_cascade(
+        "SELECT cast((doc_id - doc_id % 1000) / 1000 AS bigint) AS doc_id, doc_id % 1000 AS line_no, category, original FROM ("
+        "SELECT l.doc_id, v.category, v.original, string_split(l.line, v.original) AS parts "
+        f"FROM (SELECT r.doc_id, {text} AS line FROM redacted r JOIN docs d ON r.doc_id = d.doc_id) AS l "
+        "JOIN (SELECT DISTINCT category, original FROM dictionary WHERE regexp_matches(original, '[\\p{L}\\p{N}_]')) AS v "
+        "ON contains(l.line, v.original)) AS met "
+        f"WHERE len(list_filter(range(1, len(parts)), lambda i: {apart})) > 0", LINES_AS_DOCS, LINE_RULES)
+
+
 def _bijection() -> str:
     def half(one: str, many: str) -> str:
         return (f"SELECT scope, category, cast({one} AS varchar) AS value, count(DISTINCT {many}) AS n, '{one}' AS kind "
@@ -196,6 +230,12 @@ def statements() -> dict[str, str]:
         "AS bigint) AS bytes, count(*) AS lines, cast(count(*) * (count(*) + 1) / 2 AS bigint) AS line_nos "
         f"FROM ({_split()}) AS s GROUP BY doc_id % 8")
 
+    latin = "regexp_replace(text, '[^\\x00-\\xFF]', '?', 'g')"
+    shown = (f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'é' || {latin} WHEN 2 THEN '\u0a05\u4e00' || text ELSE '\u4e00\u0a05' || text END AS text "
+             "FROM documents")
+    sql["encoded_lines"] = ("SELECT 'd' || (doc_id % 7) || '/' || doc_id || '.log' AS path, line_no, md5(line) AS digest "
+                            f"FROM ({_split(f'({shown})')}) AS s")
+
     # synthetic logs
     sql["synth_log_lines"] = O.LOG_LINES
     sql["synth_expected_counts"] = AUDIT_EXPECTED
@@ -211,6 +251,8 @@ def statements() -> dict[str, str]:
     sql["redact_lines_doc"] = _from_cascade(
         "SELECT doc_id, cast(length(text) - length(replace(text, chr(10), '')) + 1 AS bigint) AS lines, "
         "md5(text) AS digest FROM redacted")
+    sql["redact_lines_scan"] = _redacted(O.LOG_DOCS)
+    sql["findings_lines_scan"] = _from_cascade(COUNTS)
     sql["documents_redacted"] = _redacted("SELECT doc_id, text FROM documents")
     sql["conversations_redacted"] = _from_cascade(
         "SELECT conv_id, turn, role, r.text FROM redacted r JOIN conversations c ON r.doc_id = c.conv_id * 100000 + c.turn",
@@ -244,17 +286,51 @@ def statements() -> dict[str, str]:
         f"SELECT * FROM (SELECT path, error FROM ({errors}) AS e ORDER BY path LIMIT 5) AS first_errors UNION ALL "
         f"SELECT NULL AS path, '... and ' || (count(*) - 5) || ' more' AS error FROM ({errors}) AS e HAVING count(*) > 5")
 
+    # trees of files
+    kinds = f"({LOG_FILES}) AS f LEFT JOIN redacted r USING (doc_id)"
+    bytes_in = "cast(octet_length(encode(f.text)) + CASE f.kind WHEN 'quarantined' THEN 1 ELSE 0 END AS bigint)"
+    bytes_out = ("cast(CASE f.kind WHEN 'redacted' THEN octet_length(encode(r.text)) WHEN 'copied' THEN octet_length(encode(f.text)) ELSE 0 END AS bigint)")
+    sql["tree_redact"] = _from_cascade(
+        f"SELECT regexp_replace(f.path, '/NUL[.]', '/_NUL.') AS path, md5(CASE f.kind WHEN 'redacted' THEN r.text ELSE f.text END) AS digest "
+        f"FROM {kinds} WHERE f.kind != 'quarantined'", O.LOG_DOCS)
+    sql["tree_results"] = _from_cascade(
+        f"SELECT f.path, regexp_replace(f.path, '/NUL[.]', '/_NUL.') AS target, f.kind AS outcome, {bytes_in} AS size, {bytes_out} AS written, cast(CASE f.kind WHEN 'redacted' THEN coalesce(h.n, 0) "
+        "ELSE 0 END AS bigint) AS replaced, CASE f.kind WHEN 'quarantined' THEN 'looks binary' END AS error "
+        f"FROM {kinds} LEFT JOIN (SELECT doc_id, sum(n) AS n FROM hits GROUP BY doc_id) h USING (doc_id)", O.LOG_DOCS)
+    sql["tree_metrics"] = _from_cascade(
+        "SELECT phase, count(*) AS files, cast(sum(size) AS bigint) AS bytes_in, "
+        "cast(sum(written) AS bigint) AS bytes_out, true AS timed, true AS rated FROM ("
+        f"SELECT unnest(CASE f.kind WHEN 'redacted' THEN ['redact', 'write'] WHEN 'copied' THEN ['copy'] ELSE ['quarantine'] END) AS phase, "
+        f"{bytes_in} AS size, {bytes_out} AS written FROM {kinds}) AS each_phase GROUP BY phase", O.LOG_DOCS)
+    sql["stream_files"] = _from_cascade(
+        "SELECT f.path, f.kind AS outcome, CASE f.kind WHEN 'redacted' THEN md5(r.text) WHEN 'copied' THEN md5(f.text) "
+        f"ELSE md5(unhex(hex(f.text) || '00')) END AS digest FROM {kinds}", O.LOG_DOCS)
+
     # audits
     sql["audit_expected"] = _from_cascade(
         "SELECT category, expected, actual, actual - expected AS difference FROM ("
         "SELECT coalesce(e.category, a.category) AS category, coalesce(e.n, 0) AS expected, coalesce(a.n, 0) AS actual "
         f"FROM ({AUDIT_EXPECTED}) e FULL JOIN (SELECT category, cast(sum(n) AS bigint) AS n FROM hits GROUP BY category) a "
         "ON e.category = a.category) AS both_counts WHERE abs(actual - expected) > 0.1 * expected", AUDIT_LINES)
-    newlines = "cast(length({0}.text) - length(replace({0}.text, chr(10), '')) AS bigint)".format
-    sql["audit_line_count"] = _from_cascade(
-        f"SELECT d.doc_id, {newlines('d')} AS lines_before, {newlines('r')} AS lines_after FROM docs d JOIN redacted r "
-        f"ON d.doc_id = r.doc_id WHERE {newlines('d')} != {newlines('r')} "
-        "AND d.doc_id NOT IN (SELECT doc_id FROM hits WHERE line_no IS NULL)")
+    sql["audit_line_count"] = _line_count("r.text")
+    sql["audit_line_count_damaged"] = f"SELECT doc_id FROM ({_line_count('CASE WHEN r.doc_id % 7 = 3 THEN r.text || chr(10) ELSE r.text END')}) AS a"
+    sql["audit_clean_lines_damaged"] = _line_audit(
+        "(r.doc_id % 1000 % 9 = 4 OR r.text != d.text) AND r.doc_id NOT IN (SELECT doc_id FROM hits)")
+    lead = "regexp_extract({0}, '^\\s*')".format
+    sql["audit_indentation_damaged"] = _line_audit(
+        f"(r.doc_id % 1000 % 9 = 5 AND (d.text = '' OR {lead('d.text')} != ' ' || {lead('r.text')})) "
+        f"OR (r.doc_id % 1000 % 9 != 5 AND ((r.text = '') != (d.text = '') OR {lead('r.text')} != {lead('d.text')}))")
+    sql["audit_json_damaged"] = _line_audit(
+        "ltrim(d.text) LIKE '{%' AND json_valid(d.text) AND (ends_with(r.text, '}') OR NOT json_valid(r.text))")
+    sql["audit_utf8_damaged"] = "SELECT doc_id FROM documents WHERE doc_id % 13 = 1 AND text IS NOT NULL"
+    sql["audit_complete_damaged"] = "SELECT doc_id FROM documents WHERE doc_id % 11 = 2"
+    sql["audit_bijection_damaged"] = _from_cascade(
+        "SELECT scope, category, cast(id - 1 AS varchar) AS value, cast(2 AS bigint) AS n, 'id' AS kind FROM dictionary WHERE id % 6 = 0", scope="corpus")
+    ratio = "CASE WHEN d.doc_id % 7 = 2 THEN 5 ELSE 1 END * length(r.text) / length(d.text)"
+    sql["audit_length_ratio_damaged"] = _from_cascade(
+        f"SELECT d.doc_id FROM docs d JOIN redacted r ON d.doc_id = r.doc_id WHERE length(d.text) > 0 AND ({ratio} < 0.5 OR {ratio} > 3.0)", SHORT_DOCS)
+    sql["audit_leaks"] = _leaks("r.text")
+    sql["audit_leaks_damaged"] = _leaks("CASE WHEN r.doc_id % 1000 % 9 = 2 THEN d.text ELSE r.text END")
     sql["audit_clean_lines"] = _line_audit("r.text != d.text AND r.doc_id NOT IN (SELECT doc_id FROM hits)")
     sql["audit_indentation"] = _line_audit(
         "(r.text = '') != (d.text = '') OR regexp_extract(r.text, '^\\s*') != regexp_extract(d.text, '^\\s*')")
@@ -272,6 +348,7 @@ def statements() -> dict[str, str]:
     sql["stream_redact"] = _from_cascade(
         "SELECT category, count(*) AS originals, count(DISTINCT id) AS ids, max(id) AS last FROM entries GROUP BY category",
         catalogue=LINE_RULES, scope="corpus")
+    sql["stream_blocks"] = _redacted(O.LOG_DOCS, STATIC)
     sql["stream_mask"] = _masked_lines()
     sql["stream_counts"] = _from_cascade("SELECT category, cast(sum(n) AS bigint) AS n FROM hits GROUP BY category", LINES_AS_DOCS)
     sql["stream_quarantine"] = (

@@ -15,17 +15,23 @@ from logveil.operators import audits, reports
 from logveil.operators.blocks import collapse_blocks
 from logveil.operators.detect import count, detect, mask
 from logveil.operators.redact import findings, redact_corpus, redact_documents, redact_lines
+from logveil.operators.scan import redact_lines_scan as scan_lines
+from logveil.operators.tree import redact_tree
 from logveil.plans import views
 from logveil.plans.views import table
 from logveil.sources import files as sources
 from logveil.sources import synth
-from logveil.sources.staging import scratch
+from logveil.sources.staging import scratch, staged
 from logveil.streaming.incremental import quarantine, read_dictionary, redact_stream
+from logveil.streaming.blocks import BlockRedactor, redact_blocks_stream
+from logveil.sources.tree import unseen_files, write_tree
+from logveil.streaming.files import FileRouter, arriving_files, route_stream
 from logveil.streaming.masks import mask_stream, running_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE = Catalogue.builtin()
 CUSTOM = CATALOGUE.add("ticket", r"\b(?:INC|CHG)-?\d{4,}\b|iid=\d+", "{UNIQUE}", ["inc", "chg", "iid="])
+STATIC = CATALOGUE.select(rule_ids=[r.rule_id for r in CATALOGUE if not r.is_unique])
 #: Two added rules of one category, and one of a built-in category.
 SAME = CATALOGUE.add("ticket", r"iid=\d+", "{UNIQUE}", ["iid="]).add("ticket", r"attempt \d+", "{UNIQUE}", ["attempt "]) \
     .add("hostname", r"org\.sample\.[A-Za-z]+", "{UNIQUE}.redacted", ["org.sample"])
@@ -79,7 +85,7 @@ def multiline_gate(spark, sf_dir):
 
 def candidate_lines(spark, sf_dir):
     """Lines on which some rule matches, and how many of them the fast path would miss."""
-    lines, done = _lines_redacted(spark, sf_dir)
+    done = _lines_redacted(spark, sf_dir)
     candidate = F.expr(T.matches("before", T.candidate_regex(CATALOGUE)))
     return done.filter("size(hits) > 0").agg(
         F.count("*").alias("changed"), F.count_if(~candidate).alias("missed"))
@@ -141,6 +147,19 @@ def file_roundtrip(spark, sf_dir):
     return found.join(lines, "part")
 
 
+def encoded_lines(spark, sf_dir):
+    """Documents written as files in four encodings and read as lines; two of their letters look like a line feed when cut."""
+    root = scratch(spark, "encoded")
+    text = "regexp_replace(text, '[^\\u0000-\\u00FF]', '?')"
+    content = (f"CASE doc_id % 4 WHEN 0 THEN cast(text AS binary) WHEN 1 THEN encode(concat('é', {text}), 'ISO-8859-1') "
+               "WHEN 2 THEN concat(X'FFFE', encode(concat('\u0a05\u4e00', text), 'UTF-16LE')) "
+               "ELSE concat(X'FEFF', encode(concat('\u4e00\u0a05', text), 'UTF-16BE')) END")
+    docs = table(spark, sf_dir, "documents")
+    write_tree(spark, docs.select(F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".log")).alias("path"),
+                                  F.expr(content).alias("content")).repartition(8), root)
+    return sources.scan_encoded_lines(spark, root).select("path", "line_no", F.md5("line").alias("digest"))
+
+
 # --- synthetic logs --------------------------------------------------------------
 
 def synth_log_lines(spark, sf_dir):
@@ -197,6 +216,17 @@ def redact_lines_doc(spark, sf_dir):
         "array_join(transform(array_sort(collect_list(struct(line_no, line))), x -> x.line), '\\n')")).alias("digest"))
 
 
+def redact_lines_scan(spark, sf_dir):
+    """The same again by way of chunks so short that blocks cross their edges."""
+    done = scan_lines(views.log_lines(spark, sf_dir), "doc_id", "line_no", "line", lines_per_chunk=7)
+    return sources.join_lines(done.rows, "doc_id", "line_no", "line")
+
+
+def findings_lines_scan(spark, sf_dir):
+    done = scan_lines(views.log_lines(spark, sf_dir), "doc_id", "line_no", "line", lines_per_chunk=7)
+    return done.findings.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
+
+
 def documents_redacted(spark, sf_dir):
     return redact_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), "text") \
         .select("doc_id", "text")
@@ -298,6 +328,48 @@ def top_errors(spark, sf_dir):
     return reports.top_errors(_results(spark, sf_dir))
 
 
+# --- trees of files ------------------------------------------------------------------------
+
+def _tree(spark, sf_dir):
+    """Log documents written as a tree of files; its folder, and one for the result."""
+    root = scratch(spark, "tree")
+    write_tree(spark, views.log_files(spark, sf_dir).repartition(8), f"{root}/in", safe_names=False)
+    return f"{root}/in", f"{root}/out"
+
+
+def tree_redact(spark, sf_dir):
+    """The tree that a run wrote, read back."""
+    source, target = _tree(spark, sf_dir)
+    redact_tree(spark, source, target)
+    return sources.scan_files(spark, target).unionByName(unseen_files(spark, target)).select("path", F.md5("content").alias("digest"))
+
+
+def tree_results(spark, sf_dir):
+    run = redact_tree(spark, *_tree(spark, sf_dir))
+    replaced = F.expr("coalesce(aggregate(map_values(counts), 0L, (n, c) -> n + c), 0L)").alias("replaced")
+    return run.files.select("path", "target", "outcome", "size", "written", replaced, "error")
+
+
+def tree_metrics(spark, sf_dir):
+    """What the phases of a run measured; their times differ from run to run and are only tested."""
+    run = redact_tree(spark, *_tree(spark, sf_dir))
+    report = reports.throughput(run.phases.withColumn("bytes", F.col("bytes_in")), "phase")
+    return run.phases.join(report.select("phase", "overall_mib_s"), "phase").select(
+        "phase", "files", "bytes_in", "bytes_out", (F.col("seconds") > 0).alias("timed"), (F.col("overall_mib_s") > 0).alias("rated"))
+
+
+def stream_files(spark, sf_dir):
+    """The tree arriving as files, a few in a batch, routed to three tables."""
+    source, target = _tree(spark, sf_dir)
+    router = FileRouter(target)
+    route_stream(arriving_files(spark, source, 100), router, f"{target}/checkpoint", available_now=True).awaitTermination()
+    text = spark.read.schema("path string, text string").parquet(f"{target}/redacted/batch=*").select("path", F.lit("redacted").alias("outcome"), F.md5("text").alias("digest"))
+    for outcome in ("copied", "quarantined"):
+        rows = spark.read.schema("path string, content binary").parquet(f"{target}/{outcome}/batch=*")
+        text = text.unionByName(rows.select("path", F.lit(outcome).alias("outcome"), F.md5("content").alias("digest")))
+    return text
+
+
 # --- audits --------------------------------------------------------------------------------
 
 def audit_expected(spark, sf_dir):
@@ -307,30 +379,71 @@ def audit_expected(spark, sf_dir):
     return audits.expected_counts(synth.audit_expected(events, "event_id"), actual)
 
 
+def _short_documents(spark, sf_dir):
+    """Log documents of five lines, redacted: few of them hold a block."""
+    lines = views.log_lines(spark, sf_dir).withColumn("doc_id", F.col("doc_id") * 100 + F.floor((F.col("line_no") - 1) / 5))
+    docs = sources.join_lines(lines, "doc_id", "line_no", "line")
+    return redact_documents(docs.withColumn("before", F.col("text")), "text")
+
+
+def _damaged(rows: DataFrame, column: str, where: str, damage: str) -> DataFrame:
+    """What an audit must find: ``column`` made wrong on some rows."""
+    return rows.withColumn(column, F.expr(f"IF({where}, {damage}, {column})"))
+
+
 def audit_line_count(spark, sf_dir):
-    return audits.line_counts(_redacted(spark, sf_dir), "doc_id", "before", "text")
+    return audits.line_counts(_short_documents(spark, sf_dir), "doc_id", "before", "text")
+
+
+def audit_line_count_damaged(spark, sf_dir):
+    rows = _damaged(_short_documents(spark, sf_dir), "text", "doc_id % 7 = 3", "concat(text, '\\n')")
+    return audits.line_counts(rows, "doc_id", "before", "text").select("doc_id")
 
 
 def _lines_redacted(spark, sf_dir):
-    lines = views.log_lines(spark, sf_dir)
     rules = CATALOGUE.select(rule_ids=[r.rule_id for r in CATALOGUE.line_rules])
-    return lines, redact_documents(lines.withColumn("before", F.col("line")), "line", rules)
+    return redact_documents(views.log_lines(spark, sf_dir).withColumn("before", F.col("line")), "line", rules)
 
 
 def audit_clean_lines(spark, sf_dir):
-    lines, done = _lines_redacted(spark, sf_dir)
-    found = done.filter("size(hits) > 0")
-    return audits.clean_lines(lines, done, found, "doc_id", "line_no", "line").select("doc_id", "line_no")
+    return audits.clean_lines(_lines_redacted(spark, sf_dir), "before", "line").select("doc_id", "line_no")
+
+
+def audit_clean_lines_damaged(spark, sf_dir):
+    rows = _damaged(_lines_redacted(spark, sf_dir), "line", "line_no % 9 = 4", "concat(line, '.')")
+    return audits.clean_lines(rows, "before", "line").select("doc_id", "line_no")
 
 
 def audit_indentation(spark, sf_dir):
-    lines, done = _lines_redacted(spark, sf_dir)
-    return audits.indentation(lines, done, "doc_id", "line_no", "line").select("doc_id", "line_no")
+    return audits.indentation(_lines_redacted(spark, sf_dir), "before", "line").select("doc_id", "line_no")
+
+
+def audit_indentation_damaged(spark, sf_dir):
+    rows = _damaged(_lines_redacted(spark, sf_dir), "line", "line_no % 9 = 5", "concat(' ', line)")
+    return audits.indentation(rows, "before", "line").select("doc_id", "line_no")
 
 
 def audit_json(spark, sf_dir):
-    lines, done = _lines_redacted(spark, sf_dir)
-    return audits.json_kept(lines, done, ["doc_id", "line_no"], "line").select("doc_id", "line_no")
+    return audits.json_kept(_lines_redacted(spark, sf_dir), "before", "line").select("doc_id", "line_no")
+
+
+def audit_json_damaged(spark, sf_dir):
+    rows = _damaged(_lines_redacted(spark, sf_dir), "line", "line LIKE '%}'", "substr(line, 1, length(line) - 1)")
+    return audits.json_kept(rows, "before", "line").select("doc_id", "line_no")
+
+
+def _leaks(spark, sf_dir, rows):
+    found = findings(rows, "doc_id").filter(F.col("category").isin(CATALOGUE.unique_categories))
+    return audits.leaks(found, rows.select("doc_id", "line_no", "line"), ["doc_id", "line_no"], "line")
+
+
+def audit_leaks(spark, sf_dir):
+    """Values of the unique categories that stand in redacted lines, of the same or another document."""
+    return _leaks(spark, sf_dir, staged(_lines_redacted(spark, sf_dir), "redacted"))
+
+
+def audit_leaks_damaged(spark, sf_dir):
+    return _leaks(spark, sf_dir, staged(_damaged(_lines_redacted(spark, sf_dir), "line", "line_no % 9 = 2", "before"), "redacted"))
 
 
 def audit_bijection(spark, sf_dir):
@@ -351,6 +464,26 @@ def audit_utf8(spark, sf_dir):
     return audits.valid_utf8(documents_redacted(spark, sf_dir), "doc_id", "text")
 
 
+def audit_utf8_damaged(spark, sf_dir):
+    rows = _damaged(documents_redacted(spark, sf_dir), "text", "doc_id % 13 = 1", "cast(concat(cast(text AS binary), X'C328') AS string)")
+    return audits.valid_utf8(rows, "doc_id", "text")
+
+
+def audit_complete_damaged(spark, sf_dir):
+    return audits.complete(table(spark, sf_dir, "documents"), documents_redacted(spark, sf_dir).filter("doc_id % 11 != 2"), "doc_id")
+
+
+def audit_bijection_damaged(spark, sf_dir):
+    """Every original whose number is divisible by 6 gets the number before it."""
+    wrong = _damaged(pseudonym_dictionary_corpus(spark, sf_dir), "id", "id % 6 = 0", "id - 1")
+    return audits.bijection(wrong).select("scope", "category", "value", "n", "kind")
+
+
+def audit_length_ratio_damaged(spark, sf_dir):
+    rows = _damaged(_short_documents(spark, sf_dir), "text", "doc_id % 7 = 2", "repeat(text, 5)")
+    return audits.length_ratio(rows, "doc_id", "before", "text").select("doc_id")
+
+
 def audit_complete(spark, sf_dir):
     return audits.complete(table(spark, sf_dir, "documents"), documents_redacted(spark, sf_dir), "doc_id")
 
@@ -386,6 +519,20 @@ def stream_redact(spark, sf_dir):
         F.count("*").alias("originals"), F.count_distinct("id").alias("ids"), F.max("id").alias("last"))
 
 
+def stream_blocks(spark, sf_dir):
+    """Logs arriving in ranges of lines, so that every document is cut by every batch; blocks and masks, joined in the end."""
+    root = scratch(spark, "blocks")
+    lines = staged(views.log_lines(spark, sf_dir), "log-lines")
+    batches = 5
+    for k in range(batches):
+        lines.filter(F.floor((F.col("line_no") - 1) / 21) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    redactor = BlockRedactor("doc_id", "line_no", "line", f"{root}/out", f"{root}/dictionary", f"{root}/carry", catalogue=STATIC)
+    redact_blocks_stream(arriving, redactor, f"{root}/checkpoint", available_now=True).awaitTermination()
+    redactor.flush(spark, batches - 1, lines.schema)
+    return sources.join_lines(spark.read.schema(lines.schema).parquet(f"{root}/out/batch=*"), "doc_id", "line_no", "line")
+
+
 def stream_mask(spark, sf_dir):
     root, arriving = _stream(spark, sf_dir)
     return _run_stream(root, "masked", mask_stream(arriving, "line")).select("doc_id", "line_no", "line")
@@ -420,13 +567,15 @@ def registry() -> dict[str, Query]:
     for query in (
             keyword_prefilter, present_keywords, applicable_rules, multiline_gate, candidate_lines, classify_files,
             size_class, binary_sniff, tree_routing, decode_text, line_split, line_reassemble, sanitize_path, output_path,
-            file_roundtrip, synth_log_lines, synth_expected_counts, redact_static, redact_full_doc,
-            redact_full_corpus, redact_subset, redact_custom, redact_custom_same_category, redact_lines_doc, documents_redacted,
+            file_roundtrip, encoded_lines, synth_log_lines, synth_expected_counts, redact_static, redact_full_doc,
+            redact_full_corpus, redact_subset, redact_custom, redact_custom_same_category, redact_lines_doc, redact_lines_scan, findings_lines_scan, documents_redacted,
             conversations_redacted, pages_redacted, pseudonym_dictionary_doc, pseudonym_dictionary_corpus,
             pseudonym_dictionary_same_category, pseudonym_format, sql_block_islands, counts_by_doc, counts_total, replacements_by_doc,
             distinct_originals, manifest_rollup, throughput_report, time_left, compression_ratio, format_duration,
             top_errors, audit_expected, audit_line_count, audit_clean_lines, audit_indentation, audit_json,
+            audit_line_count_damaged, audit_clean_lines_damaged, audit_indentation_damaged, audit_json_damaged, audit_utf8_damaged,
+            audit_complete_damaged, audit_bijection_damaged, audit_length_ratio_damaged, audit_leaks, audit_leaks_damaged,
             audit_bijection, audit_residual, audit_length_ratio, audit_utf8, audit_complete, stream_redact,
-            stream_mask, stream_counts, stream_quarantine):
+            stream_blocks, stream_files, tree_redact, tree_results, tree_metrics, stream_mask, stream_counts, stream_quarantine):
         named[query.__name__] = query
     return named

@@ -65,3 +65,16 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = files(spark, sf_dir).select("doc_id", "path").join(contents(spark, sf_dir), "doc_id")
     return named.withColumn("content", F.expr(
         "CASE WHEN doc_id % 10 = 0 THEN X'FFFE00' WHEN doc_id % 15 = 5 THEN concat(content, X'00') ELSE content END"))
+
+
+def log_files_sql(dialect: str = "spark") -> str:
+    """``(path, kind, text)`` of log documents as files: device names among them, binaries, and logs with a zero byte at the end."""
+    return ("SELECT doc_id, concat('d', doc_id % 3, '/', CASE doc_id % 5 WHEN 0 THEN concat('NUL.', doc_id, '/x.log') WHEN 1 THEN concat('doc', doc_id, '.TXT') "
+            "WHEN 2 THEN concat('image', doc_id, '.png') WHEN 3 THEN concat('cut', doc_id, '.json') ELSE concat('doc', doc_id, '/a b.conf') END) AS path, "
+            "CASE doc_id % 5 WHEN 2 THEN 'copied' WHEN 3 THEN 'quarantined' ELSE 'redacted' END AS kind, text FROM documents")
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, content)`` of the same."""
+    found = spark.sql(log_files_sql().replace("FROM documents", "FROM {documents}"), documents=log_docs(spark, sf_dir))
+    return found.select("path", F.expr("IF(kind = 'quarantined', concat(cast(text AS binary), X'00'), cast(text AS binary))").alias("content"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logveil.functions import files as P
@@ -19,10 +19,10 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True) \
         .option("pathGlobFilter", glob).load(root)
-    return found.select(_relative(F.col("path"), root).alias("path"), F.col("length").alias("size"), "content")
+    return found.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"), "content")
 
 
-def _relative(path, root: str):
+def relative_path(path: Column, root: str) -> Column:
     """Cut the scheme and the root off a path."""
     bare = F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
     return F.regexp_replace(bare, "^" + _quoted(root.split("://")[-1].rstrip("/")) + "/", "")
@@ -63,13 +63,12 @@ def scan_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     line feed ends a line, and one carriage return before it is cut off.  The
     job fails if the second pass meets a split that the first one did not.
     """
-    # Both passes must cut the files alike, however many executors there are by then.
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(root).select(
-        _relative(F.col("_metadata.file_path"), root).alias("path"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+    return _numbered(spark, root, glob).select("path", "line_no", F.regexp_replace(F.col("_bytes").cast("string"), r"\r\z", "").alias("line"))
+
+
+def _numbered(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """``(path, line_no, _bytes)`` of files in an encoding in which a line feed is one byte."""
+    lines = _raw_lines(spark, root, root, glob, "UTF-8").drop("_file")
     earlier = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     starts = staged(lines.groupBy("path", "_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_from")).select(
         "path", "_split", "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), "splits")
@@ -77,7 +76,88 @@ def scan_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
         starts = F.broadcast(starts)
     changed = F.raise_error(F.concat(F.lit("changed between two passes: "), "path"))
     return lines.join(starts, ["path", "_split"], "left").select("path", F.when(F.col("_from").isNull(), changed).otherwise(
-        F.col("_before") + F.col("_at") - F.col("_from") + 1).alias("line_no"), "line")
+        F.col("_before") + F.col("_at") - F.col("_from") + 1).alias("line_no"), "_bytes")
+
+
+def _raw_lines(spark: SparkSession, root: str, paths: str | list[str], glob: str, encoding: str) -> DataFrame:
+    """``(path, _split, _at, _bytes)``: the bytes between the line feeds of an encoding."""
+    # All passes must cut the files alike, however many executors there are by then.
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").option("encoding", encoding)
+    return found.text(paths).select(
+        relative_path(F.col("_metadata.file_path"), root).alias("path"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), F.col("value").cast("binary").alias("_bytes"))
+
+
+def file_encodings(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """``(path, _file, encoding)`` of logs of any size, told from the whole of each.
+
+    A file is read in splits.  No line feed is part of a longer UTF-8 character, so
+    a file is UTF-8 if all of its lines are, wherever it is cut.
+    """
+    lines = _raw_lines(spark, root, root, glob, "UTF-8")
+    told = lines.groupBy("path", "_file").agg(
+        F.bool_and(F.expr("is_valid_utf8(cast(_bytes AS string))")).alias("_valid"),
+        F.min(F.struct("_split", "_at", F.hex(F.substring("_bytes", 1, 2)).alias("mark")))["mark"].alias("_mark"))
+    return told.select("path", "_file", F.expr(
+        "CASE _mark WHEN 'FFFE' THEN 'UTF-16LE' WHEN 'FEFF' THEN 'UTF-16BE' ELSE IF(_valid, 'UTF-8', 'ISO-8859-1') END").alias("encoding"))
+
+
+def _wide_lines(raw: DataFrame, encoding: str) -> DataFrame:
+    """``(path, line_no, _bytes)`` of UTF-16 files.
+
+    The two bytes of a line feed can also be halves of two other characters.  A
+    true line begins at an even place of its file, so the pieces from one such
+    place to the next are one line.  Only files with a piece of odd length have
+    any, and only their pieces are moved.
+    """
+    splits = staged(raw.groupBy("path", "_split").agg(
+        F.count("*").alias("_n"), F.min("_at").alias("_from"), F.sum(F.octet_length("_bytes")).alias("_size"),
+        F.bool_or(F.octet_length("_bytes") % 2 == 1).alias("_odd")), "splits")
+    earlier = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = staged(splits.select(
+        "path", "_split", "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"), F.bool_or("_odd").over(Window.partitionBy("path")).alias("_odd")), "splits")
+    placed = raw.join(F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits, ["path", "_split"])
+    whole = placed.filter("NOT _odd").select("path", (F.col("_before") + F.col("_at") - F.col("_from") + 1).alias("line_no"), "_bytes")
+    within = Window.partitionBy("path", "_split").orderBy("_at")
+    pieces = placed.filter("_odd").withColumn("_place", F.col("_offset") + F.coalesce(
+        F.sum(F.octet_length("_bytes")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    pieces = staged(pieces.withColumn("_begins", (F.col("_place") % 2 == 0).cast("int")).withColumn(
+        "_line", F.sum("_begins").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))).select(
+        "path", "_split", "_at", "_bytes", "_begins", "_line"), "pieces")
+    begun = pieces.groupBy("path", "_split").agg(F.sum("_begins").alias("_n")).select(
+        "path", "_split", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    feed = "X'0A00'" if encoding == "UTF-16LE" else "X'000A'"
+    joined = (f"aggregate(array_sort(collect_list(struct(_split, _at, _bytes))), cast(NULL AS binary), "
+              f"(a, x) -> IF(a IS NULL, x._bytes, concat(a, {feed}, x._bytes)))")
+    mended = pieces.join(begun, ["path", "_split"]).groupBy("path", (F.col("_before") + F.col("_line")).alias("line_no")) \
+        .agg(F.expr(joined).alias("_bytes"))
+    return whole.unionByName(mended)
+
+
+def scan_encoded_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """``(path, line_no, line)`` of logs of any size in UTF-8, UTF-16 with a byte order mark, or else Latin-1.
+
+    As ``scan_lines``, which takes every file for UTF-8; a pass over the bytes tells the encodings first.
+    """
+    encodings = staged(file_encodings(spark, root, glob), "encodings")
+    narrow = encodings.filter("encoding NOT LIKE 'UTF-16%'")
+    if encodings.count() <= BROADCAST_SPLITS:
+        narrow = F.broadcast(narrow)
+    decoded = F.expr("IF(encoding = 'UTF-8', cast(_bytes AS string), decode(_bytes, 'ISO-8859-1'))")
+    found = _numbered(spark, root, glob).join(narrow.select("path", "encoding"), "path") \
+        .select("path", "line_no", F.regexp_replace(decoded, r"\r\z", "").alias("line"))
+    for encoding in ("UTF-16LE", "UTF-16BE"):
+        # as many paths as the listing of the files had held already
+        paths = [r["_file"] for r in encodings.filter(F.col("encoding") == encoding).select("_file").collect()]
+        if paths:
+            wide = _wide_lines(_raw_lines(spark, root, paths, "*", encoding), encoding)
+            line = F.regexp_replace(F.decode("_bytes", encoding), r"\r\z", "")
+            found = found.unionByName(wide.select("path", "line_no", F.when(
+                F.col("line_no") == 1, F.regexp_replace(line, "^\ufeff", "")).otherwise(line).alias("line")))
+    return found
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
