@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from itertools import groupby
 
+from logveil.functions.patterns import safe_pattern
+
 UNIQUE = "{UNIQUE}"
 
 
@@ -199,12 +201,18 @@ class Catalogue:
 
     def add(self, category: str, pattern: str, replacement: str, keywords: Iterable[str],
             **options) -> Catalogue:
-        """A new catalogue with one more rule, run after all present ones."""
+        """A new catalogue with one more rule, run after all present ones.
+
+        A group that is repeated often is made possessive where that matches the
+        same, else the pattern is refused: it could overflow the stack.
+        """
         if "${1}" in replacement:
             options.setdefault("prefix_groups", (1,))
         taken = [r.rule_id for r in (*BUILTIN_RULES, *self.rules)]
         rule = Rule(max(taken) + 1, category, pattern, replacement,
                     tuple(k.lower() for k in keywords), **options)
+        if rule.java_pattern is None and (safe := safe_pattern(pattern, rule.ignore_case)) != pattern:
+            rule = replace(rule, java_pattern=safe)
         if not rule.keywords:
             raise ValueError("a rule needs at least one keyword")
         if rule.multiline and rule.is_unique:

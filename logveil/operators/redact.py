@@ -13,6 +13,7 @@ from logveil.functions.rules import Catalogue
 from logveil.operators import cascade
 from logveil.operators.blocks import collapse_blocks
 from logveil.operators.pseudonyms import CORPUS, DOC, given_before, number_across_rows, number_within_row, readable
+from logveil.sources.staging import staged
 
 
 def redact_documents(df: DataFrame, text_col: str, catalogue: Catalogue | None = None) -> DataFrame:
@@ -57,18 +58,35 @@ def across(df: DataFrame, rules_by_stage, catalogue, unit, scope, line_no, known
     return df, reduce(DataFrame.unionByName, dictionaries)
 
 
+def across_narrow(base: DataFrame, catalogue: Catalogue, keys: list[str], scope: str, line_no: str,
+                  known: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """``across`` for started rows, moving no more of them than a barrier needs; they carry ``_scope``.
+
+    The rows are staged once.  Only those with a candidate line pass the barriers,
+    and only with these lines, their gates and hits; everything else, the text
+    around them too, waits in the staged table and is joined back once, by row.
+    """
+    base = staged(base.withColumn("_row", F.monotonically_increasing_id()), "base")
+    narrow = base.filter("_text != ''").select("_row", "_scope", *keys, "_text", "_mask", "_hits")
+    done, entries = across(narrow, catalogue.stages(), catalogue, ["_row"], scope, line_no, known)
+    done = done.select("_row", F.col("_text").alias("_new_text"), F.col("_hits").alias("_new_hits"))
+    rows = base.join(done, "_row", "left").withColumns({
+        "_text": F.coalesce("_new_text", "_text"), "_hits": F.coalesce("_new_hits", "_hits")})
+    return rows.drop("_row", "_new_text", "_new_hits"), entries
+
+
 def redact_corpus(df: DataFrame, id_col: str, text_col: str, catalogue: Catalogue | None = None,
                   known: DataFrame | None = None) -> Redaction:
     """Redact rows that hold whole documents, one value having one pseudonym in all of them.
 
-    Documents without any candidate line take no part in a barrier.  ``known``
+    Documents without any candidate line take no part in a barrier.  Rows are told
+    apart by themselves, so values of ``id_col`` may repeat or be missing.  ``known``
     is the ``entries`` of an earlier run whose numbers are to be kept.
     """
     catalogue = catalogue or Catalogue.builtin()
     base = cascade.start(df, text_col, catalogue).withColumn("_scope", F.lit(CORPUS))
-    idle = base.filter("_text IS NULL OR _text = ''")
-    busy, entries = across(base.filter("_text != ''"), catalogue.stages(), catalogue, [id_col], CORPUS, "0", known)
-    rows = cascade.finish(busy.unionByName(idle), text_col).drop("_scope")
+    rows, entries = across_narrow(base, catalogue, [], CORPUS, "0", known)
+    rows = cascade.finish(rows, text_col).drop("_scope")
     return Redaction(rows, None if entries is None else readable(entries, known), entries)
 
 

@@ -33,6 +33,25 @@ def distinct_originals(findings: DataFrame, approximate: bool = False) -> DataFr
     return findings.groupBy("category").agg(distinct.cast("bigint").alias("n"))
 
 
+#: Logarithm of a sketch's registers: a standard error of 0.8 %, in at most 16 KB.
+SKETCH_BITS = 14
+
+
+def original_sketches(findings: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, category, sketch)``: what a run keeps, in place of the values, to count the different ones of many runs."""
+    return findings.groupBy(*keys, "category").agg(F.hll_sketch_agg("original", F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def store_sketches(sketches: DataFrame, path: str, run: str) -> None:
+    """Keep a run's sketches; a run that is done again replaces its own."""
+    sketches.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def sketched_originals(sketches: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, category, n)``: about how many different values there are in all the sketches together."""
+    return sketches.groupBy(*keys, "category").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+
+
 def manifest_rollup(manifest: DataFrame) -> DataFrame:
     """Files and bytes per class and size class, with every subtotal and the grand total."""
     return manifest.rollup("class", "size_class").agg(

@@ -31,7 +31,7 @@ from logveil.functions.rules import Catalogue, Rule
 from logveil.operators import cascade
 from logveil.operators.blocks import BROADCAST_BYTES, BROADCAST_ROWS, PEM_MARKERS, SQL_CONTINUED, SQL_START
 from logveil.operators.pseudonyms import CORPUS, DOC, readable
-from logveil.operators.redact import Redaction, across
+from logveil.operators.redact import Redaction, across_narrow
 from logveil.sources.staging import staged
 
 LINES_PER_CHUNK = 2048
@@ -259,7 +259,7 @@ def redact_lines_scan(df: DataFrame, doc_col: str, line_no_col: str, line_col: s
     line_rules = catalogue.select(rule_ids=[r.rule_id for r in catalogue.line_rules])
     base = cascade.start(done.drop("_parts"), "_chunk_text", line_rules) \
         .withColumn("_scope", F.expr("substr(_doc, 2)") if scope == DOC else F.lit(CORPUS))
-    busy, entries = across(base, line_rules.stages(), line_rules, ["_doc", "_chunk"], scope, f"_chunk * {lines_per_chunk}", known)
+    busy, entries = across_narrow(base, line_rules, ["_chunk"], scope, f"_chunk * {lines_per_chunk}", known)
     busy = cascade.finish(busy, "_chunk_text").drop("_scope")
     hits = ("concat(transform(_blocks, b -> named_struct('line_no', cast(NULL AS bigint), 'rule', b.rule, 'category', b.category, "
             "'pos', b.pos, 'original', b.original)), transform(hits, h -> named_struct('line_no', "

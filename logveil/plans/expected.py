@@ -7,7 +7,7 @@ from logveil.functions.rules import Catalogue
 from logveil.operators.audits import allowed_shapes
 from logveil.plans import oracle as O
 from logveil.plans import views
-from logveil.plans.queries import CATALOGUE, CUSTOM, SAME, STATIC
+from logveil.plans.queries import CATALOGUE, CUSTOM, RUNS, SAME, STATIC
 from logveil.sources import synth
 
 LINE_RULES = CATALOGUE.select(rule_ids=[r.rule_id for r in CATALOGUE.line_rules])
@@ -251,6 +251,7 @@ def statements() -> dict[str, str]:
     sql["redact_lines_doc"] = _from_cascade(
         "SELECT doc_id, cast(length(text) - length(replace(text, chr(10), '')) + 1 AS bigint) AS lines, "
         "md5(text) AS digest FROM redacted")
+    sql["redact_long_lines"] = _redacted(f"SELECT doc_id, replace(text, chr(10), ' ') AS text FROM ({O.LOG_DOCS}) AS log_docs", RUNS)
     sql["redact_lines_scan"] = _redacted(O.LOG_DOCS)
     sql["findings_lines_scan"] = _from_cascade(COUNTS)
     sql["documents_redacted"] = _redacted("SELECT doc_id, text FROM documents")
@@ -269,6 +270,10 @@ def statements() -> dict[str, str]:
     sql["counts_total"] = _from_cascade("SELECT category, cast(sum(n) AS bigint) AS n FROM hits GROUP BY category")
     sql["replacements_by_doc"] = _from_cascade("SELECT doc_id, cast(sum(n) AS bigint) AS n FROM hits GROUP BY doc_id")
     sql["distinct_originals"] = _from_cascade("SELECT category, count(*) AS n FROM dictionary GROUP BY category")
+    numbered = (f"SELECT line || ' user=u' || (number // 3) || ' mail m' || (number // 7) || '@x.org' AS line FROM ({_mixed(500)}) AS m")
+    sql["distinct_originals_merged"] = " UNION ALL ".join(
+        f"SELECT '{CATALOGUE[rule].category}' AS category, count(DISTINCT original) AS n, true AS close FROM "
+        f"({O.detect(f'SELECT 1 AS id, line FROM ({numbered}) AS l', ['id'], 'line', CATALOGUE[rule])}) AS found" for rule in (8, 14))
     sql["manifest_rollup"] = (
         "SELECT coalesce(class, 'all') AS class, coalesce(size_class, 'all') AS size_class, count(*) AS files, "
         f"cast(sum(size) AS bigint) AS bytes FROM ({MANIFEST}) AS manifest GROUP BY ROLLUP (class, size_class)")

@@ -35,6 +35,8 @@ STATIC = CATALOGUE.select(rule_ids=[r.rule_id for r in CATALOGUE if not r.is_uni
 #: Two added rules of one category, and one of a built-in category.
 SAME = CATALOGUE.add("ticket", r"iid=\d+", "{UNIQUE}", ["iid="]).add("ticket", r"attempt \d+", "{UNIQUE}", ["attempt "]) \
     .add("hostname", r"org\.sample\.[A-Za-z]+", "{UNIQUE}.redacted", ["org.sample"])
+#: A rule whose repeated group has alternatives.
+RUNS = CATALOGUE.add("run", r"(?:[a-z]+-|[0-9]+:)+[A-Z]", "RUN_REDACTED", ["-", ":"])
 BIGINT = "cast({} AS bigint)".format
 
 
@@ -208,6 +210,12 @@ def pseudonym_dictionary_same_category(spark, sf_dir):
     return redact_corpus(views.log_docs(spark, sf_dir), "doc_id", "text", SAME).dictionary
 
 
+def redact_long_lines(spark, sf_dir):
+    """Every log document as a single line, under all rules and one that repeats a group."""
+    docs = views.log_docs(spark, sf_dir).withColumn("text", F.expr("replace(text, '\\n', ' ')"))
+    return redact_documents(docs, "text", RUNS).select("doc_id", "text")
+
+
 def redact_lines_doc(spark, sf_dir):
     """The same as ``redact_full_doc`` by way of lines and barriers, counted per category."""
     lines = views.log_lines(spark, sf_dir)
@@ -288,6 +296,19 @@ def distinct_originals(spark, sf_dir):
     return reports.distinct_originals(scoped)
 
 
+def distinct_originals_merged(spark, sf_dir):
+    """Distinct values from the stored sketches of ten runs, held against the exact number: off by 3 % at most."""
+    path = scratch(spark, "sketches")
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("number"))
+    found = staged(findings(redact_documents(synth.mixed_lines(lines, "number", 500).withColumn(
+        "line", F.expr("concat(line, ' user=u', number div 3, ' mail m', number div 7, '@x.org')")), "line"), "number"), "found")
+    for run in range(10):
+        reports.store_sketches(reports.original_sketches(found.filter(F.col("number") % 10 == run)), path, str(run))
+    about = reports.sketched_originals(spark.read.parquet(path)).withColumnRenamed("n", "about")
+    return reports.distinct_originals(found).join(about, "category").filter(F.col("category").isin("username", "email")).select(
+        "category", "n", (F.abs(F.col("about") - F.col("n")) <= 0.03 * F.col("n")).alias("close"))
+
+
 def manifest_rollup(spark, sf_dir):
     return reports.manifest_rollup(sources.manifest(views.files(spark, sf_dir)))
 
@@ -568,10 +589,10 @@ def registry() -> dict[str, Query]:
             keyword_prefilter, present_keywords, applicable_rules, multiline_gate, candidate_lines, classify_files,
             size_class, binary_sniff, tree_routing, decode_text, line_split, line_reassemble, sanitize_path, output_path,
             file_roundtrip, encoded_lines, synth_log_lines, synth_expected_counts, redact_static, redact_full_doc,
-            redact_full_corpus, redact_subset, redact_custom, redact_custom_same_category, redact_lines_doc, redact_lines_scan, findings_lines_scan, documents_redacted,
+            redact_full_corpus, redact_subset, redact_custom, redact_custom_same_category, redact_long_lines, redact_lines_doc, redact_lines_scan, findings_lines_scan, documents_redacted,
             conversations_redacted, pages_redacted, pseudonym_dictionary_doc, pseudonym_dictionary_corpus,
             pseudonym_dictionary_same_category, pseudonym_format, sql_block_islands, counts_by_doc, counts_total, replacements_by_doc,
-            distinct_originals, manifest_rollup, throughput_report, time_left, compression_ratio, format_duration,
+            distinct_originals, distinct_originals_merged, manifest_rollup, throughput_report, time_left, compression_ratio, format_duration,
             top_errors, audit_expected, audit_line_count, audit_clean_lines, audit_indentation, audit_json,
             audit_line_count_damaged, audit_clean_lines_damaged, audit_indentation_damaged, audit_json_damaged, audit_utf8_damaged,
             audit_complete_damaged, audit_bijection_damaged, audit_length_ratio_damaged, audit_leaks, audit_leaks_damaged,
