@@ -10,6 +10,7 @@ the skew.
 from __future__ import annotations
 
 from functools import reduce
+from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,21 @@ HEAVY_COUNT = 10_000
 HEAVY_LENGTH = 65536
 
 
+@runtime_checkable
+class Lookup(Protocol):
+    """Entries of earlier runs that are too many to read: those of some keys, and the greatest numbers of all."""
+
+    last: DataFrame
+
+    def among(self, keys: DataFrame) -> DataFrame: ...
+
+    def all(self) -> DataFrame: ...
+
+
+def everything(known: DataFrame | Lookup | None) -> DataFrame | None:
+    return known.all() if isinstance(known, Lookup) else known
+
+
 def unique_categories(rules: list[Rule]) -> list[str]:
     return sorted({r.category for r in rules if r.is_unique})
 
@@ -115,13 +131,14 @@ def dense_numbers(values: DataFrame, groups: list[str], bucket: str, order: list
         .withColumn(name, F.col("_offset") + F.row_number().over(within)).drop("_offset")
 
 
-def build_dictionary(keys: DataFrame, scope: str, categories: list[str], known: DataFrame | None = None) -> DataFrame:
+def build_dictionary(keys: DataFrame, scope: str, categories: list[str], known: DataFrame | None = None,
+                     last: DataFrame | None = None) -> DataFrame:
     """Number the distinct values of ``keys(_scope, body, _line, _first)``.
 
     In document scope numbers follow first appearance.  In corpus scope, where
     documents have no order, they follow the digest of the value, which neither
     partitioning nor arrival can change.  ``known`` values keep their numbers and
-    new ones are numbered after them.
+    new ones are numbered after them, or after ``last`` where ``known`` are not all.
     """
     values = keys.groupBy("_scope", "body").agg(
         F.min(F.struct("_line", "_first")).alias("_seen"), F.count("*").alias("n"))
@@ -139,7 +156,7 @@ def build_dictionary(keys: DataFrame, scope: str, categories: list[str], known:
     numbered = dense_numbers(values, ["_scope", "category"], "_bucket", order, "id")
     if known is not None:
         # One row per scope and category, so the join is small whenever scopes are few.
-        last = known.groupBy("_scope", "category").agg(F.max("id").alias("_last"))
+        last = known.groupBy("_scope", "category").agg(F.max("id").alias("_last")) if last is None else last.withColumnRenamed("last", "_last")
         numbered = numbered.join(last, ["_scope", "category"], "left") \
             .withColumn("id", F.col("id") + F.coalesce("_last", F.lit(0)))
     return numbered.select(
@@ -171,7 +188,7 @@ def _look_up(keys: DataFrame, dictionary: DataFrame, unit: list[str]) -> DataFra
 
 
 def number_across_rows(df: DataFrame, rules: list[Rule], unit: list[str], scope: str, line_no: str,
-                       known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                       known: DataFrame | Lookup | None = None) -> tuple[DataFrame, DataFrame]:
     """Settle the symbols of a stage over many rows; returns the rows and the dictionary.
 
     ``unit`` names the columns that identify a row and ``_scope`` is its scope.  The
@@ -183,7 +200,10 @@ def number_across_rows(df: DataFrame, rules: list[Rule], unit: list[str], scope:
     hot, cold = df.filter("size(_keys) > 0").drop("_keys"), df.filter("size(_keys) = 0").drop("_keys")
     keys = df.select("_scope", *unit, F.expr(f"coalesce(cast({line_no} AS bigint), 0)").alias("_line"),
                      F.posexplode("_keys").alias("_first", "body"))
-    fresh = build_dictionary(keys, scope, categories, known)
+    last = None
+    if isinstance(known, Lookup):
+        known, last = staged(known.among(keys), "known"), known.last
+    fresh = build_dictionary(keys, scope, categories, known, last)
     dictionary = staged(fresh, "dictionary")
     entries = dictionary
     if known is not None:

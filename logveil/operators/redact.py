@@ -12,7 +12,7 @@ from logveil.functions import text as T
 from logveil.functions.rules import Catalogue
 from logveil.operators import cascade
 from logveil.operators.blocks import collapse_blocks
-from logveil.operators.pseudonyms import CORPUS, DOC, given_before, number_across_rows, number_within_row, readable
+from logveil.operators.pseudonyms import CORPUS, DOC, Lookup, everything, given_before, number_across_rows, number_within_row, readable
 from logveil.sources.staging import staged
 
 
@@ -50,7 +50,7 @@ def across(df: DataFrame, rules_by_stage, catalogue, unit, scope, line_no, known
         if any(r.is_unique for r in rules):
             before = known
             if dictionaries and any(r.category in catalogue.spread_categories for r in rules if r.is_unique):
-                before = given_before(reduce(DataFrame.unionByName, [known, *dictionaries] if known is not None else dictionaries), rules)
+                before = given_before(reduce(DataFrame.unionByName, [everything(known), *dictionaries] if known is not None else dictionaries), rules)
             df, found = number_across_rows(df, rules, unit, scope, line_no, before)
             dictionaries.append(found)
     if not dictionaries:
@@ -59,7 +59,7 @@ def across(df: DataFrame, rules_by_stage, catalogue, unit, scope, line_no, known
 
 
 def across_narrow(base: DataFrame, catalogue: Catalogue, keys: list[str], scope: str, line_no: str,
-                  known: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+                  known: DataFrame | Lookup | None) -> tuple[DataFrame, DataFrame | None]:
     """``across`` for started rows, moving no more of them than a barrier needs; they carry ``_scope``.
 
     The rows are staged once.  Only those with a candidate line pass the barriers,
@@ -87,7 +87,7 @@ def redact_corpus(df: DataFrame, id_col: str, text_col: str, catalogue: Catalogu
     base = cascade.start(df, text_col, catalogue).withColumn("_scope", F.lit(CORPUS))
     rows, entries = across_narrow(base, catalogue, [], CORPUS, "0", known)
     rows = cascade.finish(rows, text_col).drop("_scope")
-    return Redaction(rows, None if entries is None else readable(entries, known), entries)
+    return Redaction(rows, None if entries is None else readable(entries, everything(known)), entries)
 
 
 def redact_lines(df: DataFrame, doc_col: str, line_no_col: str, line_col: str, scope: str = DOC,
@@ -113,7 +113,7 @@ def redact_lines(df: DataFrame, doc_col: str, line_no_col: str, line_col: str, s
     busy, entries = across(base, catalogue.stages(), catalogue, [doc_col, line_no_col], scope, line_no_col, known)
     done = cascade.finish(busy, line_col).drop("_scope") \
         .withColumn("hits", F.concat("_block_hits", "hits")).drop("_block_hits")
-    return Redaction(done.unionByName(idle), None if entries is None else readable(entries, known), entries)
+    return Redaction(done.unionByName(idle), None if entries is None else readable(entries, everything(known)), entries)
 
 
 def findings(rows: DataFrame, *id_cols: str) -> DataFrame:

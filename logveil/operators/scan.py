@@ -30,7 +30,7 @@ from logveil.functions import text as T
 from logveil.functions.rules import Catalogue, Rule
 from logveil.operators import cascade
 from logveil.operators.blocks import BROADCAST_BYTES, BROADCAST_ROWS, PEM_MARKERS, SQL_CONTINUED, SQL_START
-from logveil.operators.pseudonyms import CORPUS, DOC, readable
+from logveil.operators.pseudonyms import CORPUS, DOC, Lookup, everything, readable
 from logveil.operators.redact import Redaction, across_narrow
 from logveil.sources.staging import staged
 
@@ -242,7 +242,7 @@ def _as_lines(df: DataFrame, line: str, columns: list[str]) -> DataFrame:
 
 
 def redact_lines_scan(df: DataFrame, doc_col: str, line_no_col: str, line_col: str, scope: str = DOC,
-                      catalogue: Catalogue | None = None, known: DataFrame | None = None,
+                      catalogue: Catalogue | None = None, known: DataFrame | Lookup | None = None,
                       lines_per_chunk: int = LINES_PER_CHUNK) -> LineRedaction:
     """Redact a log kept as lines, of any length, as ``redact_documents`` would redact the whole of it.
 
@@ -267,4 +267,4 @@ def redact_lines_scan(df: DataFrame, doc_col: str, line_no_col: str, line_col: s
             "'original', h.original)))")
     found = busy.select(F.expr("get(_rows, 0).rest").alias("_rest"), F.expr(f"inline({hits})")) \
         .select(F.col(f"_rest.`{doc_col}`").alias(doc_col), "line_no", "rule", "category", "pos", "original")
-    return LineRedaction(_as_lines(busy, line_col, df.columns), None if entries is None else readable(entries, known), entries, found)
+    return LineRedaction(_as_lines(busy, line_col, df.columns), None if entries is None else readable(entries, everything(known)), entries, found)

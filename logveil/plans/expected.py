@@ -354,6 +354,11 @@ def statements() -> dict[str, str]:
         "SELECT category, count(*) AS originals, count(DISTINCT id) AS ids, max(id) AS last FROM entries GROUP BY category",
         catalogue=LINE_RULES, scope="corpus")
     sql["stream_blocks"] = _redacted(O.LOG_DOCS, STATIC)
+    sql["stream_text"] = _from_cascade(
+        "SELECT doc_id, regexp_replace(regexp_replace(text, '(user|host|entity)[0-9]+', '\\1#', 'g'), '10[.][0-9]+[.]0[.]1', '10.#.0.1', 'g') AS text "
+        "FROM redacted", scope="corpus")
+    sql["stream_dictionary"] = _from_cascade(
+        "SELECT category, count(*) AS originals, count(DISTINCT id) AS ids, max(id) AS last FROM entries GROUP BY category", scope="corpus")
     sql["stream_mask"] = _masked_lines()
     sql["stream_counts"] = _from_cascade("SELECT category, cast(sum(n) AS bigint) AS n FROM hits GROUP BY category", LINES_AS_DOCS)
     sql["stream_quarantine"] = (

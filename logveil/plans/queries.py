@@ -25,6 +25,7 @@ from logveil.sources.staging import scratch, staged
 from logveil.streaming.incremental import quarantine, read_dictionary, redact_stream
 from logveil.streaming.blocks import BlockRedactor, redact_blocks_stream
 from logveil.sources.tree import unseen_files, write_tree
+from logveil.streaming.dictionary import DictionaryLog
 from logveil.streaming.files import FileRouter, arriving_files, route_stream
 from logveil.streaming.masks import mask_stream, running_counts
 
@@ -540,18 +541,37 @@ def stream_redact(spark, sf_dir):
         F.count("*").alias("originals"), F.count_distinct("id").alias("ids"), F.max("id").alias("last"))
 
 
-def stream_blocks(spark, sf_dir):
-    """Logs arriving in ranges of lines, so that every document is cut by every batch; blocks and masks, joined in the end."""
+def _in_line_ranges(spark, sf_dir, catalogue):
+    """Logs arriving in ranges of lines, so that every document is cut by every batch; where the results are."""
     root = scratch(spark, "blocks")
     lines = staged(views.log_lines(spark, sf_dir), "log-lines")
     batches = 5
     for k in range(batches):
         lines.filter(F.floor((F.col("line_no") - 1) / 21) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
     arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    redactor = BlockRedactor("doc_id", "line_no", "line", f"{root}/out", f"{root}/dictionary", f"{root}/carry", catalogue=STATIC)
+    redactor = BlockRedactor("doc_id", "line_no", "line", f"{root}/out", f"{root}/dictionary", f"{root}/carry", catalogue=catalogue)
     redact_blocks_stream(arriving, redactor, f"{root}/checkpoint", available_now=True).awaitTermination()
     redactor.flush(spark, batches - 1, lines.schema)
-    return sources.join_lines(spark.read.schema(lines.schema).parquet(f"{root}/out/batch=*"), "doc_id", "line_no", "line")
+    texts = sources.join_lines(spark.read.schema(lines.schema).parquet(f"{root}/out/batch=*"), "doc_id", "line_no", "line")
+    return texts, DictionaryLog(f"{root}/dictionary").before(spark, batches + 1)
+
+
+def stream_blocks(spark, sf_dir):
+    """Blocks and masks in documents cut by batches."""
+    return _in_line_ranges(spark, sf_dir, STATIC)[0]
+
+
+def stream_text(spark, sf_dir):
+    """All rules in documents cut by batches; numbers, which follow arrival, are hidden."""
+    text = "regexp_replace(regexp_replace(text, '(user|host|entity)[0-9]+', '$1#'), '10[.][0-9]+[.]0[.]1', '10.#.0.1')"
+    return _in_line_ranges(spark, sf_dir, CATALOGUE)[0].withColumn("text", F.expr(text))
+
+
+def stream_dictionary(spark, sf_dir):
+    """The dictionary that the batches left in their log."""
+    _, known = _in_line_ranges(spark, sf_dir, CATALOGUE)
+    last = known.last.groupBy("category").agg(F.max("last").alias("last"))
+    return known.all().groupBy("category").agg(F.count("*").alias("originals"), F.count_distinct("id").alias("ids")).join(last, "category")
 
 
 def stream_mask(spark, sf_dir):
@@ -597,6 +617,6 @@ def registry() -> dict[str, Query]:
             audit_line_count_damaged, audit_clean_lines_damaged, audit_indentation_damaged, audit_json_damaged, audit_utf8_damaged,
             audit_complete_damaged, audit_bijection_damaged, audit_length_ratio_damaged, audit_leaks, audit_leaks_damaged,
             audit_bijection, audit_residual, audit_length_ratio, audit_utf8, audit_complete, stream_redact,
-            stream_blocks, stream_files, tree_redact, tree_results, tree_metrics, stream_mask, stream_counts, stream_quarantine):
+            stream_blocks, stream_text, stream_dictionary, stream_files, tree_redact, tree_results, tree_metrics, stream_mask, stream_counts, stream_quarantine):
         named[query.__name__] = query
     return named

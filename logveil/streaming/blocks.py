@@ -8,7 +8,7 @@ differences: the gate of the SQL rule reads the lines that are redacted
 together, and a block that is never closed waits for ``BlockRedactor.flush``.
 
 Lines of a document must arrive in order.  Batch *n* reads the carry-over of
-batch *n-1* and the dictionary entries of earlier batches, and overwrites what it
+batch *n-1* and the dictionary that it left, and overwrites what it
 wrote itself, so running it again after a failure gives the same result.
 """
 
@@ -27,7 +27,7 @@ from logveil.operators.blocks import PEM_MARKERS, SQL_CONTINUED, SQL_START
 from logveil.operators.pseudonyms import CORPUS
 from logveil.operators.scan import redact_lines_scan
 from logveil.sources.staging import staged
-from logveil.streaming.incremental import known_entries
+from logveil.streaming.dictionary import DictionaryLog
 
 # The state after a marker: which kinds of block are open, since which line, the
 # blocks closed so far, and the line of the last end with the line where its block began.
@@ -115,10 +115,11 @@ class BlockRedactor:
         return spark.read.schema(schema).parquet(f"{self.carry_path}/batch={batch_id}")
 
     def _write(self, lines: DataFrame, batch_id: int) -> None:
-        known = known_entries(lines.sparkSession, self.dictionary_path, batch_id)
+        log = DictionaryLog(self.dictionary_path)
+        known = log.before(lines.sparkSession, batch_id) if self.catalogue.unique_categories else None
         done = redact_lines_scan(lines, self.doc_col, self.line_no_col, self.line_col, self.scope, self.catalogue, known)
         if done.entries is not None:
-            done.entries.write.mode("overwrite").parquet(f"{self.dictionary_path}/batch={batch_id}")
+            log.add(done.entries, batch_id)
         done.rows.write.mode("overwrite").parquet(f"{self.output_path}/batch={batch_id}")
 
 
