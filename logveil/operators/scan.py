@@ -6,10 +6,10 @@ candidate cost nothing.  What spans lines may begin in one chunk and end in
 another.  Each chunk is therefore summed up as a function: for every state in
 which it can be entered, the state in which it is left.  A state says whether a
 private key or a certificate is open, whether the end of one is still to come,
-and whether the line before belongs to an SQL statement; chunks without markers
-have the same plain function, so only those with markers are summed up for every
-state.  The functions are composed over the chunks of a document, on rows of a few bytes, and with the state
-known each chunk is rewritten once.
+and whether the line before belongs to an SQL statement.  The functions are
+composed over the chunks of a document, on rows of a few bytes: first those of
+the PEM blocks, then, for the state that these give each chunk, that of the SQL
+statements.  With its state known each chunk is rewritten once.
 
 The result is that of ``redact_documents`` on the joined lines, but that the
 lines keep their numbers: a block stays on the line where it began, and what
@@ -133,24 +133,29 @@ def chunks(df: DataFrame, doc: str, line_no: str, line: str, catalogue: Catalogu
     tagged = f"array_join(transform(_parts, p -> concat('{T.OPEN}', p.place, '{T.CLOSE}', {T.protect('p.line')})), '\\n')"
     df = cascade.barrier(df, _tagged=T.when("_pem", tagged))
     summaries = {"_exit": _exit("_flags"), "_private": "cast(NULL AS struct<opens:boolean,ends:boolean>)",
-                 "_certificate": "cast(NULL AS array<struct<opens:boolean,ends:boolean>>)",
-                 "_variants": "cast(NULL AS array<struct<out:string,own:boolean,head:string>>)"}
+                 "_certificate": "cast(NULL AS array<struct<opens:boolean,ends:boolean>>)"}
     kinds = {r.category: r for r in _pem_rules(catalogue)}
     if "private_key" in kinds:
         summaries["_private"] = T.when("_pem", _markers("_tagged", "private_key"))
     if "certificate" in kinds:
         before = _pem("_tagged", "v", kinds["private_key"], catalogue)[0] if "private_key" in kinds else "_tagged"
         summaries["_certificate"] = T.when("_pem", f"transform(sequence(0, 3), v -> {_markers(before, 'certificate')})")
-    if kinds:
-        glued = _GLUED.format("v")
-        summary = (f"named_struct('out', {_exit(f'''array_join(transform(own, p -> {_flag('p.line')}), '')''')}, 'own', size(own) > 0, "
-                   f"'head', IF({glued}, nullif({_plain('''substring_index(t, '\\n', 1)''')}, ''), NULL))")
-        summary = T.let("own", _parts("t", glued), summary)
-        gone = "named_struct('out', '1', 'own', false, 'head', cast(NULL AS string))"
-        summaries["_variants"] = T.when("_pem", f"transform(sequence(0, 15), v -> {T.let('t', _without_pem('_tagged', 'v', catalogue), T.when('t IS NULL', gone, summary))})")
     return cascade.barrier(df, **summaries)
 
 
+_GONE = "named_struct('out', '1', 'own', false, 'head', cast(NULL AS string))"
+
+
+def _summary(catalogue: Catalogue) -> str:
+    """How a chunk with markers, entered in ``_state``, leaves an SQL statement; whether it has lines of its own; and what goes on an earlier line."""
+    glued = _GLUED.format("_state")
+    flags = f"array_join(transform(own, p -> {_flag('p.line')}), '')"
+    first = "substring_index(t, '\\n', 1)"
+    summary = (f"named_struct('out', {_exit(flags)}, 'own', size(own) > 0, "
+               f"'head', IF({glued}, nullif({_plain(first)}, ''), NULL))")
+    return T.let("t", _without_pem("_tagged", "_state", catalogue), T.when("t IS NULL", _GONE, T.let("own", _parts("t", glued), summary)))
+
+
 def _markers(text: str, category: str) -> str:
     """Whether the last marker of a kind opens a block, null without markers; and whether any closes one."""
     begin, end = PEM_MARKERS[category]
@@ -159,10 +164,10 @@ def _markers(text: str, category: str) -> str:
                                  "'ends', coalesce(exists(marks, m -> startswith(m, '-----END')), false))")
 
 
-def entered(chunked: DataFrame) -> DataFrame:
+def entered(chunked: DataFrame, catalogue: Catalogue) -> DataFrame:
     """``(_doc, _chunk, _state, _inside, _tail)``: how each chunk is entered, and what later chunks put behind its last line.
 
-    It reads a row of a few bytes for each chunk.
+    It reads a row of a few bytes for each chunk, and the lines of those with markers.
     """
     of = Window.partitionBy("_doc")
     before = of.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -174,13 +179,15 @@ def entered(chunked: DataFrame) -> DataFrame:
         later = F.coalesce(last_end > F.col("_chunk"), F.lit(False))
         return F.when(opened, _OPEN[category]).otherwise(0) + F.when(later, _LATER[category]).otherwise(0)
 
-    rows = chunked.select("_doc", "_chunk", "_gated", "_exit", "_private", "_certificate", "_variants")
+    rows = chunked.select("_doc", "_chunk", "_pem", "_gated", "_exit", "_private", "_certificate")
     rows = rows.withColumn("_state", state("_private", "private_key"))
     rows = rows.withColumn("_seen", F.expr("get(_certificate, _state)"))
-    rows = rows.withColumn("_state", F.col("_state") + state("_seen", "certificate"))
+    rows = rows.withColumn("_state", F.col("_state") + state("_seen", "certificate")).drop("_private", "_certificate", "_seen")
+    rows = staged(rows, "pem-states")
+    marked = chunked.filter("_pem").select("_doc", "_chunk", "_tagged").join(rows.filter("_pem").select("_doc", "_chunk", "_state"), ["_doc", "_chunk"])
+    rows = rows.join(marked.select("_doc", "_chunk", F.expr(_summary(catalogue)).alias("_known")), ["_doc", "_chunk"], "left")
     rows = rows.withColumn("_as", F.expr(
-        f"CASE WHEN _variants IS NOT NULL THEN get(_variants, _state) WHEN {_GLUED.format('_state')} "
-        "THEN named_struct('out', '1', 'own', false, 'head', cast(NULL AS string)) "
+        f"CASE WHEN _pem THEN _known WHEN {_GLUED.format('_state')} THEN {_GONE} "
         "ELSE named_struct('out', _exit, 'own', true, 'head', cast(NULL AS string)) END"))
     decided = F.max(F.expr("IF(_as.out = '1', NULL, struct(_chunk, _as.out AS out))")).over(before)
     rows = rows.withColumns({
@@ -198,7 +205,7 @@ def collapsed(chunked: DataFrame, states: DataFrame, catalogue: Catalogue) -> Da
     size, tails = states.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_tail")), F.lit(0))).first()
     if size <= BROADCAST_ROWS and tails <= BROADCAST_BYTES:
         states = F.broadcast(states)
-    df = chunked.drop("_gated", "_exit", "_private", "_certificate", "_variants").join(states, ["_doc", "_chunk"])
+    df = chunked.drop("_gated", "_exit", "_private", "_certificate").join(states, ["_doc", "_chunk"])
     glued = _GLUED.format("_state")
     text, found = "_tagged", []
     for rule in _pem_rules(catalogue):
@@ -253,7 +260,7 @@ def redact_lines_scan(df: DataFrame, doc_col: str, line_no_col: str, line_col: s
         if rule.category not in PEM_MARKERS and rule.category != "sql_query":
             raise ValueError(f"rule {rule.rule_id} spans lines; apply it to whole documents")
     chunked = staged(chunks(df, doc_col, line_no_col, line_col, catalogue, lines_per_chunk), "chunks")
-    done = collapsed(chunked, entered(chunked), catalogue)
+    done = collapsed(chunked, entered(chunked, catalogue), catalogue)
     done = cascade.barrier(done, _chunk_text="array_join(transform(_parts, p -> p.line), '\\n')", _places="transform(_parts, p -> p.place)",
                            _rows="transform(_rows, r -> named_struct('no', r.no, 'missing', r.line IS NULL, 'rest', r.rest))")
     line_rules = catalogue.select(rule_ids=[r.rule_id for r in catalogue.line_rules])
