@@ -542,7 +542,7 @@ def stream_redact(spark, sf_dir):
 
 
 def _in_line_ranges(spark, sf_dir, catalogue):
-    """Logs arriving in ranges of lines, so that every document is cut by every batch; where the results are."""
+    """Logs arriving in ranges of lines, so that every document is cut by every batch: the texts, and what gives the dictionary."""
     root = scratch(spark, "blocks")
     lines = staged(views.log_lines(spark, sf_dir), "log-lines")
     batches = 5
@@ -553,7 +553,7 @@ def _in_line_ranges(spark, sf_dir, catalogue):
     redact_blocks_stream(arriving, redactor, f"{root}/checkpoint", available_now=True).awaitTermination()
     redactor.flush(spark, batches - 1, lines.schema)
     texts = sources.join_lines(spark.read.schema(lines.schema).parquet(f"{root}/out/batch=*"), "doc_id", "line_no", "line")
-    return texts, DictionaryLog(f"{root}/dictionary").before(spark, batches + 1)
+    return texts, lambda: DictionaryLog(f"{root}/dictionary").before(spark, batches + 1)
 
 
 def stream_blocks(spark, sf_dir):
@@ -569,7 +569,8 @@ def stream_text(spark, sf_dir):
 
 def stream_dictionary(spark, sf_dir):
     """The dictionary that the batches left in their log."""
-    _, known = _in_line_ranges(spark, sf_dir, CATALOGUE)
+    _, left = _in_line_ranges(spark, sf_dir, CATALOGUE)
+    known = left()
     last = known.last.groupBy("category").agg(F.max("last").alias("last"))
     return known.all().groupBy("category").agg(F.count("*").alias("originals"), F.count_distinct("id").alias("ids")).join(last, "category")
 
