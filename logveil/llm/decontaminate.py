@@ -1,20 +1,26 @@
 """Benchmark decontamination by a generalised suffix automaton of the test items.
 
-The automaton is built once over the word sequences of all items and sent to
-the tasks; its size is bounded by ``MAX_ITEM_WORDS``, beyond which the call is
-refused.  Each text is streamed through it, word by word, keeping the length
-of the longest match that ends at the word.  Only stretches whose word triples
-all occur in items are streamed, since a window cannot leave such a stretch.
+The automaton is built over the word sequences of the items and sent to the
+tasks.  One holds ``SHARD_WORDS`` words at most: more items make more automata,
+of which the driver and a task hold one at a time, with a pass over the texts for
+each and the hits of a text united; longer items are cut into parts that overlap
+by a window less one word, so no window is lost.  Each text is streamed through,
+word by word, keeping the length of the longest match that ends at the word.
+Only stretches whose word triples all occur in items are streamed, since a
+window cannot leave such a stretch.
 
 Nulls and empty texts have no words and are clean.  Items without words have no
 windows.  Items with the same text all count.  Rows are handled one by one, so
-repeated rows give repeated results.  Without items every text is clean.
+repeated rows give repeated results.  Without items, or without texts, every text
+is clean.  Texts of any length are streamed as a whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logveil.llm.common import LOWER, UPPER, map_batches
+from logveil.llm.common import LOWER, UPPER, map_batches, unused
+from logveil.sources.staging import staged
 
-#: Bound of what is broadcast: words of all items together.
-MAX_ITEM_WORDS = 5_000_000
+#: Words of the items in one automaton, which is what is broadcast: some 200 MB of a task.
+SHARD_WORDS = 400_000
 #: Words of a window; a shorter item is one window as a whole.
 WINDOW = 10
 #: A text of which more than this share of its words is hit is dropped by ``clean``.
@@ -199,44 +206,105 @@ def cleaned(automaton: Automaton, text: str) -> str:
     return text
 
 
-def build(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> Automaton:
-    """The automaton of a table of test items, refused beyond ``MAX_ITEM_WORDS``."""
-    sizes = benchmark.agg(F.sum(F.octet_length(F.col(text)) + 2).alias("n")).first()
-    if (sizes["n"] or 0) / 2 > MAX_ITEM_WORDS:
-        raise ValueError(f"items of up to {sizes['n'] // 2} words; at most {MAX_ITEM_WORDS} are broadcast. Split the items")
-    rows = benchmark.select(F.col(item).cast("string"), F.col(text)).collect()
-    return Automaton.of([(str(r[0]), r[1]) for r in rows], window)
+@dataclass
+class Shards:
+    """The automata of a table of test items, made one at a time whenever they are gone through."""
+
+    items: DataFrame
+    window: int = WINDOW
+    most: int = SHARD_WORDS
+
+    def _parts(self) -> Iterator[tuple[str, list[bytes]]]:
+        for item, text in self.items.toLocalIterator():
+            words = words_of(text)
+            for at in range(0, max(1, len(words) - self.window + 1), max(1, self.most - self.window + 1)):
+                yield str(item), words[at:at + max(self.most, self.window)]
+
+    def __iter__(self) -> Iterator[Automaton]:
+        held, size = [], 0
+        for item, words in self._parts():
+            if held and size + len(words) > self.most:
+                yield Automaton.of(held, self.window)
+                held, size = [], 0
+            held.append((item, b" ".join(words).decode()))
+            size += len(words)
+        yield Automaton.of(held, self.window)
+
+
+def build(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, most: int = SHARD_WORDS) -> Shards:
+    """The automata of a table of test items, of ``most`` words each at most."""
+    return Shards(benchmark.select(F.col(item).cast("string"), F.col(text)), window, most)
+
 
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_HITS = "n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
-def hits(docs: DataFrame, automaton: Automaton, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_words, n_hit, spans, items)`` per row; spans are word ranges, items are sorted."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+
+def _hit_columns(found: list[tuple[int, list[tuple[int, int]], Iterable[str]]]) -> list[pa.Array]:
+    """Columns of ``(n_words, spans, items)`` per row."""
+    return [pa.array([n for n, _, _ in found], pa.int64()),
+            pa.array([sum(b - a for a, b in ranges) for _, ranges, _ in found], pa.int64()),
+            pa.array([[{"start": int(a), "end": int(b)} for a, b in ranges] for _, ranges, _ in found], _SPAN),
+            pa.array([sorted(items) for _, _, items in found], pa.list_(pa.string()))]
+
+
+def _hits(rows: DataFrame, automaton: Automaton) -> DataFrame:
+    """``rows`` but for their last column, the text, and their hits by one automaton."""
+    shared = rows.sparkSession.sparkContext.broadcast(automaton)
+    kept = rows.columns[:-1]
+    names = [*kept, "n_words", "n_hit", "spans", "items"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         matcher, out = shared.value, []
-        for value in batch.column(1):
+        for value in batch.column(len(kept)):
             words = words_of(value.as_py())
             found = matcher.matches(words)
-            ranges = spans(found)
-            out.append((len(words), sum(b - a for a, b in ranges), [{"start": int(a), "end": int(b)} for a, b in ranges],
-                        sorted(set().union(*(m[2] for m in found)))))
-        columns = list(zip(*out))
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        types = (pa.int64(), pa.int64(), span, pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_words", "n_hit", "spans", "items"])
+            out.append((len(words), spans(found), set().union(*(m[2] for m in found))))
+        return pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], *_hit_columns(out)], names=names)
+
+    return map_batches(rows, run, "".join(f"`{c}` bigint, " for c in kept) + _HITS)
+
+
+def _united(rows: DataFrame, shards: Iterable[Automaton]) -> DataFrame:
+    """``_hits`` of ``(_row, doc_id, text)`` by all automata, one pass for each; only hits move, not the texts."""
+    parts = None
+    for number, automaton in enumerate(shards):
+        found = _hits(rows, automaton)
+        part = staged(found if not number else found.where("n_hit > 0"), "hits")
+        parts = part if parts is None else parts.unionAll(part)
+    grouped = parts.groupBy("_row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [(n, spans([(s["start"], s["end"], set()) for s in found]), items)
+               for n, found, items in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+        return pa.RecordBatch.from_arrays([batch.column(1), *_hit_columns(out)], names=["doc_id", "n_words", "n_hit", "spans", "items"])
+
+    return map_batches(grouped, run, f"doc_id bigint, {_HITS}")
+
+
+def hits(docs: DataFrame, automata: Iterable[Automaton], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, n_words, n_hit, spans, items)`` per row; spans are word ranges, items are sorted.
+
+    ``automata`` are gone through more than once; a single one needs no pass but that which the caller starts.
+    """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(rows, run, "doc_id bigint, n_words bigint, n_hit bigint, "
-                                  "spans array<struct<start:bigint,end:bigint>>, items array<string>")
+    first, *more = islice(automata, 2)
+    if not more:
+        return _hits(rows, first)
+    return _united(staged(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "texts"), automata)
 
 
-def clean(docs: DataFrame, automaton: Automaton, text: str = "text", max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def clean(docs: DataFrame, automata: Iterable[Automaton], text: str = "text", max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """``docs`` with the hit spans taken out; rows hit beyond ``max_coverage`` are dropped, clean rows are untouched.
 
     A text of which nothing but white space and punctuation is left is dropped too.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    first, *more = islice(automata, 2)
+    if more:
+        return _clean_by_shards(docs, automata, text, max_coverage)
+    shared = docs.sparkSession.sparkContext.broadcast(first)
 
     def left(value: str | None) -> str | None:
         matcher, words = shared.value, words_of(value)
@@ -260,6 +328,34 @@ def clean(docs: DataFrame, automaton: Automaton, text: str = "text", max_coverag
     return docs.mapInArrow(run, docs.schema)
 
 
+def _clean_by_shards(docs: DataFrame, automata: Iterable[Automaton], text: str, max_coverage: float) -> DataFrame:
+    """``clean`` by several automata: in each round the hits of all are united and taken out, until none is left."""
+    row, cut = unused(docs, "_row"), unused(docs, "_cut")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+
+    def hit(frame: DataFrame) -> DataFrame:
+        found = hits(frame, automata, row, text).where("n_hit > 0")
+        return staged(found.select(F.col("doc_id").alias(row), "n_words", "n_hit", F.col("spans").alias(cut)), "hit-rows")
+
+    def run(batches):
+        for batch in batches:
+            at, place = batch.schema.get_field_index(text), batch.schema.get_field_index(cut)
+            new = [without(v.as_py(), [(s["start"], s["end"]) for s in ranges.as_py()]) for v, ranges in zip(batch.column(at), batch.column(place))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(new, c.type) if i == at else c for i, c in enumerate(batch.columns) if i != place],
+                schema=pa.schema([f for i, f in enumerate(batch.schema) if i != place]))
+
+    found = hit(rows)
+    done = rows.join(found, row, "left_anti")
+    found = found.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
+    while not found.isEmpty():
+        rest = staged(rows.join(found.select(row, cut), row).select(*rows.columns, cut).mapInArrow(run, rows.schema), "cut")
+        found = hit(rest)
+        done = done.unionAll(rest.join(found, row, "left_anti").where(F.col(text).rlike(_WORD.pattern)))
+        rows = rest
+    return done.drop(row)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the registered query."""
     return found.select(

@@ -85,6 +85,27 @@ def test_decontaminated_table(spark):
     assert not decontaminate.Automaton.of([]).matches([b"a"] * 20)
 
 
+def test_decontamination_by_many_automata(spark):
+    """Items over several automata, one of them longer than an automaton, give what one automaton gives."""
+    rng = random.Random(3)
+    word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta".split())
+    items = [(f"i{n}", " ".join(word() for _ in range(rng.choice([3, 12, 15, 60])))) for n in range(20)] + [("none", None), ("blank", "")]
+    rows = [(n, " ".join([*(word() for _ in range(8)), *rng.choice(items[:20])[1].split()[:rng.choice([3, 10, 60])], *(word() for _ in range(30))]))
+            for n in range(60)] + [(60, None), (61, ""), (61, items[0][1]), (None, items[1][1])]
+    # cutting out the inner passage makes another one
+    inner = items[3][1].split()
+    rows.append((62, "x y z q r s t u " + " ".join([*inner[:5], *items[4][1].split(), *inner[5:]]) + " v w" * 40))
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, _row int, _cut int")
+    one, many = decontaminate.build(benchmark), decontaminate.build(benchmark, most=25)
+    assert len(list(one)) == 1 and len(list(many)) > 5
+    order = lambda df: sorted(map(repr, df.collect()))
+    assert order(decontaminate.hits(frame, one)) == order(decontaminate.hits(frame, many))
+    for coverage in (0.3, 0.8):
+        assert order(decontaminate.clean(frame, one, max_coverage=coverage)) == order(decontaminate.clean(frame, many, max_coverage=coverage))
+    assert decontaminate.hits(empty(spark), many).count() == 0 and decontaminate.clean(empty(spark), many).count() == 0
+
+
 # --- quality -----------------------------------------------------------------------
 
 def test_quality(spark):
