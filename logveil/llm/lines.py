@@ -5,12 +5,15 @@ batch joins it without moving it.  A batch of documents merge-anti-joins the
 runs: keys found in a run lose all their lines, the others belong to the batch's
 smallest document that holds them and become a run of level 0.  As soon as a
 level has ``FANOUT`` runs they are compacted into one run of the next level.
+Runs that are given a folder stay there, and a later job opens them again.
 
 A line's key is the line without ASCII white space at its ends and with A-Z in
 lower case; keys shorter than ``MIN_CHARS`` are never dropped.  A key is held as
 two 64-bit hashes.  Null and empty texts are one empty line.  Documents without
 an id come after all others; rows of one id are one document and keep a shared
-line in each of them.  Batches must come in order of ids.
+line in each of them.  Batches must come in order of ids, and each only once: a
+batch that a run already holds loses all its lines.  Without documents, nothing
+is dropped.  Texts of any length are split where they are read.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from logveil.sources.staging import scratch, staged
 
 MIN_CHARS = 10
 FANOUT = 4
-#: Batches of the registered query; a production job has one per ingest.
-BATCHES = 4
+#: Batches of the registered query, so many that a level is filled and compacted; a production job has one per ingest.
+BATCHES = 6
 #: A key in more than this share of a batch's rows, of which there are 1000 at most, is broadcast instead of shuffled.
 HEAVY_SHARE = 1 / 1000
 
@@ -57,40 +60,78 @@ def line_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 class LineRuns:
-    """The runs, level by level."""
+    """The runs, level by level, in ``folder``, whose complete runs are opened again; without one, in the shared folder until ``close``.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
+    The name of a run tells its level and its number of buckets.  A job that ends
+    between a compaction and the removal of what was compacted leaves keys in two
+    runs, which changes no result.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, folder: str | None = None) -> None:
         self.spark, self.fanout = spark, fanout
         self.buckets = partitions(spark)
+        self.kept = folder is not None
+        self.folder = folder or scratch(spark, "line-runs")
+        self.paths: dict[str, str] = {}
         self.levels: list[list[str]] = []
+        for path in self._complete() if self.kept else []:
+            level, buckets = (int(n) for n in path.rsplit("/", 1)[1].split("-")[1:3])
+            self._hold(level, self._opened(path, buckets))
+
+    def _files(self, path: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _complete(self) -> list[str]:
+        """The runs in the folder whose writing has ended."""
+        files, folder = self._files(self.folder)
+        found = sorted(str(s.getPath()) for s in files.listStatus(folder)) if files.exists(folder) else []
+        return [p for p in found if p.rsplit("/", 1)[1].startswith("run-") and files.exists(self._files(f"{p}/_SUCCESS")[1])]
 
-    def _write(self, keys: DataFrame) -> str:
+    def _opened(self, path: str, buckets: int) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (keys.repartition(self.buckets, *_KEY).write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY)
-         .option("path", scratch(self.spark, name)).saveAsTable(name))
+        self.spark.sql(f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT) USING parquet CLUSTERED BY ({', '.join(_KEY)}) "
+                       f"SORTED BY ({', '.join(_KEY)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        self.paths[name] = path
         return name
 
+    def _write(self, keys: DataFrame, level: int) -> str:
+        name = uuid.uuid4().hex
+        path = f"{self.folder}/run-{level}-{self.buckets}-{name}"
+        (keys.repartition(self.buckets, *_KEY).write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY)
+         .option("path", path).saveAsTable(f"line_run_{name}"))
+        self.paths[f"line_run_{name}"] = path
+        return f"line_run_{name}"
+
+    def _hold(self, level: int, run: str) -> None:
+        while level >= len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(run)
+
     def _compact(self, level: int) -> None:
         runs = self.levels[level]
         merged = self.spark.table(runs[0])
         for run in runs[1:]:
             merged = merged.unionAll(self.spark.table(run))
-        if level + 1 == len(self.levels):
-            self.levels.append([])
-        self.levels[level + 1].append(self._write(merged))
+        self._hold(level + 1, self._write(merged, level + 1))
         for run in runs:
             self._drop(run)
         self.levels[level] = []
         if len(self.levels[level + 1]) >= self.fanout:
             self._compact(level + 1)
 
-    def _drop(self, run: str) -> None:
-        path = self.spark.table(run).inputFiles()
+    def _drop(self, run: str, files: bool = True) -> None:
         self.spark.sql(f"DROP TABLE {run}")
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        path = self.paths.pop(run)
+        if files:
+            where, path = self._files(path)
+            where.delete(path, True)
+
+    def close(self) -> None:
+        """Take all runs out of the catalogue; files in a folder of their own stay for the next job."""
+        for run in self.runs:
+            self._drop(run, not self.kept)
+        self.levels = []
 
     @property
     def runs(self) -> list[str]:
@@ -112,9 +153,7 @@ class LineRuns:
         shared = staged(shared, "line-owners")
         doomed = staged(self._doomed(keys, shared), "line-drops")
         if not last:
-            if not self.levels:
-                self.levels.append([])
-            self.levels[0].append(self._write(fresh.select(*_KEY)))
+            self._hold(0, self._write(fresh.select(*_KEY), 0))
             if len(self.levels[0]) >= self.fanout:
                 self._compact(0)
         return doomed
@@ -128,18 +167,22 @@ class LineRuns:
         return by_heavy.unionAll(by_light).where("owner IS NULL OR id <> owner").select("id", "t", "pos")
 
 
-def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """``(id, t, pos)`` of the lines to drop, the documents taken in ``batches`` ranges of ids."""
+def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, folder: str | None = None) -> DataFrame:
+    """``(id, t, pos)`` of the lines to drop, the documents taken in ``batches`` ranges of ids.
+
+    ``folder`` holds the runs of earlier documents, whose lines go too, and gets those of these.
+    """
     spark = docs.sparkSession
     cuts = [] if batches < 2 else docs.select(_order(doc_id).alias("id")).where(F.col("id") != NO_ID).approxQuantile(
         "id", [i / batches for i in range(1, batches)], 0.01)
     edges = sorted({int(c) for c in cuts})
     number = sum((F.col("id") > e).cast("int") for e in edges) if edges else F.lit(0)
     keys = staged(line_keys(docs, doc_id, text).withColumn("batch", number), "line-hashes")
-    runs, doomed = LineRuns(spark), None
+    runs, doomed = LineRuns(spark, folder=folder), None
     for batch in range(len(edges) + 1):
-        found = runs.add(keys.where(F.col("batch") == batch).drop("batch"), last=batch == len(edges))
+        found = runs.add(keys.where(F.col("batch") == batch).drop("batch"), last=batch == len(edges) and not runs.kept)
         doomed = found if doomed is None else doomed.unionAll(found)
+    runs.close()
     return doomed
 
 
@@ -148,13 +191,13 @@ def gathered(doomed: DataFrame) -> DataFrame:
     return doomed.groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, folder: str | None = None) -> DataFrame:
     """``docs`` with the kept lines joined by line feeds in ``text``, and with ``n_lines`` and ``n_dropped``.
 
     Columns of ``docs`` with these two names are replaced.  A null text stays null if nothing is dropped.
     """
     key, row, gone = unused(docs, "_id"), unused(docs, "_row"), unused(docs, "_gone")
-    doomed = gathered(decisions(docs, doc_id, text, batches)).toDF(key, row, gone)
+    doomed = gathered(decisions(docs, doc_id, text, batches, folder)).toDF(key, row, gone)
     joined = docs.withColumn(key, _order(doc_id)).withColumn(row, F.xxhash64(text)).join(doomed, [key, row], "left")
     lines = _LINES.format(text)
     kept = (f"if({gone} IS NULL, `{text}`, array_join(transform(array({lines}), l -> "
