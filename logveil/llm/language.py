@@ -9,8 +9,9 @@ by ``TEMPERATURE``, as words are not independent.
 Counts cover all texts that are learned from.  Words are counted per language
 in Spark; n-grams are counted from the distinct words and their numbers.  A word
 or n-gram is known if its share in some language is ``WORD_SHARE`` or
-``NGRAM_SHARE`` or more.  Shares of a language add up to one, so at most
-1 / share of each are broadcast per language, whatever the size of the corpus.
+``NGRAM_SHARE`` or more.  Where that makes more than ``CELLS`` shares in all, or
+more than ``UNITS`` words or n-grams, the least share rises until they fit: what
+is broadcast is bounded whatever the corpus and the number of languages.
 
 A word is a run of letters, in lower case.  Null texts and texts without letters
 are ``und`` with score 0.  Without anything to learn from, so are all texts.
@@ -20,6 +21,7 @@ language teach nothing.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +42,8 @@ NGRAM = 4
 #: Share that a language gives to what it does not know.
 FLOOR = 1e-7
 TEMPERATURE = 8.0
-#: More languages than this are refused, as the broadcast tables have one column for each.
-MAX_LANGUAGES = 500
+#: Bounds of each broadcast table: shares, of 8 bytes, one for each unit and language, and units.
+CELLS, UNITS = 1 << 23, 500_000
 #: Distinct words that a worker counts before it passes them on; it remembers four times as many scores of unseen words.
 REMEMBERED = 300_000
 
@@ -158,27 +161,34 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return counted.groupBy("lang", F.col("unit").alias("gram")).agg(F.sum("n").alias("n"))
 
 
-def _shares(counts: DataFrame, unit: str, least: float) -> dict[str, dict[str, float]]:
-    """Known units, at most 1 / ``least`` per language, with their share in each language."""
+def least_share(greatest: DataFrame, least: float, room: int) -> float:
+    """``least``, or the first of its multiples by powers of sqrt(2) that ``room`` of the ``greatest`` shares at most reach."""
+    steps = [least * 2 ** (i / 2) for i in range(2 * max(1, math.ceil(-math.log2(least))) + 1)]
+    counts = greatest.agg(*[F.count(F.when(F.col("share") >= s, 1)).alias(f"n{i}") for i, s in enumerate(steps)]).first()
+    return next((s for s, n in zip(steps, counts) if n <= room), 2.0)
+
+
+def _shares(counts: DataFrame, unit: str, least: float, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """Known units with a row of their shares in each language."""
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
-    known = shares.where(F.col("share") >= least).select(unit).distinct()
-    found: dict[str, dict[str, float]] = {}
-    for r in shares.join(known, unit, "left_semi").groupBy(unit).agg(
-            F.collect_list(F.struct("lang", "share")).alias("in")).collect():
-        found[r[0]] = {x["lang"]: x["share"] for x in r["in"]}
-    return found
+    greatest = staged(shares.groupBy(unit).agg(F.max("share").alias("share")).where(F.col("share") >= least), "greatest")
+    least = least_share(greatest, least, min(UNITS, CELLS // max(1, len(languages))))
+    known = greatest.where(F.col("share") >= least).select(unit)
+    found = shares.join(known, unit, "left_semi").select(F.col(unit), "lang", "share").toArrow()
+    units = found.column(0).combine_chunks().dictionary_encode() if found.num_rows else pa.array([], pa.string()).dictionary_encode()
+    table = np.zeros((len(units.dictionary), len(languages)))
+    table[units.indices.to_numpy(), pc.index_in(found.column(1), pa.array(languages, pa.string())).to_numpy()] = found.column(2).to_numpy()
+    return units.dictionary.to_pylist(), table
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """From all rows of ``docs`` that have a language and a text."""
     counts = staged(word_counts(docs, lang, text), "words")
-    languages = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    words, grams = _shares(counts, "word", WORD_SHARE), _shares(staged(gram_counts(counts), "grams"), "gram", NGRAM_SHARE)
-    rows = [[of.get(x, 0.0) for x in languages] for of in (*words.values(), *grams.values())]
-    logs = np.log(np.array([*rows, [0.0] * len(languages)]) + FLOOR)
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    words, by_word = _shares(counts, "word", WORD_SHARE, languages)
+    grams, by_gram = _shares(staged(gram_counts(counts), "grams"), "gram", NGRAM_SHARE, languages)
+    logs = np.log(np.concatenate([by_word, by_gram, np.zeros((1, len(languages)))]) + FLOOR)
     return Model(languages, {w: i for i, w in enumerate(words)}, {g: len(words) + i for i, g in enumerate(grams)}, logs)
 
 

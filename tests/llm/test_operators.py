@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small inputs, with odd rows in each."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -147,6 +148,22 @@ def test_lines(spark, batches, monkeypatch):
     assert lines.dedup(empty(spark), batches=batches).count() == 0
 
 
+def test_runs_are_compacted_and_opened_again(spark, tmp_path, monkeypatch):
+    rows = [(i, f"line number {i % 7} is long\nown {i} line of text\nwritten by group {i // 9}\n{i}") for i in range(60)]
+    compacted, compact = [], lines.LineRuns._compact
+    monkeypatch.setattr(lines.LineRuns, "_compact", lambda self, level: (compacted.append(level), compact(self, level)))
+    got = []
+    for part in (rows[:40], rows[40:]):
+        out = lines.dedup(docs_of(spark, part), batches=3, folder=str(tmp_path / "runs"))
+        got += [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(got, key=repr) == kept_lines(rows)
+    # six batches, four to a level: one run of level 1 and two of level 0 are left
+    assert compacted == [0]
+    assert sorted(p.name.split("-")[1] for p in (tmp_path / "runs").iterdir()) == ["0", "0", "1"]
+    assert sorted(((r.doc_id, r.text) for r in lines.dedup(docs_of(spark, rows)).collect()), key=repr) == kept_lines(rows)
+    assert compacted == [0, 0] and not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
 def test_repeated_rows_share_positions(spark):
     rows = [(1, "a shared line of text\nown line of text")] + [(None, "a shared line of text\nx")] * 50
     found = lines.gathered(lines.decisions(docs_of(spark, rows), batches=1)).collect()
@@ -303,6 +320,61 @@ def test_language(spark):
     assert {r.lang_pred for r in language.classify(frame.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def second_scoring(rows, held):
+    """Scores by plain dictionaries, every unit being known."""
+    words, grams = {}, {}
+    for i, text, lang in rows:
+        if i is not None and i not in held and lang and text:
+            for w in language.words_of(text):
+                words.setdefault(lang, []).append(w)
+                m = f"^{w}$"
+                grams.setdefault(lang, []).extend(m[a:b] for a in range(len(m)) for b in range(a + 1, min(a + 4, len(m)) + 1))
+    share = lambda units, u: units.count(u) / len(units)
+    out = []
+    for _, text, _ in rows:
+        total = dict.fromkeys(sorted(words), 0.0)
+        for w in language.words_of(text):
+            if any(w in of for of in words.values()):
+                for lang in total:
+                    total[lang] += math.log(share(words[lang], w) + language.FLOOR)
+                continue
+            m, at, found = f"^{w}$", 0, []
+            while at < len(m):
+                n = next((n for n in range(min(4, len(m) - at), 0, -1) if any(m[at:at + n] in of for of in grams.values())), None)
+                found.append(None if n is None else m[at:at + n])
+                at += n or 1
+            for lang in total:
+                total[lang] += sum(math.log((share(grams[lang], g) if g else 0) + language.FLOOR) for g in found) / len(found)
+        top = max(total.values())
+        odds = {lang: math.exp((t - top) / language.TEMPERATURE) for lang, t in total.items()}
+        best = max(odds, key=odds.get)
+        out.append((best, odds[best] / sum(odds.values())) if language.words_of(text) else ("und", 0.0))
+    return out
+
+
+def test_language_scores(spark):
+    rng = random.Random(5)
+    stock = {"en": "the of and house thing".split(), "de": "der und das haus ding über".split(), "fr": "le et la maison and été".split()}
+    rows = [(i, " ".join(rng.choice(stock[rng.choice([l, l, "en"])]) for _ in range(6)), l) for i in range(60) for l in [rng.choice(list(stock))]]
+    rows += [(200, "hausding theand", None), (201, "zzz 9 the", None), (202, "ünd ünd", ""), (3, rows[3][1], rows[3][2])]
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    got = language.classify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1)).collect()
+    assert [r.lang_pred for r in got] == [l for l, _ in second_scoring(rows, held)]
+    assert [r.score for r in got] == pytest.approx([s for _, s in second_scoring(rows, held)])
+
+
+def test_language_tables_are_bounded(spark, monkeypatch):
+    """With more languages than the tables have room for, the rare words go first and no language is refused."""
+    monkeypatch.setattr(language, "CELLS", 90 * 40)
+    word = lambda kind, n: kind + "".join(chr(97 + int(c)) for c in f"{n:03}")
+    rows = [(i, f"{word('common', i % 30)} " * 9 + word("rare", i), f"l{i % 30:02}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.learn(frame)
+    assert len(model.languages) == 30 and 30 <= len(model.words) <= 120 and len(model.grams) <= 120
+    assert {word("common", i) for i in range(30)} <= set(model.words)
+    assert all(model.predict(text)[0] == lang for _, text, lang in rows)
+
+
 # --- pages -------------------------------------------------------------------------
 
 PAGE = ("<html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body><nav>menu</nav><div class='ad'>ad</div>"
