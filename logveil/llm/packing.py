@@ -32,6 +32,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -49,7 +50,7 @@ SCHEMES = ((0.2, 10), (0.2, 20), (0.25, 16), (0.25, 32), (0.33, 24), (0.33, 60),
 #: Rows that one window task ranks, on average at most.
 RANKED = 1_000_000
 #: Bytes of the parts of text whose ids a task remembers, and what an entry takes besides its part and ids.
-REMEMBERED_BYTES, ENTRY_BYTES = 48_000_000, 180
+REMEMBERED_BYTES, ENTRY_BYTES = 96_000_000, 180
 
 _LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 _MARKS = {".", ","}
@@ -58,6 +59,18 @@ _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> Tokenizer:
+    """The tokenizer of a vocabulary file, once in a process: reused workers kept some megabytes of each one they loaded."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    return tokenizer
+
+
 class Encoder(dict):
     """Ids of whole texts, as little-endian 32-bit integers; as a dictionary it remembers the parts met.
 
@@ -65,19 +78,16 @@ class Encoder(dict):
     neither white space nor the border between a letter and a full stop or comma.
     So the ids of a text are those of its parts, which repeat.  A part of Latin
     letters goes to the model at once, any other through the whole tokenizer, and
-    so does a text that may hold a special string.
+    so does a text that may hold a special string.  The tokenizer stays with the
+    process, the parts go with the task.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.bytes = 0
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        self.tokenizer = _loaded(path)
         self.model = self.tokenizer.model
         spelled = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelling = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}

@@ -590,3 +590,13 @@ def test_pipeline(spark):
 ])
 def test_wrapped_articles_and_comments(page, want):
     assert html.extract(page, set()) == want
+
+
+def test_tasks_of_a_process_share_one_tokenizer_but_no_parts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first, second = packing.Encoder(path), packing.Encoder(path)
+    ids = first.ids("Tides, tides and 12 <|x|> moorings")
+    assert first.tokenizer is second.tokenizer and first.ids("tides") and first and not second
+    assert second.ids("Tides, tides and 12 <|x|> moorings") == ids
