@@ -10,6 +10,8 @@ from logveil.functions import text as T
 from logveil.sources.staging import staged
 
 BROADCAST_SPLITS = 200_000
+#: Bytes up to which a file that lies in one split is read as a whole.
+WHOLE_BYTES = 4 * 1024 * 1024
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -17,11 +19,18 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
     Selecting only ``path`` and ``size`` lists the tree without reading it.
     """
+    list_together(spark)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True) \
         .option("pathGlobFilter", glob).load(root)
     return found.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"), "content")
 
 
+def list_together(spark: SparkSession) -> None:
+    """Let a task list many folders: by default each has one, and as many results go to the driver."""
+    if spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None) is None:
+        spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
+
+
 def relative_path(path: Column, root: str) -> Column:
     """Cut the scheme and the root off a path."""
     bare = F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
@@ -66,9 +75,9 @@ def scan_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return _numbered(spark, root, glob).select("path", "line_no", F.regexp_replace(F.col("_bytes").cast("string"), r"\r\z", "").alias("line"))
 
 
-def _numbered(spark: SparkSession, root: str, glob: str) -> DataFrame:
+def _numbered(spark: SparkSession, root: str, glob: str, larger_than: int = -1) -> DataFrame:
     """``(path, line_no, _bytes)`` of files in an encoding in which a line feed is one byte."""
-    lines = _raw_lines(spark, root, root, glob, "UTF-8").drop("_file")
+    lines = _raw_lines(spark, root, root, glob, "UTF-8", larger_than).drop("_file")
     earlier = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     starts = staged(lines.groupBy("path", "_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_from")).select(
         "path", "_split", "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), "splits")
@@ -79,24 +88,28 @@ def _numbered(spark: SparkSession, root: str, glob: str) -> DataFrame:
         F.col("_before") + F.col("_at") - F.col("_from") + 1).alias("line_no"), "_bytes")
 
 
-def _raw_lines(spark: SparkSession, root: str, paths: str | list[str], glob: str, encoding: str) -> DataFrame:
-    """``(path, _split, _at, _bytes)``: the bytes between the line feeds of an encoding."""
+def _raw_lines(spark: SparkSession, root: str, paths: str | list[str], glob: str, encoding: str, larger_than: int = -1) -> DataFrame:
+    """``(path, _split, _at, _bytes)``: the bytes between the line feeds of an encoding; files of up to ``larger_than`` bytes are not opened."""
+    list_together(spark)
     # All passes must cut the files alike, however many executors there are by then.
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").option("encoding", encoding)
-    return found.text(paths).select(
+    found = found.text(paths)
+    if larger_than >= 0:
+        found = found.filter(F.col("_metadata.file_size") > larger_than)
+    return found.select(
         relative_path(F.col("_metadata.file_path"), root).alias("path"), F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), F.col("value").cast("binary").alias("_bytes"))
 
 
-def file_encodings(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+def file_encodings(spark: SparkSession, root: str, glob: str = "*", larger_than: int = -1) -> DataFrame:
     """``(path, _file, encoding)`` of logs of any size, told from the whole of each.
 
     A file is read in splits.  No line feed is part of a longer UTF-8 character, so
     a file is UTF-8 if all of its lines are, wherever it is cut.
     """
-    lines = _raw_lines(spark, root, root, glob, "UTF-8")
+    lines = _raw_lines(spark, root, root, glob, "UTF-8", larger_than)
     told = lines.groupBy("path", "_file").agg(
         F.bool_and(F.expr("is_valid_utf8(cast(_bytes AS string))")).alias("_valid"),
         F.min(F.struct("_split", "_at", F.hex(F.substring("_bytes", 1, 2)).alias("mark")))["mark"].alias("_mark"))
@@ -141,13 +154,42 @@ def scan_encoded_lines(spark: SparkSession, root: str, glob: str = "*") -> DataF
     """``(path, line_no, line)`` of logs of any size in UTF-8, UTF-16 with a byte order mark, or else Latin-1.
 
     As ``scan_lines``, which takes every file for UTF-8; a pass over the bytes tells the encodings first.
+    A small file is a row, opened once.  Of larger ones no file passes through one task.
     """
-    encodings = staged(file_encodings(spark, root, glob), "encodings")
+    small = min(WHOLE_BYTES, int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))))
+    whole = _whole_lines(spark, root, glob, small)
+    encodings = staged(file_encodings(spark, root, glob, small), "encodings")
+    many = encodings.count()
+    if not many:
+        return whole
+    return whole.unionByName(_split_lines(spark, root, glob, small, encodings, many))
+
+
+def _whole_lines(spark: SparkSession, root: str, glob: str, most: int) -> DataFrame:
+    """``(path, line_no, line)`` of the files of up to ``most`` bytes, with the same rules."""
+    list_together(spark)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    found = found.filter(F.col("_metadata.file_size").between(1, most)).select(
+        relative_path(F.col("_metadata.file_path"), root).alias("path"),
+        # Spark's reader of text cuts this mark off as well
+        F.expr("IF(startswith(content, X'EFBBBF'), substring(content, 4), content)").alias("_bytes"))
+    text = ("CASE hex(substring(_bytes, 1, 2)) WHEN 'FFFE' THEN decode(_bytes, 'UTF-16LE') WHEN 'FEFF' THEN decode(_bytes, 'UTF-16BE') "
+            "ELSE IF(is_valid_utf8(cast(_bytes AS string)), cast(_bytes AS string), decode(_bytes, 'ISO-8859-1')) END")
+    marked = "hex(substring(_bytes, 1, 2)) IN ('FFFE', 'FEFF')"
+    lines = T.let("cut", f"split({text}, '\\n', -1)", "IF(element_at(cut, -1) = '', slice(cut, 1, size(cut) - 1), cut)")
+    return found.select("path", F.expr(marked).alias("_marked"), F.posexplode(F.expr(lines)).alias("_at", "_line")).select(
+        "path", (F.col("_at") + 1).cast("bigint").alias("line_no"), F.regexp_replace(F.when(
+            F.col("_marked") & (F.col("_at") == 0), F.regexp_replace("_line", "^\ufeff", "")).otherwise(F.col("_line")), r"\r\z", "").alias("line"))
+
+
+def _split_lines(spark: SparkSession, root: str, glob: str, larger_than: int, encodings: DataFrame, many: int) -> DataFrame:
+    """``(path, line_no, line)`` of files with their ``encodings``, read in splits."""
     narrow = encodings.filter("encoding NOT LIKE 'UTF-16%'")
-    if encodings.count() <= BROADCAST_SPLITS:
+    if many <= BROADCAST_SPLITS:
         narrow = F.broadcast(narrow)
     decoded = F.expr("IF(encoding = 'UTF-8', cast(_bytes AS string), decode(_bytes, 'ISO-8859-1'))")
-    found = _numbered(spark, root, glob).join(narrow.select("path", "encoding"), "path") \
+    found = _numbered(spark, root, glob, larger_than).join(narrow.select("path", "encoding"), "path") \
         .select("path", "line_no", F.regexp_replace(decoded, r"\r\z", "").alias("line"))
     for encoding in ("UTF-16LE", "UTF-16BE"):
         # as many paths as the listing of the files had held already
