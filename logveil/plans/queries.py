@@ -26,7 +26,7 @@ from logveil.streaming.incremental import quarantine, read_dictionary, redact_st
 from logveil.streaming.blocks import BlockRedactor, redact_blocks_stream
 from logveil.sources.tree import unseen_files, write_tree
 from logveil.streaming.dictionary import DictionaryLog
-from logveil.streaming.files import FileRouter, arriving_files, route_stream
+from logveil.streaming.files import FileRouter, arriving_files, files_together, route_stream
 from logveil.streaming.masks import mask_stream, running_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -384,7 +384,8 @@ def stream_files(spark, sf_dir):
     """The tree arriving as files, a few in a batch, routed to three tables."""
     source, target = _tree(spark, sf_dir)
     router = FileRouter(target)
-    route_stream(arriving_files(spark, source, 100), router, f"{target}/checkpoint", available_now=True).awaitTermination()
+    waiting = sources.scan_files(spark, source).count()
+    route_stream(arriving_files(spark, source, files_together(waiting)), router, f"{target}/checkpoint", available_now=True).awaitTermination()
     text = spark.read.schema("path string, text string").parquet(f"{target}/redacted/batch=*").select("path", F.lit("redacted").alias("outcome"), F.md5("text").alias("digest"))
     for outcome in ("copied", "quarantined"):
         rows = spark.read.schema("path string, content binary").parquet(f"{target}/{outcome}/batch=*")

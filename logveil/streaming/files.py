@@ -10,14 +10,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logveil.functions.rules import Catalogue
 from logveil.operators.redact import redact_documents
-from logveil.sources.files import rejected_files, relative_path, text_files, untouched_files
+from logveil.sources.files import list_together, rejected_files, relative_path, text_files, untouched_files
 from logveil.sources.staging import staged
 
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+def files_together(waiting: int, least: int = 100, batches: int = 20) -> int:
+    """How many files to take into a batch so that those that wait are taken up by ``batches`` at most: each costs seconds, whatever it holds."""
+    return max(least, -(-waiting // batches))
+
+
 def arriving_files(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
     """``(path, size, content)`` of the files that arrive below ``root``."""
+    list_together(spark)
     found = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", True) \
         .option("maxFilesPerTrigger", files_per_batch).load(root)
     return found.select(relative_path(F.col("path"), root).alias("path"), F.col("length").alias("size"), "content")

@@ -35,3 +35,8 @@ def test_small_files_are_opened_once(spark, tmp_path):
     assert of("mark") == [""] and of("one") == [""] and of("none") == [] and of("cr") == ["a\rb\r"]
     # a split of one byte cuts the mark of UTF-8 off no more
     assert [r for r in rows if r[0] in ("latin", "cr", "one")] == [r for r in same if r[0] in ("latin", "cr", "one")]
+
+
+@pytest.mark.parametrize("files", [0, 100, 2000, 60_000, 360_000])
+def test_batches_of_waiting_files_are_few(files):
+    assert files <= 20 * files_together(files) and files_together(files) >= 100
