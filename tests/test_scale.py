@@ -40,3 +40,11 @@ def test_small_files_are_opened_once(spark, tmp_path):
 @pytest.mark.parametrize("files", [0, 100, 2000, 60_000, 360_000])
 def test_batches_of_waiting_files_are_few(files):
     assert files <= 20 * files_together(files) and files_together(files) >= 100
+
+
+def test_runs_are_sketched_in_one_pass(spark, tmp_path, monkeypatch):
+    spark.range(300).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    passes, of = [], reports.original_sketches
+    monkeypatch.setattr(reports, "original_sketches", lambda *a: passes.append(a) or of(*a))
+    rows = {r["category"]: r for r in Q.distinct_originals_merged(spark, str(tmp_path)).collect()}
+    assert len(passes) == 1 and set(rows) == {"username", "email"} and all(r["close"] for r in rows.values())
