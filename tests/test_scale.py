@@ -48,3 +48,12 @@ def test_runs_are_sketched_in_one_pass(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(reports, "original_sketches", lambda *a: passes.append(a) or of(*a))
     rows = {r["category"]: r for r in Q.distinct_originals_merged(spark, str(tmp_path)).collect()}
     assert len(passes) == 1 and set(rows) == {"username", "email"} and all(r["close"] for r in rows.values())
+
+
+def test_each_part_of_a_tree_is_written_by_a_task_of_its_own(spark, tmp_path, monkeypatch):
+    spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a\nb").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(Q, "scratch", lambda spark, name: str(tmp_path / name))
+    rows = Q.file_roundtrip(spark, str(tmp_path)).collect()
+    assert len(rows) == 8 and all((r["lines"], r["line_nos"]) == (10, 55) for r in rows)
+    tasks = [re.match(r"part-(\d+)", p.name)[1] for p in (tmp_path / "tree").rglob("part-*")]
+    assert len(tasks) == 8 == len(set(tasks))
