@@ -519,8 +519,10 @@ def _stream(spark, sf_dir):
     """The log lines as a stream of files, a few files per batch."""
     root = scratch(spark, "stream")
     lines = views.log_lines(spark, sf_dir)
-    lines.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id", "line_no").write.parquet(f"{root}/in")
-    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    # a batch has a file for each core, so that its tasks fill the cluster
+    together = max(2, spark.sparkContext.defaultParallelism)
+    lines.repartitionByRange(2 * together, "doc_id").sortWithinPartitions("doc_id", "line_no").write.parquet(f"{root}/in")
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", together).parquet(f"{root}/in")
     return root, arriving
 
 

@@ -57,3 +57,11 @@ def test_each_part_of_a_tree_is_written_by_a_task_of_its_own(spark, tmp_path, mo
     assert len(rows) == 8 and all((r["lines"], r["line_nos"]) == (10, 55) for r in rows)
     tasks = [re.match(r"part-(\d+)", p.name)[1] for p in (tmp_path / "tree").rglob("part-*")]
     assert len(tasks) == 8 == len(set(tasks))
+
+
+def test_a_batch_of_lines_has_a_file_for_each_core(spark, tmp_path, monkeypatch):
+    spark.range(6400).select(F.col("id").alias("event_id"), F.lit(1).cast("bigint").alias("user_id")).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(Q, "scratch", lambda spark, name: str(tmp_path / name))
+    Q._stream(spark, str(tmp_path))
+    cores = spark.sparkContext.defaultParallelism
+    assert cores < len([*(tmp_path / "stream" / "in").glob("*.parquet")]) <= 2 * cores
