@@ -17,6 +17,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ from logveil.functions import files as P
 FORMAT = "filetree"
 #: Unseen files that one task reads.
 TOGETHER = 100
+#: Files that the driver moves at a time.
+MOVED = 16
 
 
 @dataclass
@@ -67,10 +70,12 @@ class FileTreeWriter(DataSourceArrowWriter):
         files = [f for m in messages if m for f in m.files]
         if len({path for _, path in files}) < len(files):
             raise ValueError("several files for one path")
-        for folder in sorted({posixpath.dirname(path) for _, path in files}):
-            store.create_dir(posixpath.join(root, folder), recursive=True)
-        for staged, path in files:
-            store.move(staged, posixpath.join(root, path))
+        with ThreadPoolExecutor(MOVED) as pool:
+            folders = {posixpath.dirname(path) for _, path in files}
+            for _ in pool.map(lambda folder: store.create_dir(posixpath.join(root, folder), recursive=True), folders):
+                pass
+            for _ in pool.map(lambda file: store.move(file[0], posixpath.join(root, file[1])), files):
+                pass
         self._clear()
 
     def abort(self, messages: list[_Written | None]) -> None:

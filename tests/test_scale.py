@@ -65,3 +65,19 @@ def test_a_batch_of_lines_has_a_file_for_each_core(spark, tmp_path, monkeypatch)
     Q._stream(spark, str(tmp_path))
     cores = spark.sparkContext.defaultParallelism
     assert cores < len([*(tmp_path / "stream" / "in").glob("*.parquet")]) <= 2 * cores
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / "in" / f"d{i}").mkdir(parents=True)
+        (tmp_path / "in" / f"d{i}" / "a.log").write_bytes(b"x")
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    try:
+        found = scan_files(spark, str(tmp_path / "in"))
+        jobs = sc.statusTracker().getJobIdsForGroup("listing")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert stages and max(sc.statusTracker().getStageInfo(s).numTasks for s in stages) <= 4 * sc.defaultParallelism
+    assert found.count() == 100
