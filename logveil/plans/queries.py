@@ -552,7 +552,7 @@ def _in_line_ranges(spark, sf_dir, catalogue):
     lines = staged(views.log_lines(spark, sf_dir), "log-lines")
     batches = 5
     for k in range(batches):
-        lines.filter(F.floor((F.col("line_no") - 1) / 21) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        lines.filter(F.floor((F.col("line_no") - 1) / 21) == k).repartition(1).write.mode("append").parquet(f"{root}/in")
     arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     redactor = BlockRedactor("doc_id", "line_no", "line", f"{root}/out", f"{root}/dictionary", f"{root}/carry", catalogue=catalogue)
     redact_blocks_stream(arriving, redactor, f"{root}/checkpoint", available_now=True).awaitTermination()

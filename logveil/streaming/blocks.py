@@ -100,7 +100,8 @@ class BlockRedactor:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id > 0:
             batch = batch.unionByName(self._carried(batch.sparkSession, batch_id - 1, batch.schema))
-        lines = staged(batch, "batch")
+        # a batch may arrive as one file
+        lines = staged(batch.repartition(batch.sparkSession.sparkContext.defaultParallelism), "batch")
         since = held_from(lines, self.doc_col, self.line_no_col, self.line_col, self.catalogue)
         split = staged(_keyed(lines, self.doc_col, self.line_no_col).join(since, "_doc", "left").withColumn(
             "_waits", F.coalesce(F.col("_no") >= F.col("_from"), F.lit(False))), "split")

@@ -81,3 +81,17 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     stages = [s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
     assert stages and max(sc.statusTracker().getStageInfo(s).numTasks for s in stages) <= 4 * sc.defaultParallelism
     assert found.count() == 100
+
+
+def test_a_batch_in_one_file_is_spread(spark, tmp_path, monkeypatch):
+    seen = {}
+
+    def staged(df, name, kept=blocks.staged):
+        seen[name] = df.rdd.getNumPartitions()
+        return kept(df, name)
+    monkeypatch.setattr(blocks, "staged", staged)
+    lines = spark.range(50).select(F.lit(1).alias("doc_id"), (F.col("id") + 1).alias("line_no"), F.lit("user=bob").alias("line")).coalesce(1)
+    redactor = blocks.BlockRedactor("doc_id", "line_no", "line", *(str(tmp_path / n) for n in ("out", "dictionary", "carry")))
+    redactor(lines, 0)
+    assert seen["batch"] == spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 50
