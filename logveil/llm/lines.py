@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logveil.llm.common import LOWER, NO_ID, UPPER, partitions, unused
-from logveil.sources.staging import scratch, staged
+from logveil.sources.staging import dense, scratch, staged
 
 MIN_CHARS = 10
 FANOUT = 4
@@ -32,6 +32,8 @@ FANOUT = 4
 BATCHES = 6
 #: A key in more than this share of a batch's rows, of which there are 1000 at most, is broadcast instead of shuffled.
 HEAVY_SHARE = 1 / 1000
+#: Lines of a batch that a task which writes what is known of them should have at least.
+DENSE = 5000
 
 _KEY = ["h1", "h2"]
 _LINES = "split(coalesce(`{}`, ''), '\\n', -1)"
@@ -139,8 +141,10 @@ class LineRuns:
 
     def add(self, keys: DataFrame, last: bool = False) -> DataFrame:
         """Lines of a batch to drop as ``(id, t, pos)``; the batch's new keys become a run unless it is the last."""
+        number = keys.count()
+        thick = lambda rows, name: staged(dense(rows, number, DENSE), name)
         held = keys.groupBy(*_KEY).agg(F.min("id").alias("owner"), F.max("id").alias("top"), F.count("*").alias("n"))
-        held = staged(held, "line-keys") if self.runs or not last else held
+        held = thick(held, "line-keys") if self.runs or not last else held
         fresh, seen = held, None
         for run in self.runs:
             known = self.spark.table(run)
@@ -150,8 +154,8 @@ class LineRuns:
         shared = fresh.where("owner < top").select(*_KEY, "owner", "n")
         if seen is not None:
             shared = shared.unionAll(seen.select(*_KEY, F.lit(None).cast("bigint").alias("owner"), "n"))
-        shared = staged(shared, "line-owners")
-        doomed = staged(self._doomed(keys, shared), "line-drops")
+        shared = thick(shared, "line-owners")
+        doomed = thick(self._doomed(keys, shared), "line-drops")
         if not last:
             self._hold(0, self._write(fresh.select(*_KEY), 0))
             if len(self.levels[0]) >= self.fanout:

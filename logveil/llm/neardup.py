@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from logveil.llm.common import NO_ID, map_batches, unused
 from logveil.llm.decontaminate import words_of
-from logveil.sources.staging import staged
+from logveil.sources.staging import dense, staged
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -57,6 +57,8 @@ CHUNK = 1_000_000
 RARE = 8
 #: Texts whose shingles a verifying worker remembers.
 REMEMBERED = 256
+#: Documents, or links, that a task which writes keys only should have at least.
+DENSE = 4096
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -212,10 +214,11 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = staged(dense(edges, links.count(), DENSE), name)
     before = mark(edges)
     while True:
-        edges = staged(small(large(edges).distinct()), name)
+        edges = staged(dense(small(large(edges).distinct()), before[0], DENSE), name)
         after = mark(edges)
         if after == before:
             break
@@ -280,10 +283,10 @@ def within_reach(mixed: DataFrame, texts: DataFrame, threshold: float = THRESHOL
 
 
 class _Rounds:
-    """Pairs compared and links found so far."""
+    """Pairs compared and links found so far, among the texts of ``number`` documents."""
 
-    def __init__(self, texts: DataFrame) -> None:
-        self.texts = texts
+    def __init__(self, texts: DataFrame, number: int) -> None:
+        self.texts, self.number = texts, number
         self.compared: DataFrame | None = None
         self.links: DataFrame | None = None
         self.classes: DataFrame | None = None
@@ -292,10 +295,10 @@ class _Rounds:
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.compared is not None:
             ordered = ordered.join(self.compared, ["a", "b"], "left_anti")
-        ordered = staged(ordered, "pairs")
+        ordered = staged(dense(ordered, self.number, DENSE), "pairs")
         if ordered.isEmpty():
             return
-        found = staged(verify(ordered, self.texts), "links")
+        found = staged(dense(verify(ordered, self.texts), self.number, DENSE, moved=True), "links")
         self.compared = ordered if self.compared is None else self.compared.unionAll(ordered)
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.unionAll(found)
@@ -322,20 +325,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of that, and what names the class where ids are missing: null without words.
     """
     drawn = staged(sketch(docs, doc_id, text), "sketches")
-    nodes = staged(drawn.where("node IS NOT NULL").groupBy("node").agg(
+    number = drawn.count()
+    keyed = lambda rows, name: staged(dense(rows, number, DENSE), name)
+    nodes = keyed(drawn.where("node IS NOT NULL").groupBy("node").agg(
         F.min(F.struct("id", "t")).alias("first"), F.count("*").alias("n")), "nodes")
     first = nodes.select("node", "first.id", "first.t")
     hashed = drawn.select("node", "id", "t", "bands").join(first, ["node", "id", "t"]) \
         .select("node", F.explode("bands").alias("bucket")).distinct()
     shared = hashed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")) \
         .where("lo < hi").drop("hi")
-    members = staged(hashed.join(shared, "bucket"), "members")
+    members = keyed(hashed.join(shared, "bucket"), "members")
     ranked = members.join(members.groupBy("node").agg(F.sum("size").alias("rank")), "node")
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("hub"))
-    members = staged(members.drop("size").join(hubs, "bucket"), "hubs")
+    members = keyed(members.drop("size").join(hubs, "bucket"), "hubs")
     wanted = members.select("node").distinct().join(first, "node")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    rounds = _Rounds(_one_each(staged(rows.join(wanted, ["id", "t"]).select("node", "text"), "texts")))
+    rounds = _Rounds(_one_each(staged(rows.join(wanted, ["id", "t"]).select("node", "text"), "texts")), number)
 
     best = members.groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
     rounds.compare(best.where("a <> b"))
@@ -344,7 +349,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classed = _classed(members.select("bucket", "node"), rounds.classes, "node", "class").distinct()
     most = classed.groupBy("bucket", "class").count().groupBy("bucket").agg(
         F.max(F.struct("count", "class")).alias("top"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("top.class").alias("top"))
-    mixed = staged(classed.join(most, "bucket"), "mixed")
+    mixed = keyed(classed.join(most, "bucket"), "mixed")
     rounds.compare(within_reach(mixed, rounds.texts))
 
     named = _classed(nodes, rounds.classes, "node", "root")

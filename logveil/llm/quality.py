@@ -159,6 +159,18 @@ def scored(rows: DataFrame, model: Discriminant, name: str = "features", score:
     return map_batches(rows, run, f"{schema}, `{score}` double")
 
 
+def scored_texts(docs: DataFrame, model: Discriminant, text: str = "text", score: str = "score") -> DataFrame:
+    """``docs`` with the score of each text, by one Python worker for each task instead of one that measures and one that scores."""
+    at = [c.lower() for c in docs.columns].index(text.lower())
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array([features(v.as_py()) for v in batch.column(at)])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(x))], names=[*batch.schema.names, score])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_batches(docs, run, f"{schema}, `{score}` double")
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` per row; the texts are read once."""
     rows = staged(measured(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")), "statistics")
@@ -169,8 +181,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, as they are."""
-    statistics, score = unused(docs, "_features"), unused(docs, "_score")
+    score = unused(docs, "_score")
     model = fit(measured(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))), labels)
-    copy = unused(docs, "_text")
-    rows = measured(docs.withColumn(copy, F.col(text)), copy, statistics)
-    return scored(rows, model, statistics, score).where(F.col(score) >= threshold).select(*docs.columns)
+    return scored_texts(docs, model, text, score).where(F.col(score) >= threshold).select(*docs.columns)

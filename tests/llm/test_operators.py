@@ -600,3 +600,34 @@ def test_tasks_of_a_process_share_one_tokenizer_but_no_parts():
     ids = first.ids("Tides, tides and 12 <|x|> moorings")
     assert first.tokenizer is second.tokenizer and first.ids("tides") and first and not second
     assert second.ids("Tides, tides and 12 <|x|> moorings") == ids
+
+
+@pytest.mark.parametrize("step", [lambda d: lines.dedup(d, batches=3), neardup.near_duplicates], ids=["lines", "near duplicates"])
+def test_many_small_partitions_do_not_make_as_many_files(spark, tmp_path, monkeypatch, step):
+    """Each file of a local file system has processes started for it, which count towards an executor's memory."""
+    rng = random.Random(11)
+    own = [" ".join(rng.choice(["tide", "mast", "rope", "sail", "keel", "hull"]) for _ in range(60)) for _ in range(40)]
+    rows = [(i * 10 + k, f"{text}\nline {i} of a group\n{'more ' * k}{i} {k}") for i, text in enumerate(own) for k in range(4)]
+    docs = docs_of(spark, rows).coalesce(8)
+    spark.conf.set("spark.sql.shuffle.partitions", "80")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr("logveil.sources.staging.staging_dir", lambda _: str(tmp_path))
+    try:
+        found = step(docs).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == len(rows)
+    narrow = ("line-keys", "line-owners", "line-drops", "nodes", "members", "hubs", "pairs", "links", "components")
+    made = [len(list(p.glob("part-*"))) for p in tmp_path.iterdir() if p.name.split("-", 2)[2] in narrow]
+    assert len(made) >= 6 and max(made) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_scores_of_texts_take_one_worker_a_task(spark):
+    rows = [(i, t) for i, t in odd(spark) if i is not None]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(rows)], "doc_id bigint, quality int")
+    kept = quality.keep(docs, labels)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = [r.doc_id for r in quality.classify(docs, labels).collect() if r.predicted]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
