@@ -5,11 +5,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from logveil.operators import reports
+from logveil.functions.rules import Catalogue
+from logveil.operators import cascade, reports
+from logveil.operators.redact import redact_documents
 from logveil.plans import queries as Q
 from logveil.sources.files import scan_encoded_lines, scan_files
 from logveil.streaming import blocks
 from logveil.streaming.files import files_together
+from tests.model import Model
 
 
 def test_small_files_are_opened_once(spark, tmp_path):
@@ -50,6 +53,26 @@ def test_runs_are_sketched_in_one_pass(spark, tmp_path, monkeypatch):
     assert len(passes) == 1 and set(rows) == {"username", "email"} and all(r["close"] for r in rows.values())
 
 
+def test_a_line_meets_the_rules_side_by_side(spark):
+    """A rule inside another for each rule of a stage made a line cost their square, and a match four passes of its pattern."""
+    catalogue = Catalogue.builtin()
+    begun = cascade.start(spark.createDataFrame([("user=bob mail a@b.com",)], "line string"), "line", catalogue)
+    for rules in catalogue.stages():
+        plan = cascade.run_stage(begun, rules, catalogue)._jdf.queryExecution().analyzed().toString()
+        assert plan.count("aggregate(") == 1
+        assert all(plan.count(catalogue.regex(r)) == 1 for r in rules if r.rule_id in (8, 14))
+
+
+def test_any_number_of_values_in_a_line(spark):
+    mails = [" ".join(f"mail m{i % 6}@x.org user={i}" for i in range(n)) for n in range(13)]
+    texts = [*mails, "\n".join(mails), "user=a@b.com user=a@b.com", "", "login: u pwd=x 10.0.0.1 site=a"]
+    found = redact_documents(spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, text string"), "text").collect()
+    got = {r["i"]: (r["text"], sorted(map(tuple, r["hits"] or []), key=repr)) for r in found}
+    assert got.pop(-1)[0] is None
+    want = {i: (t, sorted(h, key=repr)) for i, (t, h) in enumerate(map(Model().redact, texts))}
+    assert got == want
+
+
 def test_each_part_of_a_tree_is_written_by_a_task_of_its_own(spark, tmp_path, monkeypatch):
     spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a\nb").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
     monkeypatch.setattr(Q, "scratch", lambda spark, name: str(tmp_path / name))
