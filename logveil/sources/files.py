@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Callable, Iterator
+from functools import reduce
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +19,9 @@ from logveil.sources.staging import staged
 BROADCAST_SPLITS = 200_000
 #: Bytes up to which a file that lies in one split is read as a whole.
 WHOLE_BYTES = 4 * 1024 * 1024
+#: Bytes and files, whichever is reached first, that one task reads of files read as a whole, and that it passes on together.
+TASK_BYTES, TASK_FILES = 128 * 1024 * 1024, 20_000
+PASSED_BYTES, PASSED_FILES = 8 * 1024 * 1024, 5_000
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -75,9 +85,9 @@ def scan_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return _numbered(spark, root, glob).select("path", "line_no", F.regexp_replace(F.col("_bytes").cast("string"), r"\r\z", "").alias("line"))
 
 
-def _numbered(spark: SparkSession, root: str, glob: str, larger_than: int = -1) -> DataFrame:
+def _numbered(spark: SparkSession, root: str, glob: str, larger_than: int = -1, paths: list[str] | None = None) -> DataFrame:
     """``(path, line_no, _bytes)`` of files in an encoding in which a line feed is one byte."""
-    lines = _raw_lines(spark, root, root, glob, "UTF-8", larger_than).drop("_file")
+    lines = _raw_lines(spark, root, paths or root, glob, "UTF-8", larger_than).drop("_file")
     earlier = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     starts = staged(lines.groupBy("path", "_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_from")).select(
         "path", "_split", "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), "splits")
@@ -103,13 +113,13 @@ def _raw_lines(spark: SparkSession, root: str, paths: str | list[str], glob: str
         F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), F.col("value").cast("binary").alias("_bytes"))
 
 
-def file_encodings(spark: SparkSession, root: str, glob: str = "*", larger_than: int = -1) -> DataFrame:
+def file_encodings(spark: SparkSession, root: str, glob: str = "*", larger_than: int = -1, paths: list[str] | None = None) -> DataFrame:
     """``(path, _file, encoding)`` of logs of any size, told from the whole of each.
 
     A file is read in splits.  No line feed is part of a longer UTF-8 character, so
     a file is UTF-8 if all of its lines are, wherever it is cut.
     """
-    lines = _raw_lines(spark, root, root, glob, "UTF-8", larger_than)
+    lines = _raw_lines(spark, root, paths or root, glob, "UTF-8", larger_than)
     told = lines.groupBy("path", "_file").agg(
         F.bool_and(F.expr("is_valid_utf8(cast(_bytes AS string))")).alias("_valid"),
         F.min(F.struct("_split", "_at", F.hex(F.substring("_bytes", 1, 2)).alias("mark")))["mark"].alias("_mark"))
@@ -154,26 +164,112 @@ def scan_encoded_lines(spark: SparkSession, root: str, glob: str = "*") -> DataF
     """``(path, line_no, line)`` of logs of any size in UTF-8, UTF-16 with a byte order mark, or else Latin-1.
 
     As ``scan_lines``, which takes every file for UTF-8; a pass over the bytes tells the encodings first.
-    A small file is a row, opened once.  Of larger ones no file passes through one task.
+    A small file is a row, opened once.  Of larger ones no file passes through one task.  Below a folder
+    that is no store of its own, tasks list the files too, and the driver knows the larger ones only.
     """
     small = min(WHOLE_BYTES, int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes"))))
-    whole = _whole_lines(spark, root, glob, small)
-    encodings = staged(file_encodings(spark, root, glob, small), "encodings")
+    folder, larger = _folder(spark, root), None
+    if folder is None:
+        found = scan_files(spark, root, glob).filter(F.col("_metadata.file_size").between(1, small))
+    else:
+        listed = _listed(spark, folder, glob)
+        larger = [_literal_path(os.path.join(folder, r["path"])) for r in listed.filter(F.col("size") > small).select("path").collect()]
+        found = _contents(listed.filter(F.col("size").between(1, small)), folder).withColumn("path", relative_path(F.col("path"), root))
+    whole = _whole_lines(found)
+    if larger == []:
+        return whole
+    encodings = staged(file_encodings(spark, root, glob, small, larger), "encodings")
     many = encodings.count()
     if not many:
         return whole
-    return whole.unionByName(_split_lines(spark, root, glob, small, encodings, many))
-
-
-def _whole_lines(spark: SparkSession, root: str, glob: str, most: int) -> DataFrame:
-    """``(path, line_no, line)`` of the files of up to ``most`` bytes, with the same rules."""
-    list_together(spark)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    found = found.filter(F.col("_metadata.file_size").between(1, most)).select(
-        relative_path(F.col("_metadata.file_path"), root).alias("path"),
-        # Spark's reader of text cuts this mark off as well
-        F.expr("IF(startswith(content, X'EFBBBF'), substring(content, 4), content)").alias("_bytes"))
+    return whole.unionByName(_split_lines(spark, root, glob, small, encodings, many, larger))
+
+
+def _folder(spark: SparkSession, root: str) -> str | None:
+    """The path of a folder that tasks can open by themselves, on disks of their own or shared ones; none for what only a store reaches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return full.getPath() if full.getScheme() == "file" and os.path.isdir(full.getPath()) else None
+
+
+def _literal_path(path: str) -> str:
+    """A path as Spark's readers take it, to whom it is a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def _listed(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """``(path, size)`` of the files that Spark's readers see below a folder, listed by tasks: a folder by one, level by level."""
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+    levels, folders, most = [], spark.range(1).select(F.lit("").alias("path")), 4 * spark.sparkContext.defaultParallelism
+    many = 1
+    while many:
+        levels.append(staged(folders.repartition(min(many, most)).mapInArrow(_entries(root), "path string, size bigint"), "listing"))
+        folders = levels[-1].filter("size IS NULL").select("path")
+        many = folders.count()
+    return reduce(DataFrame.unionByName, levels).filter(F.col("size").isNotNull() & F.substring_index("path", "/", -1).rlike(rf"(?s)\A(?:{named})\z"))
+
+
+# What follows runs in tasks by itself, lest workers that read need this package.
+
+def _entries(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What folders hold that Spark's readers see: files with their sizes, and folders without."""
+    together = PASSED_FILES
+
+    def is_seen(name: str, folder: bool) -> bool:
+        return folder and name.startswith(("_metadata", "_common_metadata")) or not (
+            name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+            paths, sizes = [], []
+            with os.scandir(os.path.join(root, folder)) as entries:
+                for entry in entries:
+                    if not is_seen(entry.name, entry.is_dir()):
+                        continue
+                    try:
+                        sizes.append(None if entry.is_dir() else entry.stat().st_size)
+                    except FileNotFoundError:  # gone since, or a link to nothing
+                        continue
+                    paths.append(os.path.join(folder, entry.name))
+                    if len(paths) >= together:
+                        yield pa.RecordBatch.from_arrays([pa.array(paths, "string"), pa.array(sizes, "int64")], ["path", "size"])
+                        paths, sizes = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(paths, "string"), pa.array(sizes, "int64")], ["path", "size"])
+    return run
+
+
+def _reader(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The files of the paths, under the names that ``_metadata.file_path`` has."""
+    most, together = PASSED_BYTES, PASSED_FILES
+    quoted = re.compile(r"[^A-Za-z0-9\-_.!~*'():@&=+$,;/\u00a0-\U0010ffff]|[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, contents, size = [], [], 0
+        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+            path = os.path.join(root, path)
+            with open(path, "rb") as file:
+                contents.append(file.read())
+            paths.append("file://" + quoted.sub(lambda found: "".join(f"%{b:02X}" for b in found[0].encode()), path))
+            size += len(contents[-1])
+            if size >= most or len(paths) >= together:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, "string"), pa.array(contents, "binary")], ["path", "content"])
+                paths, contents, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, "string"), pa.array(contents, "binary")], ["path", "content"])
+    return run
+
+
+def _contents(listed: DataFrame, root: str) -> DataFrame:
+    """``(path, content)`` of files, dealt to as many tasks as their bytes and their number want."""
+    total = listed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("files")).first()
+    tasks = max(listed.sparkSession.sparkContext.defaultParallelism, -(-total["bytes"] // TASK_BYTES), -(-total["files"] // TASK_FILES))
+    return listed.select("path").repartition(tasks).mapInArrow(_reader(root), "path string, content binary")
+
+
+def _whole_lines(files: DataFrame) -> DataFrame:
+    """``(path, line_no, line)`` of files held as rows, with the same rules."""
+    # Spark's reader of text cuts this mark off as well
+    found = files.select("path", F.expr("IF(startswith(content, X'EFBBBF'), substring(content, 4), content)").alias("_bytes"))
     text = ("CASE hex(substring(_bytes, 1, 2)) WHEN 'FFFE' THEN decode(_bytes, 'UTF-16LE') WHEN 'FEFF' THEN decode(_bytes, 'UTF-16BE') "
             "ELSE IF(is_valid_utf8(cast(_bytes AS string)), cast(_bytes AS string), decode(_bytes, 'ISO-8859-1')) END")
     marked = "hex(substring(_bytes, 1, 2)) IN ('FFFE', 'FEFF')"
@@ -183,17 +279,17 @@ def _whole_lines(spark: SparkSession, root: str, glob: str, most: int) -> DataFr
             F.col("_marked") & (F.col("_at") == 0), F.regexp_replace("_line", "^\ufeff", "")).otherwise(F.col("_line")), r"\r\z", "").alias("line"))
 
 
-def _split_lines(spark: SparkSession, root: str, glob: str, larger_than: int, encodings: DataFrame, many: int) -> DataFrame:
+def _split_lines(spark: SparkSession, root: str, glob: str, larger_than: int, encodings: DataFrame, many: int, paths: list[str] | None) -> DataFrame:
     """``(path, line_no, line)`` of files with their ``encodings``, read in splits."""
     narrow = encodings.filter("encoding NOT LIKE 'UTF-16%'")
     if many <= BROADCAST_SPLITS:
         narrow = F.broadcast(narrow)
     decoded = F.expr("IF(encoding = 'UTF-8', cast(_bytes AS string), decode(_bytes, 'ISO-8859-1'))")
-    found = _numbered(spark, root, glob, larger_than).join(narrow.select("path", "encoding"), "path") \
+    found = _numbered(spark, root, glob, larger_than, paths).join(narrow.select("path", "encoding"), "path") \
         .select("path", "line_no", F.regexp_replace(decoded, r"\r\z", "").alias("line"))
     for encoding in ("UTF-16LE", "UTF-16BE"):
         # as many paths as the listing of the files had held already
-        paths = [r["_file"] for r in encodings.filter(F.col("encoding") == encoding).select("_file").collect()]
+        paths = [_literal_path(unquote(r["_file"])) for r in encodings.filter(F.col("encoding") == encoding).select("_file").collect()]
         if paths:
             wide = _wide_lines(_raw_lines(spark, root, paths, "*", encoding), encoding)
             line = F.regexp_replace(F.decode("_bytes", encoding), r"\r\z", "")

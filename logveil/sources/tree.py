@@ -5,8 +5,9 @@ Writing: a sink that writes rows as files of a tree, all of them or none.
 Each task writes its files under a staging folder inside the target; only when
 all tasks are done does the driver move them to their places and delete the
 staging folder, with whatever lost or repeated tasks left there.  What reaches
-the driver is the paths.  Files are written through the file systems of pyarrow,
-so the target is a shared folder, S3, GCS or HDFS.
+the driver is a folder for each task; the paths wait beside the files, sorted,
+and are read a few at a time.  Files are written through the file systems of
+pyarrow, so the target is a shared folder, S3, GCS or HDFS.
 
 Reading: Spark's readers leave out empty files and names that begin with an
 underscore or a dot.  ``unseen_files`` reads just these, so that none is lost.
@@ -19,6 +20,8 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from heapq import merge
+from itertools import batched, chain, pairwise
 
 import pyarrow as pa
 from pyarrow import fs
@@ -33,19 +36,34 @@ FORMAT = "filetree"
 TOGETHER = 100
 #: Files that the driver moves at a time.
 MOVED = 16
+#: Paths that the driver reads at a time, of each task or for each file that it moves.
+READ = 1000
+PATHS = "paths"
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    """Staged files and the paths, relative to the target, where they belong."""
+    """A folder of staged files, with the paths, relative to the target, where they belong."""
 
-    files: list[tuple[str, str]]
+    folder: str
 
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
 
 
+def _staged_paths(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, str]]:
+    """Paths in order, each with its staged file; only ``READ`` of them are held, and no file is kept open."""
+    at, last = 0, 1
+    while at < last:
+        with store.open_input_file(posixpath.join(folder, PATHS)) as file:
+            found = pa.ipc.open_file(file)
+            last = found.num_record_batches
+            rows = found.get_batch(at).to_pydict() if at < last else {"path": [], "staged": []}
+        yield from ((path, posixpath.join(folder, str(i))) for path, i in zip(rows["path"], rows["staged"]))
+        at += 1
+
+
 class FileTreeWriter(DataSourceArrowWriter):
     def __init__(self, root: str) -> None:
         self.root, self.staging = root.rstrip("/"), f"_staging-{uuid.uuid4().hex}"
@@ -58,24 +76,35 @@ class FileTreeWriter(DataSourceArrowWriter):
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 if path is None or set(path.split("/")) & {"", ".", ".."}:
                     raise ValueError(f"not a path inside the target: {path!r}")
-                staged = posixpath.join(folder, str(len(done)))
-                with store.open_output_stream(staged) as out:
+                with store.open_output_stream(posixpath.join(folder, str(len(done)))) as out:
                     if content.is_valid:
                         out.write(content.as_buffer())
-                done.append((staged, path))
-        return _Written(done)
+                done.append(path)
+        order = sorted(range(len(done)), key=done.__getitem__)
+        paths = pa.table({"path": pa.array([done[i] for i in order], "string"), "staged": pa.array(order, "int64")})
+        with store.open_output_stream(posixpath.join(folder, PATHS)) as out, pa.ipc.new_file(out, paths.schema) as file:
+            file.write_table(paths, max_chunksize=READ)
+        return _Written(folder)
 
     def commit(self, messages: list[_Written | None]) -> None:
         store, root = _open(self.root)
-        files = [f for m in messages if m for f in m.files]
-        if len({path for _, path in files}) < len(files):
+        tasks = [_staged_paths(store, m.folder) for m in messages if m]
+        if any(a == b for (a, _), (b, _) in pairwise(merge(*tasks))):
             raise ValueError("several files for one path")
+        made: set[str] = set()
+
+        def move(files: tuple[tuple[str, str], ...]) -> None:
+            for path, staged in files:
+                store.move(staged, posixpath.join(root, path))
         with ThreadPoolExecutor(MOVED) as pool:
-            folders = {posixpath.dirname(path) for _, path in files}
-            for _ in pool.map(lambda folder: store.create_dir(posixpath.join(root, folder), recursive=True), folders):
-                pass
-            for _ in pool.map(lambda file: store.move(file[0], posixpath.join(root, file[1])), files):
-                pass
+            files = chain.from_iterable(_staged_paths(store, m.folder) for m in messages if m)
+            for some in batched(files, MOVED * READ):
+                folders = {posixpath.dirname(path) for path, _ in some} - made
+                for _ in pool.map(lambda folder: store.create_dir(posixpath.join(root, folder), recursive=True), folders):
+                    pass
+                made = folders if len(made) > MOVED * READ else made | folders
+                for _ in pool.map(move, batched(some, max(1, len(some) // MOVED))):
+                    pass
         self._clear()
 
     def abort(self, messages: list[_Written | None]) -> None:

@@ -1,7 +1,9 @@
 """Inputs and passes that grow with the tables: tasks, batches and listings."""
 
+import pickle
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from logveil.operators import cascade, reports
 from logveil.operators.redact import redact_documents
 from logveil.plans import queries as Q
 from logveil.sources.files import scan_encoded_lines, scan_files
+from logveil.sources.tree import READ, FileTreeWriter
 from logveil.streaming import blocks
 from logveil.streaming.files import files_together
 from tests.model import Model
@@ -40,6 +43,51 @@ def test_small_files_are_opened_once(spark, tmp_path):
     assert [r for r in rows if r[0] in ("latin", "cr", "one")] == [r for r in same if r[0] in ("latin", "cr", "one")]
 
 
+def test_the_driver_knows_no_small_file(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / "in" / f"d{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"d{i % 3}" / f"{i} %é.log").write_bytes(b"a\r\nb")
+    (tmp_path / "in" / "d1" / "large [1].log").write_bytes("\ufeffa\nb\n".encode("utf-16-le") + 600 * b"x\0" + b"\n\0")
+    for name in ("_hidden.log", ".hidden.log", "other.txt"):
+        (tmp_path / "in" / "d2" / name).write_bytes(b"c")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        found = scan_encoded_lines(spark, str(tmp_path / "in"), "*.log")
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [f for f in found.inputFiles() if f.startswith(f"file://{tmp_path}/in")] == [f"file://{tmp_path}/in/d1/large%20%5B1%5D.log"]
+    lines = {}
+    for r in sorted(rows, key=lambda r: r["line_no"]):
+        lines.setdefault(r["path"], []).append((r["line_no"], r["line"]))
+    assert lines.pop("d1/large%20%5B1%5D.log") == [(1, "a"), (2, "b"), (3, 600 * "x")]
+    assert lines == {f"d{i % 3}/{i}%20%25é.log": [(1, "a"), (2, "b")] for i in range(400)}
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(400):
+        (tmp_path / "in" / f"{i}.log").write_bytes(b"a")
+    assert scan_encoded_lines(spark, str(tmp_path / "in")).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
+def test_what_a_task_of_the_sink_tells_the_driver(tmp_path):
+    writer = FileTreeWriter(str(tmp_path / "out"))
+    batch = lambda some: pa.RecordBatch.from_pydict({"path": some, "content": [p.encode() for p in some]})
+    paths = [f"d{i % 7}/{i}" for i in range(2 * READ + 500)]
+    told = [writer.write(iter([batch(paths[:READ + 300]), batch(paths[READ + 300:2 * READ])])), writer.write(iter([])), writer.write(iter([batch(paths[2 * READ:])]))]
+    assert all(len(pickle.dumps(m)) < 1000 for m in told)
+    writer.commit([*told, None])
+    out = tmp_path / "out"
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()) == sorted(paths)
+    assert all((out / p).read_text() == p for p in paths)
+    again = [writer.write(iter([batch(["x", "a", "y"])])), writer.write(iter([batch(["b", "x"])]))]
+    with pytest.raises(ValueError, match="several files"):
+        writer.commit(again)
+    writer.abort(again)
+    assert not (out / "a").exists() and not [p for p in out.iterdir() if p.name.startswith("_staging")]
+
+
 @pytest.mark.parametrize("files", [0, 100, 2000, 60_000, 360_000])
 def test_batches_of_waiting_files_are_few(files):
     assert files <= 20 * files_together(files) and files_together(files) >= 100
